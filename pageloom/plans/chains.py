@@ -1,0 +1,41 @@
+"""Which nodes of a pointer forest lie on the paths that start at given roots?
+
+A sequential rule such as "the next write happens at the first request after this
+entry expires" makes every candidate point at one later candidate. What really
+happened is the path from the first one. Walking it is sequential; doubling the
+pointers is not: after k joins every pointer spans 2^k steps, and going back
+through the levels marks the whole path. All work is joins by node id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import shared_root
+
+
+def mark_paths(pointers: DataFrame, roots: DataFrame) -> DataFrame:
+    """Ids of all nodes reachable from ``roots`` (id).
+
+    ``pointers`` is (id, next) with unique ids; a node without successor has no row
+    or a NULL. Pointers must not run in circles. Each level is checkpointed to the
+    shared folder: the rounds stop when no root has a pointer left, after
+    log2(longest path) joins.
+    """
+    shared_root(pointers.sparkSession)
+    level = pointers.where(F.col("next").isNotNull()).select("id", "next").checkpoint()
+    starts = roots.select("id").distinct().checkpoint()
+    levels = []
+    while not level.join(starts, "id", "left_semi").isEmpty():
+        levels.append(level)
+        second = level.select(F.col("id").alias("_mid"), F.col("next").alias("_far"))
+        doubled = level.join(second, F.col("next") == F.col("_mid")).select("id", F.col("_far").alias("next"))
+        # only roots and targets can lie on a path of the next level
+        useful = doubled.select(F.col("next").alias("id")).union(starts).distinct()
+        level = doubled.join(useful, "id", "left_semi").checkpoint()
+    marked = starts
+    for level in reversed(levels):
+        both = F.array_compact(F.array("id", "next"))
+        marked = marked.join(level, "id", "left").select(F.explode(both).alias("id"))
+    return marked.distinct()

@@ -1,0 +1,54 @@
+"""Sequential rules as a state machine per key, streamed through sorted partitions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# a key with more rows than this is not folded in one task
+HOT_ROWS = 5_000_000
+
+
+def fold_by_key(
+    rows: DataFrame, machine: Callable[[], object], columns: Sequence[str], keys: Sequence[str] = ("fetch_key",)
+) -> DataFrame:
+    """``outcome`` of ``machine().step(*columns)`` for each key's rows by (at, request_id).
+
+    The rows arrive as a sorted stream and only the state of the current key is
+    held: memory does not grow with the size of a key.
+    """
+    kept = [*keys, "request_id", "at"]
+    schema = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in kept) + ", outcome string"
+
+    def values(batch: pd.DataFrame, name: str) -> list:
+        column = batch[name]
+        return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            outcomes = []
+            owners = zip(*[values(batch, name) for name in keys])
+            inputs = zip(*[values(batch, name) for name in columns])
+            for key, row in zip(owners, inputs):
+                if key != current:
+                    current, state = key, machine()
+                outcomes.append(state.step(*row))
+            yield batch[kept].assign(outcome=outcomes)
+
+    narrow = rows.select(*dict.fromkeys([*kept, *columns]))
+    return narrow.repartition(*keys).sortWithinPartitions(*keys, "at", "request_id").mapInPandas(run, schema)
+
+
+def split_hot(rows: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of keys above the limit (None when there are none).
+
+    One pre-aggregated count decides; at most rows / hot_rows keys can be hot.
+    """
+    hot = rows.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    if hot.isEmpty():
+        return rows, None
+    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
