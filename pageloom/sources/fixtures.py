@@ -84,6 +84,29 @@ SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'browser' WHEN 1 THEN 'http' E
  CASE page_id % 8 WHEN 3 THEN concat('<html><p>', page_id, '</p></html>') WHEN 4 THEN concat(html, '<noscript>Please Enable JavaScript</noscript>') ELSE html END AS body,
  CASE page_id % 3 WHEN 0 THEN 'article h1' WHEN 1 THEN '#missing' END AS required_selector
 FROM pages""",
+    # requests as a caller may send them: missing and wrong values
+    "f_raw_requests": """
+SELECT request_id, CASE request_id % 12 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://x.example.org/' ELSE url END AS url,
+ CASE request_id % 10 WHEN 3 THEN 'magic' WHEN 4 THEN NULL ELSE mode END AS mode,
+ CASE request_id % 9 WHEN 0 THEN 'bad profile!' WHEN 1 THEN NULL ELSE profile END AS profile,
+ CASE request_id % 14 WHEN 5 THEN 'tunnel' WHEN 6 THEN NULL ELSE proxy_policy END AS proxy_policy,
+ CASE request_id % 8 WHEN 0 THEN -1 WHEN 1 THEN 3000000 WHEN 2 THEN NULL ELSE cache_ttl END AS cache_ttl,
+ CASE WHEN request_id % 11 = 1 THEN NULL ELSE force_refresh END AS force_refresh, save_artifact,
+ CASE request_id % 6 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(301 AS DOUBLE) WHEN 2 THEN CAST(300 AS DOUBLE) END AS timeout_seconds,
+ CASE request_id % 13 WHEN 0 THEN repeat('x', 501) END AS required_selector
+FROM f_requests""",
+    # biography pages in the layouts of three sites and one unknown site
+    "f_profile_pages": """
+SELECT line_id AS page_id, CASE line_id % 4 WHEN 0 THEN 'http://www.cppcc.gov.cn/p.html' WHEN 1 THEN 'http://finance.people.com.cn/p.html'
+  WHEN 2 THEN 'https://www.news.cn/p.html' ELSE 'https://other.example.org/p' END AS url,
+ CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '欧阳文华' END AS person, line,
+ concat('<html><head><title>', CASE WHEN line_id % 7 > 0 AND line_id % 5 = 0
+   THEN concat(CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '欧阳文华' END, '同志简历') ELSE '人物' END,
+  '</title></head><body><div class="navigation">无关导航</div><div ', CASE line_id % 4 WHEN 0 THEN 'class="con"'
+   WHEN 1 THEN 'class="p_content clearfix"' WHEN 2 THEN 'id="detail"' ELSE 'class="text"' END, '>',
+  CASE WHEN line_id % 7 = 0 THEN '<p>空白</p>' ELSE concat('<p>', CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '欧阳文华' END,
+   '，男，汉族。</p><script>x("<p>")</script><p>现任职务', line_id, '</p><p>', line, '</p>') END, '</div></body></html>') AS html
+FROM f_timeline_lines""",
     # outcomes reported for running items
     "f_outcomes": """
 SELECT item_id, concat('req_', item_id) AS request_id, attempts,
@@ -98,7 +121,13 @@ SELECT item_id, job_id, queue, state, attempts, next_run_at,
 FROM f_job_items""",
 }
 
-_NEEDS = {"f_jobs": ("f_job_items",), "f_outcomes": ("f_job_items",), "f_queue": ("f_job_items",)}
+_NEEDS = {
+    "f_raw_requests": ("f_requests",),
+    "f_profile_pages": ("f_timeline_lines",),
+    "f_jobs": ("f_job_items",),
+    "f_outcomes": ("f_job_items",),
+    "f_queue": ("f_job_items",),
+}
 
 
 def _ordered(names: tuple[str, ...]) -> list[str]:
