@@ -61,7 +61,7 @@ _PERSON = "CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '
     "profile_extract",
     "f_profile_pages",
     sql=f"""SELECT line_id AS page_id, CASE WHEN bad THEN '' ELSE {_PERSON} END AS name,
- CASE WHEN NOT bad AND line_id % 5 = 0 THEN concat({_PERSON}, '同志简历') ELSE '人物' END AS title,
+ CASE WHEN NOT bad AND line_id % 5 = 0 THEN concat({_PERSON}, CASE line_id % 3 WHEN 0 THEN '简历' ELSE '同志简历' END) ELSE '人物' END AS title,
  CASE WHEN bad THEN '' ELSE concat({_PERSON}, '，男，汉族。') END AS summary,
  CASE WHEN bad THEN '' ELSE concat('现任职务', line_id) END AS current_position,
  CASE WHEN NOT bad THEN {_PERIOD} END AS period, CASE WHEN NOT bad THEN {_POSITION} END AS position,
@@ -104,7 +104,8 @@ def profile_lines(spark, root):
 def profile_name(spark, root):
     person = F.expr(_PERSON)
     kind = F.col("line_id") % 4
-    title = F.when(kind == 0, F.concat(person, F.lit("同志简历"))).when(kind == 1, F.concat(person, F.lit("简历"))).otherwise("")
+    honoured = (kind == 0) & (F.length(person) > 2)
+    title = F.when(honoured, F.concat(person, F.lit("同志简历"))).when(kind < 2, F.concat(person, F.lit("简历"))).otherwise("")
     line = F.when(kind == 2, F.concat(person, F.lit("，女，汉族"))).otherwise(F.lit("李四，男"))
     return spark.table("f_timeline_lines").select(
         "line_id", X.profile_name(title, F.array("line", line)).alias("name")

@@ -146,16 +146,16 @@ def redirect_guard(spark, root):
 # cache
 # ---------------------------------------------------------------------------
 _LOG_KEY = "concat_ws('|', url, mode, profile, proxy_policy, coalesce(CAST(save_artifact AS VARCHAR), 'null'))"
-_LOG = f"""log AS MATERIALIZED (SELECT {_LOG_KEY} AS fetch_key, request_id, epoch_us(ts) AS at, coalesce(cache_ttl, 3600) * 1000000 AS ttl,
+_LOG = f"""log AS MATERIALIZED (SELECT {_LOG_KEY} AS fetch_key, request_id, epoch_us(ts) AS t_us, CAST(coalesce(cache_ttl, 3600) AS BIGINT) * 1000000 AS ttl,
  force_refresh, status_code BETWEEN 200 AND 399 AS ok, row_number() OVER (PARTITION BY {_LOG_KEY} ORDER BY ts, request_id) AS rn FROM f_requests)"""
 # one step of the entry's life per row of a key
-_REPLAY = f"""{_LOG}, replay(fetch_key, rn, request_id, at, ttl, force_refresh, ok, outcome, expires) AS (
- SELECT fetch_key, rn, request_id, at, ttl, force_refresh, ok, 'miss', CASE WHEN ok AND ttl > 0 THEN at + ttl END FROM log WHERE rn = 1
+_REPLAY = f"""{_LOG}, replay(fetch_key, rn, request_id, t_us, ttl, force_refresh, ok, outcome, expires) AS (
+ SELECT fetch_key, rn, request_id, t_us, ttl, force_refresh, ok, 'miss', CASE WHEN ok AND ttl > 0 THEN t_us + ttl END FROM log WHERE rn = 1
  UNION ALL
- SELECT l.fetch_key, l.rn, l.request_id, l.at, l.ttl, l.force_refresh, l.ok,
-  CASE WHEN NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.at THEN 'hit' ELSE 'miss' END,
-  CASE WHEN NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.at THEN r.expires
-   WHEN l.ok AND l.ttl > 0 THEN l.at + l.ttl ELSE r.expires END
+ SELECT l.fetch_key, l.rn, l.request_id, l.t_us, l.ttl, l.force_refresh, l.ok,
+  CASE WHEN NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.t_us THEN 'hit' ELSE 'miss' END,
+  CASE WHEN NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.t_us THEN r.expires
+   WHEN l.ok AND l.ttl > 0 THEN l.t_us + l.ttl ELSE r.expires END
  FROM replay r JOIN log l ON l.fetch_key = r.fetch_key AND l.rn = r.rn + 1)"""
 
 
@@ -193,16 +193,16 @@ def cache_replay_hot(spark, root):
     "cache_lookup",
     "f_requests",
     sql="""WITH e AS (SELECT page_id, request_id AS entry_id, epoch_us(ts) + elapsed_ms * 1000 AS set_at,
-  epoch_us(ts) + elapsed_ms * 1000 + coalesce(cache_ttl, 3600) * 1000000 AS expires_at FROM f_requests
+  epoch_us(ts) + elapsed_ms * 1000 + CAST(coalesce(cache_ttl, 3600) AS BIGINT) * 1000000 AS expires_at FROM f_requests
   WHERE request_id % 3 = 0 AND status_code BETWEEN 200 AND 399 AND coalesce(cache_ttl, 3600) > 0),
-r AS (SELECT page_id, request_id, epoch_us(ts) AS at FROM f_requests WHERE request_id % 3 > 0)
-SELECT r.request_id, r.page_id AS fetch_key, CASE WHEN e.expires_at > r.at THEN e.entry_id END AS entry_id,
- coalesce(e.expires_at > r.at, FALSE) AS hit
-FROM r ASOF LEFT JOIN e ON r.page_id = e.page_id AND r.at >= e.set_at""",
+r AS (SELECT page_id, request_id, epoch_us(ts) AS t_us FROM f_requests WHERE request_id % 3 > 0)
+SELECT r.request_id, r.page_id AS fetch_key, CASE WHEN e.expires_at > r.t_us THEN e.entry_id END AS entry_id,
+ coalesce(e.expires_at > r.t_us, FALSE) AS hit
+FROM r ASOF LEFT JOIN e ON r.page_id = e.page_id AND r.t_us >= e.set_at""",
 )
 def cache_lookup(spark, root):
     log = spark.table("f_requests").withColumn("fetch_key", F.col("page_id"))
-    ttl = F.coalesce("cache_ttl", F.lit(3600))
+    ttl = F.coalesce("cache_ttl", F.lit(3600)).cast("bigint")
     good = F.col("status_code").between(200, 399)
     set_us = micros(F.col("ts")) + F.col("elapsed_ms") * 1000
     entries = log.where((F.col("request_id") % 3 == 0) & good & (ttl > 0)).select(
@@ -222,12 +222,12 @@ def inflight_merge(spark, root):
 
 
 @query("negative_cache", "f_requests", recursive=True, sql=f"""WITH {_LOG}, replay(fetch_key, rn, request_id, outcome, expires, bad) AS (
- SELECT fetch_key, rn, request_id, 'miss', CASE WHEN ttl > 0 THEN at + CASE WHEN ok THEN ttl ELSE least(ttl, 86400000000) END END, NOT ok FROM log WHERE rn = 1
+ SELECT fetch_key, rn, request_id, 'miss', CASE WHEN ttl > 0 THEN t_us + CASE WHEN ok THEN ttl ELSE least(ttl, 86400000000) END END, NOT ok FROM log WHERE rn = 1
  UNION ALL
  SELECT l.fetch_key, l.rn, l.request_id, CASE WHEN hit THEN CASE WHEN r.bad THEN 'negative_hit' ELSE 'hit' END ELSE 'miss' END,
-  CASE WHEN hit OR l.ttl = 0 THEN r.expires ELSE l.at + CASE WHEN l.ok THEN l.ttl ELSE least(l.ttl, 86400000000) END END,
+  CASE WHEN hit OR l.ttl = 0 THEN r.expires ELSE l.t_us + CASE WHEN l.ok THEN l.ttl ELSE least(l.ttl, 86400000000) END END,
   CASE WHEN hit OR l.ttl = 0 THEN r.bad ELSE NOT l.ok END
- FROM (SELECT r.*, NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.at AS hit FROM replay r JOIN log l
+ FROM (SELECT r.*, NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.t_us AS hit FROM replay r JOIN log l
   ON l.fetch_key = r.fetch_key AND l.rn = r.rn + 1) r JOIN log l ON l.fetch_key = r.fetch_key AND l.rn = r.rn + 1)
 SELECT fetch_key, request_id, outcome FROM replay""")
 def negative_cache(spark, root):
@@ -238,10 +238,10 @@ def negative_cache(spark, root):
     "lru_resident",
     "f_requests",
     sql=f"""WITH {_REPLAY}, k AS (SELECT fetch_key,
-  max(CASE WHEN outcome = 'hit' OR (ok AND ttl > 0) THEN at * 1000000 + request_id END) AS used,
-  max(CASE WHEN outcome = 'miss' AND NOT force_refresh AND ttl > 0 THEN at * 1000000 + request_id END) AS dropped
+  max(CASE WHEN outcome = 'hit' OR (ok AND ttl > 0) THEN [t_us, request_id] END) AS used,
+  max(CASE WHEN outcome = 'miss' AND NOT force_refresh AND ttl > 0 THEN [t_us, request_id] END) AS dropped
   FROM replay GROUP BY fetch_key)
-SELECT fetch_key, used // 1000000 AS last_used_at, used % 1000000 AS last_request FROM k
+SELECT fetch_key, used[1] AS last_used_at, used[2] AS last_request FROM k
 WHERE used IS NOT NULL AND (dropped IS NULL OR used >= dropped) ORDER BY used DESC LIMIT 1024""",
     recursive=True,
 )
@@ -312,8 +312,8 @@ def rate_slots(spark, root):
     "domain_concurrency",
     "f_requests",
     sql=f"""WITH f AS (SELECT request_id, {DOMAIN} AS domain, epoch_us(ts) AS s, epoch_us(ts) + elapsed_ms * 20000000 AS e FROM f_requests),
-m AS (SELECT domain, s AS at, 1 AS step, request_id FROM f UNION ALL SELECT domain, e, -1, request_id FROM f),
-l AS (SELECT *, sum(step) OVER (PARTITION BY domain ORDER BY at, step, request_id ROWS UNBOUNDED PRECEDING) AS n FROM m)
+m AS (SELECT domain, s AS t_us, 1 AS step, request_id FROM f UNION ALL SELECT domain, e, -1, request_id FROM f),
+l AS (SELECT *, sum(step) OVER (PARTITION BY domain ORDER BY t_us, step, request_id ROWS UNBOUNDED PRECEDING) AS n FROM m)
 SELECT domain, CAST(max(n) AS BIGINT) AS peak, count(*) FILTER (step = 1) AS requests, count(*) FILTER (step = 1 AND n > 4) AS above_limit
 FROM l GROUP BY domain""",
 )
@@ -325,16 +325,16 @@ def domain_concurrency(spark, root):
     return P.domain_concurrency(flights)
 
 
-_BREAKER = f"""WITH a AS MATERIALIZED (SELECT request_id, {DOMAIN} AS domain, epoch_us(ts) AS at,
+_BREAKER = f"""WITH a AS MATERIALIZED (SELECT request_id, {DOMAIN} AS domain, epoch_us(ts) AS t_us,
   CASE WHEN status_code IN (403, 429, 503) THEN TRUE WHEN status_code = 404 THEN NULL ELSE FALSE END AS failed,
   row_number() OVER (PARTITION BY {DOMAIN} ORDER BY ts, request_id) AS rn FROM f_requests),
 b(domain, rn, request_id, state, n, until) AS (
  SELECT domain, rn, request_id, 'closed', CASE WHEN failed THEN 1 ELSE 0 END, CAST(NULL AS BIGINT) FROM a WHERE rn = 1
  UNION ALL
- SELECT a.domain, a.rn, a.request_id, CASE WHEN b.until IS NULL THEN 'closed' WHEN a.at < b.until THEN 'open' ELSE 'half_open' END,
-  CASE WHEN b.until IS NOT NULL AND a.at < b.until THEN b.n WHEN a.failed IS NULL THEN b.n WHEN a.failed THEN b.n + 1 ELSE 0 END,
-  CASE WHEN b.until IS NOT NULL AND a.at < b.until THEN b.until WHEN a.failed IS NULL THEN b.until
-   WHEN a.failed AND (b.until IS NOT NULL OR b.n + 1 = 2) THEN a.at + 14400000000 WHEN a.failed THEN NULL END
+ SELECT a.domain, a.rn, a.request_id, CASE WHEN b.until IS NULL THEN 'closed' WHEN a.t_us < b.until THEN 'open' ELSE 'half_open' END,
+  CASE WHEN b.until IS NOT NULL AND a.t_us < b.until THEN b.n WHEN a.failed IS NULL THEN b.n WHEN a.failed THEN b.n + 1 ELSE 0 END,
+  CASE WHEN b.until IS NOT NULL AND a.t_us < b.until THEN b.until WHEN a.failed IS NULL THEN b.until
+   WHEN a.failed AND (b.until IS NOT NULL OR b.n + 1 = 2) THEN a.t_us + 14400000000 WHEN a.failed THEN NULL END
  FROM b JOIN a ON a.domain = b.domain AND a.rn = b.rn + 1)
 SELECT request_id, domain, state FROM b"""
 

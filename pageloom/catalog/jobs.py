@@ -45,7 +45,7 @@ def item_positions(spark, root):
     "job_create",
     "f_jobs",
     sql=f"""SELECT job_id, position, concat('item_', sha256(concat(job_id, chr(1), position))[1:32]) AS item_id,
- concat('{{"url":"', url, '","mode":', coalesce(concat('"', mode, '"'), 'null'), '}}') AS payload,
+ concat('{{"url":"', url, '","mode":', coalesce('"' || mode || '"', 'null'), '}}') AS payload,
  CASE mode WHEN 'http' THEN 'http' ELSE 'browser' END AS queue, 'queued' AS state, CAST(10 AS INTEGER) AS item_count FROM {_ITEMS}""",
 )
 def job_create(spark, root):

@@ -3,11 +3,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timing import micros
@@ -47,13 +48,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    # partition folders may start with "_": name them to the reader as the base path
-    return read_batches(spark, target, stream)
-
-
-def read_batches(spark: SparkSession, target: str, stream: DataFrame) -> DataFrame:
-    schema = stream.schema.add("_batch", "bigint")
-    return spark.read.schema(schema).option("basePath", target).parquet(f"{target}/*")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).parquet(target)
 
 
 def stream_cache(log: DataFrame) -> DataFrame:
@@ -168,6 +163,3 @@ def as_fold_input(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
             F.lit(0).cast("bigint").alias("elapsed_us"),
         )
     )
-
-
-StreamStep = Callable[[object, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
