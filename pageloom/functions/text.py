@@ -54,23 +54,30 @@ def profile_name(title: Column, lines: Column) -> Column:
     )
 
 
+def _marked(line: Column) -> Column:
+    """A period line as newline, period, newline, position; other lines unchanged.
+
+    No line holds a newline, so the mark is safe, and a marked line fits neither
+    pattern again.
+    """
+    bounded = F.regexp_replace(line, S.BOUNDED_PERIOD, "\n$1－$2\n$3")
+    return F.regexp_replace(bounded, S.POINT_PERIOD, "\n$1\n$2")
+
+
+def _unmarked(marked: Column) -> Column:
+    parts = F.split(marked, "\n", 3)
+    return F.struct(parts[1].alias("period"), strip(parts[2]).alias("position"))
+
+
 def timeline_item(line: Column) -> Column:
     """``struct(period, position)`` or NULL when the line is no period line."""
-    bounded = F.struct(
-        F.concat(
-            F.regexp_extract(line, S.BOUNDED_PERIOD, 1), F.lit("－"), F.regexp_extract(line, S.BOUNDED_PERIOD, 2)
-        ).alias("period"),
-        strip(F.regexp_extract(line, S.BOUNDED_PERIOD, 3)).alias("position"),
-    )
-    point = F.struct(
-        F.regexp_extract(line, S.POINT_PERIOD, 1).alias("period"),
-        strip(F.regexp_extract(line, S.POINT_PERIOD, 2)).alias("position"),
-    )
-    return F.when(line.rlike(S.BOUNDED_PERIOD), bounded).when(line.rlike(S.POINT_PERIOD), point)
+    marked = _marked(line)
+    return F.when(marked.startswith("\n"), _unmarked(marked))
 
 
 def timeline(lines: Column) -> Column:
-    return F.filter(F.transform(lines, timeline_item), lambda item: item.isNotNull())
+    marked = F.filter(F.transform(lines, _marked), lambda line: line.startswith("\n"))
+    return F.transform(marked, _unmarked)
 
 
 def meta_charset(html: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.timing import micros
 from ..plans.chains import mark_paths
 from ..plans.folds import HOT_ROWS, fold_by_key, split_hot
-from ..plans.running import HOUR_US, running, with_chunk
+from ..plans.running import HOUR_US, queue_free, running, with_chunk
+from ..session import shared_root
 from ..settings import DEFAULTS
 from .requests import may_read, may_write
 
@@ -238,10 +239,18 @@ def negative_cache(log: DataFrame, negative_ttl: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 # in flight
 # ---------------------------------------------------------------------------
-def inflight_merge(log: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
-    """hit, leader, merged or refetch per request, with flight times."""
-    stretches = split_when_idle(_timeline(log), chunk_us)
-    return fold_by_key(stretches, Inflight, STEP, ("fetch_key", "part")).drop("part")
+def inflight_merge(log: DataFrame, hot_rows: int = HOT_ROWS, chunk_us: int = HOUR_US) -> DataFrame:
+    """hit, leader, merged or refetch per request, with flight times.
+
+    Keys above ``hot_rows`` are cut into stretches that cannot influence each other,
+    so that their rows spread over the tasks.
+    """
+    cool, hot = split_hot(_timeline(log), "fetch_key", hot_rows)
+    merged = fold_by_key(cool, Inflight, STEP)
+    if hot is None:
+        return merged
+    stretches = split_when_idle(hot, chunk_us)
+    return merged.unionByName(fold_by_key(stretches, Inflight, STEP, ("fetch_key", "part")).drop("part"))
 
 
 def split_when_idle(rows: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
@@ -250,17 +259,16 @@ def split_when_idle(rows: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
     A stretch ends where, whatever happened, no fetch is in flight and no entry is
     left: at a request later than the last possible end of all earlier fetches plus
     the largest ttl among them. The bound treats every request as a fetch of its own
-    behind the lock, which is a running sum and a running maximum.
+    behind the lock.
     """
     keys, order = ["fetch_key"], ["at", "request_id"]
     line = with_chunk(rows, F.col("at"), chunk_us)
-    line = running(
-        line, keys, order, {"work": ("sum", F.col("elapsed_us")), "longest": ("max", F.col("ttl_us"))}, exclusive=True
-    )
-    line = running(line, keys, order, {"lead": ("max", F.col("at") - F.col("work"))}, exclusive=True)
-    quiet_at = F.col("lead") + F.col("work") + F.greatest("longest", F.lit(0))
+    shared_root(rows.sparkSession)
+    queued = queue_free(line, keys, order, F.col("at"), F.col("elapsed_us")).checkpoint()
+    bounded = running(queued, keys, order, {"longest": ("max", F.col("ttl_us"))}, exclusive=True).checkpoint()
+    quiet_at = F.col("free") + F.greatest("longest", F.lit(0))
     fresh = F.coalesce(F.col("at") > quiet_at, F.lit(False)).cast("int")
-    return running(line, keys, order, {"part": ("sum", fresh)}).select(*rows.columns, "part")
+    return running(bounded, keys, order, {"part": ("sum", fresh)}).select(*rows.columns, "part")
 
 
 # ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import micros
 from ..plans.chains import mark_paths
 from ..plans.folds import HOT_ROWS, fold_by_key, split_hot
-from ..plans.running import HOUR_US, running, with_chunk
+from ..plans.running import HOUR_US, queue_free, running, with_chunk
 from ..settings import DEFAULTS
 
 
@@ -17,20 +17,15 @@ def rate_slots(
 ) -> DataFrame:
     """When each request may start: one per interval and domain, in order of arrival.
 
-    ``requests``: request_id, domain, ts. With i the row's number in its domain, the
-    start is ``i*interval + max(arrival_j - j*interval for j <= i)``: a running count
-    and a running maximum, both in chunks, so a hot domain uses many tasks.
+    ``requests``: request_id, domain, ts. A domain is a queue that every request
+    blocks for one interval; it is computed in chunks, so a hot domain uses many tasks.
     """
     arrivals = requests.select("request_id", "domain", micros(F.col("ts")).alias("arrival_us"))
     line = with_chunk(arrivals, F.col("arrival_us"), chunk_us)
-    order = ["arrival_us", "request_id"]
-    numbered = running(line, ["domain"], order, {"number": ("sum", F.lit(1).cast("bigint"))})
-    pace = F.col("number") * F.lit(interval_us)
-    slots = running(numbered, ["domain"], order, {"lead": ("max", F.col("arrival_us") - pace)})
-    start = F.col("lead") + pace
-    return slots.select(
-        "request_id", "domain", "arrival_us", start.alias("start_us"), (start - F.col("arrival_us")).alias("wait_us")
-    )
+    arrival = F.col("arrival_us")
+    queued = queue_free(line, ["domain"], ["arrival_us", "request_id"], arrival, F.lit(interval_us).cast("bigint"))
+    start = F.greatest(arrival, F.col("free"))
+    return queued.select("request_id", "domain", "arrival_us", start.alias("start_us"), (start - arrival).alias("wait_us"))
 
 
 def domain_concurrency(

@@ -43,40 +43,71 @@ def running(
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min`` columns over each key.
 
-    ``df`` has a chunk column from :func:`with_chunk` that never decreases along
+    Keys are not NULL. ``df`` has a chunk column from :func:`with_chunk` that never decreases along
     ``order``. ``backward`` runs from the last row to the first; ``exclusive`` leaves
     the row itself out.
     """
     keys = list(keys)
-
-    def ordered(names):
-        return [F.col(name).desc() if backward else F.col(name).asc() for name in names]
-
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*ordered(order))
-    local = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    before = Window.partitionBy(*keys).orderBy(*ordered([CHUNK])).rowsBetween(Window.unboundedPreceding, -1)
-
+    local, before = _windows(keys, order, backward, exclusive)
     inside = df.withColumns(
         {f"_in_{name}": _FUNCTIONS[kind](value).over(local) for name, (kind, value) in aggregates.items()}
     )
+    # totals come from the rows themselves, so they are combined before their shuffle
     totals = df.groupBy(*keys, CHUNK).agg(
         *[_FUNCTIONS[kind](value).alias(f"_all_{name}") for name, (kind, value) in aggregates.items()]
     )
     carried = totals.select(
-        *[F.col(name).alias(f"_k_{name}") for name in [*keys, CHUNK]],
+        *keys,
+        CHUNK,
         *[
             _FUNCTIONS[kind](F.col(f"_all_{name}")).over(before).alias(f"_carry_{name}")
             for name, (kind, _) in aggregates.items()
         ],
     )
-    same = F.lit(True)
-    for name in [*keys, CHUNK]:
-        same = same & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
-    joined = inside.join(carried, same, "left")
-    return joined.select(
-        *[F.col(name) for name in df.columns],
+    return inside.join(carried, [*keys, CHUNK], "left").select(
+        *df.columns,
         *[
             _combine(kind, F.col(f"_carry_{name}"), F.col(f"_in_{name}")).alias(name)
             for name, (kind, _) in aggregates.items()
         ],
     )
+
+
+def _windows(keys: list[str], order: Sequence[str], backward: bool = False, exclusive: bool = False):
+    """Window inside a chunk, and window over the chunks before one."""
+
+    def ordered(names):
+        return [F.col(name).desc() if backward else F.col(name).asc() for name in names]
+
+    local = Window.partitionBy(*keys, CHUNK).orderBy(*ordered(order))
+    before = Window.partitionBy(*keys).orderBy(*ordered([CHUNK]))
+    return (
+        local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0),
+        before.rowsBetween(Window.unboundedPreceding, -1),
+    )
+
+
+def queue_free(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, work: Column) -> DataFrame:
+    """Add ``free``: when everything queued before a row is done (NULL for the first row).
+
+    Each row waits for the ones before it: it starts at ``max(at, free)`` and takes
+    ``work``. Unrolled, the end of the row before is ``max(at_j - W_j) + W`` over the
+    earlier rows j, where W is the work before a row. Both parts run inside the chunks
+    first; the totals are taken from that same shuffle, and put together per key.
+    """
+    keys = list(keys)
+    local, before = _windows(keys, order, exclusive=True)
+    inside = (
+        df.withColumns({"_at": at, "_work": work})
+        .withColumn("_done", F.coalesce(F.sum("_work").over(local), F.lit(0)))
+        .withColumn("_slack", F.col("_at") - F.col("_done"))
+        .withColumn("_lead", F.max("_slack").over(local))
+    )
+    totals = inside.groupBy(*keys, CHUNK).agg(F.sum("_work").alias("_all_work"), F.max("_slack").alias("_all_slack"))
+    carried = (
+        totals.withColumn("_past", F.coalesce(F.sum("_all_work").over(before), F.lit(0)))
+        .withColumn("_far", F.max(F.col("_all_slack") - F.col("_past")).over(before))
+        .select(*keys, CHUNK, "_past", "_far")
+    )
+    free = F.greatest(F.col("_far"), F.col("_lead") - F.col("_past")) + F.col("_past") + F.col("_done")
+    return inside.join(carried, [*keys, CHUNK], "left").select(*df.columns, free.alias("free"))
