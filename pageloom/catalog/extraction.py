@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import extract as E
 from ..operators import fetchlog as L
+from ..sources.tables import spread
 from ..registry import Adapters, extract_join, resolve
 from .book import SPACE, query, unescape
 
@@ -24,7 +25,7 @@ _ARTICLE = f"trim(regexp_replace({unescape(_BARE)}, '{SPACE}+', ' ', 'g'))"
     sql=f"SELECT page_id, {_ARTICLE_TITLE} AS title, {_ARTICLE} AS content, '' AS author, '' AS date FROM pages",
 )
 def article_extract(spark, root):
-    return E.article_extract(spark.table("pages")).select("page_id", "title", "content", "author", "date")
+    return E.article_extract(spread(spark.table("pages"))).select("page_id", "title", "content", "author", "date")
 
 
 _LINKS = f"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, trim(regexp_replace({unescape('text')}, '{SPACE}+', ' ', 'g')) AS text,
@@ -36,7 +37,7 @@ FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">',
 
 @query("links_extract", sql=_LINKS)
 def links_extract(spark, root):
-    return E.links_extract(spark.table("pages")).select("page_id", "pos", "text", "href")
+    return E.links_extract(spread(spark.table("pages"))).select("page_id", "pos", "text", "href")
 
 
 # what a biography line says, by the shape of the test lines
@@ -70,7 +71,7 @@ _PERSON = "CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '
 FROM (SELECT *, line_id % 7 = 0 AS bad FROM {_LINE})""",
 )
 def profile_extract(spark, root):
-    found = E.profile_extract(spark.table("f_profile_pages"))
+    found = E.profile_extract(spread(spark.table("f_profile_pages")))
     first = F.try_element_at("timeline", F.lit(1))
     return found.select(
         "page_id",
@@ -130,7 +131,7 @@ def selector_present(spark, root):
     sql=f"""SELECT line_id % 7 = 0 AS failed, count(*) AS pages FROM {_LINE} GROUP BY 1""",
 )
 def schema_check(spark, root):
-    good, bad = E.split_failed(E.profile_extract(spark.table("f_profile_pages")))
+    good, bad = E.split_failed(E.profile_extract(spread(spark.table("f_profile_pages"))))
     return (
         good.select(F.lit(False).alias("failed"))
         .unionByName(bad.select(F.lit(True).alias("failed")))
@@ -197,7 +198,7 @@ def adapter_registry(spark, root):
     """All registered adapters over all pages."""
     parts = None
     for (name, _), adapter in Adapters().items():
-        part = adapter(spark.table("pages")).withColumn("adapter", F.lit(name))
+        part = adapter(spread(spark.table("pages"))).withColumn("adapter", F.lit(name))
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("adapter").agg(
         F.count("*").alias("documents"), F.count_if(F.col("error").isNotNull()).alias("errors")

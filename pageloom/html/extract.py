@@ -6,7 +6,7 @@ import re
 from urllib.parse import urljoin, urlsplit
 
 from .. import settings as S
-from .parse import Page, below, compile_selector, first_children, select
+from .parse import Page, below, compile_selector, first_children, inside, select
 
 _DROPPED = frozenset({"script", "style", "noscript"})
 _ORIGIN = re.compile(r"(?i)^(https?://)([^/?#\s]+)")
@@ -97,8 +97,8 @@ def links(page: Page, base: str) -> list[tuple[str, str]]:
     ]
 
 
-def _profile_container(page: Page, host: str) -> tuple[int, int, object]:
-    """Text range of the biography: the site's selectors first, then common ones."""
+def _profile_container(page: Page, host: str):
+    """Element with the biography: the site's selectors first, then common ones."""
     selectors = next(
         (names for domain, names in S.PROFILE_SITES if host == domain or host.endswith("." + domain)), ()
     )
@@ -119,33 +119,22 @@ def profile_texts(page: Page, host: str) -> tuple[str, list[str]]:
     def hidden(parent):
         return below(parent, _DROPPED)
 
-    title = ""
-    for at, parent in enumerate(page.parents):
-        if parent is not None and (parent.tag == "title" or below(parent, frozenset({"h1"}))):
-            title = squeeze(page.texts[at])
-            break
+    places = [page.first_text(element, direct=True) for element in page.all("title")]
+    places += [page.first_text(element) for element in page.all("h1")]
+    title = squeeze(min((place for place in places if place), default=(0, ""))[1])
     node = _profile_container(page, host)
     start, stop = (node.start, node.stop) if node is not None else (0, len(page.texts))
     first = node.index + 1 if node is not None else 0
     paragraphs = [
         element
         for element in page.elements[first:]
-        if element.tag == "p" and element.start >= start and element.stop <= stop and not hidden(element)
-        and (node is None or _inside(element, node))
+        if element.tag == "p" and (node is None or inside(element, node)) and not hidden(element)
     ]
     if paragraphs:
         return title, [page.text(element.start, element.stop, hidden) for element in paragraphs]
     return title, [page.text(start, stop, hidden)]
 
 
-def _inside(element, node) -> bool:
-    while element is not None:
-        if element is node:
-            return True
-        element = element.parent
-    return False
-
-
 def host_of(url: str) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()

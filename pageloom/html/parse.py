@@ -7,6 +7,7 @@ slice; no tree is built. Used inside ``mapInPandas`` tasks, one page at a time.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 # Void elements, subtrees without article text, and which open element
@@ -142,6 +143,13 @@ class Page:
         pieces = zip(self.texts[start:stop], self.parents[start:stop])
         return "".join(text for text, parent in pieces if parent is None or not hidden(parent))
 
+    def first_text(self, element: Element, direct: bool = False) -> tuple[int, str] | None:
+        """Place and text of the first piece below an element, or directly in it."""
+        for at in range(element.start, element.stop):
+            if not direct or self.parents[at] is element:
+                return at, self.texts[at]
+        return None
+
 
 def first_children(elements: list[Element]) -> list[Element]:
     """Of elements of one kind, those that are the first one below their parent."""
@@ -162,10 +170,19 @@ def below(element: Element | None, tags: frozenset) -> bool:
     return False
 
 
+def inside(element: Element | None, outer: Element) -> bool:
+    while element is not None:
+        if element is outer:
+            return True
+        element = element.parent
+    return False
+
+
 # -- selectors: tag, .class, #id, compounds of these, and descendants ---------
 _COMPOUND = re.compile(r"^(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
 
 
+@lru_cache(maxsize=256)
 def compile_selector(selector: str) -> list[list[tuple]] | None:
     """Alternatives of compound lists, or None when the selector needs more than that."""
     groups = []
