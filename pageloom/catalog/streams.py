@@ -25,17 +25,25 @@ def stream_cache(spark, root):
     return Z.run_to_end(Z.stream_cache(log), "cache").select("fetch_key", "request_id", "outcome")
 
 
-@query(
-    "stream_inflight_dedupe",
-    sql="SELECT DISTINCT concat_ws('|', url, mode) AS fetch_key FROM f_requests",
-    oracle_views=("f_requests",),
-)
+_FLIGHTS = """WITH a AS MATERIALIZED (SELECT concat_ws('|', url, mode) AS fetch_key, request_id, epoch_us(ts) AS t_us, elapsed_ms * 200000000 AS e,
+  row_number() OVER (PARTITION BY url, mode ORDER BY ts, request_id) AS rn FROM f_requests),
+w(fetch_key, rn, request_id, leads, busy) AS (SELECT fetch_key, rn, request_id, TRUE, t_us + e FROM a WHERE rn = 1
+ UNION ALL SELECT a.fetch_key, a.rn, a.request_id, a.t_us >= w.busy, CASE WHEN a.t_us >= w.busy THEN a.t_us + a.e ELSE w.busy END
+ FROM w JOIN a ON a.fetch_key = w.fetch_key AND a.rn = w.rn + 1)
+SELECT fetch_key, request_id FROM w WHERE leads"""
+
+
+@query("stream_inflight_dedupe", sql=_FLIGHTS, recursive=True, oracle_views=("f_requests",))
 def stream_inflight_dedupe(spark, root):
-    """All events come in one micro-batch here, so each key passes once."""
+    """Flights are stretched to hours, so that many requests meet one in flight."""
     stream_view(spark, root, "f_requests")
-    log = spark.table("f_requests").withColumn("ts", F.col("ts").cast("timestamp"))
-    passed = Z.stream_inflight_dedupe(log, F.concat_ws("|", "url", "mode"))
-    return Z.run_to_end(passed.select("fetch_key"), "dedupe").select("fetch_key")
+    log = spark.table("f_requests").select(
+        F.concat_ws("|", "url", "mode").alias("fetch_key"),
+        "request_id",
+        micros(F.col("ts")).alias("at"),
+        (F.col("elapsed_ms") * 200_000_000).alias("elapsed_us"),
+    )
+    return Z.run_to_end(Z.stream_inflight_dedupe(log), "dedupe").select("fetch_key", "request_id")
 
 
 @query("stream_rate_slots", sql=SLOTS_SQL.replace(", start_us - arrival_us AS wait_us", ""), recursive=True, oracle_views=("f_requests",))

@@ -41,7 +41,7 @@ def domain_of(url: Column) -> Column:
 
 
 def port_text(url: Column) -> Column:
-    return F.regexp_extract(_endpoint(url), r"^(?:[^\[:]*|[^\[]*\[[^\]]*\]?[^:]*):(.*)$", 1)
+    return F.regexp_extract(_endpoint(url), r"^(?:[^\[:]*|[^\[]*\[[^\]]*\][^:]*):(.*)$", 1)
 
 
 def default_port(url: Column) -> Column:

@@ -109,9 +109,32 @@ def stream_rate_slots(requests: DataFrame, interval_us: int = DEFAULTS.domain_in
     )
 
 
-def stream_inflight_dedupe(log: DataFrame, key: Column, flight: str = "10 minutes") -> DataFrame:
-    """One upstream fetch per key while one may still be in flight."""
-    return log.withColumn("fetch_key", key).withWatermark("ts", flight).dropDuplicatesWithinWatermark(["fetch_key"])
+def stream_inflight_dedupe(log: DataFrame) -> DataFrame:
+    """One upstream fetch per key at a time: only the requests that start one pass.
+
+    ``log``: fetch_key, request_id, at, elapsed_us. The state of a key is the end of
+    its fetch in flight. (``dropDuplicatesWithinWatermark`` would also drop requests
+    long after that end, as long as no newer event has moved the watermark.)
+    """
+    types = {name: log.schema[name].dataType.simpleString() for name in ("fetch_key", "request_id")}
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
+        busy = state.get[0] if state.exists else None
+        leads = []
+        for at, elapsed in zip(rows["at"].tolist(), rows["elapsed_us"].tolist()):
+            leads.append(busy is None or at >= busy)
+            busy = at + elapsed if leads[-1] else busy
+        state.update((busy,))
+        yield rows.loc[leads, ["fetch_key", "request_id", "at"]]
+
+    return log.groupBy("fetch_key").applyInPandasWithState(
+        step,
+        f"fetch_key {types['fetch_key']}, request_id {types['request_id']}, at bigint",
+        "busy_us bigint",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def stream_request_counters(log: DataFrame, late: str = "10 minutes") -> DataFrame:
