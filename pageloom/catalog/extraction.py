@@ -171,17 +171,17 @@ def adapter_resolve(spark, root):
 
 @query(
     "extract_join",
-    sql=f"""WITH q AS (SELECT a.*, p.html, a.request_id % 4 AS kind FROM ({_ASKED}) a JOIN pages p ON p.page_id = a.request_id)
+    sql=f"""WITH q AS (SELECT a.*, p.html, p.url AS p_url, a.request_id % 4 AS kind FROM ({_ASKED}) a JOIN pages p ON p.page_id = a.request_id)
 SELECT request_id, adapter, CASE WHEN {_MISSING} THEN NULL ELSE '1' END AS adapter_version,
  CASE WHEN kind = 2 THEN 'INVALID_REQUEST' WHEN {_MISSING} THEN 'ADAPTER_NOT_FOUND'
-  WHEN request_id % 10 = 9 THEN 'ARTIFACT_NOT_FOUND' WHEN adapter = 'china.official-profile' THEN 'PARSE_FAILED' END AS error,
- CASE WHEN kind = 2 OR {_MISSING} OR request_id % 10 = 9 THEN 0
+  WHEN p_url LIKE '%utm_%' THEN 'ARTIFACT_NOT_FOUND' WHEN adapter = 'china.official-profile' THEN 'PARSE_FAILED' END AS error,
+ CASE WHEN kind = 2 OR {_MISSING} OR p_url LIKE '%utm_%' THEN 0
   WHEN adapter = 'generic.links' THEN len(regexp_extract_all(html, '<a href="')) ELSE 1 END AS documents
 FROM q""",
 )
 def extract_join_query(spark, root):
-    """Every tenth artifact is left out, so that some look-ups fail."""
-    artifacts = spark.table("pages").where(F.col("page_id") % 10 != 9).select(
+    """Pages with a tracking query were not stored, so that some look-ups fail."""
+    artifacts = spark.table("pages").where(~F.col("url").contains("utm_")).select(
         F.concat(F.lit("art_"), F.md5(F.col("page_id").cast("string"))).alias("artifact_id"), "url", F.col("html").alias("body")
     )
     joined = extract_join(spark.sql(_ASKED), artifacts, Adapters())

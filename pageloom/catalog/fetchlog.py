@@ -120,7 +120,7 @@ def redirect_resolve(spark, root):
     return D.redirect_resolve(spark.table("f_redirects"))
 
 
-# the first page of a redirect hop table never asks for the recorded address of every tenth page
+# pages whose address may be connected to
 _OPEN = "(page_id % 9 IN (3, 5, 8) OR page_id % 2 = 0)"
 
 
@@ -194,8 +194,8 @@ def cache_replay_hot(spark, root):
     "f_requests",
     sql="""WITH e AS (SELECT page_id, request_id AS entry_id, epoch_us(ts) + elapsed_ms * 1000 AS set_at,
   epoch_us(ts) + elapsed_ms * 1000 + CAST(coalesce(cache_ttl, 3600) AS BIGINT) * 1000000 AS expires_at FROM f_requests
-  WHERE request_id % 3 = 0 AND status_code BETWEEN 200 AND 399 AND coalesce(cache_ttl, 3600) > 0),
-r AS (SELECT page_id, request_id, epoch_us(ts) AS t_us FROM f_requests WHERE request_id % 3 > 0)
+  WHERE status_code BETWEEN 200 AND 399 AND coalesce(cache_ttl, 3600) > 0),
+r AS (SELECT page_id, request_id, epoch_us(ts) AS t_us FROM f_requests)
 SELECT r.request_id, r.page_id AS fetch_key, CASE WHEN e.expires_at > r.t_us THEN e.entry_id END AS entry_id,
  coalesce(e.expires_at > r.t_us, FALSE) AS hit
 FROM r ASOF LEFT JOIN e ON r.page_id = e.page_id AND r.t_us >= e.set_at""",
@@ -205,13 +205,13 @@ def cache_lookup(spark, root):
     ttl = F.coalesce("cache_ttl", F.lit(3600)).cast("bigint")
     good = F.col("status_code").between(200, 399)
     set_us = micros(F.col("ts")) + F.col("elapsed_ms") * 1000
-    entries = log.where((F.col("request_id") % 3 == 0) & good & (ttl > 0)).select(
+    entries = log.where(good & (ttl > 0)).select(
         F.col("request_id").alias("entry_id"),
         "fetch_key",
         F.timestamp_micros(set_us).alias("set_at"),
         F.timestamp_micros(set_us + ttl * 1_000_000).alias("expires_at"),
     )
-    return C.cache_lookup(log.where(F.col("request_id") % 3 > 0), entries)
+    return C.cache_lookup(log, entries)
 
 
 @query("inflight_merge", "f_requests")
@@ -271,16 +271,16 @@ def stale_if_error(spark, root):
 @query(
     "cache_purge",
     "f_requests",
-    sql=f"""SELECT request_id FROM f_requests WHERE profile <> 'member' AND {DOMAIN} NOT IN (SELECT {DOMAIN} FROM pages WHERE page_id % 10 = 0)
-AND url NOT IN (SELECT url FROM pages WHERE page_id % 7 = 0)""",
+    sql=f"""SELECT request_id FROM f_requests WHERE profile <> 'member' AND {DOMAIN} NOT IN (SELECT {DOMAIN} FROM pages WHERE url LIKE '%.html')
+AND url NOT IN (SELECT url FROM pages WHERE url LIKE '%#top')""",
 )
 def cache_purge(spark, root):
     entries = spark.table("f_requests").select("request_id", "url", "profile", U.domain_of(F.col("url")).alias("domain"))
     pages = spark.table("pages").select("page_id", "url", U.domain_of(F.col("url")).alias("domain"))
     purge = (
-        pages.where(F.col("page_id") % 10 == 0)
+        pages.where(F.col("url").endswith(".html"))
         .select(F.lit("domain").alias("what"), F.col("domain").alias("value"))
-        .unionByName(pages.where(F.col("page_id") % 7 == 0).select(F.lit("url").alias("what"), F.col("url").alias("value")))
+        .unionByName(pages.where(F.col("url").endswith("#top")).select(F.lit("url").alias("what"), F.col("url").alias("value")))
         .unionByName(spark.createDataFrame([("profile", "member")], "what string, value string"))
     )
     return C.cache_purge(entries, purge, ("url", "domain", "profile")).select("request_id")

@@ -121,15 +121,16 @@ def job_rollup(spark, root):
     "job_cancel",
     "f_jobs",
     "f_job_items",
-    sql=f"""WITH c AS (SELECT job_id FROM f_jobs WHERE job_id % 30 = 0 AND client_id = job_id % 7),
+    sql=f"""WITH c AS (SELECT job_id FROM f_jobs WHERE client_id = 3),
 i AS (SELECT job_id, item_id, CASE WHEN state = 'queued' AND job_id IN (SELECT job_id FROM c) THEN 'cancelled' ELSE state END AS state FROM f_job_items),
 j AS (SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM c) AND bool_and(i.state IN {_ENDED}) THEN 'cancelled' ELSE min(prior_state) END AS job_state
  FROM f_jobs JOIN i USING (job_id) GROUP BY job_id)
 SELECT item_id, job_id, i.state, job_state FROM i JOIN j USING (job_id)""",
 )
 def job_cancel(spark, root):
+    """Client 3 asks to cancel every job; only its own ones are."""
     jobs, items = spark.table("f_jobs"), spark.table("f_job_items")
-    cancels = jobs.where(F.col("job_id") % 30 == 0).select("job_id", (F.col("job_id") % 7).alias("client_id"))
+    cancels = jobs.select("job_id", F.lit(3).cast("bigint").alias("client_id"))
     new_jobs, new_items = J.job_cancel(jobs, items, cancels)
     return new_items.join(new_jobs.select("job_id", F.col("state").alias("job_state")), "job_id").select(
         "item_id", "job_id", "state", "job_state"
@@ -212,12 +213,12 @@ def items_sorted(spark, root):
     "f_job_items",
     "f_jobs",
     sql="""SELECT queue, state, count(*) AS items, CAST(sum(attempts) AS BIGINT) AS attempts,
- count(*) FILTER (job_id % 70 = 0) AS orphans FROM f_job_items GROUP BY queue, state""",
+ count(*) FILTER (prior_state = 'queued') AS orphans FROM f_job_items JOIN f_jobs USING (job_id) GROUP BY queue, state""",
 )
 def job_tables_io(spark, root):
-    """Write both tables, read them back, and check the foreign key against a thinner job table."""
+    """Write both tables, read them back, and check the foreign key; only running jobs are kept."""
     path = scratch_path(spark, "jobs")
-    jobs_io.write_tables(spark.table("f_jobs").where(F.col("job_id") % 70 != 0), spark.table("f_job_items"), path)
+    jobs_io.write_tables(spark.table("f_jobs").where("prior_state = 'running'"), spark.table("f_job_items"), path)
     jobs, items = jobs_io.read_tables(spark, path)
     orphans = J.orphan_items(items, jobs).groupBy("queue", "state").agg(F.count("*").alias("orphans"))
     stored = items.groupBy("queue", "state").agg(F.count("*").alias("items"), F.sum("attempts").alias("attempts"))

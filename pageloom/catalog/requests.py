@@ -111,9 +111,7 @@ def request_defaults(spark, root):
   regexp_extract(url, '^[a-zA-Z]+://[^/:?#]*:([0-9]+)', 1) AS p FROM f_urls))""",
 )
 def url_guard_syntax(spark, root):
-    return spark.table("f_urls").withColumn("g", U.url_guard(F.col("url"), BLOCKED)).select(
-        "page_id", "g.code", "g.host", "g.port"
-    )
+    return G.guard_syntax(spark.table("f_urls"), BLOCKED).select("page_id", "code", "host", "port")
 
 
 @query(
@@ -124,8 +122,8 @@ def url_guard_syntax(spark, root):
 FROM f_urls WHERE page_id % 8 IN (0, 3, 4, 5, 6)""",
 )
 def url_normalize(spark, root):
-    guarded = spark.table("f_urls").withColumn("g", U.url_guard(F.col("url")))
-    return guarded.where(F.col("g.code").isNull()).select("page_id", "g.normalized")
+    guarded = G.guard_syntax(spark.table("f_urls"))
+    return guarded.where(F.col("code").isNull()).select("page_id", "normalized")
 
 
 _IP = """(SELECT page_id, address, CAST(split_part(address, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(address, '.', 2) AS BIGINT) * 65536
@@ -154,11 +152,13 @@ def address_allowed(spark, root):
     "f_urls",
     "f_addresses",
     sql=f"""SELECT page_id, code FROM (SELECT page_id, CASE WHEN page_id % 8 IN (1, 2, 7) THEN 'INVALID_REQUEST'
- WHEN regexp_matches(url, '^http://blocked[01]\\.') THEN 'DOMAIN_NOT_ALLOWED' WHEN page_id % 10 = 3 THEN 'DNS_FAILED'
- WHEN {_DENIED} THEN 'DOMAIN_NOT_ALLOWED' END AS code FROM f_urls JOIN {_IP} USING (page_id))""",
+ WHEN regexp_matches(f_urls.url, '^http://blocked[01]\\.') THEN 'DOMAIN_NOT_ALLOWED' WHEN p.url LIKE '%?%' THEN 'DNS_FAILED'
+ WHEN {_DENIED} THEN 'DOMAIN_NOT_ALLOWED' END AS code FROM f_urls JOIN {_IP} USING (page_id) JOIN pages p USING (page_id))""",
 )
 def url_guard(spark, root):
-    known = spark.table("f_addresses").where(F.col("page_id") % 10 != 3)
+    """Hosts of pages with a query have no recorded address."""
+    resolved = spark.table("pages").where(~F.col("url").contains("?")).select("page_id")
+    known = spark.table("f_addresses").join(resolved, "page_id", "left_semi")
     return G.guard_urls(spark.table("f_urls"), known, "page_id", BLOCKED).select("page_id", "code")
 
 
@@ -407,18 +407,14 @@ def blocked_hosts(spark, root):
     "addresses_sorted",
     "f_requests",
     "f_addresses",
-    sql=f"""SELECT host, address, CAST(row_number() OVER (PARTITION BY host ORDER BY address) AS INTEGER) AS place
+    sql=f"""SELECT host, address, row_number() OVER (PARTITION BY host ORDER BY address) AS place
 FROM (SELECT DISTINCT {DOMAIN} AS host, address FROM pages JOIN f_addresses USING (page_id))""",
 )
 def addresses_sorted(spark, root):
-    """One row per address: ranks come from a window over the distinct rows of a host."""
-    from pyspark.sql import Window
-
     resolved = spark.table("pages").select("page_id", U.domain_of(F.col("url")).alias("host")).join(
         spark.table("f_addresses"), "page_id"
     )
-    place = F.row_number().over(Window.partitionBy("host").orderBy("address"))
-    return G.addresses_sorted(resolved).withColumn("place", place)
+    return G.addresses_sorted(resolved)
 
 
 @query(

@@ -1,4 +1,9 @@
-"""URL functions, in regular expressions so that they stay inside codegen."""
+"""URL functions that stay inside codegen.
+
+One regular expression takes a URL apart; everything else works on its parts. Each
+function takes the URL, or the parts made before by :func:`url_parts`: put these in a
+column of their own where several functions read the same URL.
+"""
 
 from __future__ import annotations
 
@@ -9,92 +14,76 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# scheme, authority, path, query of a URL reference
-_SHAPE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+# scheme, user information, host (in brackets or plain), port, path, query
+_SHAPE = (
+    r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?"
+    r"(?://(?:([^/?#]*)@)?(?:[^/?#@\[]*\[([^/?#@\]]*)\]?[^/?#@:]*|([^/?#@:\[]*))(?::([^/?#@]*))?)?"
+    r"([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+)
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _SHAPE, group)
+def url_parts(url: Column) -> Column:
+    """Array of scheme, user information, host, port text, path and query, by one expression."""
+    # tabs and line ends do not count in a URL, so a line end can divide the parts
+    plain = F.translate(url, "\t\r\n", "")
+    return F.split(F.regexp_replace(plain, _SHAPE, "$1\n$2\n$3$4\n$5\n$6\n$7"), "\n")
 
 
-def _endpoint(url: Column) -> Column:
-    """Authority without user information."""
-    return F.regexp_replace(_part(url, 2), r"(?s)^.*@", "")
+def _parts(url: Column | None, parts: Column | None) -> Column:
+    return url_parts(url) if parts is None else parts
 
 
-def scheme_of(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+def scheme_of(url: Column | None = None, parts: Column | None = None) -> Column:
+    return F.lower(_parts(url, parts)[0])
 
 
-def has_user_info(url: Column) -> Column:
-    info = F.regexp_extract(_part(url, 2), r"(?s)^(.*)@", 1)
-    return ~info.isin("", ":")
+def has_user_info(url: Column | None = None, parts: Column | None = None) -> Column:
+    return ~_parts(url, parts)[1].isin("", ":")
 
 
-def domain_of(url: Column) -> Column:
+def domain_of(url: Column | None = None, parts: Column | None = None) -> Column:
     """Lower-case host name, or an empty string."""
-    endpoint = _endpoint(url)
-    bracketed = F.regexp_extract(endpoint, r"\[([^\]]*)", 1)
-    plain = F.regexp_extract(endpoint, r"^([^:]*)", 1)
-    host = F.when(endpoint.contains("["), bracketed).otherwise(plain)
-    return F.coalesce(F.lower(host), F.lit(""))
+    return F.coalesce(F.lower(_parts(url, parts)[2]), F.lit(""))
 
 
-def port_text(url: Column) -> Column:
-    return F.regexp_extract(_endpoint(url), r"^(?:[^\[:]*|[^\[]*\[[^\]]*\][^:]*):(.*)$", 1)
+def port_text(url: Column | None = None, parts: Column | None = None) -> Column:
+    """What stands where the port belongs; empty when there is none."""
+    return _parts(url, parts)[3]
 
 
-def default_port(url: Column) -> Column:
-    return F.when(scheme_of(url) == "https", 443).otherwise(80)
+def port_number(text: Column, scheme: Column) -> Column:
+    """Port from its text, or the scheme's; NULL when the text is no valid port."""
+    # no text and zero both mean the usual port; a leading zero makes "" a number
+    number = F.when(text.rlike("^[0-9]*$"), F.concat(F.lit("0"), text)).try_cast("int")
+    usual = F.when(scheme == "https", 443).otherwise(80)
+    return F.when(number == 0, usual).when(number <= 65535, number)
 
 
-def port_of(url: Column) -> Column:
+def port_of(url: Column | None = None, parts: Column | None = None) -> Column:
     """Explicit port or the scheme's; NULL when the port is no valid number."""
-    text = port_text(url)
-    number = text.try_cast("int")
-    valid = text.rlike(r"^[0-9]+$") & (number <= 65535)
-    return F.when(text == "", default_port(url)).when(
-        valid, F.coalesce(F.nullif(number, F.lit(0)), default_port(url))
-    )
+    return port_number(port_text(url, parts), scheme_of(url, parts))
 
 
-def guard_host(url: Column) -> Column:
-    return F.regexp_replace(domain_of(url), r"\.+$", "")
+def guard_host(url: Column | None = None, parts: Column | None = None) -> Column:
+    return F.regexp_replace(domain_of(url, parts), r"\.+$", "")
 
 
-def url_normalize(url: Column) -> Column:
+def assemble(scheme: Column, host: Column, port: Column, parts: Column) -> Column:
     """``scheme://host[:port]path?query``: default port and fragment dropped."""
-    port = port_of(url)
-    shown = F.when(port != default_port(url), F.concat(F.lit(":"), port.cast("string"))).otherwise("")
-    path = F.coalesce(F.nullif(_part(url, 3), F.lit("")), F.lit("/"))
-    query = _part(url, 4)
+    usual = ((scheme == "https") & (port == 443)) | ((scheme == "http") & (port == 80))
     return F.concat(
-        scheme_of(url),
+        scheme,
         F.lit("://"),
-        guard_host(url),
-        shown,
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        host,
+        F.when(usual, "").otherwise(F.concat(F.lit(":"), port.cast("string"))),
+        F.when(parts[4] == "", "/").otherwise(parts[4]),
+        F.when(parts[5] != "", F.concat(F.lit("?"), parts[5])).otherwise(""),
     )
 
 
-def url_guard(url: Column, blocked_hosts: list[str] | None = None) -> Column:
-    """``struct(code, host, port, normalized)``; the first broken rule names the code."""
-    host = guard_host(url)
-    code = F.when(~scheme_of(url).isin("http", "https"), "INVALID_REQUEST").when(
-        (domain_of(url) == "") | has_user_info(url), "INVALID_REQUEST"
-    )
-    if blocked_hosts:
-        names = sorted({name.lower().rstrip(".") for name in blocked_hosts})
-        code = code.when(host.isin(*names), "DOMAIN_NOT_ALLOWED")
-    code = code.when(port_of(url).isNull(), "INVALID_REQUEST")
-    passed = code.isNull()
-    return F.struct(
-        code.alias("code"),
-        F.when(passed, host).alias("host"),
-        F.when(passed, port_of(url)).alias("port"),
-        F.when(passed, url_normalize(url)).alias("normalized"),
-    )
+def url_normalize(url: Column) -> Column:
+    parts = url_parts(url)
+    return assemble(scheme_of(parts=parts), guard_host(parts=parts), port_of(parts=parts), parts)
 
 
 @F.pandas_udf(T.StringType())
@@ -119,7 +108,7 @@ def url_join(base: Column, href: Column) -> Column:
     tidy = ~href.rlike(r"[?#]$|\?#|[\t\r\n]|^[\x00-\x20]")
     absolute = tidy & href.rlike(r"^https?://[^/?#]")
     rooted = tidy & href.rlike(r"^/(?!/)") & ~href.rlike(r"(^|/)\.\.?(/|$|[?#])") & base.rlike(r"^https?://[^/?#]")
-    origin = F.concat(scheme_of(base), F.lit("://"), _part(base, 2))
+    origin = F.regexp_replace(base, r"(?s)^(https?://[^/?#]+).*$", "$1")
     easy = F.coalesce(absolute | rooted, F.lit(False))
     general = _join_general(F.when(~easy, base), F.when(~easy, href))
     return (

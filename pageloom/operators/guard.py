@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as A
 from ..functions import urls as U
+from ..plans.running import running, with_chunk
 
 
 def within_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
@@ -37,8 +38,16 @@ def blocked(urls: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def addresses_sorted(addresses: DataFrame, key: str = "host") -> DataFrame:
-    """Distinct addresses per host, in order, one row each (a host may have many)."""
-    return addresses.select(key, "address").distinct()
+    """Distinct addresses per host with their place in text order, one row each.
+
+    Places are a running count over chunks of addresses with the same first two
+    characters, so a host with very many addresses is not numbered in one task.
+    """
+    found = addresses.select(key, "address").distinct()
+    first = F.ascii("address") * 65536 + F.ascii(F.substring("address", 2, 1))
+    return running(
+        with_chunk(found, first, 1), [key], ["address"], {"place": ("sum", F.lit(1).cast("bigint"))}
+    ).select(key, "address", "place")
 
 
 def address_verdicts(
@@ -63,6 +72,40 @@ def address_verdicts(
     )
 
 
+def guard_syntax(urls: DataFrame, blocked_hosts: list[str] | None = None, url: str = "url") -> DataFrame:
+    """Add ``code`` (NULL = passed), ``host``, ``port`` and ``normalized`` by URL syntax.
+
+    The first broken rule names the code. The parts of a URL are columns of their own
+    between the steps, so each is computed once.
+    """
+    parts = F.col("_parts")
+    split = urls.withColumn("_parts", U.url_parts(F.col(url))).withColumns(
+        {
+            "_scheme": U.scheme_of(parts=parts),
+            "_host": U.guard_host(parts=parts),
+            "_port": U.port_text(parts=parts),
+            "_info": U.has_user_info(parts=parts),
+        }
+    )
+    host, scheme = F.col("_host"), F.col("_scheme")
+    numbered = split.withColumn("_port", U.port_number(F.col("_port"), scheme))
+    known = F.coalesce(scheme.isin("http", "https"), F.lit(False))
+    code = F.when(~known, "INVALID_REQUEST").when((host == "") | F.col("_info"), "INVALID_REQUEST")
+    if blocked_hosts:
+        names = sorted({name.lower().rstrip(".") for name in blocked_hosts})
+        code = code.when(host.isin(*names), "DOMAIN_NOT_ALLOWED")
+    code = code.when(F.col("_port").isNull(), "INVALID_REQUEST")
+    judged = numbered.withColumn("code", code)
+    passed = F.col("code").isNull()
+    return judged.withColumns(
+        {
+            "host": F.when(passed, host),
+            "port": F.when(passed, F.col("_port")),
+            "normalized": F.when(passed, U.assemble(scheme, host, F.col("_port"), parts)),
+        }
+    ).drop("_parts", "_scheme", "_host", "_port", "_info")
+
+
 def guard_urls(
     urls: DataFrame,
     addresses: DataFrame,
@@ -76,9 +119,7 @@ def guard_urls(
 
     ``addresses`` holds the recorded resolution (``key``, ``address``).
     """
-    checked = urls.withColumn("guard", U.url_guard(F.col("url"), blocked_hosts)).select(
-        *urls.columns, "guard.code", "guard.host", "guard.port", "guard.normalized"
-    )
+    checked = guard_syntax(urls, blocked_hosts)
     verdicts = address_verdicts(addresses, key, allow_private, networks, allowed_hosts)
     joined = checked.join(verdicts, key, "left")
     literal = F.when(A.is_ipv4(F.col("host")), A.address_allowed(F.col("host"), allow_private))

@@ -9,6 +9,7 @@ from .. import settings as S
 from ..functions import headers as H
 from ..functions import urls as U
 from ..settings import DEFAULTS
+from .guard import guard_syntax
 
 
 def _bad(condition: Column) -> Column:
@@ -136,13 +137,11 @@ def fetch_keys(requests: DataFrame, normalized: bool = False) -> DataFrame:
 
 def prepare(requests: DataFrame, blocked_hosts: list[str] | None = None) -> DataFrame:
     """Defaults, checks, guard syntax, key and ttl in one projection (no shuffle)."""
-    checked = request_validate(request_defaults(requests)).withColumn(
-        "guard", U.url_guard(F.col("url"), blocked_hosts)
-    )
+    checked = guard_syntax(request_validate(request_defaults(requests)), blocked_hosts)
     if "headers" in requests.columns:
         broken_header = F.when(H.forbidden_header(F.col("headers")).isNotNull(), "INVALID_REQUEST")
         checked = checked.withColumn("error", F.coalesce("error", broken_header))
-    checked = checked.withColumn("error", F.coalesce("error", F.col("guard.code")))
+    checked = checked.withColumn("error", F.coalesce("error", "code"))
     return fetch_keys(checked).withColumn("ttl", ttl_of(F.col("cache_ttl")))
 
 

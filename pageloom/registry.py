@@ -76,7 +76,7 @@ def extract_join(requests: DataFrame, artifacts: DataFrame, adapters: Adapters)
     """Extraction requests with their results.
 
     ``requests``: request_id, url, artifact_id, adapter, adapter_version.
-    ``artifacts``: artifact_id, url, body. Exactly one of url and artifact_id names
+    ``artifacts``: artifact_id, url, body and, where a url has several, saved_at. Exactly one of url and artifact_id names
     the page. An artifact is read without a base URL, so its links stay relative.
     """
     from .operators.requests import extract_xor
@@ -85,7 +85,8 @@ def extract_join(requests: DataFrame, artifacts: DataFrame, adapters: Adapters)
     checked = requests.withColumn("_xor", extract_xor(F.col("url"), F.col("artifact_id")))
     resolved = resolve(checked, adapters.table(spark)).withColumn("error", F.coalesce("_xor", "error")).drop("_xor")
     # one list of needed pages: by artifact id, or the newest artifact of the url
-    by_url = artifacts.groupBy("url").agg(F.max("artifact_id").alias("_by_url"))
+    newest = F.max_by("artifact_id", "saved_at") if "saved_at" in artifacts.columns else F.max("artifact_id")
+    by_url = artifacts.groupBy("url").agg(newest.alias("_by_url"))
     located = (
         resolved.join(by_url, "url", "left")
         .withColumn("_given", F.nullif("artifact_id", F.lit("")))

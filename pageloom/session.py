@@ -17,6 +17,7 @@ def local_session(cores: str = "8", partitions: int = 8, checkpoint_dir: str | N
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PAGELOOM_DRIVER_MEMORY", "8g"))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -33,8 +34,8 @@ def shared_root(spark: SparkSession) -> str:
     Only where the session names none (tests, a laptop) a fresh local folder is
     made, and set as the checkpoint folder of the running context.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root is None:
         root = context.getCheckpointDir()
     if root is None:

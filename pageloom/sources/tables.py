@@ -38,8 +38,15 @@ REQUEST = T.StructType(
 TABLES = ("pages", "documents", "events", "orders", "lineitem", "labels")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    """A base table; footers are read for the schema once per path."""
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def page_scan(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -105,9 +112,13 @@ def error_catalog(spark: SparkSession) -> DataFrame:
 
 
 def header_map(rows: DataFrame, *keys: str) -> DataFrame:
-    """Long-form headers (keys, name, value) to one map per key."""
-    return rows.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "value")))).alias("headers")
+    """Long-form headers (keys, name, value) to one map per key.
+
+    Repeated names are reduced first, before the shuffle; the largest value counts.
+    """
+    single = rows.groupBy(*keys, "name").agg(F.max("value").alias("value"))
+    return single.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("headers")
     )
 
 

@@ -16,6 +16,7 @@ from pageloom.functions import headers as H
 from pageloom.functions import text as X
 from pageloom.functions import timing as T
 from pageloom.functions import urls as U
+from pageloom.operators import guard as G
 from pageloom.sources import tables
 
 
@@ -48,15 +49,16 @@ def plain_guard(url):
 
 
 def test_guard_and_domain(spark):
-    rows = apply(spark, URLS, "url string", g=U.url_guard(F.col("url")), d=U.domain_of(F.col("url")))
+    frame = spark.createDataFrame(list(enumerate(URLS)), "n int, url string").withColumn("d", U.domain_of(F.col("url")))
+    rows = G.guard_syntax(frame).orderBy("n").collect()
     for url, row in zip(URLS, rows):
-        assert tuple(row.g) == plain_guard(url), url
+        assert (row.code, row.host, row.port, row.normalized) == plain_guard(url), url
         assert row.d == (urlsplit(url).hostname or "").lower(), url
 
 
 def test_blocked_host_comes_before_the_port(spark):
-    row = apply(spark, ["http://Bad.example.:x/"], "url string", g=U.url_guard(F.col("url"), ["bad.example"]))[0]
-    assert row.g.code == "DOMAIN_NOT_ALLOWED"
+    frame = spark.createDataFrame([("http://Bad.example.:x/",)], "url string")
+    assert G.guard_syntax(frame, ["bad.example"]).first().code == "DOMAIN_NOT_ALLOWED"
 
 
 def test_url_join(spark):
