@@ -9,6 +9,7 @@ from ..functions.timing import micros
 from ..plans.chains import mark_paths
 from ..plans.folds import HOT_ROWS, fold_by_key, split_hot
 from ..plans.running import HOUR_US, queue_free, running, with_chunk
+from ..session import shared_root
 from ..settings import DEFAULTS
 
 
@@ -106,21 +107,18 @@ def breaker_hot(rows: DataFrame, failures: int, cooldown_us: int, chunk_us: int
     that happened are the path from the first run.
     """
     keys, order = ["domain"], ["at", "request_id"]
+    # each step reads the one before twice (rows and chunk totals), so the steps are written
+    shared_root(rows.sparkSession)
     rows = rows.withColumn("place", F.struct("at", "request_id"))
     line = with_chunk(rows, F.col("at"), chunk_us)
 
     # failures since the last success before them
-    counted = running(
-        line,
-        keys,
-        order,
-        {
-            "n_failed": ("sum", F.coalesce(F.col("failed").cast("bigint"), F.lit(0))),
-        },
-    )
+    failed = F.coalesce(F.col("failed").cast("bigint"), F.lit(0))
+    counted = running(line, keys, order, {"n_failed": ("sum", failed)}).checkpoint()
     counted = running(counted, keys, order, {"base": ("max", F.when(~F.col("failed"), F.col("n_failed")))})
     run_length = F.col("n_failed") - F.coalesce("base", F.lit(0))
     marked = counted.withColumn("trips", F.coalesce(F.col("failed") & (run_length == failures), F.lit(False)))
+    marked = marked.checkpoint()
 
     # next row of each kind strictly after a row
     ahead = running(
@@ -130,7 +128,7 @@ def breaker_hot(rows: DataFrame, failures: int, cooldown_us: int, chunk_us: int
         {"next_trip": ("min", F.when(F.col("trips"), F.col("place")))},
         backward=True,
         exclusive=True,
-    ).select("request_id", "domain", "at", "failed", "place", "trips", "next_trip")
+    ).select("request_id", "domain", "at", "failed", "place", "trips", "next_trip").checkpoint()
 
     # the probe of a failed row: the first judged row at or after its cool-down
     points = ahead.where(F.col("failed").isNotNull()).select(
@@ -153,7 +151,7 @@ def breaker_hot(rows: DataFrame, failures: int, cooldown_us: int, chunk_us: int
         ["at", "kind"],
         {"probe": ("min", F.col("point"))},
         backward=True,
-    ).where(F.col("kind") == 0)
+    ).where(F.col("kind") == 0).checkpoint()
     following = F.when(F.col("probe.failed"), F.col("probe.request_id")).otherwise(F.col("probe.next_trip.request_id"))
     pointers = probes.select(
         F.col("opened").alias("id"),

@@ -38,4 +38,4 @@ def mark_paths(pointers: DataFrame, roots: DataFrame) -> DataFrame:
     for level in reversed(levels):
         both = F.array_compact(F.array("id", "next"))
         marked = marked.join(level, "id", "left").select(F.explode(both).alias("id"))
-    return marked.distinct()
+    return marked.distinct().checkpoint()
