@@ -214,11 +214,37 @@ def cache_lookup(spark, root):
     return C.cache_lookup(log, entries)
 
 
-@query("inflight_merge", "f_requests")
-def inflight_merge(spark, root):
+# every write of a key is kept as (set, expires) in order; the last one set by a moment counts
+_IN_FLIGHT = f"""WITH {_LOG.replace('force_refresh, status_code', 'force_refresh, elapsed_ms * 200000000 AS e, status_code')},
+fl(fetch_key, rn, request_id, outcome, free, writes) AS (
+ SELECT fetch_key, rn, request_id, 'leader', t_us + e, CASE WHEN ok AND ttl > 0 THEN [{{'s': t_us + e, 'x': t_us + e + ttl}}] ELSE [] END
+ FROM log WHERE rn = 1
+ UNION ALL
+ SELECT fetch_key, rn, request_id, CASE WHEN hit THEN 'hit' WHEN merged THEN 'merged' WHEN start > t_us THEN 'refetch' ELSE 'leader' END,
+  CASE WHEN hit OR merged THEN free ELSE start + e END,
+  CASE WHEN hit OR merged OR NOT ok OR ttl = 0 THEN writes ELSE list_append(writes, {{'s': start + e, 'x': start + e + ttl}}) END
+ FROM (SELECT *, NOT hit AND readable AND start > t_us AND coalesce(list_filter(writes, lambda w: w.s <= start)[-1].x > start, FALSE) AS merged
+  FROM (SELECT *, readable AND coalesce(list_filter(writes, lambda w: w.s <= t_us)[-1].x > t_us, FALSE) AS hit
+   FROM (SELECT l.*, f.free, f.writes, NOT l.force_refresh AND l.ttl > 0 AS readable, greatest(l.t_us, f.free) AS start
+    FROM fl f JOIN log l ON l.fetch_key = f.fetch_key AND l.rn = f.rn + 1))))
+SELECT fetch_key, request_id, outcome FROM fl"""
+
+
+def long_flights(spark):
     """Flights are stretched to hours, so that many requests meet one in flight."""
-    log = request_log(spark).withColumn("elapsed_ms", F.col("elapsed_ms") * 200_000)
-    return C.inflight_merge(log).select("fetch_key", "request_id", "outcome")
+    return request_log(spark).withColumn("elapsed_ms", F.col("elapsed_ms") * 200_000)
+
+
+@query("inflight_merge", "f_requests", sql=_IN_FLIGHT, recursive=True)
+def inflight_merge(spark, root):
+    return C.inflight_merge(long_flights(spark)).select("fetch_key", "request_id", "outcome")
+
+
+@query("inflight_merge_hot", "f_requests", sql=_IN_FLIGHT, recursive=True)
+def inflight_merge_hot(spark, root):
+    """Every key is cut into stretches that cannot influence each other."""
+    merged = C.inflight_merge(long_flights(spark), hot_rows=0, chunk_us=24 * 3_600_000_000)
+    return merged.select("fetch_key", "request_id", "outcome")
 
 
 @query("negative_cache", "f_requests", recursive=True, sql=f"""WITH {_LOG}, replay(fetch_key, rn, request_id, outcome, expires, bad) AS (
