@@ -211,6 +211,8 @@ def _fits(element: Element, compound: tuple) -> bool:
     tag, classes, ids = compound
     if tag and element.tag != tag:
         return False
+    if not element.raw:
+        return not classes and not ids
     if classes and not classes <= set((element.attrs.get("class") or "").split()):
         return False
     return not ids or ids == {element.attrs.get("id")}
