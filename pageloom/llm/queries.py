@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, quality, secret_scan
+from . import decontamination, packing as packing_, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,18 @@ def op3_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.report(table(spark, root, "documents"))
 
 
+@query
+def op4_packing(spark: SparkSession, root: str) -> DataFrame:
+    """Batches of documents in optimal length buckets."""
+    return packing_.pack(table(spark, root, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity scores."""
+    return toxicity.report(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 @query
 def op7_quality_cascade(spark: SparkSession, root: str) -> DataFrame:
     """Quality counts and verdicts."""
