@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, packing as packing_, quality, secret_scan, toxicity
+from . import decontamination, packing, pii, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +45,7 @@ def op3_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, root: str) -> DataFrame:
     """Batches of documents in optimal length buckets."""
-    return packing_.pack(table(spark, root, "documents"))
+    return packing.pack(table(spark, root, "documents"))
 
 
 @query
@@ -54,6 +54,12 @@ def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.report(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query
+def op6_pii(spark: SparkSession, root: str) -> DataFrame:
+    """Personal data."""
+    return pii.report(table(spark, root, "documents"))
+
+
 @query
 def op7_quality_cascade(spark: SparkSession, root: str) -> DataFrame:
     """Quality counts and verdicts."""
