@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, packing, pii, quality, secret_scan, toxicity
+from . import decontamination, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,12 @@ def op1_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.report(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Word spans that repeat across documents."""
+    return substring_dedup.report(table(spark, root, "documents"))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     """Single and multipart credentials."""
@@ -64,3 +70,9 @@ def op6_pii(spark: SparkSession, root: str) -> DataFrame:
 def op7_quality_cascade(spark: SparkSession, root: str) -> DataFrame:
     """Quality counts and verdicts."""
     return quality.cascade(table(spark, root, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Byte spans that repeat across documents."""
+    return suffix_dedup.report(table(spark, root, "documents"))
