@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, ngram_join, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,12 @@ def op7_quality_cascade(spark: SparkSession, root: str) -> DataFrame:
     return quality.cascade(table(spark, root, "documents"))
 
 
+@query
+def op8_ngram_join(spark: SparkSession, root: str) -> DataFrame:
+    """Near copies and their components."""
+    return ngram_join.near_copies(table(spark, root, "documents"))
+
+
 @query
 def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Byte spans that repeat across documents."""
