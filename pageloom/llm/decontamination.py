@@ -303,3 +303,45 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, pass_bytes: int = 16 << 20) -> DataFrame:
+    """The documents, all columns kept, with matched runs cut out of ``text`` (and ``n_chars`` set anew).
+
+    Documents with more than ``max_coverage`` of their words in matched runs go.
+    """
+    helds = item_passes(benchmark, pass_bytes)
+    names = documents.columns
+    place, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def hits_of(rows: list[bytes]) -> tuple[list[int], list[list[int]]]:
+        counts, hits = [], [[] for _ in rows]
+        for held in helds:
+            counts, found, _ = scan(_automaton(held, window), rows)
+            hits = [_joined(x, y) for x, y in zip(hits, found)]
+        return counts, hits
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            data, bounds = utf8(whole.column(place))
+            for a, b in slices(bounds):
+                batch = whole.slice(a, b - a)
+                counts, hits = hits_of([data[bounds[i] : bounds[i + 1]].tobytes().translate(FOLD) for i in range(a, b)])
+                if any(hits):
+                    values = batch.column(place).to_pylist()
+                    keep = [sum(h[1::2]) - sum(h[::2]) <= max_coverage * n for n, h in zip(counts, hits)]
+                    changed = {i for i, h in enumerate(hits) if h and keep[i]}
+                    for i in changed:
+                        spans = hits[i]
+                        while spans:
+                            values[i] = cut(values[i], spans)
+                            spans = hits_of([values[i].encode().translate(FOLD)])[1][0]
+                    columns = list(batch.columns)
+                    columns[place] = pa.array(values, columns[place].type)
+                    if size is not None:
+                        old = columns[size].to_pylist()
+                        columns[size] = pa.array([len(values[i]) if i in changed else n for i, n in enumerate(old)], columns[size].type)
+                    batch = pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+                yield batch
+
+    return documents.mapInArrow(clean, documents.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, ngram_join, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, lm_scoring, ngram_join, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,12 @@ def op8_ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, root, "documents"))
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    """Stupid-backoff scores."""
+    return lm_scoring.report(table(spark, root, "documents"))
+
+
 @query
 def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Byte spans that repeat across documents."""

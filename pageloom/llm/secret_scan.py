@@ -132,3 +132,38 @@ def report(documents: DataFrame) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"),
     )
+
+
+def mask(documents: DataFrame, with_text: str, scope: int = SCOPE) -> DataFrame:
+    """The documents, all columns kept, with ``with_text`` in place of each secret (and ``n_chars`` set anew)."""
+    spans = F.transform(F.filter("spans", lambda p: ~p["kind"].isin("endpoint", "id")), lambda p: F.struct(p["start"], p["end"]))
+    found = secret_spans(documents, scope).select("row_key", spans.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["row_key"])
+    keyed = documents.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("digest")))
+    joined = keyed.join(found.withColumnRenamed("row_key", "_key"), "_key", "left").drop("_key")
+    names = documents.columns
+    place, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            hit = {i: s for i, s in enumerate(columns.pop().to_pylist()) if s}
+            if hit:
+                values = columns[place].to_pylist()
+                for i, marked in hit.items():
+                    values[i] = _masked(values[i], sorted((s["start"], s["end"]) for s in marked), with_text)
+                columns[place] = pa.array(values, columns[place].type)
+                if size is not None:
+                    columns[size] = pa.array([len(values[i]) if i in hit else n for i, n in enumerate(columns[size].to_pylist())], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.select(*names, "_spans").mapInArrow(hide, documents.schema)
+
+
+def _masked(text: str, spans: list[tuple[int, int]], with_text: str) -> str:
+    """Overlapping spans are one."""
+    out, done = [], 0
+    for start, end in spans:
+        if start >= done:
+            out += [text[done:start], with_text]
+        done = max(done, end)
+    return "".join([*out, text[done:]])

@@ -17,7 +17,7 @@ MASK = "[SECRET]"
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar does not call toxic; all columns and texts stay."""
-    return _toxicity.keep_clean(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
