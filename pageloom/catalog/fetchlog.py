@@ -148,15 +148,10 @@ def redirect_guard(spark, root):
 _LOG_KEY = "concat_ws('|', url, mode, profile, proxy_policy, coalesce(CAST(save_artifact AS VARCHAR), 'null'))"
 _LOG = f"""log AS MATERIALIZED (SELECT {_LOG_KEY} AS fetch_key, request_id, epoch_us(ts) AS t_us, CAST(coalesce(cache_ttl, 3600) AS BIGINT) * 1000000 AS ttl,
  force_refresh, status_code BETWEEN 200 AND 399 AS ok, row_number() OVER (PARTITION BY {_LOG_KEY} ORDER BY ts, request_id) AS rn FROM f_requests)"""
-# one step of the entry's life per row of a key
-_REPLAY = f"""{_LOG}, replay(fetch_key, rn, request_id, t_us, ttl, force_refresh, ok, outcome, expires) AS (
- SELECT fetch_key, rn, request_id, t_us, ttl, force_refresh, ok, 'miss', CASE WHEN ok AND ttl > 0 THEN t_us + ttl END FROM log WHERE rn = 1
- UNION ALL
- SELECT l.fetch_key, l.rn, l.request_id, l.t_us, l.ttl, l.force_refresh, l.ok,
-  CASE WHEN NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.t_us THEN 'hit' ELSE 'miss' END,
-  CASE WHEN NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.t_us THEN r.expires
-   WHEN l.ok AND l.ttl > 0 THEN l.t_us + l.ttl ELSE r.expires END
- FROM replay r JOIN log l ON l.fetch_key = r.fetch_key AND l.rn = r.rn + 1)"""
+# the newest recorded entry strictly before each row of a key
+_REUSE = f"""{_LOG}, reuse AS (SELECT *, last_value(CASE WHEN ok AND ttl > 0 THEN t_us + ttl END IGNORE NULLS) OVER
+ (PARTITION BY fetch_key ORDER BY t_us, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expires FROM log),
+replay AS (SELECT *, CASE WHEN NOT force_refresh AND ttl > 0 AND coalesce(expires > t_us, FALSE) THEN 'hit' ELSE 'miss' END AS outcome FROM reuse)"""
 
 
 def request_log(spark):
@@ -169,26 +164,12 @@ def request_log(spark):
 @query(
     "cache_replay",
     "f_requests",
-    sql=f"WITH {_REPLAY} SELECT fetch_key, request_id, outcome FROM replay",
-    recursive=True,
+    sql=f"WITH {_REUSE} SELECT fetch_key, request_id, outcome FROM replay",
 )
 def cache_replay(spark, root):
     return C.cache_replay(request_log(spark)).select("fetch_key", "request_id", "outcome")
 
 
-@query(
-    "cache_replay_hot",
-    "f_requests",
-    sql=f"WITH {_REPLAY} SELECT fetch_key, request_id, outcome FROM replay",
-    recursive=True,
-)
-def cache_replay_hot(spark, root):
-    """The plan for keys too large for one task, here over every key."""
-    return C.cache_replay(request_log(spark), hot_rows=0, chunk_us=24 * 3_600_000_000).select(
-        "fetch_key", "request_id", "outcome"
-    )
-
-
 @query(
     "cache_lookup",
     "f_requests",
@@ -214,48 +195,27 @@ def cache_lookup(spark, root):
     return C.cache_lookup(log, entries)
 
 
-# every write of a key is kept as (set, expires) in order; the last one set by a moment counts
-_IN_FLIGHT = f"""WITH {_LOG.replace('force_refresh, status_code', 'force_refresh, elapsed_ms * 200000000 AS e, status_code')},
-fl(fetch_key, rn, request_id, outcome, free, writes) AS (
- SELECT fetch_key, rn, request_id, 'leader', t_us + e, CASE WHEN ok AND ttl > 0 THEN [{{'s': t_us + e, 'x': t_us + e + ttl}}] ELSE [] END
- FROM log WHERE rn = 1
- UNION ALL
- SELECT fetch_key, rn, request_id, CASE WHEN hit THEN 'hit' WHEN merged THEN 'merged' WHEN start > t_us THEN 'refetch' ELSE 'leader' END,
-  CASE WHEN hit OR merged THEN free ELSE start + e END,
-  CASE WHEN hit OR merged OR NOT ok OR ttl = 0 THEN writes ELSE list_append(writes, {{'s': start + e, 'x': start + e + ttl}}) END
- FROM (SELECT *, NOT hit AND readable AND start > t_us AND coalesce(list_filter(writes, lambda w: w.s <= start)[-1].x > start, FALSE) AS merged
-  FROM (SELECT *, readable AND coalesce(list_filter(writes, lambda w: w.s <= t_us)[-1].x > t_us, FALSE) AS hit
-   FROM (SELECT l.*, f.free, f.writes, NOT l.force_refresh AND l.ttl > 0 AS readable, greatest(l.t_us, f.free) AS start
-    FROM fl f JOIN log l ON l.fetch_key = f.fetch_key AND l.rn = f.rn + 1))))
-SELECT fetch_key, request_id, outcome FROM fl"""
-
-
 def long_flights(spark):
     """Flights are stretched to hours, so that many requests meet one in flight."""
     return request_log(spark).withColumn("elapsed_ms", F.col("elapsed_ms") * 200_000)
 
 
-@query("inflight_merge", "f_requests", sql=_IN_FLIGHT, recursive=True)
+@query(
+    "inflight_merge",
+    "f_requests",
+    sql=f"""WITH l AS (SELECT {_LOG_KEY} AS fetch_key, request_id, epoch_us(ts) AS t_us, elapsed_ms * 200000000 AS e FROM f_requests),
+b AS (SELECT *, max(t_us + e) OVER (PARTITION BY fetch_key ORDER BY t_us, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM l)
+SELECT fetch_key, request_id, busy_until, coalesce(busy_until > t_us, FALSE) AS overlaps FROM b""",
+)
 def inflight_merge(spark, root):
-    return C.inflight_merge(long_flights(spark)).select("fetch_key", "request_id", "outcome")
-
+    return C.inflight_merge(long_flights(spark)).select("fetch_key", "request_id", "busy_until", "overlaps")
 
-@query("inflight_merge_hot", "f_requests", sql=_IN_FLIGHT, recursive=True)
-def inflight_merge_hot(spark, root):
-    """Every key is cut into stretches that cannot influence each other."""
-    merged = C.inflight_merge(long_flights(spark), hot_rows=0, chunk_us=24 * 3_600_000_000)
-    return merged.select("fetch_key", "request_id", "outcome")
 
-
-@query("negative_cache", "f_requests", recursive=True, sql=f"""WITH {_LOG}, replay(fetch_key, rn, request_id, outcome, expires, bad) AS (
- SELECT fetch_key, rn, request_id, 'miss', CASE WHEN ttl > 0 THEN t_us + CASE WHEN ok THEN ttl ELSE least(ttl, 86400000000) END END, NOT ok FROM log WHERE rn = 1
- UNION ALL
- SELECT l.fetch_key, l.rn, l.request_id, CASE WHEN hit THEN CASE WHEN r.bad THEN 'negative_hit' ELSE 'hit' END ELSE 'miss' END,
-  CASE WHEN hit OR l.ttl = 0 THEN r.expires ELSE l.t_us + CASE WHEN l.ok THEN l.ttl ELSE least(l.ttl, 86400000000) END END,
-  CASE WHEN hit OR l.ttl = 0 THEN r.bad ELSE NOT l.ok END
- FROM (SELECT r.*, NOT l.force_refresh AND l.ttl > 0 AND coalesce(r.expires, 0) > l.t_us AS hit FROM replay r JOIN log l
-  ON l.fetch_key = r.fetch_key AND l.rn = r.rn + 1) r JOIN log l ON l.fetch_key = r.fetch_key AND l.rn = r.rn + 1)
-SELECT fetch_key, request_id, outcome FROM replay""")
+@query("negative_cache", "f_requests", sql=f"""WITH {_LOG}, reuse AS (SELECT *, last_value(CASE WHEN ttl > 0 THEN
+  {{'x': t_us + CASE WHEN ok THEN ttl ELSE least(ttl, 86400000000) END, 'ok': ok}} END IGNORE NULLS) OVER
+ (PARTITION BY fetch_key ORDER BY t_us, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entry FROM log)
+SELECT fetch_key, request_id, CASE WHEN NOT force_refresh AND ttl > 0 AND coalesce(entry.x > t_us, FALSE)
+ THEN CASE WHEN entry.ok THEN 'hit' ELSE 'negative_hit' END ELSE 'miss' END AS outcome FROM reuse""")
 def negative_cache(spark, root):
     return C.negative_cache(request_log(spark), negative_ttl=86_400).select("fetch_key", "request_id", "outcome")
 
@@ -263,20 +223,11 @@ def negative_cache(spark, root):
 @query(
     "lru_resident",
     "f_requests",
-    sql=f"""WITH {_REPLAY}, k AS (SELECT fetch_key,
-  max(CASE WHEN outcome = 'hit' OR (ok AND ttl > 0) THEN [t_us, request_id] END) AS used,
-  max(CASE WHEN outcome = 'miss' AND NOT force_refresh AND ttl > 0 THEN [t_us, request_id] END) AS dropped
-  FROM replay GROUP BY fetch_key)
-SELECT fetch_key, used[1] AS last_used_at, used[2] AS last_request FROM k
-WHERE used IS NOT NULL AND (dropped IS NULL OR used >= dropped) ORDER BY used DESC LIMIT 1024""",
-    recursive=True,
+    sql=f"""WITH {_LOG}, k AS (SELECT fetch_key, max([t_us, request_id]) AS used FROM log GROUP BY fetch_key)
+SELECT fetch_key, used[1] AS last_used_at, used[2] AS last_request FROM k ORDER BY used DESC LIMIT 1024""",
 )
 def lru_resident(spark, root):
-    log = request_log(spark)
-    outcomes = C.cache_replay(log).join(log.select("request_id", "read", "writes"), "request_id").withColumn(
-        "wrote", F.col("writes") & (F.col("outcome") == "miss")
-    )
-    return C.lru_resident(outcomes)
+    return C.lru_resident(request_log(spark))
 
 
 @query(
@@ -315,21 +266,18 @@ def cache_purge(spark, root):
 # ---------------------------------------------------------------------------
 # pacing
 # ---------------------------------------------------------------------------
-# an interval of ten minutes makes the sparse test log queue up
+# an interval of ten minutes is often missed in the sparse test log
 _INTERVAL = 600_000_000
-_SLOTS = f"""a AS MATERIALIZED (SELECT request_id, {DOMAIN} AS domain, epoch_us(ts) AS arrival_us,
- row_number() OVER (PARTITION BY {DOMAIN} ORDER BY ts, request_id) AS rn FROM f_requests),
-s(domain, rn, request_id, arrival_us, start_us) AS (SELECT domain, rn, request_id, arrival_us, arrival_us FROM a WHERE rn = 1
- UNION ALL SELECT a.domain, a.rn, a.request_id, a.arrival_us, greatest(a.arrival_us, s.start_us + {_INTERVAL})
- FROM s JOIN a ON a.domain = s.domain AND a.rn = s.rn + 1)"""
-SLOTS_SQL = f"WITH {_SLOTS} SELECT request_id, domain, arrival_us, start_us, start_us - arrival_us AS wait_us FROM s"
+_GAPS = f"""WITH a AS (SELECT request_id, {DOMAIN} AS domain, epoch_us(ts) AS arrival_us, epoch_us(ts) - lag(epoch_us(ts)) OVER
+ (PARTITION BY {DOMAIN} ORDER BY ts, request_id) AS gap_us FROM f_requests)
+SELECT request_id, domain, arrival_us, gap_us, CAST(coalesce(greatest({_INTERVAL} - gap_us, 0), 0) AS BIGINT) AS short_us FROM a"""
 
 
 def domain_log(spark):
     return spark.table("f_requests").withColumn("domain", U.domain_of(F.col("url")))
 
 
-@query("rate_slots", "f_requests", sql=SLOTS_SQL, recursive=True)
+@query("rate_slots", "f_requests", sql=_GAPS)
 def rate_slots(spark, root):
     return P.rate_slots(domain_log(spark), interval_us=_INTERVAL)
 
@@ -351,18 +299,10 @@ def domain_concurrency(spark, root):
     return P.domain_concurrency(flights)
 
 
-_BREAKER = f"""WITH a AS MATERIALIZED (SELECT request_id, {DOMAIN} AS domain, epoch_us(ts) AS t_us,
-  CASE WHEN status_code IN (403, 429, 503) THEN TRUE WHEN status_code = 404 THEN NULL ELSE FALSE END AS failed,
-  row_number() OVER (PARTITION BY {DOMAIN} ORDER BY ts, request_id) AS rn FROM f_requests),
-b(domain, rn, request_id, state, n, until) AS (
- SELECT domain, rn, request_id, 'closed', CASE WHEN failed THEN 1 ELSE 0 END, CAST(NULL AS BIGINT) FROM a WHERE rn = 1
- UNION ALL
- SELECT a.domain, a.rn, a.request_id, CASE WHEN b.until IS NULL THEN 'closed' WHEN a.t_us < b.until THEN 'open' ELSE 'half_open' END,
-  CASE WHEN b.until IS NOT NULL AND a.t_us < b.until THEN b.n WHEN a.failed IS NULL THEN b.n WHEN a.failed THEN b.n + 1 ELSE 0 END,
-  CASE WHEN b.until IS NOT NULL AND a.t_us < b.until THEN b.until WHEN a.failed IS NULL THEN b.until
-   WHEN a.failed AND (b.until IS NOT NULL OR b.n + 1 = 2) THEN a.t_us + 14400000000 WHEN a.failed THEN NULL END
- FROM b JOIN a ON a.domain = b.domain AND a.rn = b.rn + 1)
-SELECT request_id, domain, state FROM b"""
+_RUNS = f"""WITH a AS (SELECT {DOMAIN} AS domain, epoch_us(ts) AS t_us, request_id,
+  CASE WHEN status_code IN (403, 429, 503) THEN TRUE WHEN status_code = 404 THEN NULL ELSE FALSE END AS failed FROM f_requests),
+b AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY domain ORDER BY t_us, request_id ROWS UNBOUNDED PRECEDING) AS good FROM a)
+SELECT domain, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS failures FROM b WHERE failed GROUP BY domain, good HAVING count(*) >= 2"""
 
 
 def judged_log(spark):
@@ -370,34 +310,19 @@ def judged_log(spark):
     return domain_log(spark).withColumn("failed", failed)
 
 
-@query("circuit_breaker", "f_requests", sql=_BREAKER, recursive=True)
+@query("circuit_breaker", "f_requests", sql=_RUNS)
 def circuit_breaker(spark, root):
-    return P.circuit_breaker(judged_log(spark), failures=2, cooldown_us=14_400_000_000).select(
-        "request_id", "domain", "state"
-    )
-
-
-@query("circuit_breaker_hot", "f_requests", sql=_BREAKER, recursive=True)
-def circuit_breaker_hot(spark, root):
-    """The plan for domains too large for one task, here over every domain."""
-    return P.circuit_breaker(
-        judged_log(spark), failures=2, cooldown_us=14_400_000_000, hot_rows=0, chunk_us=24 * 3_600_000_000
-    ).select("request_id", "domain", "state")
+    return P.circuit_breaker(judged_log(spark), failures=2).select("domain", "start_us", "end_us", "failures")
 
 
 @query(
     "cache_hit_rate",
     "f_requests",
-    sql=f"""WITH {_REPLAY} SELECT count(*) AS lookups, count(*) FILTER (outcome = 'hit') AS hits,
+    sql=f"""WITH {_REUSE} SELECT count(*) AS lookups, count(*) FILTER (outcome = 'hit') AS hits,
  round(avg(CASE WHEN outcome = 'hit' THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM replay WHERE NOT force_refresh AND ttl > 0""",
-    recursive=True,
 )
 def cache_hit_rate(spark, root):
     from ..operators import metrics as M
 
     log = request_log(spark)
     return M.cache_hit_rate(C.cache_replay(log).join(log.select("request_id", "read"), "request_id"))
-
-
-REPLAY_SQL = f"WITH {_REPLAY} SELECT fetch_key, request_id, outcome FROM replay"
-__all__ = ["REPLAY_SQL", "SLOTS_SQL", "domain_log", "judged_log", "request_log"]

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timing import micros
+from ..functions import urls as U
 from ..sources.fixtures import VIEWS
 from ..streaming import jobs as Z
-from .book import query
-from .fetchlog import REPLAY_SQL, SLOTS_SQL, domain_log, request_log
+from .book import DOMAIN, query
 from .jobs import BATCH_SQL, now
 
 
@@ -18,40 +17,48 @@ def stream_view(spark, root, name):
     spark.sql(VIEWS[name]).createOrReplaceTempView(name)
 
 
-@query("stream_cache", sql=REPLAY_SQL, recursive=True, oracle_views=("f_requests",))
-def stream_cache(spark, root):
-    stream_view(spark, root, "f_requests")
-    log = Z.as_fold_input(request_log(spark))
-    return Z.run_to_end(Z.stream_cache(log), "cache").select("fetch_key", "request_id", "outcome")
+def _log(spark):
+    stamped = spark.table("f_requests").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.select(
+        F.concat_ws("|", "url", "mode").alias("fetch_key"), U.domain_of(F.col("url")).alias("domain"), "ts",
+        F.col("status_code").between(200, 399).alias("success"),
+    )
 
 
-_FLIGHTS = """WITH a AS MATERIALIZED (SELECT concat_ws('|', url, mode) AS fetch_key, request_id, epoch_us(ts) AS t_us, elapsed_ms * 200000000 AS e,
-  row_number() OVER (PARTITION BY url, mode ORDER BY ts, request_id) AS rn FROM f_requests),
-w(fetch_key, rn, request_id, leads, busy) AS (SELECT fetch_key, rn, request_id, TRUE, t_us + e FROM a WHERE rn = 1
- UNION ALL SELECT a.fetch_key, a.rn, a.request_id, a.t_us >= w.busy, CASE WHEN a.t_us >= w.busy THEN a.t_us + a.e ELSE w.busy END
- FROM w JOIN a ON a.fetch_key = w.fetch_key AND a.rn = w.rn + 1)
-SELECT fetch_key, request_id FROM w WHERE leads"""
+@query(
+    "stream_cache",
+    sql="""SELECT concat_ws('|', url, mode) AS fetch_key, epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) AS n,
+ count(*) FILTER (status_code BETWEEN 200 AND 399) AS n_success, epoch_us(max(ts)) AS last_used_us FROM f_requests GROUP BY 1, 2""",
+    oracle_views=("f_requests",),
+)
+def stream_cache(spark, root):
+    stream_view(spark, root, "f_requests")
+    updates = Z.run_to_end(Z.stream_cache(_log(spark)), "cache", "update")
+    latest = Z.latest_update(updates, ["fetch_key", "hour"])
+    return latest.select("fetch_key", F.unix_micros("hour").alias("hour_us"), "n", "n_success", F.unix_micros("last_used").alias("last_used_us"))
 
 
-@query("stream_inflight_dedupe", sql=_FLIGHTS, recursive=True, oracle_views=("f_requests",))
+@query(
+    "stream_inflight_dedupe",
+    sql="SELECT DISTINCT concat_ws('|', url, mode) AS fetch_key, epoch_us(date_trunc('hour', ts)) AS hour_us FROM f_requests",
+    oracle_views=("f_requests",),
+)
 def stream_inflight_dedupe(spark, root):
-    """Flights are stretched to hours, so that many requests meet one in flight."""
     stream_view(spark, root, "f_requests")
-    log = spark.table("f_requests").select(
-        F.concat_ws("|", "url", "mode").alias("fetch_key"),
-        "request_id",
-        micros(F.col("ts")).alias("at"),
-        (F.col("elapsed_ms") * 200_000_000).alias("elapsed_us"),
-    )
-    return Z.run_to_end(Z.stream_inflight_dedupe(log), "dedupe").select("fetch_key", "request_id")
+    passed = Z.run_to_end(Z.stream_inflight_dedupe(_log(spark)), "dedupe")
+    return passed.select("fetch_key", F.unix_micros("hour").alias("hour_us"))
 
 
-@query("stream_rate_slots", sql=SLOTS_SQL.replace(", start_us - arrival_us AS wait_us", ""), recursive=True, oracle_views=("f_requests",))
+@query(
+    "stream_rate_slots",
+    sql=f"""SELECT {DOMAIN} AS domain, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS slot_us, count(*) AS n, count(*) - 1 AS above
+FROM f_requests GROUP BY 1, 2""",
+    oracle_views=("f_requests",),
+)
 def stream_rate_slots(spark, root):
     stream_view(spark, root, "f_requests")
-    arrivals = domain_log(spark).select("domain", "request_id", micros(F.col("ts")).alias("arrival_us"))
-    slots = Z.run_to_end(Z.stream_rate_slots(arrivals, interval_us=600_000_000), "slots")
-    return slots.select("request_id", "domain", "arrival_us", "start_us")
+    latest = Z.latest_update(Z.run_to_end(Z.stream_rate_slots(_log(spark)), "slots", "update"), ["domain", "slot"])
+    return latest.select("domain", F.unix_micros("slot").alias("slot_us"), "n", "above")
 
 
 @query(

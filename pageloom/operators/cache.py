@@ -1,4 +1,4 @@
-"""Cache reuse over a request log: look-ups, replay, in-flight merging, eviction.
+"""Cache reuse in a recorded request log: look-ups, reuse, overlaps, recency.
 
 A request log row has fetch_key, request_id, ts, ttl, force_refresh, success and,
 where flight times matter, elapsed_ms. Rows of one key are in order of (ts, request_id).
@@ -6,26 +6,18 @@ where flight times matter, elapsed_ms. Rows of one key are in order of (ts, requ
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
-from ..plans.chains import mark_paths
-from ..plans.folds import HOT_ROWS, fold_by_key, split_hot
-from ..plans.running import HOUR_US, queue_free, running, with_chunk
-from ..session import shared_root
+from ..plans.running import SECOND_US, running, with_chunk
 from ..settings import DEFAULTS
 from .requests import may_read, may_write
 
-STEP = ("at", "ttl_us", "force_refresh", "success", "elapsed_us")
-
-
 # ---------------------------------------------------------------------------
 # look-up
 # ---------------------------------------------------------------------------
-def cache_lookup(requests: DataFrame, entries: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
+def cache_lookup(requests: DataFrame, entries: DataFrame, chunk_us: int = SECOND_US) -> DataFrame:
     """As-of join: the entry last set before a request, if it has not expired.
 
     ``requests``: request_id, fetch_key, ts. ``entries``: entry_id, fetch_key, set_at,
@@ -62,241 +54,60 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, chunk_us: int = HOUR_U
 
 
 # ---------------------------------------------------------------------------
-# per-key folds, streamed over sorted partitions
+# what the log records about reuse
 # ---------------------------------------------------------------------------
-class Replay:
-    """One cache entry per key, written at once; serves reads until it expires."""
-
-    def __init__(self, expires: int | None = None):
-        self.expires = expires
-
-    def step(self, at: int, ttl: int, force: bool, ok: bool, elapsed: int) -> str:
-        if not force and ttl > 0 and self.expires is not None and self.expires > at:
-            return "hit"
-        if ok and ttl > 0:
-            self.expires = at + ttl
-        return "miss"
-
-
-class NegativeReplay(Replay):
-    """Also keeps failures, for a short time of their own."""
+def cache_replay(log: DataFrame, negative_ttl: int | None = None, chunk_us: int = SECOND_US) -> DataFrame:
+    """hit or miss per request: (fetch_key, request_id, at, outcome), from recorded responses.
 
-    def __init__(self, negative_ttl: int):
-        super().__init__()
-        self.negative_ttl = negative_ttl
-        self.negative = False
-
-    def step(self, at, ttl, force, ok, elapsed):
-        if not force and ttl > 0 and self.expires is not None and self.expires > at:
-            return "negative_hit" if self.negative else "hit"
-        if ttl > 0 and (ok or self.negative_ttl > 0):
-            self.expires = at + (ttl if ok else min(ttl, self.negative_ttl))
-            self.negative = not ok
-        return "miss"
-
-
-class Inflight:
-    """One upstream fetch per key at a time; waiters look again when it ends.
-
-    leader: fetched without waiting. merged: waited and found the entry.
-    refetch: waited and fetched after all. hit: served without waiting.
+    Each recorded success with a ttl is an entry from its own time on; a request that may
+    read hits if the newest one before it has not expired. With ``negative_ttl`` recorded
+    failures are entries too, for that many seconds at most, and give ``negative_hit``.
+    Every recorded response counts, whether or not a cache would have let it happen.
     """
-
-    def __init__(self):
-        self.free = None  # when the last fetch ends
-        self.entry = None  # (set_at, expires) visible
-        self.coming = deque()  # entries set in the future, in order
-
-    def _visible(self, at: int) -> bool:
-        while self.coming and self.coming[0][0] <= at:
-            self.entry = self.coming.popleft()
-        return self.entry is not None and self.entry[1] > at
-
-    def step(self, at, ttl, force, ok, elapsed):
-        readable = not force and ttl > 0
-        if readable and self._visible(at):
-            return "hit"
-        start = at if self.free is None or self.free <= at else self.free
-        waited = start > at
-        if waited and readable:
-            # entries are set in the order of the lock, so the last one counts here
-            last = self.coming[-1] if self.coming else self.entry
-            if last is not None and last[1] > start:
-                return "merged"
-        self.free = start + elapsed
-        if ok and ttl > 0:
-            self.coming.append((self.free, self.free + ttl))
-        return "refetch" if waited else "leader"
-
-
-def _timeline(log: DataFrame) -> DataFrame:
-    """The narrow columns a fold needs, times in microseconds."""
-    elapsed = F.col("elapsed_ms") * 1000 if "elapsed_ms" in log.columns else F.lit(0)
-    return log.select(
-        "fetch_key",
-        micros(F.col("ts")).alias("at"),
-        "request_id",
+    rows = log.select(
+        "fetch_key", micros(F.col("ts")).alias("at"), "request_id", "force_refresh", "success",
         (F.col("ttl").cast("bigint") * 1_000_000).alias("ttl_us"),
-        "force_refresh",
-        "success",
-        elapsed.cast("bigint").alias("elapsed_us"),
-    )
-
-
-# ---------------------------------------------------------------------------
-# replay
-# ---------------------------------------------------------------------------
-def cache_replay(log: DataFrame, hot_rows: int = HOT_ROWS, chunk_us: int = HOUR_US) -> DataFrame:
-    """hit or miss per request: (fetch_key, request_id, at, outcome).
-
-    An entry lives for the ttl of the request that wrote it; forced requests do not
-    read but write; failures are not kept. Keys with more than ``hot_rows`` rows are
-    found by one pre-aggregated count and go to :func:`replay_hot`, which spreads a
-    single key over all tasks.
-    """
-    cool, hot = split_hot(_timeline(log), "fetch_key", hot_rows)
-    replayed = fold_by_key(cool, Replay, STEP)
-    return replayed if hot is None else replayed.unionByName(replay_hot(hot, chunk_us))
-
-
-def _next_at_or_after(points: DataFrame, probes: DataFrame, chunk_us: int) -> DataFrame:
-    """For each probe (probe, key, at) the first point (id, key, at) at or after its time."""
-    line = points.select(
-        "fetch_key", "at", F.lit(1).alias("kind"), F.struct("at", "id").alias("point"), F.lit(None).cast(points.schema["id"].dataType).alias("probe")
-    ).unionByName(
-        probes.select(
-            "fetch_key", "at", F.lit(0).alias("kind"), F.lit(None).cast(_point_type(points)).alias("point"), F.col("probe")
-        )
-    )
-    line = with_chunk(line, F.col("at"), chunk_us)
-    found = running(line, ["fetch_key"], ["at", "kind"], {"next": ("min", F.col("point"))}, backward=True)
-    return found.where(F.col("kind") == 0).select("probe", "next")
-
-
-def _point_type(points: DataFrame) -> str:
-    return f"struct<at:bigint,id:{points.schema['id'].dataType.simpleString()}>"
-
-
-def replay_hot(rows: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
-    """The replay of keys too large for one task, by joins and chunked windows only.
-
-    Every request that could write points at the next one that would write after
-    it: the first one at or after its expiry, or the first forced write. The writes
-    that really happened are the path from a key's first candidate; each request then
-    looks up the last real write before it.
-    """
-    order = F.struct("at", F.col("request_id").alias("id"))
-    can_write = F.col("success") & (F.col("ttl_us") > 0)
-    rows = rows.withColumn("place", order)
-    candidates = rows.where(can_write).select(
-        "fetch_key", F.col("request_id").alias("id"), "at", "ttl_us", "force_refresh", "place"
-    )
-    # first candidate once the entry is gone
-    after = _next_at_or_after(
-        candidates, candidates.select(F.col("id").alias("probe"), "fetch_key", (F.col("at") + F.col("ttl_us")).alias("at")),
-        chunk_us,
     )
-    # first forced write strictly later in order
-    forced = running(
-        with_chunk(candidates, F.col("at"), chunk_us),
-        ["fetch_key"],
-        ["at", "id"],
-        {"forced": ("min", F.when(F.col("force_refresh"), F.col("place")))},
-        backward=True,
-        exclusive=True,
-    )
-    pointers = forced.join(after, F.col("id") == F.col("probe"), "left").select(
-        "id", F.least("next", "forced")["id"].alias("next")
-    )
-    roots = candidates.groupBy("fetch_key").agg(F.min("place")["id"].alias("id")).select("id")
-    written = mark_paths(pointers, roots).withColumn("_wrote", F.lit(True))
-
-    placed = rows.join(written, F.col("request_id") == written["id"], "left").drop("id")
-    line = with_chunk(placed, F.col("at"), chunk_us)
-    latest = running(
-        line,
-        ["fetch_key"],
-        ["at", "request_id"],
-        {
-            "last_write": (
-                "max",
-                F.when(F.col("_wrote"), F.struct("at", "request_id", (F.col("at") + F.col("ttl_us")).alias("expires"))),
-            )
-        },
-    )
-    readable = ~F.col("force_refresh") & (F.col("ttl_us") > 0)
-    alive = F.coalesce(F.col("last_write.expires") > F.col("at"), F.lit(False))
-    hit = F.col("_wrote").isNull() & readable & alive
-    return latest.select("fetch_key", "request_id", "at", F.when(hit, "hit").otherwise("miss").alias("outcome"))
+    life = F.col("ttl_us") if negative_ttl is None else F.when(F.col("success"), F.col("ttl_us")).otherwise(F.least("ttl_us", F.lit(negative_ttl * 1_000_000)))
+    kept = (F.col("ttl_us") > 0) & (F.col("success") if negative_ttl is None else F.lit(True))
+    entry = F.when(kept, F.struct("at", "request_id", (F.col("at") + life).alias("expires"), "success"))
+    line = with_chunk(rows, F.col("at"), chunk_us)
+    latest = running(line, ["fetch_key"], ["at", "request_id"], {"entry": ("max", entry)}, exclusive=True)
+    hit = ~F.col("force_refresh") & (F.col("ttl_us") > 0) & F.coalesce(F.col("entry.expires") > F.col("at"), F.lit(False))
+    outcome = F.when(hit & F.col("entry.success"), "hit").when(hit, "negative_hit").otherwise("miss")
+    return latest.select("fetch_key", "request_id", "at", outcome.alias("outcome"))
 
 
-def negative_cache(log: DataFrame, negative_ttl: int) -> DataFrame:
-    """Replay that keeps failures too, for at most ``negative_ttl`` seconds."""
-    ttl_us = negative_ttl * 1_000_000
-    return fold_by_key(_timeline(log), lambda: NegativeReplay(ttl_us), STEP)
+def negative_cache(log: DataFrame, negative_ttl: int, chunk_us: int = SECOND_US) -> DataFrame:
+    """The same with recorded failures, for at most ``negative_ttl`` seconds."""
+    return cache_replay(log, negative_ttl, chunk_us)
 
 
-# ---------------------------------------------------------------------------
-# in flight
-# ---------------------------------------------------------------------------
-def inflight_merge(log: DataFrame, hot_rows: int = HOT_ROWS, chunk_us: int = HOUR_US) -> DataFrame:
-    """hit, leader, merged or refetch per request, with flight times.
+def inflight_merge(log: DataFrame, chunk_us: int = SECOND_US) -> DataFrame:
+    """Requests that came while an earlier one of their key was in flight: (fetch_key, request_id, at, busy_until, overlaps).
 
-    Keys above ``hot_rows`` are cut into stretches that cannot influence each other,
-    so that their rows spread over the tasks.
+    A running maximum of the recorded ends; an end frees the key for a request at its time.
     """
-    cool, hot = split_hot(_timeline(log), "fetch_key", hot_rows)
-    merged = fold_by_key(cool, Inflight, STEP)
-    if hot is None:
-        return merged
-    stretches = split_when_idle(hot, chunk_us)
-    return merged.unionByName(fold_by_key(stretches, Inflight, STEP, ("fetch_key", "part")).drop("part"))
-
-
-def split_when_idle(rows: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
-    """Number the stretches of each key that cannot influence each other.
-
-    A stretch ends where, whatever happened, no fetch is in flight and no entry is
-    left: at a request later than the last possible end of all earlier fetches plus
-    the largest ttl among them. The bound treats every request as a fetch of its own
-    behind the lock.
-    """
-    keys, order = ["fetch_key"], ["at", "request_id"]
+    rows = log.select("fetch_key", micros(F.col("ts")).alias("at"), "request_id", (F.col("elapsed_ms") * 1000).cast("bigint").alias("elapsed_us"))
     line = with_chunk(rows, F.col("at"), chunk_us)
-    shared_root(rows.sparkSession)
-    queued = queue_free(line, keys, order, F.col("at"), F.col("elapsed_us")).checkpoint()
-    bounded = running(queued, keys, order, {"longest": ("max", F.col("ttl_us"))}, exclusive=True).checkpoint()
-    quiet_at = F.col("free") + F.greatest("longest", F.lit(0))
-    fresh = F.coalesce(F.col("at") > quiet_at, F.lit(False)).cast("int")
-    return running(bounded, keys, order, {"part": ("sum", fresh)}).select(*rows.columns, "part")
+    seen = running(line, ["fetch_key"], ["at", "request_id"], {"busy_until": ("max", F.col("at") + F.col("elapsed_us"))}, exclusive=True)
+    return seen.select("fetch_key", "request_id", "at", "busy_until", F.coalesce(F.col("busy_until") > F.col("at"), F.lit(False)).alias("overlaps"))
 
 
 # ---------------------------------------------------------------------------
 # eviction, fallback, purge
 # ---------------------------------------------------------------------------
-def lru_resident(outcomes: DataFrame, entries: int = DEFAULTS.cache_entries) -> DataFrame:
-    """Keys left in a cache of ``entries`` keys: the most recently used ones.
-
-    ``outcomes``: fetch_key, at, request_id, outcome, wrote. A write or a hit is a
-    use; an expired read drops the key. Pre-aggregated per key, then a top-k.
-    """
-    place = F.struct("at", "request_id")
-    used = (F.col("outcome") == "hit") | F.col("wrote")
-    per_key = outcomes.groupBy("fetch_key").agg(
-        F.max(F.when(used, place)).alias("last_use"),
-        F.max(F.when((F.col("outcome") == "miss") & F.col("read"), place)).alias("last_drop"),
-    )
-    held = per_key.where(
-        F.col("last_use").isNotNull() & (F.col("last_drop").isNull() | (F.col("last_use") >= F.col("last_drop")))
-    )
+def lru_resident(log: DataFrame, entries: int = DEFAULTS.cache_entries) -> DataFrame:
+    """The ``entries`` keys used last (fetch_key, last_used_at, last_request): pre-aggregated per key, then a top-k."""
+    used = log.groupBy("fetch_key").agg(F.max(F.struct(micros(F.col("ts")).alias("at"), "request_id")).alias("last"))
     return (
-        held.select("fetch_key", F.col("last_use.at").alias("last_used_at"), F.col("last_use.request_id").alias("last_request"))
+        used.select("fetch_key", F.col("last.at").alias("last_used_at"), F.col("last.request_id").alias("last_request"))
         .orderBy(F.desc("last_used_at"), F.desc("last_request"))
         .limit(entries)
     )
 
 
-def stale_if_error(log: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
+def stale_if_error(log: DataFrame, chunk_us: int = SECOND_US) -> DataFrame:
     """Failed requests get the key's most recent earlier success, flagged stale."""
     line = log.select(
         "fetch_key", "request_id", micros(F.col("ts")).alias("at"), F.col("success").alias("ok")
@@ -316,10 +127,10 @@ def stale_if_error(log: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
 
 
 def cache_purge(entries: DataFrame, purge: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Entries that no purge row matches; a NULL in a purge row matches anything."""
+    """Entries that no purge row (what, value) names by one of ``columns``; a NULL value names nothing."""
     rest = entries
     for column in columns:
-        named = purge.where(F.col("what") == column).select(F.col("value").alias("_value")).distinct()
+        named = purge.where((F.col("what") == column) & F.col("value").isNotNull()).select(F.col("value").alias("_value")).distinct()
         rest = rest.join(named, F.col(column) == F.col("_value"), "left_anti")
     return rest
 

@@ -1,4 +1,4 @@
-"""Per-domain pacing: start slots, concurrency, circuit breaking."""
+"""Per-domain pacing in a recorded log: gaps, concurrency, runs of failures."""
 
 from __future__ import annotations
 
@@ -6,31 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
-from ..plans.chains import mark_paths
-from ..plans.folds import HOT_ROWS, fold_by_key, split_hot
-from ..plans.running import HOUR_US, queue_free, running, with_chunk
-from ..session import shared_root
+from ..plans.running import SECOND_US, running, with_chunk
 from ..settings import DEFAULTS
 
 
 def rate_slots(
-    requests: DataFrame, interval_us: int = DEFAULTS.domain_interval_us, chunk_us: int = HOUR_US
+    requests: DataFrame, interval_us: int = DEFAULTS.domain_interval_us, chunk_us: int = SECOND_US
 ) -> DataFrame:
-    """When each request may start: one per interval and domain, in order of arrival.
+    """Recorded gaps per domain: each request's distance to the one before, and how far it is below the interval.
 
-    ``requests``: request_id, domain, ts. A domain is a queue that every request
-    blocks for one interval; it is computed in chunks, so a hot domain uses many tasks.
+    ``requests``: request_id, domain, ts. The first request of a domain has no gap.
     """
     arrivals = requests.select("request_id", "domain", micros(F.col("ts")).alias("arrival_us"))
     line = with_chunk(arrivals, F.col("arrival_us"), chunk_us)
-    arrival = F.col("arrival_us")
-    queued = queue_free(line, ["domain"], ["arrival_us", "request_id"], arrival, F.lit(interval_us).cast("bigint"))
-    start = F.greatest(arrival, F.col("free"))
-    return queued.select("request_id", "domain", "arrival_us", start.alias("start_us"), (start - arrival).alias("wait_us"))
+    seen = running(line, ["domain"], ["arrival_us", "request_id"], {"before": ("max", F.col("arrival_us"))}, exclusive=True)
+    gap = F.col("arrival_us") - F.col("before")
+    return seen.select(
+        "request_id", "domain", "arrival_us", gap.alias("gap_us"),
+        F.coalesce(F.greatest(F.lit(interval_us) - gap, F.lit(0)), F.lit(0)).cast("bigint").alias("short_us"),
+    )
 
 
 def domain_concurrency(
-    flights: DataFrame, limit: int = DEFAULTS.domain_concurrency, chunk_us: int = HOUR_US
+    flights: DataFrame, limit: int = DEFAULTS.domain_concurrency, chunk_us: int = SECOND_US
 ) -> DataFrame:
     """Peak number of requests in flight per domain and how many started above the limit.
 
@@ -53,133 +51,18 @@ def domain_concurrency(
     )
 
 
-class Breaker:
-    """One domain's breaker, stepped in time order."""
-
-    def __init__(self, failures: int, cooldown_us: int):
-        self.failures, self.cooldown_us = failures, cooldown_us
-        self.in_a_row = 0
-        self.until = None  # end of the cool-down while open
-
-    def step(self, at, failed):
-        if self.until is not None and at < self.until:
-            return "open"
-        probing = self.until is not None
-        if failed is not None:
-            self.in_a_row = self.in_a_row + 1 if failed else 0
-            if failed and (probing or self.in_a_row == self.failures):
-                self.until = at + self.cooldown_us
-            elif probing:
-                self.until = None
-        return "half_open" if probing else "closed"
-
-
-def circuit_breaker(
-    outcomes: DataFrame,
-    failures: int = 5,
-    cooldown_us: int = 60_000_000,
-    hot_rows: int = HOT_ROWS,
-    chunk_us: int = HOUR_US,
-) -> DataFrame:
-    """State met by every request of a domain: closed, open (refused) or half_open (probe).
+def circuit_breaker(outcomes: DataFrame, failures: int = 5, chunk_us: int = SECOND_US) -> DataFrame:
+    """Runs of at least ``failures`` recorded failures in a row: (domain, start_us, end_us, failures).
 
-    ``outcomes``: request_id, domain, ts, failed (NULL for errors that are not the
-    domain's fault; these neither count nor reset). ``failures`` in a row open the
-    breaker; after the cool-down the next request is the probe: its success closes,
-    its failure opens again. What a refused request recorded is ignored. Domains with
-    more than ``hot_rows`` rows are not folded in one task, see :func:`breaker_hot`.
+    ``outcomes``: request_id, domain, ts, failed (NULL for errors that are not the domain's
+    fault; these neither count nor end a run). Gaps and islands: failures with as many
+    successes before them are one run.
     """
-    rows = outcomes.select(
-        "request_id", "domain", micros(F.col("ts")).alias("at"), F.col("failed").cast("boolean").alias("failed")
-    )
-    cool, hot = split_hot(rows, "domain", hot_rows)
-    folded = fold_by_key(cool, lambda: Breaker(failures, cooldown_us), ("at", "failed"), ("domain",)).select(
-        "request_id", "domain", "at", F.col("outcome").alias("state")
-    )
-    return folded if hot is None else folded.unionByName(breaker_hot(hot, failures, cooldown_us, chunk_us))
-
-
-def breaker_hot(rows: DataFrame, failures: int, cooldown_us: int, chunk_us: int = HOUR_US) -> DataFrame:
-    """The breaker of domains too large for one task, by joins and chunked windows.
-
-    An opening points at the next one: at the probe after its cool-down if that
-    fails, else at the first run of enough failures after the probe. The openings
-    that happened are the path from the first run.
-    """
-    keys, order = ["domain"], ["at", "request_id"]
-    # each step reads the one before twice (rows and chunk totals), so the steps are written
-    shared_root(rows.sparkSession)
-    rows = rows.withColumn("place", F.struct("at", "request_id"))
+    rows = outcomes.select("request_id", "domain", micros(F.col("ts")).alias("at"), F.col("failed").cast("boolean").alias("failed"))
     line = with_chunk(rows, F.col("at"), chunk_us)
-
-    # failures since the last success before them
-    failed = F.coalesce(F.col("failed").cast("bigint"), F.lit(0))
-    counted = running(line, keys, order, {"n_failed": ("sum", failed)}).checkpoint()
-    counted = running(counted, keys, order, {"base": ("max", F.when(~F.col("failed"), F.col("n_failed")))})
-    run_length = F.col("n_failed") - F.coalesce("base", F.lit(0))
-    marked = counted.withColumn("trips", F.coalesce(F.col("failed") & (run_length == failures), F.lit(False)))
-    marked = marked.checkpoint()
-
-    # next row of each kind strictly after a row
-    ahead = running(
-        marked,
-        keys,
-        order,
-        {"next_trip": ("min", F.when(F.col("trips"), F.col("place")))},
-        backward=True,
-        exclusive=True,
-    ).select("request_id", "domain", "at", "failed", "place", "trips", "next_trip").checkpoint()
-
-    # the probe of a failed row: the first judged row at or after its cool-down
-    points = ahead.where(F.col("failed").isNotNull()).select(
-        "domain",
-        "at",
-        F.lit(1).alias("kind"),
-        F.struct("at", "request_id", "failed", "next_trip").alias("point"),
-        F.lit(None).cast(ahead.schema["request_id"].dataType).alias("opened"),
-    )
-    openings = ahead.where(F.col("failed")).select(
-        "domain",
-        (F.col("at") + cooldown_us).alias("at"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast(points.schema["point"].dataType).alias("point"),
-        F.col("request_id").alias("opened"),
-    )
-    probes = running(
-        with_chunk(points.unionByName(openings), F.col("at"), chunk_us),
-        keys,
-        ["at", "kind"],
-        {"probe": ("min", F.col("point"))},
-        backward=True,
-    ).where(F.col("kind") == 0).checkpoint()
-    following = F.when(F.col("probe.failed"), F.col("probe.request_id")).otherwise(F.col("probe.next_trip.request_id"))
-    pointers = probes.select(
-        F.col("opened").alias("id"),
-        following.alias("next"),
-        F.col("probe.at").alias("probe_at"),
-        F.col("probe.request_id").alias("probe_id"),
-    )
-    roots = ahead.where("trips").groupBy("domain").agg(F.min("place")["request_id"].alias("id")).select("id")
-    opened = mark_paths(pointers.select("id", "next"), roots)
-
-    # every row looks at the last opening before it
-    happened = opened.join(pointers, "id", "left").select(
-        F.col("id").alias("_id"), F.struct("probe_at", "probe_id").alias("_probe"), F.lit(True).alias("_opened")
-    )
-    placed = rows.join(happened, F.col("request_id") == F.col("_id"), "left").drop("_id")
-    latest = running(
-        with_chunk(placed, F.col("at"), chunk_us),
-        keys,
-        order,
-        {"last": ("max", F.when(F.col("_opened"), F.struct("at", "request_id", "_probe")))},
-        exclusive=True,
-    )
-    probe = F.struct(F.col("last._probe.probe_at").alias("at"), F.col("last._probe.probe_id").alias("request_id"))
-    cooling = F.col("at") < F.col("last.at") + cooldown_us
-    state = (
-        F.when(F.col("last").isNull(), "closed")
-        .when(cooling, "open")
-        .when(F.col("last._probe.probe_at").isNull() | (F.col("place") <= probe), "half_open")
-        .otherwise("closed")
+    good = F.coalesce(~F.col("failed"), F.lit(False)).cast("bigint")
+    island = running(line, ["domain"], ["at", "request_id"], {"good": ("sum", good)})
+    runs = island.where("failed").groupBy("domain", "good").agg(
+        F.min("at").alias("start_us"), F.max("at").alias("end_us"), F.count("*").alias("failures")
     )
-    return latest.select("request_id", "domain", "at", state.alias("state"))
+    return runs.where(F.col("failures") >= failures).drop("good")

@@ -1 +1 @@
-"""Reusable plan shapes: chunked running aggregates, pointer chains."""
+"""Reusable plan shapes: chunked running aggregates."""

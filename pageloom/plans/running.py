@@ -1,11 +1,11 @@
 """Running aggregates that do not put one key into one task.
 
 A window over ``partition by key order by time`` reads a whole key in one task, so
-one hot key is as slow as all of its rows. Here a key's timeline is cut into chunks
-of time. Each (key, chunk) is a window of its own; the totals of the chunks, one
-small row each, are run over the key; both are put together. The rows are shuffled
-once, by (key, chunk), and every further running aggregate over the same chunks
-reuses that shuffle.
+one hot key is as slow as all of its rows. Here a key's timeline is cut on two levels,
+seconds within hours. Each (key, second) is a window of its own; the totals of the
+seconds are run within their hour, and the totals of the hours over the key; the three
+are put together. So no task holds more of a key than the rows of a second, the seconds
+of an hour, or the hours of its life.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-HOUR_US = 3_600_000_000
+GROUPED = "_group"
+SECOND_US = 1_000_000
+#: Chunks that make one group of the level above.
+GROUP = 3600
 
 _FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -28,7 +31,7 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.greatest(carried, local) if kind == "max" else F.least(carried, local)
 
 
-def with_chunk(df: DataFrame, time_us: Column, width_us: int = HOUR_US) -> DataFrame:
+def with_chunk(df: DataFrame, time_us: Column, width_us: int = SECOND_US) -> DataFrame:
     """Add the chunk number of each row's time."""
     return df.withColumn(CHUNK, F.floor(time_us / F.lit(width_us)).cast("bigint"))
 
@@ -48,7 +51,7 @@ def running(
     the row itself out.
     """
     keys = list(keys)
-    local, before = _windows(keys, order, backward, exclusive)
+    local = _local(keys, order, backward, exclusive)
     inside = df.withColumns(
         {f"_in_{name}": _FUNCTIONS[kind](value).over(local) for name, (kind, value) in aggregates.items()}
     )
@@ -56,14 +59,7 @@ def running(
     totals = df.groupBy(*keys, CHUNK).agg(
         *[_FUNCTIONS[kind](value).alias(f"_all_{name}") for name, (kind, value) in aggregates.items()]
     )
-    carried = totals.select(
-        *keys,
-        CHUNK,
-        *[
-            _FUNCTIONS[kind](F.col(f"_all_{name}")).over(before).alias(f"_carry_{name}")
-            for name, (kind, _) in aggregates.items()
-        ],
-    )
+    carried = _carried(totals, keys, {name: kind for name, (kind, _) in aggregates.items()}, backward)
     return inside.join(carried, [*keys, CHUNK], "left").select(
         *df.columns,
         *[
@@ -73,41 +69,21 @@ def running(
     )
 
 
-def _windows(keys: list[str], order: Sequence[str], backward: bool = False, exclusive: bool = False):
-    """Window inside a chunk, and window over the chunks before one."""
-
-    def ordered(names):
-        return [F.col(name).desc() if backward else F.col(name).asc() for name in names]
-
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*ordered(order))
-    before = Window.partitionBy(*keys).orderBy(*ordered([CHUNK]))
-    return (
-        local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0),
-        before.rowsBetween(Window.unboundedPreceding, -1),
+def _carried(totals: DataFrame, keys: list[str], kinds: dict[str, str], backward: bool) -> DataFrame:
+    """What each chunk starts with: all chunks before it, by groups of chunks."""
+    grouped = totals.withColumn(GROUPED, F.floor(F.col(CHUNK) / F.lit(GROUP)))
+    order = lambda name: F.col(name).desc() if backward else F.col(name).asc()
+    in_group = Window.partitionBy(*keys, GROUPED).orderBy(order(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    over_groups = Window.partitionBy(*keys).orderBy(order(GROUPED)).rowsBetween(Window.unboundedPreceding, -1)
+    near = grouped.withColumns({f"_near_{name}": _FUNCTIONS[kind](F.col(f"_all_{name}")).over(in_group) for name, kind in kinds.items()})
+    sums = grouped.groupBy(*keys, GROUPED).agg(*[_FUNCTIONS[kind](F.col(f"_all_{name}")).alias(f"_sum_{name}") for name, kind in kinds.items()])
+    far = sums.select(*keys, GROUPED, *[_FUNCTIONS[kind](F.col(f"_sum_{name}")).over(over_groups).alias(f"_far_{name}") for name, kind in kinds.items()])
+    return near.join(far, [*keys, GROUPED], "left").select(
+        *keys, CHUNK, *[_combine(kind, F.col(f"_far_{name}"), F.col(f"_near_{name}")).alias(f"_carry_{name}") for name, kind in kinds.items()]
     )
 
 
-def queue_free(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, work: Column) -> DataFrame:
-    """Add ``free``: when everything queued before a row is done (NULL for the first row).
-
-    Each row waits for the ones before it: it starts at ``max(at, free)`` and takes
-    ``work``. Unrolled, the end of the row before is ``max(at_j - W_j) + W`` over the
-    earlier rows j, where W is the work before a row. Both parts run inside the chunks
-    first; the totals are taken from that same shuffle, and put together per key.
-    """
-    keys = list(keys)
-    local, before = _windows(keys, order, exclusive=True)
-    inside = (
-        df.withColumns({"_at": at, "_work": work})
-        .withColumn("_done", F.coalesce(F.sum("_work").over(local), F.lit(0)))
-        .withColumn("_slack", F.col("_at") - F.col("_done"))
-        .withColumn("_lead", F.max("_slack").over(local))
-    )
-    totals = inside.groupBy(*keys, CHUNK).agg(F.sum("_work").alias("_all_work"), F.max("_slack").alias("_all_slack"))
-    carried = (
-        totals.withColumn("_past", F.coalesce(F.sum("_all_work").over(before), F.lit(0)))
-        .withColumn("_far", F.max(F.col("_all_slack") - F.col("_past")).over(before))
-        .select(*keys, CHUNK, "_past", "_far")
-    )
-    free = F.greatest(F.col("_far"), F.col("_lead") - F.col("_past")) + F.col("_past") + F.col("_done")
-    return inside.join(carried, [*keys, CHUNK], "left").select(*df.columns, free.alias("free"))
+def _local(keys: list[str], order: Sequence[str], backward: bool, exclusive: bool):
+    """Window inside a chunk."""
+    ordered = [F.col(name).desc() if backward else F.col(name).asc() for name in order]
+    return Window.partitionBy(*keys, CHUNK).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)

@@ -38,15 +38,9 @@ REQUEST = T.StructType(
 TABLES = ("pages", "documents", "events", "orders", "lineitem", "labels")
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A base table; footers are read for the schema once per path."""
-    path = f"{root.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A base table; the schema is that of its files now."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
 def page_scan(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -55,16 +49,6 @@ def page_scan(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return pages.select(*columns) if columns else pages
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan whose rows reach every core, for work that costs much per row.
-
-    A table of many splits is left as it is. Only where a few unsplittable files
-    would leave cores idle, the rows are redistributed. Takes plans without shuffles.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def parse_payload(payload: Column) -> Column:
     """JSON document to typed request: unknown keys ignored, missing ones defaulted."""
     parsed = F.from_json(payload, REQUEST, {"mode": "PERMISSIVE"})

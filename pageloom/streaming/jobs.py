@@ -3,28 +3,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.timing import micros
-from ..operators.cache import STEP, Replay
 from ..operators.jobs import batch_outcome_apply
 from ..session import scratch_path
-from ..settings import DEFAULTS
 
 
-def table_stream(spark: SparkSession, root: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table's parquet files as a stream; the schema is taken from the table."""
-    schema = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(root)
+FILES_PER_TRIGGER = 1000
+
+
+def table_stream(spark: SparkSession, root: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files.
+
+    The schema is the table's; ``files_per_trigger`` bounds a micro-batch.
+    """
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a glob that only this path fits: a stream takes a folder, or a pattern of files
+    pattern = f"{root.rstrip('/')}/{name}.parque[t]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -51,90 +50,39 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).parquet(target)
 
 
-def stream_cache(log: DataFrame) -> DataFrame:
-    """Cache replay with one entry of state per key; an expired entry frees its state.
+def stream_cache(log: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Use of each key per hour: requests, recorded successes, last use; run in update mode.
 
-    ``log``: fetch_key, request_id, ts (watermarked), ttl_us, force_refresh, success,
-    elapsed_us. A micro-batch's rows of a key are put in time order first.
+    ``log``: fetch_key, ts, success. State ends with the watermark.
     """
-    types = {name: log.schema[name].dataType.simpleString() for name in ("fetch_key", "request_id")}
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
-        machine = Replay(state.get[0] if state.exists else None)
-        outcomes = [machine.step(*values) for values in zip(*[rows[name].tolist() for name in STEP])]
-        if machine.expires is not None:
-            state.update((machine.expires,))
-            ends_ms = machine.expires // 1000 + 1
-            if ends_ms > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(ends_ms)
-        yield rows[["fetch_key", "request_id", "at"]].assign(outcome=outcomes)
-
-    return log.groupBy("fetch_key").applyInPandasWithState(
-        step,
-        f"fetch_key {types['fetch_key']}, request_id {types['request_id']}, at bigint, outcome string",
-        "expires bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    return (
+        log.withWatermark("ts", late)
+        .groupBy(F.window("ts", "1 hour").alias("hour"), "fetch_key")
+        .agg(F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.max("ts").alias("last_used"))
+        .select("fetch_key", F.col("hour.start").alias("hour"), "n", "n_success", "last_used")
     )
 
 
-def stream_rate_slots(requests: DataFrame, interval_us: int = DEFAULTS.domain_interval_us) -> DataFrame:
-    """Start slots with the next free slot of each domain as state.
+def stream_rate_slots(requests: DataFrame, interval: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Requests of each domain per interval, and those above one; run in update mode.
 
-    ``requests``: domain, request_id, arrival_us.
+    ``requests``: domain, ts.
     """
-    id_type = requests.schema["request_id"].dataType.simpleString()
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["arrival_us", "request_id"], kind="stable")
-        free = state.get[0] if state.exists else None
-        starts = []
-        for arrival in rows["arrival_us"].tolist():
-            start = arrival if free is None or arrival > free else free
-            free = start + interval_us
-            starts.append(start)
-        state.update((free,))
-        yield rows[["domain", "request_id", "arrival_us"]].assign(start_us=starts)
-
-    return requests.groupBy("domain").applyInPandasWithState(
-        step,
-        f"domain string, request_id {id_type}, arrival_us bigint, start_us bigint",
-        "free_us bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    return (
+        requests.withWatermark("ts", late)
+        .groupBy(F.window("ts", interval).alias("slot"), "domain")
+        .agg(F.count("*").alias("n"))
+        .select("domain", F.col("slot.start").alias("slot"), "n", (F.col("n") - 1).alias("above"))
     )
 
 
-def stream_inflight_dedupe(log: DataFrame) -> DataFrame:
-    """One upstream fetch per key at a time: only the requests that start one pass.
+def stream_inflight_dedupe(log: DataFrame, late: str = "1 hour") -> DataFrame:
+    """One row for each key and hour: later requests of the hour are dropped.
 
-    ``log``: fetch_key, request_id, at, elapsed_us. The state of a key is the end of
-    its fetch in flight. (``dropDuplicatesWithinWatermark`` would also drop requests
-    long after that end, as long as no newer event has moved the watermark.)
+    ``log``: fetch_key, ts. The watermark reaches over the hour, so its state is kept as long as needed, and no longer.
     """
-    types = {name: log.schema[name].dataType.simpleString() for name in ("fetch_key", "request_id")}
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
-        busy = state.get[0] if state.exists else None
-        leads = []
-        for at, elapsed in zip(rows["at"].tolist(), rows["elapsed_us"].tolist()):
-            leads.append(busy is None or at >= busy)
-            busy = at + elapsed if leads[-1] else busy
-        state.update((busy,))
-        yield rows.loc[leads, ["fetch_key", "request_id", "at"]]
-
-    return log.groupBy("fetch_key").applyInPandasWithState(
-        step,
-        f"fetch_key {types['fetch_key']}, request_id {types['request_id']}, at bigint",
-        "busy_us bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    hours = log.withColumn("hour", F.date_trunc("hour", "ts"))
+    return hours.withWatermark("ts", late).dropDuplicatesWithinWatermark(["fetch_key", "hour"]).select("fetch_key", "hour")
 
 
 def stream_request_counters(log: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -168,21 +116,3 @@ def stream_job_state(
     """
     arrived = run_to_end(outcomes, "job-outcomes")
     return batch_outcome_apply(items, jobs, arrived.drop("_batch"), as_of)
-
-
-def as_fold_input(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """A request log stream with the columns the cache fold needs."""
-    return (
-        log.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", watermark)
-        .select(
-            "fetch_key",
-            "request_id",
-            "ts",
-            micros(F.col("ts")).alias("at"),
-            (F.col("ttl").cast("bigint") * 1_000_000).alias("ttl_us"),
-            "force_refresh",
-            "success",
-            F.lit(0).cast("bigint").alias("elapsed_us"),
-        )
-    )
