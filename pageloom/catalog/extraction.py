@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import extract as E
 from ..operators import fetchlog as L
-from ..registry import Adapters, extract_join, resolve
+from ..registry import Adapters, extract_join, read_pages, resolve
 from .book import SPACE, query, unescape
 
 _BODY = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
@@ -64,22 +64,21 @@ _PERSON = "CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '
  CASE WHEN NOT bad AND line_id % 5 = 0 THEN concat({_PERSON}, CASE line_id % 3 WHEN 0 THEN '简历' ELSE '同志简历' END) ELSE '人物' END AS title,
  CASE WHEN bad THEN '' ELSE concat({_PERSON}, '，男，汉族。') END AS summary,
  CASE WHEN bad THEN '' ELSE concat('现任职务', line_id) END AS current_position,
- CASE WHEN NOT bad THEN {_PERIOD} END AS period, CASE WHEN NOT bad THEN {_POSITION} END AS position,
+ CASE WHEN NOT bad AND {_PERIOD} IS NOT NULL THEN concat({_PERIOD}, '=', {_POSITION}) ELSE '' END AS timeline,
  CASE line_id % 4 WHEN 0 THEN 'www.cppcc.gov.cn' WHEN 1 THEN 'finance.people.com.cn' WHEN 2 THEN 'www.news.cn' ELSE 'other.example.org' END AS source_host,
  CASE WHEN bad THEN 'PARSE_FAILED' END AS error
 FROM (SELECT *, line_id % 7 = 0 AS bad FROM {_LINE})""",
 )
 def profile_extract(spark, root):
     found = E.profile_extract(spark.table("f_profile_pages"))
-    first = F.try_element_at("timeline", F.lit(1))
+    entries = F.transform("timeline", lambda e: F.concat(e["period"], F.lit("="), e["position"]))
     return found.select(
         "page_id",
         "name",
         "title",
         "summary",
         "current_position",
-        first["period"].alias("period"),
-        first["position"].alias("position"),
+        F.array_join(entries, "|").alias("timeline"),
         "source_host",
         "error",
     )
@@ -130,13 +129,8 @@ def selector_present(spark, root):
     sql=f"""SELECT line_id % 7 = 0 AS failed, count(*) AS pages FROM {_LINE} GROUP BY 1""",
 )
 def schema_check(spark, root):
-    good, bad = E.split_failed(E.profile_extract(spark.table("f_profile_pages")))
-    return (
-        good.select(F.lit(False).alias("failed"))
-        .unionByName(bad.select(F.lit(True).alias("failed")))
-        .groupBy("failed")
-        .agg(F.count("*").alias("pages"))
-    )
+    checked = E.schema_check(E.profile_extract(spark.table("f_profile_pages")))
+    return checked.groupBy("failed").agg(F.count("*").alias("pages"))
 
 
 _NODES = """SELECT line_id - line_id % 8 AS page_id, line_id % 8 AS ord, line AS text FROM f_timeline_lines"""
@@ -156,6 +150,9 @@ _ASKED = """SELECT page_id AS request_id, CASE WHEN page_id % 4 = 1 THEN '' ELSE
  CASE WHEN page_id % 4 IN (1, 2) THEN concat('art_', md5(CAST(page_id AS VARCHAR(20)))) WHEN page_id % 4 = 3 THEN NULL END AS artifact_id,
  CASE page_id % 5 WHEN 0 THEN 'generic.links' WHEN 1 THEN 'china.official-profile' WHEN 2 THEN 'no.such' ELSE 'generic.article' END AS adapter,
  CASE page_id % 3 WHEN 0 THEN '1' WHEN 1 THEN 'latest' ELSE CASE WHEN page_id % 2 = 0 THEN '9' ELSE '1' END END AS adapter_version FROM pages"""
+# some of the addresses and artifacts were never stored
+_LOST = f"""SELECT request_id, CASE WHEN request_id % 7 = 3 AND url <> '' THEN concat(url, '#lost') ELSE url END AS url,
+ CASE WHEN request_id % 7 = 3 AND artifact_id IS NOT NULL THEN concat(artifact_id, '0') ELSE artifact_id END AS artifact_id, adapter, adapter_version FROM ({_ASKED})"""
 _MISSING = "adapter = 'no.such' OR adapter_version = '9'"
 
 
@@ -168,37 +165,45 @@ def adapter_resolve(spark, root):
     return resolve(spark.sql(_ASKED), Adapters().table(spark)).select("request_id", "resolved_version", "error")
 
 
+# documents as the adapters write them
+_ARTICLE_DOC = f"""CAST(json_object('title', {_ARTICLE_TITLE}, 'content', {_ARTICLE}, 'author', '', 'date', '') AS VARCHAR)"""
+_LINK_TEXT = f"trim(regexp_replace({unescape('m.text')}, '{SPACE}+', ' ', 'g'))"
+_LINKS_DOC = f"""(SELECT CAST(json_object('links', to_json(coalesce(list({{'text': {_LINK_TEXT}, 'href': concat(base_of, {unescape('m.href')})}} ORDER BY m.at), []))) AS VARCHAR) FROM
+ (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text,
+  unnest(range(len(regexp_extract_all(html, '<a href="')))) AS at) m)"""
+
+
 @query(
     "extract_join",
-    sql=f"""WITH q AS (SELECT a.*, p.html, p.url AS p_url, a.request_id % 4 AS kind FROM ({_ASKED}) a JOIN pages p ON p.page_id = a.request_id)
-SELECT request_id, adapter, CASE WHEN {_MISSING} THEN NULL ELSE '1' END AS adapter_version,
- CASE WHEN kind = 2 THEN 'INVALID_REQUEST' WHEN {_MISSING} THEN 'ADAPTER_NOT_FOUND'
-  WHEN p_url LIKE '%utm_%' THEN 'ARTIFACT_NOT_FOUND' WHEN adapter = 'china.official-profile' THEN 'PARSE_FAILED' END AS error,
- CASE WHEN kind = 2 OR {_MISSING} OR p_url LIKE '%utm_%' THEN 0
-  WHEN adapter = 'generic.links' THEN len(regexp_extract_all(html, '<a href="')) ELSE 1 END AS documents
-FROM q""",
+    sql=f"""WITH q AS (SELECT a.*, p.html, a.request_id % 4 AS kind, CASE WHEN a.request_id % 4 = 1 THEN '' ELSE regexp_extract(p.url, '^(https?://[^/]+)', 1) END AS base_of,
+  concat('art_', md5(CAST(p.page_id AS VARCHAR))) AS own FROM ({_LOST}) a JOIN pages p ON p.page_id = a.request_id),
+e AS (SELECT *, CASE WHEN kind = 2 THEN 'INVALID_REQUEST' WHEN {_MISSING} THEN 'ADAPTER_NOT_FOUND' WHEN request_id % 7 = 3 THEN 'ARTIFACT_NOT_FOUND'
+  WHEN adapter = 'china.official-profile' THEN 'PARSE_FAILED' END AS error FROM q)
+SELECT request_id, adapter, CASE WHEN {_MISSING} THEN NULL ELSE '1' END AS adapter_version, error,
+ CASE WHEN error IS NULL THEN CASE adapter WHEN 'generic.links' THEN {_LINKS_DOC} ELSE {_ARTICLE_DOC} END END AS data FROM e""",
 )
 def extract_join_query(spark, root):
-    """Pages with a tracking query were not stored, so that some look-ups fail."""
-    artifacts = spark.table("pages").where(~F.col("url").contains("utm_")).select(
+    """Every seventh request names an address or an artifact that was never stored."""
+    artifacts = spark.table("pages").select(
         F.concat(F.lit("art_"), F.md5(F.col("page_id").cast("string"))).alias("artifact_id"), "url", F.col("html").alias("body")
     )
-    joined = extract_join(spark.sql(_ASKED), artifacts, Adapters())
-    return joined.groupBy("request_id", "adapter", "adapter_version", "error").agg(F.count("data").alias("documents"))
+    return extract_join(spark.sql(_LOST), artifacts, Adapters()).select("request_id", "adapter", "adapter_version", "error", "data")
 
 
 @query(
     "adapter_registry",
-    sql="""SELECT 'generic.article' AS adapter, count(*) AS documents, 0 AS errors FROM pages UNION ALL
-SELECT 'generic.links', CAST(sum(len(regexp_extract_all(html, '<a href="'))) AS BIGINT), 0 FROM pages UNION ALL
-SELECT 'china.official-profile', count(*), count(*) FROM pages""",
+    sql="""SELECT 'generic.article' AS adapter, count(*) AS documents, 0 AS errors, 0 AS links FROM pages UNION ALL
+SELECT 'generic.links', count(*), 0, CAST(sum(len(regexp_extract_all(html, '<a href="'))) AS BIGINT) FROM pages UNION ALL
+SELECT 'china.official-profile', count(*), count(*), 0 FROM pages""",
 )
 def adapter_registry(spark, root):
-    """All registered adapters over all pages."""
-    parts = None
-    for (name, _), adapter in Adapters().items():
-        part = adapter(spark.table("pages")).withColumn("adapter", F.lit(name))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("adapter").agg(
-        F.count("*").alias("documents"), F.count_if(F.col("error").isNotNull()).alias("errors")
+    """All registered adapters over all pages, each parsed once."""
+    known = Adapters()
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(version).alias("version")) for (name, version), _ in known.items()])
+    pages = spark.table("pages").select(F.col("page_id").alias("source_id"), F.col("url").alias("base"), "html", wanted.alias("wanted"))
+    found = read_pages(pages, known)
+    links = F.size(F.from_json("data", "links array<struct<href:string>>")["links"])
+    return found.groupBy("adapter").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.sum(F.greatest(F.when(F.col("adapter") == "generic.links", F.coalesce(links, F.lit(0))).otherwise(0), F.lit(0))).alias("links"),
     )

@@ -73,26 +73,33 @@ def attempts_union(spark, root):
     )
 
 
+# a response's page is the one with its request's page number; every third answer came from the cache
+_ANSWERS = f"""SELECT r.request_id, r.url AS requested_url, concat(r.url, CASE WHEN r.status_code = 301 THEN '?moved' ELSE '' END) AS final_url, r.status_code,
+ CASE WHEN r.mode = 'browser' THEN 'browser' ELSE 'http' END AS strategy, r.elapsed_ms, r.request_id % 3 = 0 AS hit, r.request_id % 12 = 0 AS stale,
+ CASE r.request_id % 4 WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/json' END AS content_type, p.html AS body, r.ts AS fetched_at,
+ CASE WHEN r.save_artifact THEN concat('art_', md5(CAST(r.request_id AS VARCHAR(20)))) END AS artifact_id
+FROM f_requests r JOIN pages p ON p.page_id = r.page_id"""
+
+
 @query(
     "response_project",
     "f_requests",
-    sql="""SELECT request_id, status_code BETWEEN 200 AND 399 AS success, request_id % 3 = 0 AS from_cache,
- CASE WHEN request_id % 3 = 0 THEN 0 ELSE elapsed_ms END AS elapsed_ms, CAST(CASE WHEN request_id % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_attempts,
- 'application/octet-stream' AS content_type, FALSE AS stale FROM f_requests""",
+    "f_attempts",
+    sql=f"""WITH tries AS (SELECT a.request_id, string_agg(concat(a.sequence, ':', a.status_code), ',' ORDER BY a.sequence) AS tries
+ FROM f_attempts a JOIN {_CUT} c ON a.request_id = c.request_id AND a.sequence <= c.cut GROUP BY a.request_id)
+SELECT request_id, status_code BETWEEN 200 AND 399 AS success, requested_url, final_url, status_code, strategy, hit AS from_cache, stale,
+ CASE WHEN hit THEN 0 ELSE elapsed_ms END AS elapsed_ms, coalesce(content_type, 'application/octet-stream') AS content_type, md5(body) AS body_md5,
+ artifact_id, epoch_us(fetched_at) AS fetched_us, CASE WHEN hit THEN '' ELSE coalesce(tries, '') END AS attempts
+FROM ({_ANSWERS}) LEFT JOIN tries USING (request_id)""",
 )
 def response_project(spark, root):
-    outcomes = spark.table("f_requests").withColumns(
-        {
-            "hit": F.col("request_id") % 3 == 0,
-            "requested_url": F.col("url"),
-            "final_url": F.col("url"),
-            "strategy": F.lit("http"),
-            "content_type": F.lit(None).cast("string"),
-            "n_attempts": F.lit(1),
-        }
-    )
+    tries = L.retry_fold(spark.table("f_attempts")).select("request_id", "attempts")
+    outcomes = spark.sql(_ANSWERS).join(tries, "request_id", "left")
+    shown = F.transform("attempts", lambda a: F.concat_ws(":", a["sequence"].cast("string"), a["status_code"].cast("string")))
     return L.response_project(outcomes).select(
-        "request_id", "success", "from_cache", "elapsed_ms", "n_attempts", "content_type", "stale"
+        "request_id", "success", "requested_url", "final_url", "status_code", "strategy", "from_cache", "stale", "elapsed_ms", "content_type",
+        F.md5("body").alias("body_md5"), "artifact_id", micros(F.col("fetched_at")).alias("fetched_us"),
+        F.coalesce(F.array_join(shown, ","), F.lit("")).alias("attempts"),
     )
 
 

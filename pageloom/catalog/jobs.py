@@ -76,17 +76,14 @@ def job_with_items(spark, root):
     "job_view_project",
     "f_jobs",
     "f_job_items",
-    sql="""SELECT job_id, min(j.prior_state) AS state, count(*) AS item_count, count(*) FILTER (i.state = 'succeeded') AS succeeded_count,
- count(*) FILTER (i.state = 'failed') AS failed_count, string_agg(concat(i.position, ':', i.item_id, ':', i.state), ',' ORDER BY i.position) AS items
-FROM f_jobs j JOIN f_job_items i USING (job_id) GROUP BY job_id""",
+    sql="""SELECT job_id, j.client_id, epoch_us(j.created_at) AS created_us, j.prior_state AS state, count(*) OVER w AS item_count,
+ count(*) FILTER (i.state = 'succeeded') OVER w AS succeeded_count, count(*) FILTER (i.state = 'failed') OVER w AS failed_count,
+ i.position, i.item_id, i.state AS item_state, i.request_id, i.error_code
+FROM f_jobs j JOIN f_job_items i USING (job_id) WINDOW w AS (PARTITION BY job_id)""",
 )
 def job_view_project(spark, root):
-    shown = F.transform(
-        "items", lambda item: F.concat_ws(":", item["position"].cast("string"), item["id"].cast("string"), item["state"])
-    )
-    return J.job_view(spark.table("f_jobs"), spark.table("f_job_items")).select(
-        "job_id", "state", "item_count", "succeeded_count", "failed_count", F.array_join(shown, ",").alias("items")
-    )
+    view = J.job_view(spark.table("f_jobs"), spark.table("f_job_items"))
+    return view.withColumn("created_us", micros(F.col("created_at"))).drop("created_at")
 
 
 _LOOKUPS = "SELECT DISTINCT o_orderkey AS job_id, o_custkey % 7 AS client_id FROM orders"
@@ -146,61 +143,80 @@ def claim_order(spark, root):
     return J.claim_order(spark.table("f_queue"), now(), per_queue=5).select("item_id", "queue", "rank")
 
 
+_ITEM = "item_id, job_id, position, queue, attempts, worker_id, request_id, result, error_code, error_message, state"
+
+
+def _whole(items):
+    """Every column of the items, times as numbers."""
+    return items.select(
+        *_ITEM.split(", "), micros(F.col("leased_until")).alias("leased_us"), micros(F.col("next_run_at")).alias("next_run_us")
+    )
+
+
 @query(
     "item_claim",
     "f_queue",
-    sql=f"""SELECT q.item_id, CASE WHEN c.item_id IS NULL THEN q.state ELSE 'running' END AS state,
- CASE WHEN c.item_id IS NOT NULL THEN 'w1' END AS worker_id, q.attempts + CASE WHEN c.item_id IS NULL THEN 0 ELSE 1 END AS attempts,
- epoch_us(CASE WHEN c.item_id IS NULL THEN q.leased_until ELSE TIMESTAMP '{_NOW}' + INTERVAL 120 SECOND END) AS leased_us
-FROM f_queue q LEFT JOIN (SELECT item_id FROM ({_CLAIM}) WHERE rank <= 100) c ON c.item_id = q.item_id""",
+    "f_jobs",
+    sql=f"""WITH c AS (SELECT item_id, job_id FROM ({_CLAIM}) WHERE rank <= 100)
+SELECT q.item_id, q.job_id, q.position, q.queue, q.attempts + CASE WHEN c.item_id IS NULL THEN 0 ELSE 1 END AS attempts,
+ CASE WHEN c.item_id IS NOT NULL THEN 'w1' ELSE q.worker_id END AS worker_id, q.request_id, q.result, q.error_code, q.error_message,
+ CASE WHEN c.item_id IS NULL THEN q.state ELSE 'running' END AS state, epoch_us(CASE WHEN c.item_id IS NULL THEN q.leased_until
+  ELSE TIMESTAMP '{_NOW}' + INTERVAL 120 SECOND END) AS leased_us, epoch_us(q.next_run_at) AS next_run_us,
+ CASE WHEN q.job_id IN (SELECT job_id FROM c) THEN 'running' ELSE j.prior_state END AS job_state
+FROM f_queue q JOIN f_jobs j USING (job_id) LEFT JOIN c ON c.item_id = q.item_id""",
 )
 def item_claim(spark, root):
-    claimed = J.item_claim(spark.table("f_queue"), now(), "w1", per_queue=100)
-    return claimed.select("item_id", "state", "worker_id", "attempts", micros(F.col("leased_until")).alias("leased_us"))
+    items, jobs = J.item_claim(spark.table("f_queue"), spark.table("f_jobs"), now(), "w1", per_queue=100)
+    return _whole(items).join(jobs.select("job_id", F.col("state").alias("job_state")), "job_id")
 
 
 _CODE = "CASE WHEN o.error_code = 'CRASH' THEN 'INTERNAL_ERROR' ELSE o.error_code END"
-_AGAIN = "(o.error_code IN ('READ_TIMEOUT', 'CRASH') AND i.attempts < 3)"
-_APPLIED = f"""(SELECT i.item_id, i.job_id, CASE WHEN o.item_id IS NULL THEN i.state WHEN o.error_code IS NULL THEN 'succeeded'
-  WHEN {_AGAIN} THEN 'queued' ELSE 'failed' END AS state, {_CODE} AS error_code,
- CASE WHEN o.item_id IS NOT NULL AND o.error_code IS NULL THEN o.request_id END AS request_id,
+_AGAIN = "coalesce(o.error_code IN ('READ_TIMEOUT', 'CRASH') AND i.attempts < 3, FALSE)"
+# the latest attempt of each item that reported
+_LATEST = "(SELECT * FROM {outcomes} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY attempt DESC) = 1)"
+_APPLIED = f"""(SELECT i.item_id, i.job_id, i.position, i.queue, i.attempts, i.worker_id,
+ CASE WHEN o.item_id IS NOT NULL AND o.error_code IS NULL THEN o.request_id ELSE i.request_id END AS request_id,
+ CASE WHEN o.item_id IS NOT NULL AND o.error_code IS NULL THEN o.result ELSE i.result END AS result,
+ coalesce({_CODE}, i.error_code) AS error_code, CASE WHEN o.error_code IS NOT NULL THEN o.error_message ELSE i.error_message END AS error_message,
+ CASE WHEN o.item_id IS NULL THEN i.state WHEN o.error_code IS NULL THEN 'succeeded' WHEN {_AGAIN} THEN 'queued' ELSE 'failed' END AS state,
+ epoch_us(CASE WHEN o.item_id IS NULL THEN i.leased_until END) AS leased_us,
  epoch_us(CASE WHEN {_AGAIN} THEN TIMESTAMP '{_NOW}' + to_seconds(CASE WHEN coalesce(o.retry_after_seconds, 0) = 0
   THEN power(2, i.attempts) ELSE o.retry_after_seconds END) ELSE i.next_run_at END) AS next_run_us
-FROM f_job_items i LEFT JOIN {{outcomes}} o ON o.item_id = i.item_id)"""
-_SHOWN = "item_id, state, error_code, request_id, next_run_us"
-
-
-def _shown(items):
-    return items.select("item_id", "state", "error_code", "request_id", micros(F.col("next_run_at")).alias("next_run_us"))
+FROM f_job_items i LEFT JOIN {_LATEST} o ON o.item_id = i.item_id)"""
 
 
 @query(
     "item_complete",
     "f_job_items",
     "f_outcomes",
-    sql=f"SELECT {_SHOWN} FROM {_APPLIED.format(outcomes='(SELECT * FROM f_outcomes WHERE error_code IS NULL)')}",
+    sql=f"SELECT * FROM {_APPLIED.format(outcomes='(SELECT * FROM f_outcomes WHERE error_code IS NULL)')}",
 )
 def item_complete(spark, root):
-    return _shown(J.item_complete(spark.table("f_job_items"), spark.table("f_outcomes")))
+    return _whole(J.item_complete(spark.table("f_job_items"), spark.table("f_outcomes")))
 
 
 @query(
     "item_fail",
     "f_job_items",
     "f_outcomes",
-    sql=f"SELECT {_SHOWN} FROM {_APPLIED.format(outcomes='(SELECT * FROM f_outcomes WHERE error_code IS NOT NULL)')}",
+    sql=f"SELECT * FROM {_APPLIED.format(outcomes='(SELECT * FROM f_outcomes WHERE error_code IS NOT NULL)')}",
 )
 def item_fail(spark, root):
-    return _shown(J.item_fail(spark.table("f_job_items"), spark.table("f_outcomes"), now()))
+    return _whole(J.item_fail(spark.table("f_job_items"), spark.table("f_outcomes"), now()))
+
+
+BATCH_SQL = f"""SELECT a.*, r.succeeded_count, r.failed_count, r.state AS job_state FROM {_APPLIED.format(outcomes='f_outcomes')} a
+JOIN ({rollup_sql(_APPLIED.format(outcomes='f_outcomes'))}) r USING (job_id)"""
 
 
-BATCH_SQL = rollup_sql(_APPLIED.format(outcomes="f_outcomes"))
+def applied(items, jobs):
+    """Items after a batch, with their job's counts and state."""
+    return _whole(items).join(jobs.withColumnRenamed("state", "job_state"), "job_id")
 
 
 @query("batch_outcome_apply", "f_job_items", "f_jobs", "f_outcomes", sql=BATCH_SQL)
 def batch_outcome_apply(spark, root):
-    _, jobs = J.batch_outcome_apply(spark.table("f_job_items"), spark.table("f_jobs"), spark.table("f_outcomes"), now())
-    return jobs
+    return applied(*J.batch_outcome_apply(spark.table("f_job_items"), spark.table("f_jobs"), spark.table("f_outcomes"), now()))
 
 
 @query("items_sorted", "f_job_items", sql="SELECT job_id, position, item_id, state FROM f_job_items ORDER BY job_id, position")
@@ -213,12 +229,13 @@ def items_sorted(spark, root):
     "f_job_items",
     "f_jobs",
     sql="""SELECT queue, state, count(*) AS items, CAST(sum(attempts) AS BIGINT) AS attempts,
- count(*) FILTER (prior_state = 'queued') AS orphans FROM f_job_items JOIN f_jobs USING (job_id) GROUP BY queue, state""",
+ count(*) FILTER (client_id = 3) AS orphans FROM f_job_items GROUP BY queue, state""",
 )
 def job_tables_io(spark, root):
-    """Write both tables, read them back, and check the foreign key; only running jobs are kept."""
+    """Write both tables, read them back, and check the foreign key; items of client 3 name a job that does not exist."""
     path = scratch_path(spark, "jobs")
-    jobs_io.write_tables(spark.table("f_jobs").where("prior_state = 'running'"), spark.table("f_job_items"), path)
+    lost = spark.table("f_job_items").withColumn("job_id", F.when(F.col("client_id") == 3, -F.col("job_id") - 1).otherwise(F.col("job_id")))
+    jobs_io.write_tables(spark.table("f_jobs"), lost, path)
     jobs, items = jobs_io.read_tables(spark, path)
     orphans = J.orphan_items(items, jobs).groupBy("queue", "state").agg(F.count("*").alias("orphans"))
     stored = items.groupBy("queue", "state").agg(F.count("*").alias("items"), F.sum("attempts").alias("attempts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import timing as T
+from ..functions.timing import micros
 from ..session import scratch_path
 from ..sources import artifacts as A
 from ..sources import tables
@@ -42,9 +43,10 @@ _PATH = """concat_ws('/', strftime(TIMESTAMP '2024-01-01' + to_days(CAST(artifac
  coalesce({_TYPE}, 'application/octet-stream') AS content_type, '[REDACTED]' AS auth, lang FROM f_artifacts""",
 )
 def artifact_write(spark, root):
-    """Writes the lake below the shared folder and reads it back."""
+    """Writes the lake below the shared folder in two batches and reads it back."""
     path = scratch_path(spark, "artifacts")
-    A.artifact_write(bodies(spark), path)
+    for batch in range(2):
+        A.artifact_write(bodies(spark).where(F.col("artifact_no") % 2 == batch), path)
     return A.artifact_read(spark, path).select(
         "artifact_no",
         "relative_path",
@@ -60,10 +62,11 @@ def artifact_write(spark, root):
     "artifact_index",
     "f_artifacts",
     sql=f"""SELECT concat('art_', md5(CAST(artifact_no AS VARCHAR))) AS artifact_id, coalesce({_TYPE}, 'application/octet-stream') AS content_type,
- CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256 FROM f_artifacts""",
+ CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256, {_PATH} AS relative_path,
+ epoch_us(TIMESTAMP '2024-01-01' + to_days(CAST(artifact_no % 3 AS INTEGER))) AS created_us FROM f_artifacts""",
 )
 def artifact_index(spark, root):
-    return A.artifact_index(bodies(spark))
+    return A.artifact_index(bodies(spark)).withColumn("created_us", micros(F.col("created_at"))).drop("created_at")
 
 
 @query(
@@ -75,7 +78,7 @@ FROM f_requests LEFT JOIN f_artifacts a ON artifact_no = page_id * 7""",
 )
 def artifact_lookup(spark, root):
     """Requests ask for seven times their page number, which goes beyond the last artifact."""
-    index = A.artifact_index(bodies(spark))
+    index = A.stored_index(A.layout(bodies(spark)))
     asked = spark.table("f_requests").select(
         "request_id", F.concat(F.lit("art_"), F.md5((F.col("page_id") * 7).cast("string"))).alias("artifact_id")
     )

@@ -533,12 +533,12 @@ def backoff_delay(spark, root):
 @query(
     "item_backoff",
     "f_outcomes",
-    sql="""SELECT item_id, CASE WHEN coalesce(retry_after_seconds, 0) = 0 THEN power(2, attempts) ELSE CAST(retry_after_seconds AS DOUBLE) END
+    sql="""SELECT item_id, CASE WHEN coalesce(retry_after_seconds, 0) = 0 THEN power(2, attempt) ELSE CAST(retry_after_seconds AS DOUBLE) END
  AS delay FROM f_outcomes""",
 )
 def item_backoff(spark, root):
     return spark.table("f_outcomes").select(
-        "item_id", T.item_backoff(F.col("attempts"), F.col("retry_after_seconds")).alias("delay")
+        "item_id", T.item_backoff(F.col("attempt"), F.col("retry_after_seconds")).alias("delay")
     )
 
 

@@ -8,7 +8,7 @@ from ..functions import urls as U
 from ..sources.fixtures import VIEWS
 from ..streaming import jobs as Z
 from .book import DOMAIN, query
-from .jobs import BATCH_SQL, now
+from .jobs import BATCH_SQL, applied, now
 
 
 def stream_view(spark, root, name):
@@ -83,5 +83,4 @@ def stream_job_state(spark, root):
     items, jobs = spark.table("f_job_items"), spark.table("f_jobs")
     Z.table_stream(spark, root, "orders").createOrReplaceTempView("orders")
     spark.sql(VIEWS["f_job_items"]).createOrReplaceTempView("f_job_items")
-    _, after = Z.stream_job_state(spark.sql(VIEWS["f_outcomes"]), items, jobs, now())
-    return after
+    return applied(*Z.stream_job_state(spark.sql(VIEWS["f_outcomes"]), items, jobs, now()))

@@ -6,24 +6,10 @@ import re
 from urllib.parse import urljoin, urlsplit
 
 from .. import settings as S
-from .parse import Page, below, compile_selector, first_children, inside, select
+from .parse import Element, Page, compile_selector, first_children, select
 
-_DROPPED = frozenset({"script", "style", "noscript"})
 _ORIGIN = re.compile(r"(?i)^(https?://)([^/?#\s]+)")
 _ROOTED = re.compile(r"^(?!.*/\.)/(?!/)(?!.*\?#)[^\x00-\x20]*$")
-_META = re.compile(rb"charset\s*=\s*['\"]?([a-zA-Z0-9._-]+)", re.IGNORECASE)
-
-
-def to_text(body) -> str:
-    """Page text; bytes are decoded by the charset they name themselves."""
-    if isinstance(body, str):
-        return body
-    raw = bytes(body)
-    named = _META.search(raw[:4096])
-    try:
-        return raw.decode(named.group(1).decode("ascii") if named else "utf-8", errors="replace")
-    except LookupError:
-        return raw.decode("utf-8", errors="replace")
 
 
 def squeeze(text: str) -> str:
@@ -52,21 +38,15 @@ def article(page: Page) -> tuple[str, str, str, str]:
     def by_tag(*tags):
         return [element for element in live if element.tag in tags]
 
-    def visible_texts(element):
-        for at in range(element.start, element.stop):
-            parent = page.parents[at]
-            if parent is None or not parent.pruned:
-                yield at, page.texts[at]
-
     title = next(
-        (text for node in by_tag("title") for at, text in visible_texts(node) if page.parents[at] is node), ""
+        (text for node in by_tag("title") for _, parent, text in page.visible(node) if parent is node), ""
     ).strip()
-    heading = next((text for node in first_children(by_tag("h1")) for _, text in visible_texts(node)), "").strip()
+    heading = next((text for node in first_children(by_tag("h1")) for _, _, text in page.visible(node)), "").strip()
 
     # values compete by their place in the document
     written = first_children([node for node in live if "author" in node.raw and node.attrs.get("rel") == "author"])
     timed = first_children(by_tag("time"))
-    authors = [(node.index, text) for node in written for _, text in visible_texts(node)]
+    authors = [(node.index, text) for node in written for _, _, text in page.visible(node)]
     dates = [(node.index, node.attrs["datetime"]) for node in timed if "datetime" in node.attrs]
     for node in by_tag("meta"):
         if "content" not in node.attrs:
@@ -83,7 +63,7 @@ def article(page: Page) -> tuple[str, str, str, str]:
         start, stop = container.start, container.stop
     else:
         start, stop = page.body_from or 0, len(page.texts)
-    content = squeeze(page.text(start, stop, lambda parent: parent.pruned))
+    content = squeeze(page.text(start, stop, "pruned"))
     return heading or title, content, author, date
 
 
@@ -97,42 +77,36 @@ def links(page: Page, base: str) -> list[tuple[str, str]]:
     ]
 
 
-def _profile_container(page: Page, host: str):
-    """Element with the biography: the site's selectors first, then common ones."""
-    selectors = next(
-        (names for domain, names in S.PROFILE_SITES if host == domain or host.endswith("." + domain)), ()
+def _profile_container(page: Page, host: str) -> Element | None:
+    """Element with the biography.
+
+    Every match of every selector is ranked once: first by the selector's place in the list
+    (the site's own come before the common ones), then a site's by the longest text, then by
+    place in the document.
+    """
+    own = next((names for domain, names in S.PROFILE_SITES if f".{host}".endswith(f".{domain}")), ())
+    length = page.lengths()
+    ranked = (
+        (place, length[node.start] - length[node.stop] if place < len(own) else 0, node.index)
+        for place, selector in enumerate((*own, *S.PROFILE_FALLBACK))
+        for node in select(page, compile_selector(selector))
     )
-    for selector in selectors:
-        found = select(page, compile_selector(selector))
-        if found:
-            return max(found, key=lambda node: len(page.text(node.start, node.stop)))
-    for selector in S.PROFILE_FALLBACK:
-        found = select(page, compile_selector(selector))
-        if found:
-            return found[0]
-    return None
+    best = min(ranked, default=None)
+    return None if best is None else page.elements[best[2]]
 
 
 def profile_texts(page: Page, host: str) -> tuple[str, list[str]]:
     """Title, and the raw texts of the biography's paragraphs (or its whole text)."""
-
-    def hidden(parent):
-        return below(parent, _DROPPED)
-
     places = [page.first_text(element, direct=True) for element in page.all("title")]
     places += [page.first_text(element) for element in page.all("h1")]
     title = squeeze(min((place for place in places if place), default=(0, ""))[1])
     node = _profile_container(page, host)
     start, stop = (node.start, node.stop) if node is not None else (0, len(page.texts))
-    first = node.index + 1 if node is not None else 0
-    paragraphs = [
-        element
-        for element in page.elements[first:]
-        if element.tag == "p" and (node is None or inside(element, node)) and not hidden(element)
-    ]
+    below = page.elements if node is None else page.elements[node.index + 1 : node.last + 1]
+    paragraphs = [element for element in below if element.tag == "p" and not element.dropped]
     if paragraphs:
-        return title, [page.text(element.start, element.stop, hidden) for element in paragraphs]
-    return title, [page.text(start, stop, hidden)]
+        return title, [page.text(element.start, element.stop, "dropped") for element in paragraphs]
+    return title, [page.text(start, stop, "dropped")]
 
 
 def host_of(url: str) -> str:

@@ -1,7 +1,9 @@
 """A flat view of an HTML page: elements and text pieces in document order.
 
-An element knows the range of text pieces below it, so the text of any element is a
-slice; no tree is built. Used inside ``mapInPandas`` tasks, one page at a time.
+An element knows the range of text pieces and of elements below it, so the text of any
+element is a slice; no tree is built. The page is read once from front to back, and no
+step looks further back or ahead than it moves on, so time grows with the page. Used
+inside ``mapInPandas`` tasks, one page at a time.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html import unescape
+from itertools import accumulate
 
 # Void elements, subtrees without article text, and which open element
 # a start tag closes when it stands directly inside it.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 PRUNED = frozenset("script style noscript nav footer".split())
+DROPPED = frozenset("script style noscript".split())
 HEAD_ONLY = frozenset("html head title meta link script style base noscript".split())
 _BLOCKS = frozenset(
     "address blockquote center dd div dl dt fieldset form h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td tfoot th"
@@ -34,21 +38,24 @@ CLOSED_BY = {
 }
 
 
-# a comment, a declaration, or a tag with its attributes (quotes may hide a ">")
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.DOTALL
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+# up to the next tag end or attribute value: a name without "=" needs no look at its value
+_TO_VALUE = re.compile(r"[^>=]*+")
+_BLANKS = re.compile(r"\s*+")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in ("script", "style")}
 
 
 class Element:
-    __slots__ = ("tag", "raw", "parent", "start", "stop", "pruned", "index", "_attrs")
+    __slots__ = ("tag", "raw", "parent", "start", "stop", "pruned", "dropped", "index", "last", "_attrs")
 
-    def __init__(self, tag, raw, parent, start, pruned, index):
+    def __init__(self, tag, raw, parent, start, index):
         self.tag, self.raw, self.parent = tag, raw, parent
         self.start = self.stop = start
-        self.pruned, self.index = pruned, index
+        self.pruned = tag in PRUNED or (parent is not None and parent.pruned)
+        self.dropped = tag in DROPPED or (parent is not None and parent.dropped)
+        self.index = index
+        self.last = index  # the last element below it
         self._attrs = None
 
     @property
@@ -68,8 +75,14 @@ class Page:
         self.elements: list[Element] = []
         self.texts: list[str] = []
         self.parents: list[Element | None] = []
+        # elements started before each text piece, and whether a comment stands right before it
+        self.after: list[int] = []
+        self.broken: list[bool] = []
         self.body_from: int | None = None
         self._open: list[Element] = []
+        self._names: dict[str, int] = {}  # how often each tag is open
+        self._comment = False
+        self._glue = False
         self._read(html)
         while self._open:
             self._close_top()
@@ -79,47 +92,86 @@ class Page:
         return not self.elements and not any(text.strip() for text in self.texts)
 
     def _read(self, html: str):
-        at = 0
-        while match := _MARKUP.search(html, at):
-            self._text(html[at : match.start()])
-            at = match.end()
-            slash, tag, raw = match.groups()
-            if tag is None:
+        at, size = 0, len(html)
+        last_end = html.rfind(">")  # behind it nothing can be a tag
+        last_quote = {quote: html.rfind(quote) for quote in "\"'"}
+        text_from = at
+        while (open_ := html.find("<", at)) != -1 and open_ < last_end:
+            if html.startswith("<!--", open_):
+                stop = html.find("-->", open_ + 4)
+                self._text(html[text_from:open_])
+                self._comment = True
+                at = text_from = size if stop == -1 else stop + 3
+                continue
+            if html.startswith(("<!", "<?"), open_):
+                self._text(html[text_from:open_])
+                self._comment = True
+                at = text_from = html.find(">", open_) + 1
+                continue
+            name = _NAME.match(html, open_ + 1)
+            if name is None:
+                at = open_ + 1
                 continue
-            tag = tag.lower()
-            if slash:
-                self._end(tag)
+            stop = self._tag_end(html, name.end(), last_quote)
+            if stop == -1:  # unterminated: the rest is text
+                break
+            self._text(html[text_from:open_])
+            at = text_from = stop + 1
+            tag, raw = name.group().lower(), html[name.end() : stop]
+            if tag[0] == "/":
+                self._end(tag[1:])
                 continue
             self._start(tag, raw)
             if raw.endswith("/") and tag not in VOID:
                 self._close_top()
             elif tag in _RAW_END:
                 end = _RAW_END[tag].search(html, at)
-                stop = end.start() if end else len(html)
+                stop = end.start() if end else size
                 self._text(html[at:stop], plain=True)
-                at = stop
-        self._text(html[at:])
+                at = text_from = stop
+        self._text(html[text_from:])
+
+    @staticmethod
+    def _tag_end(html: str, at: int, last_quote: dict[str, int]) -> int:
+        """Place of the ">" that ends a tag; quoted attribute values may hide others."""
+        while True:
+            at = _TO_VALUE.match(html, at).end()
+            if at == len(html):
+                return -1
+            if html[at] == ">":
+                return at
+            at = _BLANKS.match(html, at + 1).end()
+            quote = html[at : at + 1]
+            if quote in last_quote and quote and last_quote[quote] > at:
+                at = html.index(quote, at + 1) + 1
 
     def _start(self, tag: str, raw: str):
         while self._open and tag in CLOSED_BY.get(self._open[-1].tag, ()):
             self._close_top()
         parent = self._open[-1] if self._open else None
-        pruned = tag in PRUNED or (parent is not None and parent.pruned)
-        element = Element(tag, raw, parent, len(self.texts), pruned, len(self.elements))
+        element = Element(tag, raw, parent, len(self.texts), len(self.elements))
         self.elements.append(element)
+        self._glue = False
         if self.body_from is None and tag not in HEAD_ONLY:
             self.body_from = len(self.texts)
         if tag not in VOID:
             self._open.append(element)
+            self._names[tag] = self._names.get(tag, 0) + 1
 
     def _end(self, tag: str):
-        if any(element.tag == tag for element in self._open):
-            while self._close_top().tag != tag:
-                pass
+        if not self._names.get(tag):
+            # an unknown end tag does not part the text around it
+            self._glue = bool(self.texts) and not self._comment and self.parents[-1] is (self._open[-1] if self._open else None) and self.after[-1] == len(self.elements)
+            return
+        while self._close_top().tag != tag:
+            pass
 
     def _close_top(self) -> Element:
         element = self._open.pop()
         element.stop = len(self.texts)
+        element.last = len(self.elements) - 1
+        self._names[element.tag] -= 1
+        self._glue = False
         return element
 
     def _text(self, text: str, plain: bool = False):
@@ -130,18 +182,59 @@ class Page:
         parent = self._open[-1] if self._open else None
         if self.body_from is None and (parent is None or parent.tag in ("html", "head")) and text.strip():
             self.body_from = len(self.texts)
+        if self._glue:
+            self._glue = False
+            self.texts[-1] += text
+            return
         self.texts.append(text)
         self.parents.append(parent)
+        self.after.append(len(self.elements))
+        self.broken.append(self._comment)
+        self._comment = False
 
     # -- reading -------------------------------------------------------------
     def all(self, *tags: str) -> list[Element]:
         return [element for element in self.elements if element.tag in tags]
 
-    def text(self, start: int, stop: int, hidden=None) -> str:
+    def text(self, start: int, stop: int, hidden: str | None = None) -> str:
+        """Text of a range of pieces; ``hidden`` names the element flag whose text is left out."""
         if hidden is None:
             return "".join(self.texts[start:stop])
         pieces = zip(self.texts[start:stop], self.parents[start:stop])
-        return "".join(text for text, parent in pieces if parent is None or not hidden(parent))
+        return "".join(text for text, parent in pieces if parent is None or not getattr(parent, hidden))
+
+    def lengths(self) -> list[int]:
+        """Characters before each piece."""
+        return [0, *accumulate(map(len, self.texts))]
+
+    def visible(self, element: Element):
+        """(place, parent, text) of the pieces below an element once pruned subtrees are out.
+
+        Pieces of one parent that only pruned subtrees part are one, as they are then neighbours.
+        """
+        held: tuple | None = None
+        before = None
+        for at in range(element.start, element.stop):
+            parent = self.parents[at]
+            if parent is not None and parent.pruned:
+                held = held and (*held[:3], held[3] or self.broken[at])
+                continue
+            joined = (
+                held is not None
+                and held[1] is parent
+                and not held[3]
+                and not self.broken[at]
+                and all(e.pruned for e in self.elements[before : self.after[at]])
+            )
+            if joined:
+                held = (held[0], parent, held[2] + self.texts[at], False)
+            else:
+                if held:
+                    yield held[:3]
+                held = (at, parent, self.texts[at], False)
+            before = self.after[at]
+        if held:
+            yield held[:3]
 
     def first_text(self, element: Element, direct: bool = False) -> tuple[int, str] | None:
         """Place and text of the first piece below an element, or directly in it."""
@@ -161,23 +254,6 @@ def first_children(elements: list[Element]) -> list[Element]:
     return found
 
 
-def below(element: Element | None, tags: frozenset) -> bool:
-    """Does the element, or one around it, have one of the tags?"""
-    while element is not None:
-        if element.tag in tags:
-            return True
-        element = element.parent
-    return False
-
-
-def inside(element: Element | None, outer: Element) -> bool:
-    while element is not None:
-        if element is outer:
-            return True
-        element = element.parent
-    return False
-
-
 # -- selectors: tag, .class, #id, compounds of these, and descendants ---------
 _COMPOUND = re.compile(r"^(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
 
@@ -218,20 +294,18 @@ def _fits(element: Element, compound: tuple) -> bool:
     return not ids or ids == {element.attrs.get("id")}
 
 
-def _matches(element: Element, compounds: list[tuple]) -> bool:
-    if not _fits(element, compounds[-1]):
-        return False
-    rest = len(compounds) - 2
-    around = element.parent
-    while rest >= 0 and around is not None:
-        if _fits(around, compounds[rest]):
-            rest -= 1
-        around = around.parent
-    return rest < 0
-
-
 def select(page: Page, groups: list[list[tuple]]) -> list[Element]:
-    return [element for element in page.elements if any(_matches(element, compounds) for compounds in groups)]
+    """Elements that match, in document order: one pass, with what each element's ancestors have matched."""
+    found = [False] * len(page.elements)
+    for compounds in groups:
+        need = len(compounds) - 1
+        passed = [0] * len(page.elements)  # leading compounds matched from the root down to each element
+        for element in page.elements:
+            above = passed[element.parent.index] if element.parent is not None else 0
+            if above == need and _fits(element, compounds[-1]):
+                found[element.index] = True
+            passed[element.index] = above + (above < need and _fits(element, compounds[above]))
+    return [element for element in page.elements if found[element.index]]
 
 
 def has_match(html: str, selector: str) -> str:

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .. import settings as S
 from ..functions import text as X
@@ -20,6 +21,14 @@ from ..html import extract as E
 from ..html.parse import Page
 
 
+def page_text(pages: DataFrame) -> Column:
+    """The page as text; bytes are decoded by the charset that they name, before the page reader."""
+    html = F.col("html")
+    if isinstance(pages.schema["html"].dataType, BinaryType):
+        return X.decode_body(html, X.meta_charset(F.decode(F.substring(html, 1, 4096), "ISO-8859-1")))
+    return html
+
+
 def _page_job(pages: DataFrame, keep: list[str], columns: str, read: Callable[[str, str], list[tuple]], base: bool = True):
     """Run ``read(html, url)`` per page; each tuple it gives becomes a row with the kept keys."""
     names = [part.split()[0] for part in columns.split(", ")]
@@ -33,7 +42,7 @@ def _page_job(pages: DataFrame, keep: list[str], columns: str, read: Callable[[s
                 rows.extend((*values[:-2], *found) for found in read(html, url))
             yield pd.DataFrame(rows, columns=[*keep, *names])
 
-    narrow = pages.select(*keep, F.col("url").alias("_url"), F.col("html").alias("_html"))
+    narrow = pages.select(*keep, F.col("url").alias("_url"), page_text(pages).alias("_html"))
     return narrow.mapInPandas(run, f"{key_types}, {columns}")
 
 
@@ -41,7 +50,7 @@ def article_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> D
     """title, content, author, date per page; ``error`` for an empty document."""
 
     def read(html, url):
-        page = Page(E.to_text(html)) if html is not None else None
+        page = Page(html) if html is not None else None
         if page is None or page.empty:
             return [(None, None, None, None, "PARSE_FAILED")]
         return [(*E.article(page), None)]
@@ -55,7 +64,7 @@ def links_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), base:
     """Edge rows (pos, text, href) in document order; relative when ``base`` is off."""
 
     def read(html, url):
-        page = Page(E.to_text(html)) if html is not None else None
+        page = Page(html) if html is not None else None
         if page is None or page.empty:
             return [(-1, None, None, "PARSE_FAILED")]
         return [(pos, text, href, None) for pos, (text, href) in enumerate(E.links(page, url))]
@@ -71,7 +80,7 @@ def profile_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), base
     """
 
     def read(html, url):
-        page = Page(E.to_text(html)) if html is not None else None
+        page = Page(html) if html is not None else None
         if page is None or page.empty:
             return [(url, None, None)]
         return [(url, *E.profile_texts(page, E.host_of(url)))]
@@ -110,9 +119,9 @@ def profile_fields(lines: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def split_failed(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rows whose key fields are missing."""
-    return extracted.where(F.col("error").isNull()), extracted.where(F.col("error").isNotNull())
+def schema_check(extracted: DataFrame) -> DataFrame:
+    """Add ``failed``: rows whose key fields are missing. Write by it to split good rows from bad in one pass."""
+    return extracted.withColumn("failed", F.col("error").isNotNull())
 
 
 def site_selectors(hosts: DataFrame) -> DataFrame:

@@ -159,9 +159,10 @@ def upgrade_reason(responses: DataFrame, min_chars: int = DEFAULTS.min_html_char
         F.when(F.col("_cheap").isNotNull(), F.nullif(F.col("_cheap"), F.lit("-")))
         .when(F.col("_verdict") == "missing", "required_selector_missing")
         .when(F.col("_verdict") == "unparsable", "invalid_html")
-        .when(F.col("_verdict") == "unsupported", "selector_unsupported")
     )
-    return staged.withColumn("upgrade_reason", reason).drop("_cheap", "_verdict")
+    # a selector that cannot be read says nothing about the page: an error, and no reason
+    error = F.when(F.col("_verdict") == "unsupported", "selector_unsupported")
+    return staged.withColumns({"upgrade_reason": reason, "error": error}).drop("_cheap", "_verdict")
 
 
 def strategy_of(mode: Column, reason: Column) -> Column:
@@ -170,20 +171,29 @@ def strategy_of(mode: Column, reason: Column) -> Column:
 
 
 def response_project(outcomes: DataFrame) -> DataFrame:
-    """Fetch outcomes (with ``hit``) as response rows; a hit has no attempts of its own."""
+    """Fetch outcomes as response rows.
+
+    ``outcomes``: request_id, requested_url, final_url, status_code, strategy, elapsed_ms,
+    content_type, body (text), artifact_id, fetched_at, attempts (array), hit, stale. A hit
+    took no time and has no attempts of its own; the rest is what the cache kept.
+    """
     hit = F.col("hit")
+    none = F.array().cast(outcomes.schema["attempts"].dataType)
     return outcomes.select(
         "request_id",
         R.success(F.col("status_code")).alias("success"),
-        F.col("requested_url"),
-        F.col("final_url"),
-        F.col("status_code"),
-        F.col("strategy"),
+        "requested_url",
+        "final_url",
+        "status_code",
+        "strategy",
         hit.alias("from_cache"),
-        F.lit(False).alias("stale"),
+        F.coalesce("stale", F.lit(False)).alias("stale"),
         F.when(hit, F.lit(0).cast("bigint")).otherwise(F.col("elapsed_ms")).alias("elapsed_ms"),
         F.coalesce("content_type", F.lit(S.DEFAULT_CONTENT_TYPE)).alias("content_type"),
-        F.when(hit, F.lit(0)).otherwise(F.col("n_attempts")).alias("n_attempts"),
+        "body",
+        "artifact_id",
+        "fetched_at",
+        F.when(hit, none).otherwise(F.col("attempts")).alias("attempts"),
     )
 
 

@@ -1,7 +1,9 @@
 """Job and item tables: creation, claiming, outcomes, roll-up.
 
-Items: item_id, job_id, position, queue, state, attempts, next_run_at and, where
-claimed, worker_id, leased_until. Jobs: job_id, client_id, prior_state, created_at.
+Items: item_id, job_id, position, queue, state, attempts, next_run_at, worker_id,
+leased_until, request_id, result, error_code, error_message. Jobs: job_id, client_id,
+prior_state, created_at. A transition changes the named columns of the rows it is about
+and keeps everything else.
 """
 
 from __future__ import annotations
@@ -14,10 +16,6 @@ from ..functions import timing as T
 from ..settings import DEFAULTS
 from .requests import queue_of
 
-# items shown together in one nested row; also the largest valid batch
-ITEM_PAGE = S.MAX_BATCH
-
-
 def item_positions(batches: DataFrame) -> DataFrame:
     """One row per request of a batch with its 0-based position."""
     kept = [name for name in batches.columns if name != "requests"]
@@ -53,23 +51,21 @@ def job_with_items(jobs: DataFrame, items: DataFrame, client_id=None) -> DataFra
 
 
 def job_view(jobs: DataFrame, items: DataFrame) -> DataFrame:
-    """Public view: job fields and the public item fields nested in order.
+    """Public view, one row per job and item: job fields, counts, and the public item fields.
 
-    Items are nested in pages of at most 1000 positions. A valid job has exactly one
-    page, and an oversized one is split into more rows instead of one huge row.
+    A job without items keeps one row, with zero counts and no item.
     """
     counts = items.groupBy("job_id").agg(
         F.count("*").alias("item_count"),
         F.count_if(F.col("state") == "succeeded").alias("succeeded_count"),
         F.count_if(F.col("state") == "failed").alias("failed_count"),
     )
-    pages = items.groupBy("job_id", F.floor(F.col("position") / ITEM_PAGE).alias("item_page")).agg(
-        F.sort_array(F.collect_list(F.struct("position", F.col("item_id").alias("id"), "state"))).alias("items")
-    )
+    shown = items.select("job_id", "position", "item_id", F.col("state").alias("item_state"), "request_id", "error_code")
     return (
         jobs.select("job_id", "client_id", "created_at", F.col("prior_state").alias("state"))
         .join(counts, "job_id", "left")
-        .join(pages, "job_id", "left")
+        .fillna(0, ["item_count", "succeeded_count", "failed_count"])
+        .join(shown, "job_id", "left")
     )
 
 
@@ -132,17 +128,13 @@ def job_cancel(jobs: DataFrame, items: DataFrame, cancels: DataFrame) -> tuple[D
         .withColumn("state", F.when(hit & (F.col("state") == "queued"), "cancelled").otherwise(F.col("state")))
         .drop("_cancel")
     )
-    # a job whose items are all ended or still queued is cancelled as a whole
-    closed = (
-        items.join(named, "job_id", "left_semi")
-        .groupBy("job_id")
-        .agg(F.bool_and(F.col("state").isin("queued", *S.TERMINAL_STATES)).alias("_all"))
-        .where("_all")
-    )
+    # a job whose items are all ended or still queued, or that has none, is cancelled as a whole
+    closed = items.groupBy("job_id").agg(F.bool_and(F.col("state").isin("queued", *S.TERMINAL_STATES)).alias("_all"))
     new_jobs = (
-        jobs.join(closed, "job_id", "left")
-        .withColumn("state", F.when(F.col("_all"), "cancelled").otherwise(F.col("prior_state")))
-        .drop("_all")
+        jobs.join(named, "job_id", "left")
+        .join(closed, "job_id", "left")
+        .withColumn("state", F.when(hit & F.coalesce("_all", F.lit(True)), "cancelled").otherwise(F.col("prior_state")))
+        .drop("_all", "_cancel")
     )
     return new_jobs, new_items
 
@@ -160,22 +152,31 @@ def claim_order(items: DataFrame, as_of: Column, per_queue: int = 1) -> DataFram
     return items.where(due).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_queue)
 
 
-def item_claim(items: DataFrame, as_of: Column, worker_id: str, per_queue: int = 1) -> DataFrame:
-    """All items, the claimed ones running under a new lease."""
-    claimed = claim_order(items, as_of, per_queue).select("item_id", F.lit(True).alias("_claimed"))
+def item_claim(
+    items: DataFrame, jobs: DataFrame, as_of: Column, worker_id: str, per_queue: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """All items, the claimed ones running under a new lease, and all jobs, theirs running (``state``)."""
+    taken = claim_order(items, as_of, per_queue).select("item_id", "job_id", F.lit(True).alias("_claimed"))
     hit = F.coalesce("_claimed", F.lit(False))
-    return (
-        items.join(claimed, "item_id", "left")
+    new_items = (
+        items.join(taken.drop("job_id"), "item_id", "left")
         .withColumns(
             {
                 "state": F.when(hit, "running").otherwise(F.col("state")),
-                "worker_id": F.when(hit, worker_id),
+                "worker_id": F.when(hit, worker_id).otherwise(F.col("worker_id")),
                 "leased_until": F.when(hit, T.lease_until(as_of)).otherwise(F.col("leased_until")),
                 "attempts": F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts")),
             }
         )
         .drop("_claimed")
     )
+    started = taken.select("job_id", "_claimed").distinct()
+    new_jobs = (
+        jobs.join(started, "job_id", "left")
+        .withColumn("state", F.when(hit, "running").otherwise(F.col("prior_state")))
+        .drop("_claimed")
+    )
+    return new_items, new_jobs
 
 
 def item_complete(items: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def item_complete(items: DataFrame, outcomes: DataFrame) -> DataFrame:
     return apply_outcomes(items, outcomes.where(F.col("error_code").isNull()), F.lit(None).cast("timestamp_ntz"))
 
 
-def item_fail(items: DataFrame, outcomes: DataFrame, as_of: Column, errors: DataFrame | None = None) -> DataFrame:
+def item_fail(items: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     return apply_outcomes(items, outcomes.where(F.col("error_code").isNotNull()), as_of)
 
 
@@ -197,31 +198,34 @@ def _retryable(code: Column) -> Column:
 def apply_outcomes(
     items: DataFrame, outcomes: DataFrame, as_of: Column, max_attempts: int = DEFAULTS.max_attempts
 ) -> DataFrame:
-    """Items after a batch of outcomes (item_id, request_id, error_code, retry_after_seconds).
-
-    No error: succeeded. Retryable error with attempts left: queued again after the
-    given delay or 2^attempts seconds. Otherwise failed. Unknown errors become
-    INTERNAL_ERROR. At most one outcome per item is applied, so a repeat is harmless.
+    """Items after a batch of outcomes.
+
+    ``outcomes``: item_id, attempt, reported_at, request_id, result, error_code,
+    error_message, retry_after_seconds. No error: succeeded with its request and result.
+    Retryable error with attempts left: queued again after the given delay or 2^attempts
+    seconds. Otherwise failed. Unknown errors become INTERNAL_ERROR. Both ways the lease
+    ends. Of several outcomes of an item the latest attempt counts, and of one attempt the
+    latest report, so repeats are harmless. Items without an outcome keep every column.
     """
     known = [name for name, _, _ in S.ERRORS]
-    reported = outcomes.groupBy("item_id").agg(
-        F.max(F.struct("request_id", "error_code", "retry_after_seconds")).alias("_o")
-    )
+    fields = ("request_id", "result", "error_code", "error_message", "retry_after_seconds")
+    reported = outcomes.groupBy("item_id").agg(F.max(F.struct("attempt", "reported_at", *fields)).alias("_o"))
     code = F.col("_o.error_code")
-    shown = F.when(code.isin(*known), code).when(code.isNotNull(), "INTERNAL_ERROR")
     hit = F.col("_o").isNotNull()
-    again = hit & code.isNotNull() & _retryable(code) & (F.col("attempts") < max_attempts)
+    good, bad = hit & code.isNull(), hit & code.isNotNull()
+    again = bad & _retryable(code) & (F.col("attempts") < max_attempts)
     delay = T.item_backoff(F.col("attempts"), F.col("_o.retry_after_seconds"))
-    state = (
-        F.when(~hit, F.col("state")).when(code.isNull(), "succeeded").when(again, "queued").otherwise("failed")
-    )
+    no_lease = F.lit(None).cast(items.schema["leased_until"].dataType)
     joined = items.join(reported, "item_id", "left")
     return joined.withColumns(
         {
             "next_run_at": F.when(again, T.plus_seconds(as_of, delay)).otherwise(F.col("next_run_at")),
-            "request_id": F.when(hit & code.isNull(), F.col("_o.request_id")),
-            "error_code": shown,
-            "state": state,
+            "request_id": F.when(good, F.col("_o.request_id")).otherwise(F.col("request_id")),
+            "result": F.when(good, F.col("_o.result")).otherwise(F.col("result")),
+            "error_code": F.when(bad & code.isin(*known), code).when(bad, "INTERNAL_ERROR").otherwise(F.col("error_code")),
+            "error_message": F.when(bad, F.col("_o.error_message")).otherwise(F.col("error_message")),
+            "leased_until": F.when(hit, no_lease).otherwise(F.col("leased_until")),
+            "state": F.when(good, "succeeded").when(again, "queued").when(bad, "failed").otherwise(F.col("state")),
         }
     ).drop("_o")
 

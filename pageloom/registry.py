@@ -1,47 +1,55 @@
-"""Extraction adapters by name and version."""
+"""Extraction adapters by name and version, and extraction requests with their results."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as X
+from .html import extract as H
+from .html.parse import Page
 from .operators import extract as E
 
-Adapter = Callable[[DataFrame], DataFrame]
+PROFILE_FIELDS = ("name", "title", "summary", "current_position", "timeline", "source_url", "source_host")
 
 
-def _as_document(extracted: DataFrame, fields: list[str]) -> DataFrame:
-    return extracted.select(
-        "page_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("data"), "error"
-    )
+@dataclass(frozen=True)
+class Adapter:
+    """What an adapter reads from a page (``read(page, base) -> dict``).
 
+    With ``profile`` the dict holds a title and texts, from which column expressions make
+    the document; otherwise it is the document.
+    """
 
-def _article(pages: DataFrame) -> DataFrame:
-    return _as_document(E.article_extract(pages), ["title", "content", "author", "date"])
+    read: Callable[[Page, str], dict]
+    profile: bool = False
 
 
-def _links(pages: DataFrame) -> DataFrame:
-    # one document per link, so that a page with very many links is never gathered
-    return _as_document(E.links_extract(pages), ["pos", "text", "href"])
+def _article(page: Page, base: str) -> dict:
+    return dict(zip(("title", "content", "author", "date"), H.article(page)))
 
 
-def _profile(pages: DataFrame) -> DataFrame:
-    return _as_document(
-        E.profile_extract(pages),
-        ["name", "title", "summary", "current_position", "timeline", "source_url", "source_host"],
-    )
+def _links(page: Page, base: str) -> dict:
+    return {"links": [{"text": text, "href": href} for text, href in H.links(page, base)]}
+
+
+def _profile(page: Page, base: str) -> dict:
+    return dict(zip(("title", "texts"), H.profile_texts(page, H.host_of(base))))
 
 
 class Adapters:
-    """Registered page transforms; ``latest`` is the numerically highest version."""
+    """Registered adapters; ``latest`` is the numerically highest version."""
 
     def __init__(self) -> None:
         self._known: dict[tuple[str, str], Adapter] = {}
-        self.register("generic.article", "1", _article)
-        self.register("generic.links", "1", _links)
-        self.register("china.official-profile", "1", _profile)
+        self.register("generic.article", "1", Adapter(_article))
+        self.register("generic.links", "1", Adapter(_links))
+        self.register("china.official-profile", "1", Adapter(_profile, profile=True))
 
     def register(self, name: str, version: str, adapter: Adapter) -> None:
         self._known[(name, version)] = adapter
@@ -52,10 +60,49 @@ class Adapters:
     def items(self):
         return sorted(self._known.items())
 
-    def get(self, name: str, version: str = "latest") -> Adapter | None:
-        versions = [known for owner, known in self._known if owner == name]
-        wanted = max(versions, key=int) if version == "latest" and versions else version
-        return self._known.get((name, wanted))
+
+def read_pages(pages: DataFrame, adapters: Adapters) -> DataFrame:
+    """``source_id, base, adapter, version, data, error``: one document for each wanted adapter of a page.
+
+    ``pages``: source_id, base, html, wanted (array of name and version). Each page is parsed
+    once, whatever is asked of it. A page without content, or whose key fields are missing,
+    gives PARSE_FAILED.
+    """
+    known = dict(adapters.items())
+    id_type = pages.schema["source_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for source, base, html, wanted in batch.itertuples(index=False, name=None):
+                page = Page(html) if html is not None else None
+                for name, version in ((w["name"], w["version"]) for w in wanted):
+                    if page is None or page.empty:
+                        rows.append((source, base, name, version, None, None, None))
+                        continue
+                    adapter = known[name, version]
+                    made = adapter.read(page, base)
+                    if adapter.profile:
+                        rows.append((source, base, name, version, None, made["title"], made["texts"]))
+                    else:
+                        rows.append((source, base, name, version, json.dumps(made, ensure_ascii=False, separators=(",", ":")), None, None))
+            yield pd.DataFrame(rows, columns=["source_id", "base", "adapter", "version", "raw", "title", "texts"])
+
+    found = pages.select("source_id", "base", E.page_text(pages).alias("html"), "wanted").mapInPandas(
+        run, f"source_id {id_type}, base string, adapter string, version string, raw string, title string, texts array<string>"
+    )
+    lines = found.withColumns(
+        {"source_url": F.col("base"), "lines": F.coalesce(X.profile_lines(F.col("texts")), F.array().cast("array<string>"))}
+    )
+    filled = E.profile_fields(lines, ["source_id", "base", "adapter", "version", "raw"])
+    names = [name for (name, _), adapter in adapters.items() if adapter.profile]
+    biography = F.col("adapter").isin(*names)
+    document = F.to_json(F.struct(*PROFILE_FIELDS), {"ignoreNullFields": "false"})
+    error = F.when(biography, F.col("error")).when(F.col("raw").isNull(), "PARSE_FAILED")
+    return filled.select(
+        "source_id", "base", "adapter", "version",
+        F.when(biography, F.when(F.col("error").isNull(), document)).otherwise(F.col("raw")).alias("data"), error.alias("error"),
+    )
 
 
 def resolve(requests: DataFrame, adapters: DataFrame) -> DataFrame:
@@ -73,7 +120,7 @@ def resolve(requests: DataFrame, adapters: DataFrame) -> DataFrame:
 
 
 def extract_join(requests: DataFrame, artifacts: DataFrame, adapters: Adapters) -> DataFrame:
-    """Extraction requests with their results.
+    """Extraction requests with their results: one row for each request.
 
     ``requests``: request_id, url, artifact_id, adapter, adapter_version.
     ``artifacts``: artifact_id, url, body and, where a url has several, saved_at. Exactly one of url and artifact_id names
@@ -100,26 +147,15 @@ def extract_join(requests: DataFrame, artifacts: DataFrame, adapters: Adapters)
         .drop("_id", "_by_url", "_given")
     )
     good = located.where(F.col("error").isNull())
-    # every distinct (adapter, page, base) is parsed once, however often it is asked for
-    work = good.select("adapter", "resolved_version", "source_id", "_base").distinct()
-    results = None
-    for (name, version), adapter in adapters.items():
-        todo = work.where((F.col("adapter") == name) & (F.col("resolved_version") == version))
-        pages = todo.join(artifacts.select("artifact_id", "body"), F.col("source_id") == F.col("artifact_id")).select(
-            F.to_json(F.struct("source_id", "_base")).alias("page_id"),
-            F.col("_base").alias("url"),
-            F.col("body").alias("html"),
-        )
-        part = adapter(pages).withColumns({"_adapter": F.lit(name), "_version": F.lit(version)})
-        results = part if results is None else results.unionByName(part)
-    results = results.withColumnRenamed("error", "_failed")
-    answered = good.withColumn("_page", F.to_json(F.struct("source_id", "_base"))).join(
-        results,
-        (F.col("_page") == F.col("page_id"))
-        & (F.col("adapter") == F.col("_adapter"))
-        & (F.col("resolved_version") == F.col("_version")),
-        "left",
+    # what is asked of a page, together: its body is joined and parsed once
+    wanted = good.groupBy("source_id", F.col("_base").alias("base")).agg(
+        F.sort_array(F.collect_set(F.struct(F.col("adapter").alias("name"), F.col("resolved_version").alias("version")))).alias("wanted")
+    )
+    pages = wanted.join(artifacts.select(F.col("artifact_id").alias("source_id"), F.col("body").alias("html")), "source_id")
+    results = read_pages(pages, adapters).select(
+        "source_id", F.col("base").alias("_base"), "adapter", F.col("version").alias("resolved_version"), "data", F.col("error").alias("_failed")
     )
+    answered = good.join(results, ["source_id", "_base", "adapter", "resolved_version"], "left")
     columns = ["request_id", "adapter", F.col("resolved_version").alias("adapter_version"), F.col("source_id").alias("artifact_id")]
     failed = located.where(F.col("error").isNotNull()).select(
         *columns, F.lit(None).cast("string").alias("data"), "error"

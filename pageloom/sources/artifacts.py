@@ -33,29 +33,51 @@ def layout(bodies: DataFrame) -> DataFrame:
 
 
 def artifact_write(bodies: DataFrame, root: str) -> None:
-    """Write bodies with their metadata, partitioned by day and prefix.
+    """Append bodies with their metadata, partitioned by day and prefix.
+
+    A batch's artifact ids are the caller's and repeatable, so a batch written twice is
+    found again by them (:func:`artifact_read` keeps one row of each).
 
     The rebalance groups each partition's rows into few files; where many copies of
     one body fill a prefix, it splits that prefix over several tasks. The committer
     makes finished files visible at once.
     """
-    layout(bodies).hint("rebalance", "dt", "sha_prefix").write.partitionBy("dt", "sha_prefix").parquet(root)
+    layout(bodies).hint("rebalance", "dt", "sha_prefix").write.mode("append").partitionBy("dt", "sha_prefix").parquet(root)
 
 
 def artifact_read(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
-def artifact_index(stored: DataFrame) -> DataFrame:
-    """Index rows with size and digest computed anew from the bodies."""
+def artifact_repeats(stored: DataFrame) -> DataFrame:
+    """Ids that more than one append has written, with their copies; bodies are not read."""
+    return stored.groupBy("artifact_id").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def artifact_index(stored: DataFrame, as_of=None) -> DataFrame:
+    """Index rows with size and digest computed anew from the bodies.
+
+    The time is the one of the metadata (``saved_at``), else ``as_of``; the path is the one
+    of the layout.
+    """
+    times = [F.col("saved_at")] + ([as_of] if as_of is not None else [])
+    digest = F.sha2(F.col("body").cast("binary"), 256)
+    created = F.coalesce(*times)
     return stored.select(
         "artifact_id",
+        F.concat_ws("/", T.date_path(created), F.substring(digest, 1, 2), "artifact_id").alias("relative_path"),
         F.coalesce("content_type", F.lit(S.DEFAULT_CONTENT_TYPE)).alias("content_type"),
         F.octet_length("body").cast("bigint").alias("size_bytes"),
-        F.sha2(F.col("body").cast("binary"), 256).alias("sha256"),
+        digest.alias("sha256"),
+        created.alias("created_at"),
     )
 
 
+def stored_index(stored: DataFrame) -> DataFrame:
+    """The index rows as they were written: no body is read or hashed again."""
+    return stored.select("artifact_id", "relative_path", "content_type", "size_bytes", "sha256", F.col("saved_at").alias("created_at"))
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Index rows of a tree ``YYYY/MM/DD/<prefix>/<artifact_id>/{body.bin,metadata.json}``."""
     folder = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+/[^/]+/[^/]+)/[^/]+$", 1)
@@ -80,8 +102,14 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     stored = bodies.join(metadata, "relative_path").withColumn(
         "artifact_id", F.substring_index("relative_path", "/", -1)
     )
-    index = artifact_index(stored.select("artifact_id", "content_type", "body"))
-    return index.join(stored.select("artifact_id", "relative_path", F.col("fetched_at").alias("created_at")), "artifact_id")
+    return stored.select(
+        "artifact_id",
+        "relative_path",
+        F.coalesce("content_type", F.lit(S.DEFAULT_CONTENT_TYPE)).alias("content_type"),
+        F.octet_length("body").cast("bigint").alias("size_bytes"),
+        F.sha2("body", 256).alias("sha256"),
+        F.col("fetched_at").alias("created_at"),
+    )
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:

@@ -50,14 +50,21 @@ SELECT r.event_id AS request_id, h.name AS name, concat(h.prefix, r.user_id) AS
 FROM events r JOIN (SELECT 0 AS k, 'Accept' AS name, 'text/' AS prefix UNION ALL SELECT 1, 'Authorization', 'Bearer '
  UNION ALL SELECT 2, 'Host', 'evil' UNION ALL SELECT 3, 'Cookie', 'sid=' UNION ALL SELECT 4, 'Content-Length', ''
  UNION ALL SELECT 5, 'X-Other', 'v') h ON (r.event_id + h.k) % 4 = 0""",
+    # items with traces of earlier claims and outcomes
     "f_job_items": """
-SELECT o_orderkey AS item_id, o_orderkey - o_orderkey % 10 AS job_id, CAST(o_orderkey % 10 AS INT) AS position,
+SELECT i.*, CASE WHEN state <> 'queued' THEN concat('w', item_id % 3) END AS worker_id,
+ CASE WHEN state = 'running' THEN next_run_at + INTERVAL 120 SECOND END AS leased_until,
+ CASE WHEN state = 'succeeded' THEN concat('old_', item_id) END AS request_id,
+ CASE WHEN state = 'succeeded' THEN concat('{"n":', item_id, '}') END AS result,
+ CASE WHEN state = 'failed' OR attempts = 2 THEN 'DNS_FAILED' END AS error_code,
+ CASE WHEN state = 'failed' OR attempts = 2 THEN 'no address' END AS error_message
+FROM (SELECT o_orderkey AS item_id, o_orderkey - o_orderkey % 10 AS job_id, CAST(o_orderkey % 10 AS INT) AS position,
  (o_orderkey - o_orderkey % 10) % 7 AS client_id,
  CASE WHEN o_orderkey % 40 < 10 THEN 'succeeded' ELSE CASE (o_orderkey * 13 + o_custkey) % 7 WHEN 0 THEN 'queued'
   WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'cancelled' ELSE 'succeeded' END END AS state,
  CASE o_custkey % 3 WHEN 0 THEN 'http' ELSE 'browser' END AS queue, CAST(o_custkey % 4 AS INT) AS attempts,
  o_orderdate AS next_run_at, o_orderpriority AS priority
-FROM orders""",
+FROM orders) i""",
     "f_jobs": """
 SELECT job_id, min(client_id) AS client_id, CASE job_id % 20 WHEN 0 THEN 'queued' ELSE 'running' END AS prior_state,
  min(next_run_at) AS created_at
@@ -107,18 +114,17 @@ SELECT line_id AS page_id, CASE line_id % 4 WHEN 0 THEN 'http://www.cppcc.gov.cn
   CASE WHEN line_id % 7 = 0 THEN '<p>空白</p>' ELSE concat('<p>', CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '欧阳文华' END,
    '，男，汉族。</p><script>x("<p>")</script><p>现任职务', line_id, '</p><p>', line, '</p>') END, '</div></body></html>') AS html
 FROM f_timeline_lines""",
-    # outcomes reported for running items
+    # outcomes reported for running items: every third one twice, a failed attempt and a later one
     "f_outcomes": """
-SELECT item_id, concat('req_', item_id) AS request_id, attempts,
- CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'READ_TIMEOUT' WHEN 2 THEN 'INVALID_REQUEST' WHEN 3 THEN 'CRASH' ELSE NULL END AS error_code,
+SELECT item_id, CAST(attempts + t.n AS INT) AS attempt, next_run_at + INTERVAL 10 SECOND AS reported_at, concat('req_', 9 - t.n, '_', item_id) AS request_id,
+ CASE WHEN t.n = 1 AND item_id % 5 IN (0, 4) THEN concat('{"page":', item_id, '}') END AS result,
+ CASE WHEN t.n = 0 THEN 'INVALID_REQUEST' ELSE CASE item_id % 5 WHEN 1 THEN 'READ_TIMEOUT' WHEN 2 THEN 'INVALID_REQUEST' WHEN 3 THEN 'CRASH' END END AS error_code,
+ CASE WHEN t.n = 0 OR item_id % 5 IN (1, 2, 3) THEN concat('attempt ', t.n) END AS error_message,
  CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 30 END AS retry_after_seconds
-FROM f_job_items WHERE state = 'running'""",
+FROM f_job_items JOIN (SELECT 0 AS n UNION ALL SELECT 1) t ON t.n = 1 OR item_id % 3 = 0 WHERE state = 'running'""",
     # queue view of the items
     "f_queue": """
-SELECT item_id, job_id, queue, state, attempts, next_run_at,
- next_run_at - INTERVAL 1 DAY AS created_at,
- CASE WHEN state = 'running' THEN next_run_at + INTERVAL 120 SECOND END AS leased_until
-FROM f_job_items""",
+SELECT *, next_run_at - INTERVAL 1 DAY AS created_at FROM f_job_items""",
 }
 
 _NEEDS = {
