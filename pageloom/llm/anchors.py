@@ -4,16 +4,17 @@ Every window of ``length`` units picks one of its short grams, the one of the le
 its anchor. Equal windows pick equal grams, so only documents with a common anchor can share
 a window. The windows of one anchor lie side by side; together they are its phrase.
 
-Two exchanges follow, both of packed rows:
+The rows are dealt to chunks by a hash. That one exchange of the texts is read three times;
+between the readings go packed messages:
 
-1. ``ask``: each batch of documents sends its anchors' hashes to their buckets, each hash once;
-   a bucket answers which ones another batch has too. Hashes that two documents of a batch
-   share are known there already; their answers only pass through, spread evenly.
-2. ``phrases``: the phrases of shared anchors go to blocks by anchor; a block compares them.
-   Equal phrases of one batch go there once, for the smallest id; the others are answered
-   on the spot.
+1. Each chunk sends its anchors' hashes to their buckets, each hash once; a bucket answers
+   which ones another chunk has too. What two rows of a chunk share, the chunk knows itself.
+2. Each chunk sends the phrases of shared anchors to blocks by anchor, equal phrases once, for
+   their smallest id; a block compares them and answers which windows a smaller id holds.
+   Copies of larger ids in the chunk are known to be duplicates; that passes through.
+3. Each chunk applies the answers to its texts.
 
-A hash or phrase that a third of all rows hold is so one entry for each batch.
+So an anchor or a phrase that a third of all rows hold is one entry for each chunk.
 """
 
 from __future__ import annotations
@@ -101,201 +102,173 @@ def _pack(values: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
-ASKED = "bucket int, known boolean, ids binary, counts binary, hashes binary"
-ANSWER = "id long, hashes binary"
-
-
-def _by_id(order_ids: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Rows of (id, packed hashes) from parallel arrays."""
-    order = np.argsort(order_ids, kind="stable")
-    ids, hashes = order_ids[order], hashes[order]
-    cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(ids))
-    return ids[cut].tolist(), [_pack(hashes[a:b], np.uint64) for a, b in zip(cut, ends)]
-
-
-def shared_anchors(documents: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """``id, hashes``: for each id its anchors that a row of another id has too (packed, possibly in several rows)."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            data, bounds = utf8(batch.column("text"))
-            parts = []
-            for a, b in slices(bounds):
-                numbers, row, _, _ = units.split(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                found = phrases_of(numbers, row, units.length, units.gram)
-                parts.append((found.anchor, ids[found.row + a]))
-            if not parts:
-                continue
-            hashes, owner = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((owner, hashes))
-            hashes, owner = hashes[order], owner[order]
-            fresh = np.ones(len(hashes), bool)
-            fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-            hashes, owner = hashes[fresh], owner[fresh]  # (hash, id) once
-            if not len(hashes):
-                continue
-            head = np.ones(len(hashes), bool)
-            head[1:] = hashes[1:] != hashes[:-1]
-            tail = np.append(head[1:], True)
-            twin = ~(head & tail)  # two ids of this batch have it
-            # answers known here pass through a bucket of their own, which the batch's content picks
-            where = int(hashes[0] % np.uint64(buckets))
-            yield _asked([where], [True], [(owner[twin], hashes[twin])])
-            # one entry for each hash; a twin's entry only tells the others
-            sent, by, known = hashes[head], owner[head], twin[head]
-            bucket = (sent % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((by, known, bucket))
-            sent, by, known, bucket = sent[order], by[order], known[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (known[1:] != known[:-1]))))
-            ends = np.append(cut[1:], len(sent))
-            rows = [(np.full(b - a, NO_ID) if known[a] else by[a:b], sent[a:b]) for a, b in zip(cut, ends)]
-            yield _asked(bucket[cut].tolist(), [False] * len(cut), rows, [bool(known[a]) for a in cut])
-
-    def answer(table: pa.Table) -> pa.Table:
-        ids, hashes, silent, passed = [], [], [], []
-        for known, packed_ids, counts, packed in zip(table["known"].to_pylist(), table["ids"].to_pylist(), table["counts"].to_pylist(), table["hashes"].to_pylist()):
-            owner = np.repeat(np.frombuffer(packed_ids, np.int64), np.frombuffer(counts, np.uint32) & np.uint32(0x7FFFFFFF))
-            flag = len(counts) > 0 and bool(np.frombuffer(counts, np.uint32)[0] & np.uint32(0x80000000))
-            got = np.frombuffer(packed, np.uint64)
-            if known:
-                passed.append((owner, got))
-            else:
-                ids.append(owner)
-                hashes.append(got)
-                silent.append(np.full(len(got), flag))
-        out = list(passed)
-        if ids:
-            owner, got, quiet = np.concatenate(ids), np.concatenate(hashes), np.concatenate(silent)
-            order = np.argsort(got, kind="stable")
-            owner, got, quiet = owner[order], got[order], quiet[order]
-            head = np.ones(len(got), bool)
-            head[1:] = got[1:] != got[:-1]
-            start = np.flatnonzero(head)
-            least, most = np.minimum.reduceat(owner, start), np.maximum.reduceat(owner, start)
-            loud = np.logical_or.reduceat(quiet, start)
-            many = np.repeat((least != most) | loud, np.diff(np.append(start, len(got)))) & ~quiet
-            out.append((owner[many], got[many]))
-        owner, got = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        keys, blobs = _by_id(owner, got)
-        return pa.table({"id": pa.array(keys, pa.int64()), "hashes": pa.array(blobs, pa.binary())})
-
-    return documents.mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ANSWER)
-
-
-def _asked(buckets: list[int], known: list[bool], rows: list[tuple[np.ndarray, np.ndarray]], silent: list[bool] | None = None) -> pa.RecordBatch:
-    """Messages; the ids of a message are run-length coded, a flag in the counts marks entries that want no answer."""
-    ids, counts, hashes = [], [], []
-    for i, (owner, got) in enumerate(rows):
-        order = np.argsort(owner, kind="stable")
-        owner, got = owner[order], got[order]
-        cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
-        number = np.diff(np.append(cut, len(owner))).astype(np.uint32)
-        ids.append(_pack(owner[cut], np.int64))
-        counts.append(_pack(number | np.uint32(0x80000000 if silent and silent[i] else 0), np.uint32))
-        hashes.append(_pack(got, np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(buckets, pa.int32()), pa.array(known), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(hashes, pa.binary())],
-        ["bucket", "known", "ids", "counts", "hashes"],
-    )
-
-
-PHRASE = "block int, known boolean, id long, digest long, anchor long, first int, windows int, phrase binary"
-COVERED = "id long, digest long, runs binary"
-
-
-def duplicate_windows(documents: DataFrame, shared: DataFrame, units: Units, blocks: int, compare: Callable) -> DataFrame:
-    """``id, digest, runs``: packed (first window, windows) pairs that also start in a row of a smaller id.
+#: Chunks of rows for each partition, so that a chunk fits a Python worker.
+CHUNKS = 4
+ASKED = "bucket int, chunk int, codes binary"
+TOLD = "chunk int, bucket int, codes binary"
+#: Bytes of an anchor's hash that travel beside its bucket; a false match costs a comparison.
+CODE_BYTES = 5
 
-    ``compare`` gets the distinct phrases of a block, sorted by anchor, with the smallest id of
-    each, and marks each one's windows that a phrase of a smaller id holds.
-    """
-    told = shared.groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
-    asked = documents.join(told, "id").select("id", "digest", "text", "hashes")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, digest = batch.column("id").to_numpy(), batch.column("digest").to_numpy()
-            data, bounds = utf8(batch.column("text"))
-            told = batch.column("hashes").to_pylist()
-            cells: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
-            for a, b in slices(bounds):
-                part, at = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                numbers, row, begin, end = units.split(part, at)
-                found = phrases_of(numbers, row, units.length, units.gram)
-                raw = part.tobytes()
-                edges = np.searchsorted(found.row, np.arange(b - a + 1))
-                for i in range(a, b):
-                    lo, hi = edges[i - a], edges[i - a + 1]
-                    if lo == hi:
-                        continue
-                    wanted = np.frombuffer(b"".join(told[i]), np.uint64)
-                    base = int(np.searchsorted(row, i - a))
-                    for j in (np.flatnonzero(np.isin(found.anchor[lo:hi], wanted)) + lo).tolist():
-                        first, many = int(found.first[j]), int(found.windows[j])
-                        last = first + many + units.length - 2
-                        phrase = raw[first : last + 1] if begin is None else raw[begin[first] : end[last]]
-                        cells.setdefault((int(found.anchor[j]), phrase), []).append((int(ids[i]), int(digest[i]), first - base, many))
-            yield from _sent(cells, blocks)
 
-    def resolve(table: pa.Table) -> pa.Table:
-        known = np.array(table["known"].to_pylist(), bool)
-        ids, digest, anchor, first, many = (table[c].to_numpy() for c in ("id", "digest", "anchor", "first", "windows"))
-        phrase = table["phrase"].to_pylist()
-        runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        order = sorted(np.flatnonzero(~known).tolist(), key=lambda i: (anchor[i], phrase[i], ids[i]))
-        groups: list[list[int]] = []
-        for i in order:
-            head = groups[-1][0] if groups else -1
-            if groups and anchor[head] == anchor[i] and phrase[head] == phrase[i]:
-                groups[-1].append(i)
-            else:
-                groups.append([i])
-        marks = compare([int(anchor[g[0]]) for g in groups], [phrase[g[0]] for g in groups], [int(ids[g[0]]) for g in groups])
-        for group, mark in zip(groups, marks):
-            least = ids[group[0]]
-            for i in group:
-                whole = [(0, int(many[i]))] if ids[i] > least else mark
-                if whole:
-                    runs.setdefault((int(ids[i]), int(digest[i])), []).extend((int(first[i]) + a, b - a) for a, b in whole)
-        passed = np.flatnonzero(known)
-        keys = list(runs)
+def _codes(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and rest of anchor hashes."""
+    return (anchor % np.uint64(buckets)).astype(np.int64), (anchor // np.uint64(buckets)) & np.uint64((1 << 8 * CODE_BYTES) - 1)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted codes, byte place by byte place: the leading ones repeat, and so compress."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].T.tobytes()
+
+
+def _values(packed: bytes) -> np.ndarray:
+    n = len(packed) // CODE_BYTES
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :CODE_BYTES] = np.frombuffer(packed, np.uint8).reshape(CODE_BYTES, n).T
+    return out.reshape(-1).view(np.uint64)
+
+
+class Chunk:
+    """The rows of a chunk, cut into units a slice at a time."""
+
+    def __init__(self, table: pa.Table, units: Units):
+        self.units, self.ids = units, table["id"].to_numpy()
+        self.data, self.bounds = utf8(table["text"])
+
+    def slices(self) -> Iterator[tuple]:
+        """First row, bytes, row of each unit, unit bounds, and phrases of each slice."""
+        for a, b in slices(self.bounds):
+            part, at = self.data[self.bounds[a] : self.bounds[b]], self.bounds[a : b + 1] - self.bounds[a]
+            numbers, row, begin, end = self.units.split(part, at)
+            yield a, part, row, begin, end, phrases_of(numbers, row, self.units.length, self.units.gram)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different anchors, sorted, and whether rows of two ids have them."""
+        parts = [(found.anchor, self.ids[found.row + a]) for a, *_, found in self.slices()]
+        hashes, owner = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        head = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+        if not len(head):
+            return hashes, np.zeros(0, bool)
+        return hashes[head], np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
+
+
+def shared_anchors(chunks: DataFrame, units: Units, buckets: int) -> DataFrame:
+    """For each chunk the packed codes of its anchors that another chunk has too."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        bucket, code = _codes(Chunk(table, units).anchors()[0], buckets)
+        order = np.lexsort((code, bucket))
+        bucket, code = bucket[order], code[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+        chunk = table["chunk"][0].as_py()
         return pa.table({
-            "id": pa.array([k[0] for k in keys] + ids[passed].tolist(), pa.int64()),
-            "digest": pa.array([k[1] for k in keys] + digest[passed].tolist(), pa.int64()),
-            "runs": pa.array([_pack(np.array(runs[k]), np.uint32) for k in keys] + [phrase[i] for i in passed], pa.binary()),
+            "bucket": pa.array(bucket[cut].tolist(), pa.int32()), "chunk": pa.array([chunk] * len(cut), pa.int32()),
+            "codes": pa.array([_planes(code[a:b]) for a, b in zip(cut, np.append(cut[1:], len(code)))], pa.binary()),
         })
 
-    return asked.mapInArrow(send, PHRASE).groupBy("block").applyInArrow(resolve, COVERED)
+    def tell(table: pa.Table) -> pa.Table:
+        parts = [np.unique(_values(x)) for x in table["codes"].to_pylist()]
+        every, count = np.unique(np.concatenate(parts), return_counts=True)
+        many = every[count > 1]
+        answers = [part[np.isin(part, many, assume_unique=True)] for part in parts]
+        return pa.table({"chunk": table["chunk"].cast(pa.int32()), "bucket": table["bucket"].cast(pa.int32()), "codes": pa.array([_planes(x) for x in answers], pa.binary())})
+
+    return chunks.groupBy("chunk").applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(tell, TOLD)
+
+
+# a message of phrases: of one chunk for one block; or, with known set, runs that only pass through
+PHRASES = "block int, chunk int, known boolean, ids binary, digests binary, anchors binary, firsts binary, sizes binary, phrases binary"
+RUNS = "chunk int, ids binary, digests binary, firsts binary, sizes binary"
 
 
-def _sent(cells: dict, blocks: int) -> Iterator[pa.RecordBatch]:
-    """One row for each phrase of a batch, for its smallest id; rows of larger ids are duplicates already.
+def duplicate_windows(chunks: DataFrame, units: Units, parts: int, compare: Callable) -> DataFrame:
+    """For each chunk packed runs of windows (id, digest, first, number) that also start in a row of a smaller id.
 
-    What is known already goes along as packed runs, one row for each document, to any block.
+    ``compare`` gets the distinct phrases of a block, sorted by anchor, with the smallest id of
+    each, and marks each one's windows that a phrase of a smaller id holds.
     """
-    rows: list[tuple] = []
-    known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def send(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _messages([], 0)
+        held = Chunk(table, units)
+        digest = table["digest"].to_numpy()
+        anchors, twin = held.anchors()
+        bucket, code = _codes(anchors, parts)
+        known = [(np.uint64(b) << np.uint64(8 * CODE_BYTES)) | _values(c) for b, c in zip(told["bucket"].to_pylist(), told["codes"].to_pylist())]
+        elsewhere = np.isin((bucket.astype(np.uint64) << np.uint64(8 * CODE_BYTES)) | code, np.concatenate(known)) if known else np.zeros(len(anchors), bool)
+        wanted = anchors[twin | elsewhere]
+        cells: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
+        for a, part, row, begin, end, found in held.slices():
+            raw = part.tobytes()
+            base = np.searchsorted(row, np.arange(int(row[-1]) + 2)) if len(row) else None
+            for j in np.flatnonzero(np.isin(found.anchor, wanted)).tolist():
+                first, many, i = int(found.first[j]), int(found.windows[j]), int(found.row[j])
+                last = first + many + units.length - 2
+                phrase = raw[first : last + 1] if begin is None else raw[begin[first] : end[last]]
+                cells.setdefault((int(found.anchor[j]), phrase), []).append((int(held.ids[a + i]), int(digest[a + i]), first - int(base[i]), many))
+        return _messages_of(cells, table["chunk"][0].as_py(), parts)
+
+    def resolve(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        entries: list[tuple] = []  # anchor, phrase, id, digest, first, windows, chunk
+        for r in rows:
+            if not r["known"]:
+                sizes = np.frombuffer(r["sizes"], np.uint32).reshape(2, -1)
+                ends = np.cumsum(sizes[1]).tolist()
+                pieces = [r["phrases"][a:b] for a, b in zip([0, *ends], ends)]
+                columns = (np.frombuffer(r[c], k).tolist() for c, k in (("anchors", np.int64), ("ids", np.int64), ("digests", np.int64), ("firsts", np.uint32)))
+                anchor, ids, digests, firsts = columns
+                entries += zip(anchor, pieces, ids, digests, firsts, sizes[0].tolist(), [r["chunk"]] * len(pieces))
+        entries.sort(key=lambda e: e[:3])
+        heads = [i for i in range(len(entries)) if i == 0 or entries[i][:2] != entries[i - 1][:2]]
+        marks = compare([entries[i][0] for i in heads], [entries[i][1] for i in heads], [entries[i][2] for i in heads])
+        runs: dict[int, list[tuple]] = {}
+        for n, i in enumerate(heads):
+            for e in entries[i : heads[n + 1] if n + 1 < len(heads) else len(entries)]:
+                whole = [(0, e[5])] if e[2] > entries[i][2] else marks[n]
+                for a, b in whole or ():
+                    runs.setdefault(e[6], []).append((e[2], e[3], e[4] + a, b - a))
+        out = [(r["chunk"], r["ids"], r["digests"], r["firsts"], r["sizes"]) for r in rows if r["known"]]
+        for chunk, found in runs.items():
+            ids, digests, firsts, sizes = zip(*found)
+            out.append((chunk, _pack(np.array(ids), np.int64), _pack(np.array(digests), np.int64), _pack(np.array(firsts), np.uint32), _pack(np.array(sizes), np.uint32)))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("chunk", "ids", "digests", "firsts", "sizes"), list(zip(*out)) or [[]] * 5, kinds)})
+
+    told = shared_anchors(chunks, units, parts)
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, PHRASES)
+    return sent.groupBy("block").applyInArrow(resolve, RUNS)
+
+
+def _messages_of(cells: dict, chunk: int, blocks: int) -> pa.Table:
+    """The phrases of a chunk by block, each for its smallest id, and what is known of its other copies."""
+    known: list[tuple] = []
+    by_block: dict[int, list[tuple]] = {}
     for (anchor, phrase), places in cells.items():
         least = min(p[0] for p in places)
         for id_, digest, first, many in places:
             if id_ > least:
-                known.setdefault((id_, digest), []).append((first, many))
+                known.append((id_, digest, 0, first, many, b""))
             else:
-                rows.append((anchor % blocks, False, id_, digest, anchor, first, many, phrase))
-        if len(rows) > 50_000:
-            yield _phrase_batch(rows)
-            rows = []
-    for (id_, digest), runs in known.items():
-        rows.append((digest % blocks, True, id_, digest, 0, 0, 0, _pack(np.array(sorted(runs)), np.uint32)))
-    if rows:
-        yield _phrase_batch(rows)
+                by_block.setdefault(anchor % blocks, []).append((id_, digest, anchor, first, many, phrase))
+    rows = [(block, False, found) for block, found in by_block.items()]
+    return _messages(rows + ([(chunk % blocks, True, known)] if known else []), chunk)
 
 
-def _phrase_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "known", "id", "digest", "anchor", "first", "windows", "phrase"])
+def _messages(rows: list[tuple], chunk: int) -> pa.Table:
+    out = []
+    for block, known, found in rows:
+        ids, digests, anchors, firsts, many, phrases = zip(*found)
+        sizes = [many] if known else [many, list(map(len, phrases))]
+        out.append((
+            block, chunk, known, _pack(np.array(ids), np.int64), _pack(np.array(digests), np.int64), b"" if known else _pack(np.array(anchors), np.int64),
+            _pack(np.array(firsts), np.uint32), _pack(np.array(sizes), np.uint32), b"".join(phrases),
+        ))
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6)
+    names = ("block", "chunk", "known", "ids", "digests", "anchors", "firsts", "sizes", "phrases")
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, list(zip(*out)) or [[]] * 9, kinds)})
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -303,25 +276,46 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("digest"), "text")
 
 
-def with_duplicates(documents: DataFrame, units: Units, compare: Callable) -> DataFrame:
-    """``id, digest, text, runs``: every row with the packed window runs that start in a row of a smaller id."""
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed(documents)
-    covered = duplicate_windows(rows, shared_anchors(rows, units, parts), units, parts, compare)
-    per_id = covered.groupBy("id").agg(F.collect_list(F.struct("digest", "runs")).alias("found"))
-    # this join and the one before read the texts dealt by id: one exchange, used twice
-    own = F.filter(F.coalesce("found", F.array().cast("array<struct<digest:bigint,runs:binary>>")), lambda f: f["digest"] == F.col("digest"))
-    return rows.join(per_id, "id", "left").select("id", "text", F.transform(own, lambda f: f["runs"]).alias("runs"))
-
+def with_duplicates(documents: DataFrame, units: Units, compare: Callable, count: Callable, keep: Callable) -> DataFrame:
+    """``doc_id, n_units, spans, kept``: every row with its unit spans that windows of smaller ids cover, and the rest.
 
-def marked(runs: list[bytes], count: int, length: int) -> np.ndarray:
-    """Which of ``count`` units lie in a window of the packed runs."""
+    ``count`` gives a text's (bytes) number of units, ``keep`` the text without the marked ones.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(parts * CHUNKS)).cast("int")
+    chunks = keyed(documents).select("id", "digest", "text", chunk.alias("chunk"))
+
+    def apply(table: pa.Table, told: pa.Table) -> pa.Table:
+        runs: dict[tuple[int, int], list[np.ndarray]] = {}
+        if told.num_rows:
+            ids, digests = (np.concatenate([np.frombuffer(x, np.int64) for x in told[c].to_pylist()]) for c in ("ids", "digests"))
+            pairs = np.column_stack([np.concatenate([np.frombuffer(x, np.uint32) for x in told[c].to_pylist()]) for c in ("firsts", "sizes")]).astype(np.int64)
+            order = np.lexsort((digests, ids))
+            ids, digests, pairs = ids[order], digests[order], pairs[order]
+            cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])))) if len(ids) else []
+            for a, b in zip(cut, np.append(cut[1:], len(ids))):
+                runs[int(ids[a]), int(digests[a])] = pairs[a:b]
+        counts, spans, kept = [], [], []
+        for id_, digest, text in zip(table["id"].to_pylist(), table["digest"].to_pylist(), table["text"].to_pylist()):
+            raw = (text or "").encode()
+            counts.append(count(raw))
+            marks = marked(runs.get((id_, digest)), counts[-1], units.length)
+            spans.append([] if marks is None else spans_of(marks))
+            kept.append(keep(raw, marks))
+        return pa.table({"id": table["id"].cast(pa.int64()), "n_units": pa.array(counts, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
+
+    covered = duplicate_windows(chunks, units, parts, compare)
+    done = chunks.groupBy("chunk").cogroup(covered.groupBy("chunk")).applyInArrow(apply, "id long, n_units long, spans array<struct<start:int,end:int>>, kept binary")
+    return done.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_units", "spans", "kept")
+
+
+def marked(runs: np.ndarray | None, count: int, length: int) -> np.ndarray | None:
+    """Which of ``count`` units lie in a window of the runs (first window, number)."""
+    if runs is None:
+        return None
     edge = np.zeros(count + 1, np.int64)
-    for packed in runs:
-        pairs = np.frombuffer(packed, np.uint32).reshape(-1, 2).astype(np.int64)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 0] + pairs[:, 1] + length - 1, -1)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 0] + runs[:, 1] + length - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SPANS, Units, marked, spans_of, with_duplicates
+from .anchors import Units, with_duplicates
 from .text import word_hashes, words
 
 WINDOW = 13
-GRAM = 5
+GRAM = 7
 
 
 def _split(data: np.ndarray, bounds: np.ndarray) -> tuple:
@@ -89,19 +88,12 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     give no rows; other columns are not looked at.
     """
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, spans, kept = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                found = (text or "").encode().split()
-                marks = marked(runs, len(found), WINDOW)
-                counts.append(len(found))
-                spans.append(spans_of(marks))
-                kept.append(b" ".join(w for w, m in zip(found, marks.tolist()) if not m) if runs else b" ".join(found))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["id", "n_words", "spans", "kept"])
-
-    done = with_duplicates(documents, UNITS, factorise).mapInArrow(apply, "id long, n_words long, spans array<struct<start:int,end:int>>, kept binary")
-    return done.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_words", "spans", "kept")
+    def keep(raw: bytes, marks: np.ndarray | None) -> bytes:
+        found = raw.split()
+        return b" ".join(found if marks is None else [w for w, m in zip(found, marks.tolist()) if not m])
+
+    done = with_duplicates(documents, UNITS, factorise, lambda raw: len(raw.split()), keep)
+    return done.withColumnRenamed("n_units", "n_words")
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SPANS, Units, marked, spans_of, with_duplicates
+from .anchors import Units, spans_of, with_duplicates
 
 LENGTH = 50
-GRAM = 16
+GRAM = 30
 BLOCK_BYTES = 1 << 20
 
 
@@ -123,23 +120,10 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     empty, no rows give no rows, other columns are not looked at.
     """
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, spans, kept = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                raw = (text or "").encode()
-                counts.append(len(raw))
-                if not runs:
-                    spans.append([])
-                    kept.append(raw)
-                    continue
-                marks = marked(runs, len(raw), LENGTH)
-                spans.append(spans_of(marks))
-                kept.append(np.frombuffer(raw, np.uint8)[~marks].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
-
-    done = with_duplicates(documents, UNITS, expand).mapInArrow(apply, "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
-    return done.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "spans", "kept")
+    def keep(raw: bytes, marks: np.ndarray | None) -> bytes:
+        return raw if marks is None else np.frombuffer(raw, np.uint8)[~marks].tobytes()
+
+    return with_duplicates(documents, UNITS, expand, len, keep).withColumnRenamed("n_units", "n_bytes")
 
 
 def report(documents: DataFrame) -> DataFrame:
