@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .text import slices, utf8
 
+#: Words of a lower-cased text.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
 #: Lower-cases A-Z and blanks every ASCII character that is neither a letter nor a digit.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 FOUND = "doc_id long, text string, n_words long, n_hit long, hits array<int>, items array<string>"
@@ -259,7 +261,7 @@ def _joined(one: list[int], two: list[int]) -> list[int]:
 
 def cut(text: str, hits: list[int]) -> str:
     """The text without the words of the runs and what lies between them; a line end closes the gap."""
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
     out, done = [], 0
     for a, b in zip(hits[::2], hits[1::2]):
         out.append(text[done : places[a][0]].rstrip(" "))
