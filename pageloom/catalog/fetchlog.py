@@ -8,6 +8,7 @@ from ..functions import urls as U
 from ..functions.timing import micros
 from ..operators import cache as C
 from ..operators import fetchlog as L
+from ..operators import guard as G
 from ..operators import politeness as P
 from ..operators import redirects as D
 from .book import DOMAIN, query
@@ -107,46 +108,51 @@ def response_project(spark, root):
 # redirects
 # ---------------------------------------------------------------------------
 _WALK = """WITH walk(start, node, depth, path, code) AS (
- SELECT src, src, 0, [src], {first} FROM f_redirects {base}
+ SELECT src, src, 0, [src], {first} FROM f_redirects
  UNION ALL
- SELECT w.start, h.dst, w.depth + 1, list_append(w.path, h.dst), CASE WHEN w.depth + 1 > 10 THEN 'TOO_MANY_REDIRECTS'
-  WHEN list_contains(w.path, h.dst) THEN 'REDIRECT_LOOP' {guard} END
- FROM walk w JOIN f_redirects h ON h.src = w.node {step} WHERE w.code IS NULL AND h.dst IS NOT NULL)
+ SELECT w.start, h.dst, w.depth + 1, list_append(w.path, h.dst), CASE {guard} WHEN w.depth + 1 > 10 THEN 'TOO_MANY_REDIRECTS'
+  WHEN list_contains(w.path, h.dst) THEN 'REDIRECT_LOOP' WHEN h.dst NOT IN (SELECT src FROM f_redirects) THEN 'NOT_RECORDED' END
+ FROM walk w JOIN f_redirects h ON h.src = w.node WHERE w.code IS NULL AND h.dst IS NOT NULL)
 SELECT start AS src, CASE WHEN code IS NULL THEN node END AS final,
  CAST(CASE WHEN code IN ('REDIRECT_LOOP', 'TOO_MANY_REDIRECTS') THEN depth - 1 ELSE depth END AS INTEGER) AS hops, code
 FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth DESC) AS rn FROM walk) WHERE rn = 1"""
 
 
+def _numbers(chains):
+    """The page numbers of the URLs."""
+    number = lambda c: F.nullif(F.regexp_extract(c, "p([0-9]+)$", 1), F.lit("")).cast("bigint")
+    return chains.select(number("src").alias("src"), number("final").alias("final"), "hops", "code")
+
+
 @query(
     "redirect_resolve",
-    "f_redirects",
-    sql=_WALK.format(first="CAST(NULL AS VARCHAR)", base="", guard="", step=""),
+    "f_hops",
+    sql=_WALK.format(first="CAST(NULL AS VARCHAR)", guard=""),
     recursive=True,
+    oracle_views=("f_redirects",),
 )
 def redirect_resolve(spark, root):
-    return D.redirect_resolve(spark.table("f_redirects"))
-
-
-# pages whose address may be connected to
-_OPEN = "(page_id % 9 IN (3, 5, 8) OR page_id % 2 = 0)"
+    return _numbers(D.redirect_resolve(D.hops_of(spark.table("f_hops"))))
 
 
 @query(
     "redirect_guard",
-    "f_redirects",
+    "f_hops",
+    "f_addresses",
     sql=_WALK.format(
-        first=f"CASE WHEN NOT {_OPEN.replace('page_id', 'src')} THEN 'DOMAIN_NOT_ALLOWED' END",
-        base="",
-        guard=f"WHEN NOT {_OPEN.replace('page_id', 'h.dst')} THEN 'DOMAIN_NOT_ALLOWED'",
-        step="",
+        first="CASE WHEN src % 23 = 7 THEN 'DOMAIN_NOT_ALLOWED' END",
+        guard="WHEN h.dst % 23 = 7 AND w.depth + 1 <= 10 AND NOT list_contains(w.path, h.dst) THEN 'DOMAIN_NOT_ALLOWED'",
     ),
     recursive=True,
+    oracle_views=("f_redirects",),
 )
 def redirect_guard(spark, root):
-    verdicts = spark.table("pages").select(
-        F.col("page_id").alias("src"), F.expr(f"CASE WHEN NOT {_OPEN} THEN 'DOMAIN_NOT_ALLOWED' END").alias("code")
-    )
-    return D.redirect_resolve(spark.table("f_redirects"), verdicts=verdicts)
+    """Each requested URL passes the guard first: block list and recorded addresses."""
+    hops = D.hops_of(spark.table("f_hops"))
+    pages = hops.select("src").union(hops.select("dst")).where("src is not null").distinct()
+    resolved = pages.select("src", F.lit("93.184.216.34").alias("address"))
+    verdicts = G.guard_urls(pages.withColumn("url", F.col("src")), resolved, "src", ["blocked0.example.org"])
+    return _numbers(D.redirect_resolve(hops, verdicts=verdicts.select("src", "code")))
 
 
 # ---------------------------------------------------------------------------

@@ -135,11 +135,13 @@ _DENIED = """(ip // 16777216 IN (0, 10, 127) OR ip // 65536 IN (169 * 256 + 254,
 @query(
     "address_allowed",
     "f_addresses",
+    "f_addresses6",
     sql=f"SELECT page_id, address, NOT {_DENIED} AS allowed, NOT (ip // 16777216 = 127 OR ip // 65536 = 169 * 256 + 254"
-    f" OR ip // 16777216 BETWEEN 224 AND 239 OR ip = 0) AS allowed_private FROM {_IP}",
+    f" OR ip // 16777216 BETWEEN 224 AND 239 OR ip = 0) AS allowed_private FROM {_IP} UNION ALL "
+    "SELECT page_id, address, page_id % 8 = 0, page_id % 8 IN (0, 3, 4, 6) FROM f_addresses6",
 )
 def address_allowed(spark, root):
-    return spark.table("f_addresses").select(
+    return spark.table("f_addresses").unionByName(spark.table("f_addresses6")).select(
         "page_id",
         "address",
         A.address_allowed(F.col("address")).alias("allowed"),
@@ -151,15 +153,21 @@ def address_allowed(spark, root):
     "url_guard",
     "f_urls",
     "f_addresses",
+    "f_literal_urls",
     sql=f"""SELECT page_id, code FROM (SELECT page_id, CASE WHEN page_id % 8 IN (1, 2, 7) THEN 'INVALID_REQUEST'
  WHEN regexp_matches(f_urls.url, '^http://blocked[01]\\.') THEN 'DOMAIN_NOT_ALLOWED' WHEN p.url LIKE '%?%' THEN 'DNS_FAILED'
- WHEN {_DENIED} THEN 'DOMAIN_NOT_ALLOWED' END AS code FROM f_urls JOIN {_IP} USING (page_id) JOIN pages p USING (page_id))""",
+ WHEN {_DENIED} AND ip // 16777216 <> 10 THEN 'DOMAIN_NOT_ALLOWED' END AS code FROM f_urls JOIN {_IP} USING (page_id) JOIN pages p USING (page_id))
+UNION ALL SELECT page_id, CASE WHEN (page_id - 1000000) % 6 IN (1, 4) THEN 'DOMAIN_NOT_ALLOWED' END FROM f_literal_urls""",
 )
 def url_guard(spark, root):
-    """Hosts of pages with a query have no recorded address."""
-    resolved = spark.table("pages").where(~F.col("url").contains("?")).select("page_id")
-    known = spark.table("f_addresses").join(resolved, "page_id", "left_semi")
-    return G.guard_urls(spark.table("f_urls"), known, "page_id", BLOCKED).select("page_id", "code")
+    """The addresses of pages with a query are recorded under keys that do not exist; two networks are allowed."""
+    lost = spark.table("pages").select("page_id", F.col("url").contains("?").alias("lost"))
+    known = spark.table("f_addresses").join(lost, "page_id").select(
+        F.when(F.col("lost"), -F.col("page_id") - 1).otherwise(F.col("page_id")).alias("page_id"), "address"
+    )
+    networks = spark.createDataFrame([("10.0.0.0/8",), ("fd00::/8",)], "cidr string")
+    urls = spark.table("f_urls").unionByName(spark.table("f_literal_urls"))
+    return G.guard_urls(urls, known, "page_id", BLOCKED, networks=networks).select("page_id", "code")
 
 
 _HEADERS = "SELECT request_id, name, value FROM f_header_rows"
@@ -385,12 +393,15 @@ def error_catalog(spark, root):
 @query(
     "cidr_allowlist",
     "f_addresses",
+    "f_addresses6",
     sql=f"SELECT page_id, address FROM {_IP} WHERE ip // 16777216 = 10 OR ip // 1048576 = 172 * 16 + 1 OR address LIKE '93.184.1%.34'"
-    " AND ip // 256 BETWEEN 93 * 65536 + 184 * 256 + 16 AND 93 * 65536 + 184 * 256 + 19",
+    " AND ip // 256 BETWEEN 93 * 65536 + 184 * 256 + 16 AND 93 * 65536 + 184 * 256 + 19 UNION ALL"
+    " SELECT page_id, address FROM f_addresses6 WHERE page_id % 8 IN (0, 3)",
 )
 def cidr_allowlist(spark, root):
-    networks = spark.createDataFrame([("10.0.0.0/8",), ("172.16.0.0/12",), ("93.184.16.0/22",)], "cidr string")
-    return G.within_networks(spark.table("f_addresses"), networks)
+    names = ("10.0.0.0/8", "172.16.0.0/12", "93.184.16.0/22", "fd00::/8", "2606:4700::/32")
+    networks = spark.createDataFrame([(name,) for name in names], "cidr string")
+    return G.within_networks(spark.table("f_addresses").unionByName(spark.table("f_addresses6")), networks)
 
 
 @query(
@@ -651,12 +662,14 @@ def host_selector_match(spark, root):
 @query(
     "request_prepare",
     "f_raw_requests",
-    sql="""SELECT request_id, CASE WHEN url IS NULL OR url LIKE 'ftp%' OR mode = 'magic' OR profile LIKE '%!' OR proxy_policy = 'tunnel'
+    sql=f"""SELECT request_id, CASE WHEN url IS NULL OR url LIKE 'ftp%' OR mode = 'magic' OR profile LIKE '%!' OR proxy_policy = 'tunnel'
  OR cache_ttl < 0 OR cache_ttl > 2592000 OR timeout_seconds <= 0 OR timeout_seconds > 300 OR length(required_selector) > 500
- THEN 'INVALID_REQUEST' END AS error FROM f_raw_requests""",
+ THEN 'INVALID_REQUEST' END AS error, CASE WHEN url IS NOT NULL THEN {_KEY.format(headers='{}')} END AS fetch_key,
+ coalesce(cache_ttl, 3600) AS ttl FROM (SELECT * REPLACE (coalesce(mode, 'auto') AS mode, coalesce(profile, 'anonymous') AS profile,
+ coalesce(proxy_policy, 'auto') AS proxy_policy, url AS url) FROM f_raw_requests)""",
 )
 def request_prepare(spark, root):
-    """Defaults, rules, guard syntax and keys together: one projection, no shuffle."""
-    return R.prepare(spark.table("f_raw_requests")).select("request_id", "error")
+    """Defaults, rules, guard syntax, keys and lifetimes together: one projection, no shuffle."""
+    return R.prepare(spark.table("f_raw_requests")).select("request_id", "error", "fetch_key", F.col("ttl").cast("bigint").alias("ttl"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from .. import settings as S
 
-_V4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}\z"
 
 
 def _as_int(dotted: str) -> int:
@@ -68,10 +69,45 @@ def address_allowed(address: Column, allow_private: bool = False) -> Column:
     return F.when(is_ipv4(address), ~denied).otherwise(other)
 
 
-def cidr_bounds(cidr: Column) -> Column:
-    """``struct(lo, hi)`` of an IPv4 network."""
-    base = ipv4_number(F.substring_index(cidr, "/", 1))
-    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(32)
-    size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("bigint")
-    low = base - F.pmod(base, size)
-    return F.struct(low.alias("lo"), (low + size - 1).alias("hi"))
+@F.pandas_udf(T.BinaryType())
+def _v6_bytes(address: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return None if text is None else ipaddress.IPv6Address(text).packed
+        except ValueError:
+            return None
+
+    return pd.Series([one(text) for text in address], dtype=object)
+
+
+def address_bytes(address: Column) -> Column:
+    """Family (4 or 6) and address as bytes, so that ranges of either family compare; NULL for anything else.
+
+    IPv4 stays in the JVM; only texts with a colon go to Python.
+    """
+    v4 = F.unhex(F.concat(F.lit("04"), F.lpad(F.hex(ipv4_number(address)), 8, "0")))
+    v6 = _v6_bytes(F.when(address.contains(":"), address))
+    return F.when(is_ipv4(address), v4).when(v6.isNotNull(), F.concat(F.unhex(F.lit("06")), v6))
+
+
+def is_address(host: Column) -> Column:
+    """A host that is an address literal and its own resolution."""
+    return F.coalesce(address_bytes(host).isNotNull(), F.lit(False))
+
+
+@F.pandas_udf(T.StructType([T.StructField("lo", T.BinaryType()), T.StructField("hi", T.BinaryType())]))
+def cidr_bounds(cidr: pd.Series) -> pd.DataFrame:
+    """First and last address of a network of either family, as :func:`address_bytes` writes them.
+
+    A text that is no network has no bounds. Networks are configuration, so few.
+    """
+    rows = []
+    for text in cidr:
+        try:
+            net = ipaddress.ip_network(text, strict=False)
+        except ValueError:
+            rows.append((None, None))
+            continue
+        family = bytes([net.version])
+        rows.append((family + net[0].packed, family + net[-1].packed))
+    return pd.DataFrame(rows, columns=["lo", "hi"])

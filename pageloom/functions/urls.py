@@ -10,7 +10,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,11 +81,34 @@ def assemble(scheme: Column, host: Column, port: Column, parts: Column) -> Colum
     )
 
 
+def url_canonical(url: Column) -> Column:
+    """The URL as typed requests hold it: lower-case scheme and host, no default port, a path; the rest is kept.
+
+    What is no http or https URL stays as it is.
+    """
+    parts = url_parts(url)
+    scheme, host, port = scheme_of(parts=parts), domain_of(parts=parts), port_of(parts=parts)
+    info = F.when(parts[1] != "", F.concat(parts[1], F.lit("@"))).otherwise("")
+    fragment = F.regexp_extract(url, r"(?s)^[^#]*(#.*)$", 1)
+    known = F.coalesce(scheme.isin("http", "https") & (host != "") & port.isNotNull(), F.lit(False))
+    bracketed = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    return F.when(known, F.concat(assemble(scheme, F.concat(info, bracketed), port, parts), fragment)).otherwise(url)
+
+
 def url_normalize(url: Column) -> Column:
     parts = url_parts(url)
     return assemble(scheme_of(parts=parts), guard_host(parts=parts), port_of(parts=parts), parts)
 
 
+def with_normalized(df: DataFrame, url: str, name: str) -> DataFrame:
+    """Add the normalised URL. Its parts are columns of their own on the way, so each is computed once."""
+    split = df.withColumn("_url_parts", url_parts(F.col(url)))
+    parts = F.col("_url_parts")
+    pieces = {"_url_scheme": scheme_of(parts=parts), "_url_host": guard_host(parts=parts), "_url_port": port_of(parts=parts)}
+    made = split.withColumns(pieces).withColumn(name, assemble(F.col("_url_scheme"), F.col("_url_host"), F.col("_url_port"), parts))
+    return made.drop("_url_parts", *pieces)
+
+
 @F.pandas_udf(T.StringType())
 def _join_general(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b, h):

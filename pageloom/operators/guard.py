@@ -11,19 +11,24 @@ from ..plans.running import running, with_chunk
 
 
 def within_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
-    """Addresses (``address``) inside any network (``cidr``).
+    """Addresses (``address``) of either family inside any network (``cidr``).
 
-    The range join is an equi-join: a network of at least 2^16 addresses is spread
-    over the /16 blocks it covers, a smaller one lies in one block.
+    The range join is an equi-join on the family and the first 16 bits: a network wider
+    than that is spread over the blocks it covers, a narrower one lies in one block.
     """
+
+    def block(value):
+        return F.conv(F.hex(F.substring(value, 1, 3)), 16, 10).cast("int")
+
     ranges = (
         networks.select(A.cidr_bounds(F.col("cidr")).alias("net"))
         .select("net.lo", "net.hi")
+        .where("lo is not null")
         .distinct()
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536))))
+        .withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))))
     )
-    numbered = addresses.withColumn("_ip", A.ipv4_number(F.col("address")))
-    inside = (F.floor(numbered["_ip"] / 65536) == ranges["block"]) & numbered["_ip"].between(ranges["lo"], ranges["hi"])
+    numbered = addresses.withColumn("_ip", A.address_bytes(F.col("address")))
+    inside = (block(numbered["_ip"]) == ranges["block"]) & numbered["_ip"].between(ranges["lo"], ranges["hi"])
     return numbered.join(ranges, inside, "left_semi").drop("_ip")
 
 
@@ -117,21 +122,17 @@ def guard_urls(
 ) -> DataFrame:
     """Full verdict: syntax, block list, then resolved addresses. NULL code = allowed.
 
-    ``addresses`` holds the recorded resolution (``key``, ``address``).
+    ``addresses`` holds the recorded resolution (``key``, ``address``) of host names; ``key`` is unique in ``urls``.
     """
     checked = guard_syntax(urls, blocked_hosts)
-    verdicts = address_verdicts(addresses, key, allow_private, networks, allowed_hosts)
-    joined = checked.join(verdicts, key, "left")
-    literal = F.when(A.is_ipv4(F.col("host")), A.address_allowed(F.col("host"), allow_private))
-    trusted = F.lit(False)
-    if allowed_hosts:
-        trusted = F.col("host").isin(*sorted({name.lower().rstrip(".") for name in allowed_hosts}))
+    # a literal resolves to itself; from there on all addresses take one way
+    hosts = checked.where(F.col("host").isNotNull()).select(key, "host")
+    named = hosts.join(addresses.select(key, "address"), key).where(~A.is_address(F.col("host")))
+    literals = hosts.where(A.is_address(F.col("host"))).withColumn("address", F.col("host"))
+    verdicts = address_verdicts(named.unionByName(literals), key, allow_private, networks, allowed_hosts)
     code = (
         F.when(F.col("code").isNotNull(), F.col("code"))
-        .when(trusted & (F.coalesce("n_addresses", F.lit(0)) > 0), F.lit(None))
-        .when(literal.isNotNull() & ~literal, "DOMAIN_NOT_ALLOWED")
-        .when(literal.isNotNull(), F.lit(None))
         .when(F.coalesce("n_addresses", F.lit(0)) == 0, "DNS_FAILED")
         .when(~F.col("allowed"), "DOMAIN_NOT_ALLOWED")
     )
-    return joined.withColumn("code", code).drop("n_addresses", "allowed")
+    return checked.join(verdicts, key, "left").withColumn("code", code).drop("n_addresses", "allowed")

@@ -11,9 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import settings as S
+from ..functions import urls as U
+from ..session import shared_root
 from ..settings import DEFAULTS
 
 
+def hops_of(responses: DataFrame) -> DataFrame:
+    """Recorded responses (url, status_code, location) as hops (src, dst) between normalised URLs.
+
+    A redirect status with a Location moves on to it, resolved against the URL that sent it;
+    anything else is final. Of several records of a URL the one with the largest Location counts.
+    """
+    moves = F.col("status_code").isin(*S.REDIRECT_STATUS) & F.col("location").isNotNull()
+    sent = U.with_normalized(responses.select("url", F.when(moves, F.col("location")).alias("location")), "url", "src")
+    single = sent.where("src is not null").groupBy("src").agg(F.max("location").alias("location"))
+    target = single.select("src", U.url_join(F.col("src"), F.col("location")).alias("_to"))
+    return U.with_normalized(target, "_to", "dst").select("src", "dst")
+
+
 def redirect_resolve(
     hops: DataFrame, max_redirects: int = DEFAULTS.max_redirects, verdicts: DataFrame | None = None
 ) -> DataFrame:
@@ -21,10 +37,14 @@ def redirect_resolve(
 
     ``hops``: src (unique), dst (NULL for a final page). ``verdicts``: src, code of
     the address guard; every requested page is checked before it is fetched. Codes:
-    NULL ok, REDIRECT_LOOP, TOO_MANY_REDIRECTS or the guard's.
+    NULL ok, REDIRECT_LOOP, TOO_MANY_REDIRECTS, NOT_RECORDED (the last page has no
+    record, so nothing is known of it) or the guard's.
     """
     key_type = hops.schema["src"].dataType
     nodes = hops.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    # the levels below read the hops again and again; written once, they stay a small leaf of the plan
+    shared_root(hops.sparkSession)
+    nodes = nodes.checkpoint(eager=False)
     limit = max_redirects + 1  # requests that may be made
 
     # path of a segment: the pages requested after src, in order; NULL end = known final
@@ -32,6 +52,8 @@ def redirect_resolve(
     segments = moving.select("src", F.array("dst").alias("path"), F.col("dst").alias("end"))
     span = 1
     while span < limit:
+        # both sides of the level read this one exchange
+        segments = segments.repartition("src")
         further = segments.select(
             F.col("src").alias("_src"), F.col("path").alias("_path"), F.col("end").alias("_end")
         )
@@ -74,7 +96,16 @@ def redirect_resolve(
     still = nodes.where(F.col("dst").isNull()).select(
         "src", F.array("src").alias("visited"), F.lit(None).cast("string").alias("code")
     )
-    chains = resolved.unionByName(still)
+    # a chain that goes on to a page without a record
+    last = F.when(F.col("code").isNull(), F.element_at("visited", -1))
+    recorded = nodes.select(F.col("src").alias("_known"))
+    chains = (
+        resolved.withColumn("_last", last)
+        .join(recorded, F.col("_last") == F.col("_known"), "left")
+        .withColumn("code", F.when(F.col("code").isNull() & F.col("_known").isNull(), "NOT_RECORDED").otherwise(F.col("code")))
+        .drop("_last", "_known")
+        .unionByName(still)
+    )
     if verdicts is not None:
         chains = _apply_guard(chains, verdicts)
     return chains.select(

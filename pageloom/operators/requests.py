@@ -115,7 +115,7 @@ def extract_xor(url: Column, artifact_id: Column) -> Column:
 
 
 def artifact_id_valid(artifact_id: Column) -> Column:
-    return artifact_id.rlike(r"^art_[0-9a-f]{32}$")
+    return artifact_id.rlike(r"^art_[0-9a-f]{32}\z")
 
 
 def header_check(requests: DataFrame) -> DataFrame:
@@ -126,8 +126,8 @@ def header_check(requests: DataFrame) -> DataFrame:
 
 
 def fetch_keys(requests: DataFrame, normalized: bool = False) -> DataFrame:
-    """Add ``fetch_key``; with ``normalized`` fragments and default ports do not matter."""
-    url = U.url_normalize(F.col("url")) if normalized else F.col("url")
+    """Add ``fetch_key`` over the URL in its canonical form; with ``normalized`` fragments do not matter either."""
+    url = U.url_normalize(F.col("url")) if normalized else U.url_canonical(F.col("url"))
     headers = F.col("headers") if "headers" in requests.columns else None
     key = H.fetch_key(
         url, F.col("mode"), F.col("profile"), F.col("proxy_policy"), F.col("save_artifact"), headers

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,16 @@ def local_session(cores: str = "8", partitions: int = 8, checkpoint_dir: str | N
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a fresh local folder is
-    made, and set as the checkpoint folder of the running context.
+    With a local master and none set (tests, a laptop) a fresh local folder is made, and
+    set as the checkpoint folder of the running context; on a cluster that is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root is None:
         root = context.getCheckpointDir()
     if root is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pageloom-")
         context.setCheckpointDir(root)
     elif context.getCheckpointDir() is None:
@@ -47,5 +50,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
+    """A new, unused path below ``<shared folder>/pageloom``.
+
+    What is written there belongs to the application that made it: it is read lazily, so it
+    stays until the application has ended, and whoever runs it may remove the folder then.
+    """
     return f"{shared_root(spark).rstrip('/')}/pageloom/{name}-{uuid.uuid4().hex}"

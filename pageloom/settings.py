@@ -12,7 +12,7 @@ PROXY_POLICIES = ("auto", "direct", "proxy")
 PRIORITIES = ("low", "normal", "high")
 TERMINAL_STATES = ("succeeded", "failed", "cancelled")
 
-PROFILE_PATTERN = r"^[a-zA-Z0-9_.-]+$"
+PROFILE_PATTERN = r"^[a-zA-Z0-9_.-]+\z"
 MAX_CACHE_TTL = 2_592_000
 MAX_BATCH = 1000
 
@@ -82,9 +82,9 @@ PROFILE_SITES = (
 )
 PROFILE_FALLBACK = ("article", "main", ".content", ".text")
 
-# biography line patterns (Java syntax)
-BOUNDED_PERIOD = r"(?U)^(\d{4})年?\s*[－—–-]\s*(\d{4})?年?\s*(.+)$"
-POINT_PERIOD = r"(?U)^(\d{4}(?:[.年]\d{1,2}月?)?)(?:起|\s+)(.+)$"
+# fixed values: biography line patterns (Java syntax)
+BOUNDED_PERIOD = r"(?U)^(\d{4})(?:年)?\s*[－—–-]\s*(\d{4})?年?\s*(.+)$"
+POINT_PERIOD = r"(?U)^(\d{4}(?:[.年]\d{1,2}(?:月)?)?)(?:起|\s+)(.+)$"
 TITLE_NAME = r"([\u4e00-\u9fff]{2,4})(?:同志)?简历"
 LINE_NAME = r"^([\u4e00-\u9fff]{2,4})，(?:男|女)，"
 

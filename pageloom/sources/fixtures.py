@@ -29,11 +29,29 @@ SELECT e.event_id AS request_id, k.seq AS sequence,
  (e.event_id * 31 + k.seq * 17) % 900 AS elapsed_ms,
  CASE e.event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '900' ELSE 'soon' END AS retry_after
 FROM events e CROSS JOIN (SELECT 1 AS seq UNION ALL SELECT 2 UNION ALL SELECT 3) k""",
+    # where each page redirects to; beyond the last page nothing is recorded
     "f_redirects": """
-SELECT page_id AS src, CASE WHEN page_id BETWEEN 20 AND 39 THEN page_id + 1
+SELECT page_id AS src, CASE WHEN page_id BETWEEN 20 AND 39 THEN page_id + 1 WHEN page_id % 32 = 18 THEN c.n + page_id
  WHEN page_id % 16 = 0 THEN (page_id + 1) % c.n WHEN page_id % 16 = 1 THEN page_id - 1
  WHEN page_id % 4 = 2 THEN (page_id * 7 + 3) % c.n END AS dst
 FROM pages CROSS JOIN (SELECT count(*) AS n FROM pages) c""",
+    # the same as recorded responses: every 23rd page on a refused host, locations in four spellings
+    "f_hops": """
+SELECT concat('HTTP://', CASE WHEN src % 23 = 7 THEN 'Blocked0.example.org' ELSE 'site.example.org:80' END, '/d/p', src) AS url,
+ CASE WHEN dst IS NULL THEN 200 WHEN src % 2 = 0 THEN 302 ELSE 308 END AS status_code,
+ CASE WHEN dst IS NULL THEN CASE WHEN src % 5 = 0 THEN '/unused' END
+  WHEN dst % 23 = 7 THEN concat('http://blocked0.example.org/d/p', dst)
+  WHEN src % 23 = 7 OR src % 4 = 0 THEN concat('http://Site.example.org:80/d/p', dst, '#top') WHEN src % 4 = 1 THEN concat('/d/p', dst)
+  WHEN src % 4 = 2 THEN concat('p', dst, '#part') ELSE concat('../d/./p', dst) END AS location
+FROM f_redirects""",
+    # address literals as hosts
+    "f_literal_urls": """
+SELECT page_id + 1000000 AS page_id, CASE page_id % 6 WHEN 0 THEN concat('http://10.0.0.', page_id % 250, '/') WHEN 1 THEN 'http://[::1]/x'
+ WHEN 2 THEN 'https://[2606:4700::1]:8443/' WHEN 3 THEN 'http://[fd00::5]/' WHEN 4 THEN 'http://192.168.1.1/' ELSE 'http://93.184.216.34/' END AS url
+FROM pages""",
+    "f_addresses6": """
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat('2606:4700::', page_id % 10000) WHEN 1 THEN '::1' WHEN 2 THEN 'fe80::1' WHEN 3 THEN 'fd00::5'
+ WHEN 4 THEN '2001:db8::1' WHEN 5 THEN 'ff02::1' WHEN 6 THEN '::ffff:10.0.0.1' ELSE '::' END AS address FROM pages""",
     "f_addresses": """
 SELECT page_id, CASE page_id % 9 WHEN 0 THEN concat('10.', page_id % 256, '.0.1') WHEN 1 THEN '127.0.0.1' WHEN 2 THEN '169.254.169.254'
  WHEN 3 THEN concat('172.', 16 + page_id % 32, '.0.1') WHEN 4 THEN '192.168.1.1' WHEN 5 THEN '100.64.0.1' WHEN 6 THEN '224.0.0.1'
@@ -128,6 +146,7 @@ SELECT *, next_run_at - INTERVAL 1 DAY AS created_at FROM f_job_items""",
 }
 
 _NEEDS = {
+    "f_hops": ("f_redirects",),
     "f_raw_requests": ("f_requests",),
     "f_profile_pages": ("f_timeline_lines",),
     "f_jobs": ("f_job_items",),

@@ -1,4 +1,4 @@
-"""Plans for sequential rules against plain loops on random logs."""
+"""Running aggregates and chains against plain loops on random logs."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from pageloom.operators import cache as C
 from pageloom.operators import fetchlog as L
 from pageloom.operators import politeness as P
 from pageloom.operators import redirects as D
-from pageloom.plans.chains import mark_paths
-from pageloom.plans.running import queue_free, running, with_chunk
+from pageloom.plans.running import running, with_chunk
 
 BASE = dt.datetime(2024, 1, 1)
 EPOCH = dt.datetime(1970, 1, 1)
@@ -41,77 +40,47 @@ def random_log(seed, size=400):
     ]
 
 
-def loop(log, machine):
-    states, outcomes = {}, {}
-    for key, number, ts, ttl, force, ok, elapsed in sorted(log, key=lambda row: (row[0], row[2], row[1])):
-        state = states.setdefault(key, machine())
-        outcomes[number] = state(us(ts), ttl * 1_000_000, force, ok, elapsed * 1000)
-    return outcomes
-
-
-def plain_cache():
-    entry = [None]
-
-    def step(at, ttl, force, ok, elapsed):
-        if not force and ttl > 0 and entry[0] is not None and entry[0] > at:
-            return "hit"
-        if ok and ttl > 0:
-            entry[0] = at + ttl
-        return "miss"
-
-    return step
-
-
-def plain_inflight():
-    """Keeps every write and looks through all of them."""
-    writes, free = [], [0]
-
-    def valid(moment):
-        seen = [write for write in writes if write[0] <= moment]
-        return bool(seen) and seen[-1][1] > moment
-
-    def step(at, ttl, force, ok, elapsed):
-        readable = not force and ttl > 0
-        if readable and valid(at):
-            return "hit"
-        start = max(at, free[0])
-        if start > at and readable and valid(start):
-            return "merged"
-        free[0] = start + elapsed
-        if ok and ttl > 0:
-            writes.append((free[0], free[0] + ttl))
-        return "refetch" if start > at else "leader"
-
-    return step
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot_rows", [10_000, 0])
-def test_cache_replay(spark, seed, hot_rows):
-    log = random_log(seed)
-    replay = C.cache_replay(spark.createDataFrame(log, LOG), hot_rows=hot_rows, chunk_us=20_000_000)
-    assert {row.request_id: row.outcome for row in replay.collect()} == loop(log, plain_cache)
-
-
-@pytest.mark.parametrize("hot_rows", [10_000, 0])
-def test_inflight_merge(spark, hot_rows):
+def before(rows, key, place):
+    """Each row's earlier rows of its key, in order."""
+    for row in rows:
+        yield row, sorted((r for r in rows if r[key] == row[key] and place(r) < place(row)), key=place)
+
+
+@pytest.mark.parametrize("negative", [None, 5])
+def test_reuse_of_recorded_entries(spark, negative):
+    log = random_log(1)
+    want = {}
+    for row, earlier in before(log, 0, lambda r: (r[2], r[1])):
+        entries = [r for r in earlier if r[3] > 0 and (r[5] or negative is not None)]
+        outcome = "miss"
+        if entries and not row[4] and row[3] > 0:
+            last = entries[-1]
+            life = last[3] if last[5] else min(last[3], negative or 0)
+            if us(last[2]) + life * 1_000_000 > us(row[2]):
+                outcome = "hit" if last[5] else "negative_hit"
+        want[row[1]] = outcome
+    frame = spark.createDataFrame(log, LOG)
+    found = C.cache_replay(frame) if negative is None else C.negative_cache(frame, negative)
+    assert {row.request_id: row.outcome for row in found.collect()} == want
+    assert len(set(want.values())) == (2 if negative is None else 3)
+
+
+def test_requests_while_the_key_is_in_flight(spark):
     log = random_log(3)
-    merged = C.inflight_merge(spark.createDataFrame(log, LOG), hot_rows=hot_rows, chunk_us=20_000_000)
-    outcomes = {row.request_id: row.outcome for row in merged.collect()}
-    assert outcomes == loop(log, plain_inflight)
-    assert set(outcomes.values()) == {"hit", "leader", "merged", "refetch"}
-
+    want = {}
+    for row, earlier in before(log, 0, lambda r: (r[2], r[1])):
+        busy = max((us(r[2]) + r[6] * 1000 for r in earlier), default=None)
+        want[row[1]] = (busy, busy is not None and busy > us(row[2]))
+    found = C.inflight_merge(spark.createDataFrame(log, LOG), chunk_us=20_000_000)
+    assert {row.request_id: (row.busy_until, row.overlaps) for row in found.collect()} == want
 
-def test_idle_stretches_split_a_hot_key(spark):
-    log = [("a", n, BASE + dt.timedelta(hours=n), 60, False, True, 1000) for n in range(10)]
-    parts = C.split_when_idle(C._timeline(spark.createDataFrame(log, LOG)))
-    assert parts.select("part").distinct().count() == 10
 
-
-def test_negative_cache_keeps_failures_for_a_short_time(spark):
-    log = [("a", n, BASE + dt.timedelta(seconds=s), 100, False, ok, 0) for n, (s, ok) in enumerate([(0, False), (5, True), (11, True), (20, True)])]
-    outcomes = C.negative_cache(spark.createDataFrame(log, LOG), negative_ttl=10).orderBy("request_id").collect()
-    assert [row.outcome for row in outcomes] == ["miss", "negative_hit", "miss", "hit"]
+def test_most_recently_used_keys(spark):
+    log = random_log(2)
+    last = {key: max((us(r[2]), r[1]) for r in log if r[0] == key) for key in "ab"}
+    order = sorted("ab", key=last.get, reverse=True)
+    assert [row.fetch_key for row in C.lru_resident(spark.createDataFrame(log, LOG), 1).collect()] == order[:1]
+    assert [(row.fetch_key, row.last_used_at, row.last_request) for row in C.lru_resident(spark.createDataFrame(log, LOG)).collect()] == [(k, *last[k]) for k in order]
 
 
 def random_outcomes(seed, size=300):
@@ -122,54 +91,33 @@ def random_outcomes(seed, size=300):
     ]
 
 
-def plain_breaker(rows, failures, cooldown):
-    states, outcomes = {}, {}
-    for number, domain, ts, failed in sorted(rows, key=lambda row: (row[1], row[2], row[0])):
-        at = us(ts)
-        state = states.setdefault(domain, {"row": 0, "until": None})
-        if state["until"] is not None and at < state["until"]:
-            outcomes[number] = "open"
-        elif state["until"] is not None:
-            outcomes[number] = "half_open"
+@pytest.mark.parametrize("chunk_us", [1_000_000, 50_000_000])
+def test_runs_of_failures(spark, chunk_us):
+    rows = random_outcomes(4)
+    want = []
+    for domain in "xy":
+        run = []
+        for _, _, ts, failed in [*sorted((r for r in rows if r[1] == domain), key=lambda r: (r[2], r[0])), (0, domain, BASE, False)]:
             if failed:
-                state["until"] = at + cooldown
+                run.append(us(ts))
             elif failed is False:
-                state.update(row=0, until=None)
-        else:
-            outcomes[number] = "closed"
-            if failed is not None:
-                state["row"] = state["row"] + 1 if failed else 0
-            if state["row"] == failures:
-                state["until"] = at + cooldown
-    return outcomes
-
-
-@pytest.mark.parametrize("hot_rows", [10_000, 0])
-def test_circuit_breaker(spark, hot_rows):
-    rows = random_outcomes(4)
+                if len(run) >= 3:
+                    want.append((domain, run[0], run[-1], len(run)))
+                run = []
     frame = spark.createDataFrame(rows, "request_id bigint, domain string, ts timestamp, failed boolean")
-    states = P.circuit_breaker(frame, 3, 7_000_000, hot_rows=hot_rows, chunk_us=50_000_000)
-    found = {row.request_id: row.state for row in states.collect()}
-    assert found == plain_breaker(rows, 3, 7_000_000)
-    assert set(found.values()) == {"closed", "open", "half_open"}
+    found = P.circuit_breaker(frame, 3, chunk_us)
+    assert sorted((r.domain, r.start_us, r.end_us, r.failures) for r in found.collect()) == sorted(want) and want
 
 
 @pytest.mark.parametrize("chunk_us", [1_000_000, 30_000_000, 10**12])
-def test_rate_slots(spark, chunk_us):
+def test_recorded_gaps(spark, chunk_us):
     rows = random_outcomes(5)
     frame = spark.createDataFrame(rows, "request_id bigint, domain string, ts timestamp, failed boolean")
-    free, starts = {}, {}
-    for number, domain, ts, _ in sorted(rows, key=lambda row: (row[1], row[2], row[0])):
-        starts[number] = max(us(ts), free.get(domain, 0))
-        free[domain] = starts[number] + 1_000_000
-    slots = P.rate_slots(frame, 1_000_000, chunk_us)
-    assert {row.request_id: row.start_us for row in slots.collect()} == starts
-
-
-def test_two_arrivals_at_once_start_an_interval_apart(spark):
-    frame = spark.createDataFrame([(1, "d", BASE), (2, "d", BASE)], "request_id bigint, domain string, ts timestamp")
-    starts = sorted(row.start_us for row in P.rate_slots(frame, 30_000).collect())
-    assert starts[1] - starts[0] == 30_000
+    want = {}
+    for row, earlier in before(rows, 1, lambda r: (r[2], r[0])):
+        gap = us(row[2]) - us(earlier[-1][2]) if earlier else None
+        want[row[0]] = (gap, 0 if gap is None else max(0, 1_000_000 - gap))
+    assert {row.request_id: (row.gap_us, row.short_us) for row in P.rate_slots(frame, 1_000_000, chunk_us).collect()} == want
 
 
 def test_domain_concurrency(spark):
@@ -213,31 +161,6 @@ def test_running_aggregates_equal_one_window(spark):
                     assert found[row[2]] == want
 
 
-def test_queue_free(spark):
-    rng = random.Random(8)
-    rows = [(rng.choice("kkl"), rng.randrange(400), n, rng.randrange(1, 9)) for n in range(200)]
-    line = with_chunk(spark.createDataFrame(rows, "k string, at bigint, id bigint, w bigint"), F.col("at"), 30)
-    found = {row.id: row.free for row in queue_free(line, ["k"], ["at", "id"], F.col("at"), F.col("w")).collect()}
-    free = {}
-    for key, at, number, work in sorted(rows, key=lambda row: (row[0], row[1], row[2])):
-        assert found[number] == free.get(key)
-        free[key] = max(at, free.get(key, 0)) + work
-
-
-def test_mark_paths(spark):
-    rng = random.Random(9)
-    pointers = [(n, n + rng.randrange(1, 4)) for n in range(200)]
-    marked = mark_paths(
-        spark.createDataFrame(pointers, "id bigint, next bigint"), spark.createDataFrame([(0,), (50,)], "id bigint")
-    )
-    want, steps = set(), dict(pointers)
-    for node in (0, 50):
-        while node is not None:
-            want.add(node)
-            node = steps.get(node)
-    assert {row.id for row in marked.collect()} == want
-
-
 def plain_redirects(hops, limit, refused):
     steps = dict(hops)
     outcome = {}
@@ -252,7 +175,10 @@ def plain_redirects(hops, limit, refused):
                 code = "REDIRECT_LOOP"
                 break
             seen.append(node)
-            if steps.get(node) is None:
+            if node not in steps:
+                code = "NOT_RECORDED"
+                break
+            if steps[node] is None:
                 break
             node = steps[node]
         else:
@@ -267,7 +193,6 @@ def test_redirects(spark, limit, guarded):
     rng = random.Random(limit)
     # many pages lead to page 7, which is final
     hops = [(n, None if n == 7 else rng.choice([7, rng.randrange(60), n + 1, None])) for n in range(60)]
-    hops = [(src, dst if dst != 60 else None) for src, dst in hops]
     refused = {3, 11, 20} if guarded else set()
     verdicts = None
     if guarded:
@@ -306,16 +231,14 @@ def test_repeated_attempt_rows_count_once(spark):
     assert L.attempts_kept(frame).count() == 2
 
 
-def test_lru_keeps_the_most_recent(spark):
-    rows = [("a", 1, 1, "miss", True, True), ("b", 2, 2, "miss", True, True), ("a", 3, 3, "hit", False, True), ("c", 4, 4, "miss", False, True)]
-    frame = spark.createDataFrame(rows, "fetch_key string, at bigint, request_id bigint, outcome string, wrote boolean, read boolean")
-    assert [row.fetch_key for row in C.lru_resident(frame, 1).collect()] == ["a"]
-    assert {row.fetch_key for row in C.lru_resident(frame, 5).collect()} == {"a", "b"}
-
-
-def test_ttl_edges(spark):
-    log = [("k", 1, BASE, 10, False, True, 0), ("k", 2, BASE + dt.timedelta(seconds=9), 10, False, True, 0),
-           ("k", 3, BASE + dt.timedelta(seconds=10), 10, False, True, 0), ("z", 4, BASE, 0, False, True, 0),
-           ("z", 5, BASE, 0, False, True, 0)]
-    outcomes = {row.request_id: row.outcome for row in C.cache_replay(spark.createDataFrame(log, LOG)).collect()}
-    assert outcomes == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 5: "miss"}
+def test_redirects_from_recorded_urls(spark):
+    rows = [
+        ("HTTP://Site.example.org:80/a", 302, "b?x=1#top"), ("http://site.example.org/b?x=1", 308, "//other.example.org/c/../d"),
+        ("http://other.example.org/c/../d", 200, "/unused"), ("http://other.example.org/d", 200, None),
+        ("http://site.example.org/l", 301, "HTTP://SITE.example.org:80/l#again"), ("http://site.example.org/y", 301, "/gone"),
+    ]
+    hops = D.hops_of(spark.createDataFrame(rows, "url string, status_code int, location string"))
+    found = {row.src: (row.final, row.hops, row.code) for row in D.redirect_resolve(hops).collect()}
+    assert found["http://site.example.org/a"] == ("http://other.example.org/d", 2, None)
+    assert found["http://site.example.org/l"] == (None, 0, "REDIRECT_LOOP")
+    assert found["http://site.example.org/y"] == (None, 1, "NOT_RECORDED")

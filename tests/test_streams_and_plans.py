@@ -7,11 +7,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.functions.timing import micros
-from pageloom.operators import cache as C
 from pageloom.operators import jobs as J
 from pageloom.operators import metrics as M
-from pageloom.operators import politeness as P
 from pageloom.sources import fixtures, tables
 from pageloom.streaming import jobs as Z
 from __spark_entry__ import queries
@@ -39,20 +36,30 @@ def log(spark):
     return spark.createDataFrame(random_log(11, 200), LOG)
 
 
-def test_cache_stream_over_many_batches(spark, log, tmp_path):
-    stream = Z.as_fold_input(in_files(spark, log, tmp_path / "log"), "5 minutes")
-    found = {row.request_id: row.outcome for row in Z.run_to_end(Z.stream_cache(stream), "t").collect()}
-    assert found == {row.request_id: row.outcome for row in C.cache_replay(log).collect()}
+def test_use_per_key_and_hour_over_many_batches(spark, log, tmp_path):
+    found = Z.latest_update(Z.run_to_end(Z.stream_cache(in_files(spark, log, tmp_path / "log")), "t", "update"), ["fetch_key", "hour"])
+    want = log.groupBy("fetch_key", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.max("ts").alias("last_used"))
+    assert sorted(found.select("fetch_key", "hour", "n", "n_success", "last_used").collect()) == sorted(want.collect())
 
 
-def test_slot_stream_over_many_batches(spark, log, tmp_path):
-    def arrivals(frame):
-        return frame.select(F.col("fetch_key").alias("domain"), "request_id", micros(F.col("ts")).alias("arrival_us"))
+def test_requests_per_slot_over_many_batches(spark, log, tmp_path):
+    stream = in_files(spark, log, tmp_path / "log").withColumn("domain", F.col("fetch_key"))
+    found = Z.latest_update(Z.run_to_end(Z.stream_rate_slots(stream, "1 minute"), "t", "update"), ["domain", "slot"])
+    want = log.groupBy("fetch_key", F.date_trunc("minute", "ts").alias("slot")).count()
+    assert {(r.domain, r.slot): (r.n, r.above) for r in found.collect()} == {(r.fetch_key, r.slot): (r["count"], r["count"] - 1) for r in want.collect()}
 
-    stream = in_files(spark, log, tmp_path / "log")
-    found = {row.request_id: row.start_us for row in Z.run_to_end(Z.stream_rate_slots(arrivals(stream)), "t").collect()}
-    batch = P.rate_slots(log.withColumn("domain", F.col("fetch_key")))
-    assert found == {row.request_id: row.start_us for row in batch.collect()}
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_table_stream_reads_files_and_folders(spark, tmp_path, folder):
+    rows = spark.range(100).withColumn("ts", F.timestamp_seconds(F.col("id") * 30))
+    if folder:
+        rows.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    else:
+        rows.toPandas().to_parquet(f"{tmp_path}/events.parquet")
+    rows.limit(3).toPandas().to_parquet(f"{tmp_path}/events_old.parquet")
+    stream = Z.table_stream(spark, str(tmp_path), "events", files_per_trigger=2)
+    got = Z.run_to_end(stream, "t")
+    assert got.count() == 100 and got.select("_batch").distinct().count() == (4 if folder else 1)
 
 
 def test_counter_stream_over_many_batches(spark, log, tmp_path):
@@ -64,16 +71,10 @@ def test_counter_stream_over_many_batches(spark, log, tmp_path):
     assert found == {(row["minute"], row.path): row["count"] for row in want}
 
 
-def test_dedupe_stream(spark, tmp_path):
-    base = dt.datetime(2024, 1, 1)
-    rows = [("k", n, base + dt.timedelta(minutes=m)) for n, m in enumerate([0, 1, 5, 10, 12, 60, 61, 180])]
-    frame = spark.createDataFrame(rows, "fetch_key string, request_id int, ts timestamp")
-    stream = in_files(spark, frame, tmp_path / "log", 4).select(
-        "fetch_key", "request_id", micros(F.col("ts")).alias("at"), F.lit(600_000_000).cast("bigint").alias("elapsed_us")
-    )
-    passed = Z.run_to_end(Z.stream_inflight_dedupe(stream), "t").collect()
-    # a fetch takes ten minutes: whoever comes before its end does not start another
-    assert sorted(row.request_id for row in passed) == [0, 3, 5, 7]
+def test_dedupe_stream(spark, log, tmp_path):
+    passed = Z.run_to_end(Z.stream_inflight_dedupe(in_files(spark, log, tmp_path / "log")), "t").drop("_batch").collect()
+    want = log.select("fetch_key", F.date_trunc("hour", "ts").alias("hour")).distinct().collect()
+    assert sorted(passed) == sorted(want)
 
 
 def test_job_stream_survives_repeated_events(spark, data, tmp_path):
@@ -83,9 +84,10 @@ def test_job_stream_survives_repeated_events(spark, data, tmp_path):
         outcomes.write.parquet(f"{tmp_path}/o/copy{copy}")
     stream = spark.readStream.schema(outcomes.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/o")
     now = F.lit("1998-06-01").cast("timestamp_ntz")
-    _, after = Z.stream_job_state(stream, items, jobs, now)
-    _, batch = J.batch_outcome_apply(items, jobs, outcomes, now)
+    after_items, after = Z.stream_job_state(stream, items, jobs, now)
+    batch_items, batch = J.batch_outcome_apply(items, jobs, outcomes, now)
     assert sorted(after.collect()) == sorted(batch.collect())
+    assert after_items.exceptAll(batch_items.select(after_items.columns)).count() == 0
 
 
 def plan(frame) -> str:
@@ -113,9 +115,19 @@ def test_projections_do_not_shuffle(spark, data):
 
 def test_running_aggregates_shuffle_by_chunk(spark, data):
     text = plan(queries()["rate_slots"](spark, data))
-    assert "hashpartitioning(domain" in text and "_chunk" in text
-    # the rows are shuffled by (domain, chunk) only; the join adds no shuffle of its own
-    assert "coalesce(domain" not in text
+    assert "hashpartitioning(domain" in text and "_chunk" in text and "_group" in text
+
+
+def test_levels_of_a_chain_read_one_exchange(spark):
+    from pageloom.operators import redirects
+
+    hops = spark.range(50).select(F.col("id").alias("src"), F.when(F.col("id") < 40, F.col("id") + 1).alias("dst"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    resolved = redirects.redirect_resolve(hops)
+    resolved.collect()
+    text = plan(resolved)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("ReusedExchange") >= 4 or text.count("Exchange") < 40
 
 
 def test_log_lines_drop_missing_fields(spark):
