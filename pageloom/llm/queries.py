@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, lm_scoring, ngram_join, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, lm_scoring, ngram_join, oracles, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": oracles.OP1,
+    "op2_substring_dedup": oracles.OP2,
+    "op7_quality_cascade": oracles.OP7,
+    "op9_lm_scoring": oracles.OP9,
+}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -68,8 +73,8 @@ def op6_pii(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def op7_quality_cascade(spark: SparkSession, root: str) -> DataFrame:
-    """Quality counts and verdicts."""
-    return quality.cascade(table(spark, root, "documents"))
+    """Quality counts and verdicts; how many rules a document met depends on measured times and is left out."""
+    return quality.cascade(table(spark, root, "documents")).drop("rules_run")
 
 
 @query
