@@ -73,6 +73,12 @@ def _first_of_class(size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out & (size > 0)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of the tokens fall into each of as many parts of the hash range."""
+    odd = np.bincount((hashes >> np.uint64(24)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _level(count: np.ndarray) -> np.ndarray:
     """Frequencies on a scale of 4 steps for each doubling; 0 is a token of one class only."""
     return np.minimum(255, np.ceil(4 * np.log2(np.maximum(count, 1)))).astype(np.uint8)
@@ -80,7 +86,7 @@ def _level(count: np.ndarray) -> np.ndarray:
 
 ASKED = "bucket int, chunk int, tokens binary, counts binary"
 TOLD = "chunk int, bucket int, tokens binary, levels binary"
-CLASSES = "id long, class long, n int, matches int, score double, tokens array<long>, ranks array<int>, shingles array<long>"
+CLASSES = "id long, class long, n int, matches int, score double, bits array<long>, tokens array<long>, ranks array<int>, shingles array<long>"
 
 
 def _frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -153,7 +159,7 @@ def _classes(documents: DataFrame, buckets: int) -> DataFrame:
         first = np.searchsorted(row, np.arange(table.num_rows + 1))
         rank = np.arange(len(row)) - first[row]
         matches, score = np.zeros(table.num_rows, np.int32), np.zeros(table.num_rows)
-        tokens, ranks, shingles = [None] * table.num_rows, [None] * table.num_rows, [None] * table.num_rows
+        tokens, ranks, shingles, bits = ([None] * table.num_rows for _ in range(4))
         # how many sets may share each token, summed along the prefix
         weight = np.concatenate(([0.0], np.cumsum(np.where(level > 0, 2.0 ** (level / 4.0) - 1, 0.0))))
         for i in np.flatnonzero(leads).tolist():
@@ -168,10 +174,10 @@ def _classes(documents: DataFrame, buckets: int) -> DataFrame:
             ell = int(np.argmin(costs)) + 1
             stop = a + min(prefix_length(n, ell), n)
             use = np.flatnonzero(level[a:stop] > 0) + a
-            matches[i], score[i] = ell, float(level[a:b].mean())
+            matches[i], score[i], bits[i] = ell, float(level[a:b].mean()), _parities(hashes[a:b])
             tokens[i], ranks[i], shingles[i] = hashes[use].view(np.int64), rank[use].astype(np.int32), np.sort(hashes[a:b].view(np.int64))
         return pa.table({
-            "id": table["id"].cast(pa.int64()), "class": pa.array(key, pa.int64()), "n": pa.array(size.astype(np.int32)), "matches": pa.array(matches), "score": pa.array(score),
+            "id": table["id"].cast(pa.int64()), "class": pa.array(key, pa.int64()), "n": pa.array(size.astype(np.int32)), "matches": pa.array(matches), "score": pa.array(score), "bits": pa.array(bits, pa.list_(pa.int64())),
             "tokens": pa.array(tokens, pa.list_(pa.int64())), "ranks": pa.array(ranks, pa.list_(pa.int32())), "shingles": pa.array(shingles, pa.list_(pa.int64())),
         })
 
@@ -179,10 +185,18 @@ def _classes(documents: DataFrame, buckets: int) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(_frequencies(chunks, buckets).groupBy("chunk")).applyInArrow(prefixes, CLASSES)
 
 
-def _fits(x: str, y: str) -> Column:
-    """Whether two entries of one token can still reach the overlap that their sizes ask for, were it the first shared one."""
+def _fits(x: str, y: str, nth: Column | None = None) -> Column:
+    """Whether two entries of one token can still reach the overlap that their sizes ask for.
+
+    Were it the ``nth`` shared token (the first), it would have at most the later ones in
+    common, too; and at most what the parities of both sets leave.
+    """
     need = F.ceil(F.lit(SHARE) * (F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(100 + SHARE))
-    return F.least(F.col(f"{x}.n") - F.col(f"{x}.rank"), F.col(f"{y}.n") - F.col(f"{y}.rank")) >= need
+    before = F.lit(0) if nth is None else nth - 1
+    by_rank = before + F.least(F.col(f"{x}.n") - F.col(f"{x}.rank"), F.col(f"{y}.n") - F.col(f"{y}.rank")) >= need
+    # each bit in which the parities differ is a token that only one of both has
+    differ = sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(4)), F.lit(0))
+    return by_rank & (F.col(f"{x}.n") + F.col(f"{y}.n") - differ >= 2 * need)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,23 +212,25 @@ def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A token's sets are not paired with each other. First each meets only the token's most
     central set of about its size (most frequent tokens on average); what links there makes
-    components. Then only sets of different components meet, counted over their shared prefix
-    tokens; a pair goes to the exact test if it shares as many as the shorter of the two
-    prefixes asks for. Sets in one component need no further link for their result.
+    components. Then only sets of different components meet, counted over those shared prefix
+    tokens that can be among the first few of a pair with enough overlap; a pair goes to the
+    exact test if it has as many as the shorter of the two prefixes asks for. Sets in one component need no further link for their result.
     """
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "ngram-classes")
     _classes(documents, buckets).write.parquet(path)
     rows = spark.read.parquet(path)
-    kept = rows.where("tokens is not null").select("class", "n", "matches", "score", "tokens", "ranks", "shingles")
+    kept = rows.where("tokens is not null")
     sets = kept.select("class", "shingles").dropDuplicates(["class"])
-    each = kept.select("class", "n", "matches", "score", "tokens", "ranks").dropDuplicates(["class"])
+    parities = [F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(4)]
+    each = kept.select("class", "n", "matches", "score", *parities, "tokens", "ranks").dropDuplicates(["class"])
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / SHARE))).cast("int")
-    entries = each.select("class", "n", "matches", "score", band.alias("band"), F.explode(F.arrays_zip("tokens", "ranks")).alias("e")).select("class", "n", "matches", "score", "band", F.col("e.tokens").alias("token"), F.col("e.ranks").alias("rank"))
+    bits = [f"b{k}" for k in range(4)]
+    entries = each.select("class", "n", "matches", "score", *bits, band.alias("band"), F.explode(F.arrays_zip("tokens", "ranks")).alias("e")).select("class", "n", "matches", "score", *bits, "band", F.col("e.tokens").alias("token"), F.col("e.ranks").alias("rank"))
 
     # sets of linked sizes lie in one or in neighbouring bands
-    centre = entries.groupBy("token", "band").agg(F.max_by(F.struct("class", "n", "rank"), F.struct("score", "class")).alias("c"))
+    centre = entries.groupBy("token", "band").agg(F.max_by(F.struct("class", "n", "rank", *bits), F.struct("score", "class")).alias("c"))
     centre = centre.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "c.*")
     met = entries.alias("x").join(centre.alias("y"), ["token", "band"]).where((F.col("x.class") != F.col("y.class")) & _fits("x", "y"))
     star = met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
@@ -228,10 +244,9 @@ def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ell = F.least("x.matches", "y.matches")
     reach = lambda s: F.col(f"{s}.rank") < F.col(f"{s}.n") - F.ceil(F.lit(SHARE) * F.col(f"{s}.n") / 100) + ell
     sizes = (F.col("x.n") * SHARE <= F.col("y.n") * 100) & (F.col("y.n") * SHARE <= F.col("x.n") * 100)
-    shared = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & sizes & reach("x") & reach("y"))
-    fits = _fits("x", "y")
-    counted = shared.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), ell.alias("ell")).agg(F.count("*").alias("many"), F.max(fits).alias("fits"))
-    rest = counted.where((F.col("many") >= F.col("ell")) & F.col("fits")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    shared = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & sizes & reach("x") & reach("y") & _fits("x", "y", ell))
+    counted = shared.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), ell.alias("ell")).agg(F.count("*").alias("many"))
+    rest = counted.where(F.col("many") >= F.col("ell")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(rest, sets).where("linked").select("a", "b")
     links = tested.where("linked").select("a", "b").union(more)
     return rows.select("id", "class", "n"), components(links)
