@@ -239,6 +239,6 @@ def test_redirects_from_recorded_urls(spark):
     ]
     hops = D.hops_of(spark.createDataFrame(rows, "url string, status_code int, location string"))
     found = {row.src: (row.final, row.hops, row.code) for row in D.redirect_resolve(hops).collect()}
-    assert found["http://site.example.org/a"] == ("http://other.example.org/d", 2, None)
+    assert found["http://site.example.org/a"] == ("http://other.example.org/c/../d", 2, None)
     assert found["http://site.example.org/l"] == (None, 0, "REDIRECT_LOOP")
     assert found["http://site.example.org/y"] == (None, 1, "NOT_RECORDED")

@@ -55,8 +55,8 @@ def test_table_stream_reads_files_and_folders(spark, tmp_path, folder):
     if folder:
         rows.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
     else:
-        rows.toPandas().to_parquet(f"{tmp_path}/events.parquet")
-    rows.limit(3).toPandas().to_parquet(f"{tmp_path}/events_old.parquet")
+        rows.toPandas().to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
+    rows.limit(3).toPandas().to_parquet(f"{tmp_path}/events_old.parquet", coerce_timestamps="us")
     stream = Z.table_stream(spark, str(tmp_path), "events", files_per_trigger=2)
     got = Z.run_to_end(stream, "t")
     assert got.count() == 100 and got.select("_batch").distinct().count() == (4 if folder else 1)
