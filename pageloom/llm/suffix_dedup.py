@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Units, spans_of, with_duplicates
+from .anchors import Units, with_duplicates
 
 LENGTH = 50
-GRAM = 30
+GRAM = 20
 BLOCK_BYTES = 1 << 20
 
 
@@ -26,22 +26,35 @@ def suffix_array(symbols: np.ndarray, longest: int) -> np.ndarray:
     Ranks of doubled prefix lengths; what follows a text's end does not count.
     """
     n = len(symbols)
-    rank = symbols.astype(np.int64)
+    place = np.arange(n)
     ends = np.flatnonzero(symbols == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the text's end
-    size = 1
-    while True:
+    left = ends[np.searchsorted(ends, place)] - place  # symbols before the text's end
+    # the first ranks are of as many symbols as fit a number
+    key, size = symbols.astype(np.int64), PACKED
+    for k in range(1, size):
+        after = np.zeros(n, np.int64)
+        after[: n - k] = np.where(left[: n - k] > k, symbols[k:], 0)
+        key = key * 257 + after
+    rank = _ranks(key)
+    while size <= longest and rank.max() < n - 1:
         after = np.zeros(n, np.int64)
         after[: n - size] = np.where(left[: n - size] > size, rank[size:] + 1, 0)
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64)))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+        rank = _ranks(rank * (int(rank.max()) + 2) + after)
         size *= 2
-        if size > longest or rank[order[-1]] == n - 1:
-            return order
+    return np.argsort(rank * n + place)
+
+
+#: Symbols (of 257) that fit 63 bits.
+PACKED = 7
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of numbers; equal ones share theirs."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
+    return rank
 
 
 def prefix_groups(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -81,10 +94,16 @@ def repeated_windows(phrases: list[bytes], ids: list[int]) -> list[list[tuple[in
     least = np.minimum.reduceat(owner[order], np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))
     repeated = np.zeros(len(symbols), bool)
     repeated[order] = owner[order] > least[group]
-    out = []
-    for end, size in zip(ends.tolist(), sizes.tolist()):
-        windows = repeated[end - size : end - LENGTH + 1]
-        out.append([(s["start"], s["end"]) for s in spans_of(windows)])
+    # windows end within their phrase; the runs of a phrase are cut by its end symbol
+    place = np.arange(len(symbols))
+    repeated &= ends[np.searchsorted(ends, place)] - place >= LENGTH
+    edge = np.diff(np.concatenate(([0], repeated.astype(np.int8), [0])))
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    phrase = np.searchsorted(ends, starts)
+    begin = (ends - sizes)[phrase]
+    out: list[list[tuple[int, int]]] = [[] for _ in phrases]
+    for i, a, b in zip(phrase.tolist(), (starts - begin).tolist(), (stops - begin).tolist()):
+        out[i].append((a, b))
     return out
 
 
