@@ -13,29 +13,50 @@ ORDER = 3
 BACKOFF = 0.4
 #: Chunks of rows for each partition, so that a chunk fits a Python worker.
 CHUNKS = 4
-#: n-grams travel as 56-bit hashes.
-DROPPED = np.uint64(8)
+#: n-grams travel as 48 bits of their hash beside their bucket, which the hash picks too.
+CODE_BYTES = 6
 ASKED = "bucket int, chunk int, order int, grams binary, counts binary"
-TOLD = "chunk int, order int, grams binary, counts binary"
+TOLD = "chunk int, order int, bucket int, counts binary"
 SCORES = "doc_id long, n_words long, log_score double, n_backed_off long"
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Sorted 56-bit values byte place by byte place: the leading ones repeat, and so compress."""
-    return values.view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+    """Sorted codes byte place by byte place: the leading ones repeat, and so compress."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].T.tobytes()
+
+
+def _code(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes // np.uint64(buckets)) & np.uint64((1 << 8 * CODE_BYTES) - 1)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts of a message, 7 bits at a time and place by place; high places are mostly zero, and so compress."""
+    counts = counts.astype(np.uint64)
+    out, rest = [], counts
+    width = max(1, -(-int(counts.max(initial=0)).bit_length() // 7))
+    for _ in range(width):
+        out.append((rest & np.uint64(127)).astype(np.uint8))
+        rest = rest >> np.uint64(7)
+    return bytes([width]) + np.concatenate(out).tobytes() if len(counts) else b"\1"
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    places = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1).astype(np.int64)
+    return (places << (7 * np.arange(width))[:, None]).sum(0)
 
 
 def _values(packed: bytes) -> np.ndarray:
-    n = len(packed) // 7
+    n = len(packed) // CODE_BYTES
     out = np.zeros((n, 8), np.uint8)
-    out[:, :7] = np.frombuffer(packed, np.uint8).reshape(7, n).T
+    out[:, :CODE_BYTES] = np.frombuffer(packed, np.uint8).reshape(CODE_BYTES, n).T
     return out.reshape(-1).view(np.uint64)
 
 
 class ChunkGrams:
     """The n-grams of a chunk of rows: for each order the different ones, their counts, and which one stands where."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, buckets: int):
         data, bounds = utf8(table["text"])
         rows, hashes = [], []
         for a, b in slices(bounds):
@@ -46,8 +67,10 @@ class ChunkGrams:
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         unit = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.n_rows, self.unit = table.num_rows, unit
+        self.buckets = buckets
         self.made: dict[int, tuple] = {}
-        self.limit = order
+        self.lists: dict[int, tuple] = {}
+        self.counts: dict[int, np.ndarray] = {}
 
     def order(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts within one row, the different n-grams, the number of each start's, and their counts in the chunk."""
@@ -55,20 +78,43 @@ class ChunkGrams:
             at = np.arange(max(len(self.row) - n + 1, 0))
             if n > 1 and len(at):
                 at = at[self.row[at] == self.row[at + n - 1]]
-            every = (grams(self.unit, n)[at] if n > 1 else self.unit[at]) >> DROPPED if len(at) else np.zeros(0, np.uint64)
+            every = (grams(self.unit, n)[at] if n > 1 else self.unit[at]) if len(at) else np.zeros(0, np.uint64)
             different, place, count = np.unique(every, return_inverse=True, return_counts=True)
             self.made[n] = at, different, place, count
         return self.made[n]
 
-    def elsewhere(self, n: int, told: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def sent(self, n: int, told: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a chunk asks about an order: places in the list of its n-grams, buckets and codes, in the order of sending.
+
+        Above pairs only n-grams whose two shorter ones other rows hold. Each round makes the
+        same list from the same rows, so an answer need not name what it answers.
+        """
+        if n not in self.lists:
+            _, different, place, _ = self.order(n)
+            at = np.arange(len(different))
+            if n > 2:
+                shorter = np.zeros(len(self.row), bool)
+                shorter[self.order(n - 1)[0][self.elsewhere(n - 1, told) > 0]] = True
+                start = self.order(n)[0]
+                worth = np.zeros(len(different), bool)
+                worth[place[shorter[start] & shorter[start + 1]]] = True
+                at = np.flatnonzero(worth)
+            bucket, code = (different[at] % np.uint64(self.buckets)).astype(np.int64), _code(different[at], self.buckets)
+            by = np.lexsort((code, bucket))
+            self.lists[n] = at[by], bucket[by], code[by]
+        return self.lists[n]
+
+    def elsewhere(self, n: int, told: dict) -> np.ndarray:
         """For each start of an n-gram its count in all other rows."""
+        if n in self.counts:
+            return self.counts[n]
         at, different, place, count = self.order(n)
+        where, bucket, _ = self.sent(n, told)
         outside = np.zeros(len(different), np.int64)
-        if n in told and len(different):
-            known, counts = told[n]
-            where = np.minimum(np.searchsorted(known, different), max(len(known) - 1, 0))
-            if len(known):
-                outside = np.where(known[where] == different, counts[where], 0)
+        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        for (order, b), packed in told.items():
+            if order == n:
+                outside[where[edges[b] : edges[b + 1]]] = _counts(packed)
         total = (count + outside)[place]
         own = np.ones(len(at), np.int64)
         several = np.flatnonzero(count[place] > 1)
@@ -76,52 +122,47 @@ class ChunkGrams:
             code = self.row[at[several]] * np.int64(len(different)) + place[several]
             _, back, many = np.unique(code, return_inverse=True, return_counts=True)
             own[several] = many[back]
-        return total - own
+        self.counts[n] = total - own
+        return self.counts[n]
 
 
-def _questions(orders: list[tuple[int, np.ndarray, np.ndarray]], chunk: int, buckets: int) -> pa.Table:
+def _questions(held: ChunkGrams | None, orders: range, told: dict, chunk: int) -> pa.Table:
+    """The n-grams of a chunk with their counts in it, one row for each order and bucket."""
     rows = []
-    for n, different, count in orders:
-        bucket = ((different >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)
+    for n in orders if held is not None else ():
+        where, bucket, code = held.sent(n, told)
+        count = held.order(n)[3][where]
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
         for a, b in zip(cut, np.append(cut[1:], len(bucket))):
-            rows.append((int(bucket[a]), chunk, n, _planes(different[a:b]), count[a:b].astype(np.uint32).tobytes()))
+            rows.append((int(bucket[a]), chunk, n, _planes(code[a:b]), _small(count[a:b])))
     columns = list(zip(*rows)) or [[]] * 5
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.table({name: pa.array(c, k) for name, c, k in zip(("bucket", "chunk", "order", "grams", "counts"), columns, kinds)})
 
 
-def _told(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The answers of a chunk by order, sorted."""
-    parts: dict[int, list] = {}
-    for n, packed, counts in zip(table["order"].to_pylist(), table["grams"].to_pylist(), table["counts"].to_pylist()):
-        parts.setdefault(n, []).append((_values(packed), np.frombuffer(counts, np.uint32).astype(np.int64)))
-    out = {}
-    for n, got in parts.items():
-        known, counts = (np.concatenate(x) for x in zip(*got))
-        order = np.argsort(known)
-        out[n] = known[order], counts[order]
-    return out
+def _told(table: pa.Table) -> dict[tuple[int, int], bytes]:
+    """The answers to a chunk by order and bucket."""
+    return dict(zip(zip(table["order"].to_pylist(), table["bucket"].to_pylist()), table["counts"].to_pylist()))
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """The count table of a bucket, given back to each chunk where other chunks add to its own counts."""
-    columns = {c: table[c].to_pylist() for c in ("chunk", "order", "grams", "counts")}
+    """The count table of a bucket: to each question what other chunks add to the asker's own counts, in the same order."""
+    columns = {c: table[c].to_pylist() for c in ("bucket", "chunk", "order", "grams", "counts")}
     rows = []
     for n in sorted(set(columns["order"])):
         mine = [i for i, o in enumerate(columns["order"]) if o == n]
         parts = [_values(columns["grams"][i]) for i in mine]
-        counts = [np.frombuffer(columns["counts"][i], np.uint32).astype(np.int64) for i in mine]
+        counts = [_counts(columns["counts"][i]) for i in mine]
         _, place = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]
         at = 0
-        for i, part, count in zip(mine, parts, counts):
-            rest = total[at : at + len(part)] - count
-            at += len(part)
+        for i, count in zip(mine, counts):
+            rest = total[at : at + len(count)] - count
+            at += len(count)
             if rest.any():
-                rows.append((columns["chunk"][i], n, _planes(part[rest > 0]), np.minimum(rest[rest > 0], (1 << 32) - 1).astype(np.uint32).tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table({name: pa.array(c, k) for name, c, k in zip(("chunk", "order", "grams", "counts"), list(zip(*rows)) or [[]] * 4, kinds)})
+                rows.append((columns["chunk"][i], n, columns["bucket"][i], _small(rest)))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table({name: pa.array(c, k) for name, c, k in zip(("chunk", "order", "bucket", "counts"), list(zip(*rows)) or [[]] * 4, kinds)})
 
 
 def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -145,22 +186,13 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     chunks = documents.select("doc_id", "text", chunk.alias("chunk"))
 
     def ask_first(table: pa.Table) -> pa.Table:
-        held = ChunkGrams(table, order)
-        orders = [(n, held.order(n)[1], held.order(n)[3]) for n in range(1, min(order, 2) + 1)]
-        return _questions(orders, table["chunk"][0].as_py(), buckets)
+        return _questions(ChunkGrams(table, buckets), range(1, min(order, 2) + 1), {}, table["chunk"][0].as_py())
 
     def ask_next(n: int):
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return _questions([], 0, buckets)
-            held, told = ChunkGrams(table, order), _told(answers)
-            shorter = np.zeros(len(held.row), bool)
-            at = held.order(n - 1)[0]
-            shorter[at[held.elsewhere(n - 1, told) > 0]] = True
-            at, different, place, count = held.order(n)
-            worth = np.zeros(len(different), bool)
-            worth[place[shorter[at] & shorter[at + 1]]] = True
-            return _questions([(n, different[worth], count[worth])], table["chunk"][0].as_py(), buckets)
+                return _questions(None, range(0), {}, 0)
+            return _questions(ChunkGrams(table, buckets), range(n, n + 1), _told(answers), table["chunk"][0].as_py())
 
         return ask
 
@@ -171,7 +203,7 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     total = count_words(documents)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        held, told = ChunkGrams(table, order), _told(answers)
+        held, told = ChunkGrams(table, buckets), _told(answers)
         n_words = np.bincount(held.row, minlength=held.n_rows)
         others = np.maximum(total - n_words, 0)[held.row] + 1.0
         before = held.elsewhere(1, told)
