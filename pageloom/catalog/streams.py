@@ -1,4 +1,4 @@
-"""Streaming twins over the event table read as a stream."""
+"""Streaming twins over the event table read as a stream, whatever the order of its files."""
 
 from __future__ import annotations
 
@@ -33,9 +33,9 @@ def _log(spark):
 )
 def stream_cache(spark, root):
     stream_view(spark, root, "f_requests")
-    updates = Z.run_to_end(Z.stream_cache(_log(spark)), "cache", "update")
-    latest = Z.latest_update(updates, ["fetch_key", "hour"])
-    return latest.select("fetch_key", F.unix_micros("hour").alias("hour_us"), "n", "n_success", F.unix_micros("last_used").alias("last_used_us"))
+    parts = Z.run_to_end(_log(spark), "cache", each=Z.stream_cache)
+    whole = Z.merged(parts, ["fetch_key", "hour"], n=F.sum, n_success=F.sum, last_used=F.max)
+    return whole.select("fetch_key", F.unix_micros("hour").alias("hour_us"), "n", "n_success", F.unix_micros("last_used").alias("last_used_us"))
 
 
 @query(
@@ -45,8 +45,8 @@ def stream_cache(spark, root):
 )
 def stream_inflight_dedupe(spark, root):
     stream_view(spark, root, "f_requests")
-    passed = Z.run_to_end(Z.stream_inflight_dedupe(_log(spark)), "dedupe")
-    return passed.select("fetch_key", F.unix_micros("hour").alias("hour_us"))
+    parts = Z.run_to_end(_log(spark), "dedupe", each=lambda log: Z.with_hour(log).select("fetch_key", "hour").distinct())
+    return Z.merged(parts, ["fetch_key", "hour"]).select("fetch_key", F.unix_micros("hour").alias("hour_us"))
 
 
 @query(
@@ -57,8 +57,9 @@ FROM f_requests GROUP BY 1, 2""",
 )
 def stream_rate_slots(spark, root):
     stream_view(spark, root, "f_requests")
-    latest = Z.latest_update(Z.run_to_end(Z.stream_rate_slots(_log(spark)), "slots", "update"), ["domain", "slot"])
-    return latest.select("domain", F.unix_micros("slot").alias("slot_us"), "n", "above")
+    parts = Z.run_to_end(_log(spark), "slots", each=Z.stream_rate_slots)
+    whole = Z.merged(parts, ["domain", "slot"], n=F.sum)
+    return whole.select("domain", F.unix_micros("slot").alias("slot_us"), "n", (F.col("n") - 1).alias("above"))
 
 
 @query(
@@ -70,9 +71,9 @@ FROM f_http_log GROUP BY 1, 2, 3, 4""",
 def stream_request_counters(spark, root):
     stream_view(spark, root, "f_http_log")
     log = spark.table("f_http_log").withColumn("ts", F.col("ts").cast("timestamp"))
-    updates = Z.run_to_end(Z.stream_request_counters(log), "counters", "update")
-    latest = Z.latest_update(updates, ["minute", "method", "path", "status"])
-    return latest.select(
+    parts = Z.run_to_end(log, "counters", each=Z.stream_request_counters)
+    whole = Z.merged(parts, ["minute", "method", "path", "status"], n=F.sum, sum_seconds=F.sum)
+    return whole.select(
         F.unix_micros("minute").alias("minute_us"), "method", "path", "status", "n", F.round("sum_seconds", 6).alias("sum_seconds")
     )
 

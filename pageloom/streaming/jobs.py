@@ -1,8 +1,16 @@
 """Streaming twins. All read files as a stream and end when the input is read
-(``availableNow``); results and stream state live below the shared folder."""
+(``availableNow``); results and stream state live below the shared folder.
+
+The stateful operators drop what comes later than their watermark: they are for live input,
+which comes roughly in time order. The files of a table come in any order, so a table is
+read by micro-batches that are aggregated each by itself (``run_to_end`` with ``each``), and
+the parts of a key are put together afterwards (``merged``).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,18 +34,23 @@ def table_stream(spark: SparkSession, root: str, name: str, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(
+    stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Run a stream over all present input into a new table; return that table.
 
     Each micro-batch writes its own folder and overwrites it when it is repeated
     after a failure, so no row is lost or doubled. ``update`` results carry the
-    batch number they come from (``_batch``).
+    batch number they come from (``_batch``). ``each`` is applied to the rows of every
+    micro-batch alone: no state is kept, a watermark in it means nothing, and no row is late.
     """
     spark = stream.sparkSession
+    shape = stream.schema if each is None else each(stream).schema
     target = scratch_path(spark, name)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/_batch={number}")
+        rows = batch if each is None else each(batch)
+        rows.write.mode("overwrite").parquet(f"{target}/_batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -47,7 +60,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).parquet(target)
+    return spark.read.schema(T.StructType([*shape.fields, T.StructField("_batch", T.LongType())])).parquet(target)
 
 
 def stream_cache(log: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -76,12 +89,16 @@ def stream_rate_slots(requests: DataFrame, interval: str = "10 minutes", late: s
     )
 
 
+def with_hour(log: DataFrame) -> DataFrame:
+    return log.withColumn("hour", F.date_trunc("hour", "ts"))
+
+
 def stream_inflight_dedupe(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """One row for each key and hour: later requests of the hour are dropped.
 
     ``log``: fetch_key, ts. The watermark reaches over the hour, so its state is kept as long as needed, and no longer.
     """
-    hours = log.withColumn("hour", F.date_trunc("hour", "ts"))
+    hours = with_hour(log)
     return hours.withWatermark("ts", late).dropDuplicatesWithinWatermark(["fetch_key", "hour"]).select("fetch_key", "hour")
 
 
@@ -105,6 +122,13 @@ def latest_update(updates: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def merged(parts: DataFrame, keys: list[str], **how: Callable[[str], Column]) -> DataFrame:
+    """One row of each key from the parts that its micro-batches wrote; ``how`` merges each value."""
+    if not how:
+        return parts.select(*keys).distinct()
+    return parts.groupBy(*keys).agg(*(merge(value).alias(value) for value, merge in how.items()))
+
+
 def stream_job_state(
     outcomes: DataFrame, items: DataFrame, jobs: DataFrame, as_of: Column
 ) -> tuple[DataFrame, DataFrame]:
