@@ -86,7 +86,7 @@ def _level(count: np.ndarray) -> np.ndarray:
 
 ASKED = "bucket int, chunk int, tokens binary, counts binary"
 TOLD = "chunk int, bucket int, tokens binary, levels binary"
-CLASSES = "id long, class long, n int, matches int, score double, bits array<long>, tokens array<long>, ranks array<int>, shingles array<long>"
+CLASSES = "id long, digest long, class long, n int, matches int, score double, bits array<long>, tokens array<long>, ranks array<int>, shingles array<long>"
 
 
 def _frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _classes(documents: DataFrame, buckets: int) -> DataFrame:
     """A row for each document, with class and set size; where it is the first of its class in
     its chunk and can have a partner, also its prefix tokens with ranks, and its set."""
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(buckets * CHUNKS)).cast("int")
-    chunks = documents.select("id", "text", chunk.alias("chunk"))
+    chunks = documents.select("id", "text", F.xxhash64("text").alias("digest"), chunk.alias("chunk"))
 
     def prefixes(table: pa.Table, told: pa.Table) -> pa.Table:
         row, hashes, size, key = _chunk_sets(table)
@@ -177,7 +177,7 @@ def _classes(documents: DataFrame, buckets: int) -> DataFrame:
             matches[i], score[i], bits[i] = ell, float(level[a:b].mean()), _parities(hashes[a:b])
             tokens[i], ranks[i], shingles[i] = hashes[use].view(np.int64), rank[use].astype(np.int32), np.sort(hashes[a:b].view(np.int64))
         return pa.table({
-            "id": table["id"].cast(pa.int64()), "class": pa.array(key, pa.int64()), "n": pa.array(size.astype(np.int32)), "matches": pa.array(matches), "score": pa.array(score), "bits": pa.array(bits, pa.list_(pa.int64())),
+            "id": table["id"].cast(pa.int64()), "digest": table["digest"].cast(pa.int64()), "class": pa.array(key, pa.int64()), "n": pa.array(size.astype(np.int32)), "matches": pa.array(matches), "score": pa.array(score), "bits": pa.array(bits, pa.list_(pa.int64())),
             "tokens": pa.array(tokens, pa.list_(pa.int64())), "ranks": pa.array(ranks, pa.list_(pa.int32())), "shingles": pa.array(shingles, pa.list_(pa.int64())),
         })
 
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row's ``id, class, n``, and ``class, root`` for the classes with links.
+    """Every row's ``id, digest, class, n`` (the digest is the text's), and ``class, root`` for the classes with links.
 
     A token's sets are not paired with each other. First each meets only the token's most
     central set of about its size (most frequent tokens on average); what links there makes
@@ -249,7 +249,16 @@ def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = counted.where(F.col("many") >= F.col("ell")).select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(rest, sets).where("linked").select("a", "b")
     links = tested.where("linked").select("a", "b").union(more)
-    return rows.select("id", "class", "n"), components(links)
+    return rows.select("id", "digest", "class", "n"), components(links)
+
+
+def _placed(documents: DataFrame) -> DataFrame:
+    """``id, digest, n, root`` of every row; rows without id have the largest one."""
+    from .anchors import NO_ID
+
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    rows, roots = linked_classes(keyed)
+    return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("id", "digest", "n", F.coalesce("root", "class").alias("root"))
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
@@ -262,9 +271,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     """
     from .anchors import NO_ID
 
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    rows, roots = linked_classes(keyed)
-    placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("id", "n", F.coalesce("root", "class").alias("root"))
+    placed = _placed(documents).select("id", "n", "root")
     least = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     done = placed.join(least, "root", "left")
     return done.select(
@@ -274,6 +281,25 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The row of the smallest id of each component, with all columns; rows without id or words stay."""
-    found = near_copies(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(found, documents["doc_id"] == found["_gone"], "left_anti")
+    """One row of each component, with all columns; rows without words all stay.
+
+    It is the row of the smallest id (rows without id come last), then of the smallest digest
+    of the text. Rows are told apart by id and digest, so another text under the id of a
+    dropped row stays. Of rows with equal id and text any one stays.
+    """
+    from .anchors import NO_ID
+
+    key = F.struct("id", "digest")
+    placed = _placed(documents).where("n > 0").select("root", key.alias("key"))
+    groups = placed.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("many")).where("many > 1")
+    # the rows that are not alone in their component: another's first is kept, and of its repeats one
+    met = placed.join(groups, "root").groupBy("key").agg(F.count("*").alias("times"), F.first(F.col("key") == F.col("first")).alias("kept"))
+    fate = met.where("not kept or times > 1").select(F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), "kept").checkpoint(eager=True)
+    names = [F.col(f"_row.`{name}`") for name in documents.columns]
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_digest"), F.struct("*").alias("_row"))
+    once = rows.join(fate.select("_id", "_digest"), ["_id", "_digest"], "left_anti").select(*names)
+    repeated = fate.where("kept").select("_id", "_digest")
+    if repeated.isEmpty():
+        return once
+    single = rows.join(repeated, ["_id", "_digest"]).groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
+    return once.union(single.select(*names))

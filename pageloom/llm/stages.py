@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies, and all without a near copy."""
+    """One document of each group of near copies, that of the smallest id, and all without a near copy."""
     return _ngram_join.keep_one(docs)
 
 

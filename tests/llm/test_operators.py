@@ -146,6 +146,32 @@ def test_near_copies_of_many_variants(spark):
     assert {r.component_id for r in N.near_copies(frame(spark, rows)).collect()} == {0}
 
 
+def test_one_row_of_each_component_stays(spark, odd):
+    """Repeated rows, near copies under one id, other texts under a dropped id, copies without id."""
+    words = [f"k{n}" for n in range(100)]
+    near = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in (20, 50, 80)]
+    rows = [*odd, (7000, near[0]), (7000, near[1]), (7000, near[1]), (3, "one two three four five six seven"), (3, "one two three four five six seven")]
+    rows += [(5, "one two three four five six seven"), (5, "a text that only this row holds")]  # id 5 copies id 3 and has one of its own
+    rows += [(None, "copies without an id are copies too")] * 3 + [(None, "this one has no id and no copy")]
+    found = [tuple(r) for r in N.keep_one(frame(spark, rows)).select("doc_id", "text").collect()]
+    assert not collections.Counter(found) - collections.Counter(rows)  # nothing is made up or doubled
+    table = N.near_copies(frame(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()
+    group = {r.doc_id: (r.component_id, r.n_shingles) for r in table}
+    least, bare, member = {}, collections.Counter(), {}
+    for i, (own, text) in enumerate(rows):
+        root, n = group[i]
+        if not n:
+            bare[own, text] += 1
+            continue
+        member[own, text] = root
+        least[root] = min(least.get(root, math.inf), ident(own))
+    kept = collections.Counter(row for row in found if row in member)
+    assert collections.Counter(row for row in found if row not in member) == bare
+    assert collections.Counter(member[row] for row in kept.elements()) == collections.Counter(set(least))
+    assert all(ident(own) == least[member[own, text]] for own, text in kept)
+    assert (5, "a text that only this row holds") in kept and (3, "one two three four five six seven") in kept
+
+
 def test_components(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(0, 40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     roots = {r.node: r.root for r in K.components(links).collect()}
