@@ -55,3 +55,36 @@ s AS (SELECT g.doc_id, p, CASE WHEN c3.n > 0 THEN ln(c3.n / b2.n) WHEN c2.n > 0
  LEFT JOIN rest b1 ON b1.doc_id = g.doc_id AND b1.g = h1 LEFT JOIN rest b2 ON b2.doc_id = g.doc_id AND b2.g = h2)
 SELECT d.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(*) FILTER (backed) AS n_backed_off, coalesce(round(sum(score) / len(any_value(ws)), 6), 0.0) AS mean_log_score
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+# Runs of letters, damaged where the checksum of <doc_id>:<run> says so. The checksum's table is made by its polynomial; ids are ASCII, letters
+# beyond ASCII are the lead byte 195 and one more.
+OP11 = f"""WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i,
+  list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+raw AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, w, count(*) AS n FROM (SELECT doc_id,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL),
+coded AS (SELECT id, w, n, list_concat(list_transform(string_split(id || ':', ''), lambda c: CAST(unicode(c) AS BIGINT)),
+  flatten(list_transform(string_split(w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))) AS b FROM raw),
+summed AS (SELECT w, n, xor(list_reduce([CAST(4294967295 AS BIGINT)] || b, lambda c, x: xor(crc[CAST(xor(c, x) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) AS h FROM coded, crc_table),
+worn AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM summed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM worn WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM less a JOIN v ON a.rest = v.word UNION SELECT v.word, a.word, a.n FROM less a JOIN v ON a.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+rows AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM rows UNION ALL SELECT chain.word, rows.form FROM chain JOIN rows ON rows.word = chain.root WHERE rows.form IS NOT NULL)
+SELECT rows.*, chain.root FROM rows JOIN chain USING (word) JOIN rows last ON last.word = chain.root WHERE last.form IS NULL"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP13 = f"""WITH t AS (SELECT place, doc_id, {_TERMS} AS term FROM (SELECT *, row_number() OVER () AS place FROM documents)),
+tf AS (SELECT place, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+size AS (SELECT place, sum(tf) AS n FROM tf GROUP BY place),
+total AS (SELECT count(*) AS docs, sum(n) AS terms FROM size),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf CROSS JOIN total WHERE term IN (SELECT term FROM q) GROUP BY term),
+m AS (SELECT place, 100 - 25 + (25 * n * docs) // terms AS m FROM size CROSS JOIN total),
+s AS (SELECT item_id, doc_id, place, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (place) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20"""

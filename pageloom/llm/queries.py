@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_root
-from . import decontamination, lm_scoring, ngram_join, oracles, packing, pii, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, lexical_search, lm_scoring, neighbours, ngram_join, oracles, packing, pii, quality, secret_scan, spelling, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.OP2,
     "op7_quality_cascade": oracles.OP7,
     "op9_lm_scoring": oracles.OP9,
+    "op11_spelling_variants": oracles.OP11,
+    "op13_lexical_search": oracles.OP13,
 }
 
 
@@ -93,3 +95,21 @@ def op9_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Byte spans that repeat across documents."""
     return suffix_dedup.report(table(spark, root, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    """Words, their near words and their most frequent spelling."""
+    return spelling.variants(table(spark, root, "documents"))
+
+
+@query
+def op12_permutation_index(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return neighbours.search(table(spark, root, "embeddings"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 best documents of each test item."""
+    return lexical_search.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
