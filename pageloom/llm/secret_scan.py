@@ -1,9 +1,16 @@
-"""Secret scan: single credentials by pattern, and multipart ones by linking parts that stand near each other."""
+"""Secret scan: single credentials by pattern, and multipart ones by linking parts that stand near each other.
+
+Parts are linked inside one document only, so the interval join of identifiers, proofs and
+endpoints is a sorted look-up in the scan of its text: nothing is shuffled, and masks are put in
+on the same way.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,105 +26,129 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Parts that mean nothing alone: named identifiers, opaque mixed strings, short assignments and network endpoints.
 IDENTIFIER = re.compile(r"(?:client|account|tenant|user|key|app)_?id[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,}")
-ENDPOINT = re.compile(r"(?:https?|ftp|postgres|mysql|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|googleapis)\.com\b", re.A)
+URL = re.compile(r"(?:https?|ftp|postgres|mysql|redis|amqp)://([A-Za-z0-9.-]+(?::[0-9]+)?)?[^\s\"'<>]*", re.A)
+PROVIDER = re.compile(r"\.(?:amazonaws|azure|googleapis)\.com\b", re.A)
+HOST = "abcdefghijklmnopqrstuvwxyz0123456789.-"
 #: Cheap signs without which a text holds none of the above.
 SIGNS = re.compile(rb"pass|secret|token|api_?key|_?id[\"']?\x20*[:=]|akia|[0-9a-f]{16}|[a-z0-9+/_=-]{16}|://|amazonaws|azure|googleapis")
 SCOPE = 200
-PART = "struct<kind:string,start:int,end:int,strong:boolean>"
-
-
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """The single credentials of a text: leftmost matches of each kind, failing ones dropped."""
-    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
-
-
-def weak_parts(text: str) -> list[tuple[str, int, int]]:
-    """Parts that count only beside a complementary part."""
-    found = [("weak", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) < 12]
-    found += [("id", *m.span()) for m in IDENTIFIER.finditer(text)]
-    found += [("weak", *m.span()) for m in OPAQUE.finditer(text)]
-    found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    return found
-
-
-def parts(documents: DataFrame, *kept: str) -> DataFrame:
-    """``row_key``, the kept columns and ``parts``: all parts of each whole text, strong ones first.
-
-    ``row_key`` is the id with a digest of the text, so that rows of one id and other text
-    stay apart. A null text has no parts; a null id is a value of its own.
-    """
-    keyed = documents.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row_key"), "text", *kept)
-    fields = keyed.drop("text").schema
+#: What a part contributes: who asks, where it is used; everything else is a proof.
+ROLES = {"access": "who", "id": "who", "endpoint": "where"}
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+SPANS_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = utf8(batch.column("text"))
-            for a, b in slices(bounds):
-                rows = []
-                for i in range(a, b):
-                    raw = data[bounds[i] : bounds[i + 1]].tobytes()
-                    if not SIGNS.search(raw.lower()):
-                        rows.append([])
-                        continue
-                    text = raw.decode("utf-8", "replace")
-                    rows.append([(k, s, e, True) for k, s, e in base_spans(text)] + [(k, s, e, False) for k, s, e in weak_parts(text)])
-                value = pa.array([[dict(zip(("kind", "start", "end", "strong"), p)) for p in r] for r in rows], pa.list_(PART_TYPE))
-                part = batch.slice(a, b - a)
-                names = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), value], [*names, "parts"])
-
-    return keyed.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", parts array<{PART}>")
 
+class Part(NamedTuple):
+    """A span of a text; ``value`` is where the value begins, behind a name."""
 
-PART_TYPE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("strong", pa.bool_())])
+    kind: str
+    start: int
+    end: int
+    value: int
 
+    @property
+    def role(self) -> str:
+        return ROLES.get(self.kind, "proof")
 
-def _role(kind: Column) -> Column:
-    """What a part contributes: who asks, what proves it, where it is used."""
-    return F.when(kind.isin("access", "id"), "who").when(kind == "endpoint", "where").otherwise("proof")
 
+def in_order(parts: Iterable[Part]) -> list[Part]:
+    return sorted(parts, key=lambda p: (p.start, KINDS.index(p.kind), p.end))
 
-def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``row_key, kind, start, end`` of weak parts with a complementary part within ``scope`` characters.
 
-    An interval join: each part's scope is dealt to the blocks of ``scope`` characters that
-    it touches, so the join is by (row, block) and compares only near parts. Both sides are
-    counted per block and role first: a block's parts meet one row for each role there, its
-    outermost bounds, and not each other.
-    """
-    each = found.select("row_key", F.explode("parts").alias("p")).select("row_key", "p.*").distinct().withColumn("role", _role(F.col("kind")))
-    block = lambda c: F.floor(c / F.lit(scope))
-    # the parts of a role that a block holds: those that end last and start first decide whether one is near enough
-    held = each.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))))
-    near = held.groupBy("row_key", "block", "role").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spots")
-    )
-    asked = each.where(~F.col("strong")).withColumn("block", F.explode(F.sequence(block(F.col("start") - scope), block(F.col("end") + scope))))
-    other = near.select("row_key", "block", F.col("role").alias("other_role"), "spots")
-    close = F.exists("spots", lambda s: (s["start"] <= F.col("end") + scope) & (s["end"] >= F.col("start") - scope))
-    joined = asked.join(other, ["row_key", "block"]).where((F.col("role") != F.col("other_role")) & close)
-    met = joined.groupBy("row_key", "kind", "start", "end", "role").agg(F.collect_set("other_role").alias("others"))
-    # a proof needs someone or somewhere; an identifier or endpoint needs a proof
-    return met.where((F.col("role") == "proof") | F.array_contains("others", "proof")).select("row_key", "kind", "start", "end")
+def base_spans(text: str) -> list[Part]:
+    """The single credentials of a text: leftmost matches of each kind, failing ones dropped."""
+    found = [Part("assign", *m.span(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [Part("access", *m.span(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    return in_order([*found, *(Part("hex", *m.span(), m.start()) for m in HEX.finditer(text))])
+
+
+def weak_parts(text: str, base: list[Part]) -> list[Part]:
+    """Parts that count only beside a complementary part; an opaque string inside a URL, an identifier's value or a single credential is none."""
+    named = [Part("id", *m.span(), m.start(1)) for m in IDENTIFIER.finditer(text)]
+    urls = [m for m in URL.finditer(text) if m[1]]
+    hosts = [Part("endpoint", m.start(), m.end(1), m.start()) for m in urls]
+    done = 0
+    for m in PROVIDER.finditer(text):
+        head = text[done : m.start()]
+        name = head[len(head.rstrip(HOST)) :].rpartition("..")[2].lstrip(".")
+        if name:
+            hosts.append(Part("endpoint", m.start() - len(name), m.end(), m.start() - len(name)))
+        done = m.end()
+    taken = sorted([(m.start(), m.end()) for m in urls] + [(p.start, p.end) for p in [*named, *base]])
+    begins = [s for s, _ in taken]
+    ends = [0]
+    for _, e in taken:
+        ends.append(max(ends[-1], e))  # the furthest end of the first so many
+    opaque = [Part("weak", *m.span(), m.start()) for m in OPAQUE.finditer(text) if ends[bisect_left(begins, m.end())] <= m.start()]
+    return [*(Part("weak", *m.span(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) < 12), *named, *opaque, *_apart(hosts)]
+
+
+def _apart(parts: list[Part]) -> list[Part]:
+    """Of overlapping parts the first."""
+    out: list[Part] = []
+    for p in sorted(parts, key=lambda p: (p.start, -p.end)):
+        if not out or p.start >= out[-1].end:
+            out.append(p)
+    return out
+
+
+class Side:
+    """The parts of one role, sorted for look-up of the nearest on either side."""
+
+    def __init__(self, parts: list[Part]):
+        self.ends = sorted(p.end for p in parts)
+        parts = sorted(parts, key=lambda p: p.start)
+        self.starts = [p.start for p in parts]
+        self.values = [p.value for p in parts]
+        for i in range(len(parts) - 2, -1, -1):
+            self.values[i] = min(self.values[i], self.values[i + 1])
+
+    def near(self, part: Part, scope: int) -> bool:
+        """Whether a part that shares no character with this one has its value within ``scope`` characters of this one's."""
+        before = bisect_right(self.ends, part.start)
+        after = bisect_left(self.starts, part.end)
+        return (before > 0 and part.value - self.ends[before - 1] <= scope) or (after < len(self.starts) and self.values[after] - part.end <= scope)
+
+
+def linked(base: list[Part], weak: list[Part], scope: int = SCOPE) -> list[Part]:
+    """The weak parts that a complementary part stands near: a proof needs someone or somewhere, an identifier or endpoint a proof."""
+    sides = {role: Side([p for p in [*base, *weak] if p.role == role]) for role in ("who", "where", "proof")}
+    needs = {"proof": ("who", "where"), "who": ("proof",), "where": ("proof",)}
+    return [p for p in weak if any(sides[role].near(p, scope) for role in needs[p.role])]
+
+
+def scan(raw: bytes, scope: int = SCOPE) -> tuple[str | None, list[Part], list[Part]]:
+    """The text, its single credentials, and these with all linked parts; without any cheap sign the text is not decoded."""
+    if not SIGNS.search(raw.lower()):
+        return None, [], []
+    text = raw.decode("utf-8", "replace")
+    base = base_spans(text)
+    return text, base, in_order({*base, *linked(base, weak_parts(text, base), scope)})
+
+
+def _rows(column: pa.Array) -> Iterator[bytes]:
+    data, bounds = utf8(column)
+    for a, b in slices(bounds):
+        part = data[bounds[a] : bounds[b]].tobytes()
+        yield from (part[bounds[i] - bounds[a] : bounds[i + 1] - bounds[a]] for i in range(a, b))
 
 
 def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` (arrays of kind, start, end; code points, end exclusive), one row per document.
 
-    The scanned parts are small; they are written once to the shared folder and read twice.
-    Repeated rows are reported as often as they occur; no rows give no rows.
+    One narrow scan. A null text has no spans, a null id is kept; repeated rows are reported as
+    often as they occur; time grows with a text's length. No rows give no rows; other columns
+    are not looked at.
     """
-    found = parts(documents).checkpoint(eager=True)
-    spans = linked(found, scope).groupBy("row_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
-    base = F.transform(F.filter("parts", lambda p: p["strong"]), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
-    rank = F.array(*(F.lit(k) for k in KINDS))
-    added = F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    every = F.array_sort(F.transform(F.concat("base", added), lambda p: F.struct(p["start"], F.array_position(rank, p["kind"]).alias("place"), p["end"], p["kind"])))
-    joined = found.withColumn("base", base).join(spans, "row_key", "left").withColumn("every", every)
-    return joined.select("row_key.doc_id", "base", F.transform("every", lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"))).alias("spans"), "row_key")
+    plain = lambda parts: [{"kind": p.kind, "start": p.start, "end": p.end} for p in parts]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scan(raw, scope)[1:] for raw in _rows(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([plain(f[i]) for f in found], SPANS_TYPE) for i in (0, 1))], ["doc_id", "base", "spans"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, base {SPANS}, spans {SPANS}")
 
 
 def _text(spans: str) -> Column:
@@ -125,7 +156,7 @@ def _text(spans: str) -> Column:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """Counts of the single credentials, their digest and all spans."""
+    """Counts of the single credentials, their digest and all spans; cases as in :func:`secret_spans`."""
     found = secret_spans(documents)
     count = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long")
     return found.select(
@@ -135,34 +166,37 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def mask(documents: DataFrame, with_text: str, scope: int = SCOPE) -> DataFrame:
-    """The documents, all columns kept, with ``with_text`` in place of each secret (and ``n_chars`` set anew)."""
-    spans = F.transform(F.filter("spans", lambda p: ~p["kind"].isin("endpoint", "id")), lambda p: F.struct(p["start"], p["end"]))
-    found = secret_spans(documents, scope).select("row_key", spans.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["row_key"])
-    keyed = documents.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("digest")))
-    joined = keyed.join(found.withColumnRenamed("row_key", "_key"), "_key", "left").drop("_key")
+    """The documents, all columns kept, with ``with_text`` in place of each secret (and ``n_chars`` set anew where one was).
+
+    Single credentials and linked proofs are secrets, identifiers and endpoints stay. Null and
+    empty texts stay as they are, repeated rows are masked alike, no rows give no rows.
+    """
     names = documents.columns
     place, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            hit = {i: s for i, s in enumerate(columns.pop().to_pylist()) if s}
-            if hit:
+            hidden = {}
+            for i, raw in enumerate(_rows(columns[place])):
+                text, _, parts = scan(raw, scope)
+                spans = [(p.start, p.end) for p in parts if p.kind not in ("id", "endpoint")]
+                if spans:
+                    hidden[i] = _masked(text, spans, with_text)
+            if hidden:
                 values = columns[place].to_pylist()
-                for i, marked in hit.items():
-                    values[i] = _masked(values[i], sorted((s["start"], s["end"]) for s in marked), with_text)
-                columns[place] = pa.array(values, columns[place].type)
+                columns[place] = pa.array([hidden.get(i, v) for i, v in enumerate(values)], columns[place].type)
                 if size is not None:
-                    columns[size] = pa.array([len(values[i]) if i in hit else n for i, n in enumerate(columns[size].to_pylist())], columns[size].type)
+                    columns[size] = pa.array([len(hidden[i]) if i in hidden else n for i, n in enumerate(columns[size].to_pylist())], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*names, "_spans").mapInArrow(hide, documents.schema)
+    return documents.mapInArrow(hide, documents.schema)
 
 
 def _masked(text: str, spans: list[tuple[int, int]], with_text: str) -> str:
     """Overlapping spans are one."""
     out, done = [], 0
-    for start, end in spans:
+    for start, end in sorted(spans):
         if start >= done:
             out += [text[done:start], with_text]
         done = max(done, end)
