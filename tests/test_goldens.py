@@ -41,7 +41,13 @@ def test_profile_with_points_in_time(spark):
     html = "<h1>周海简历</h1><main><div>2003.9 进厂\n2007年起任组长\n2010年1月 调离</div></main>"
     row = profile(spark, html, "http://plain.example/")
     assert (row.name, row.summary, row.current_position) == ("周海", "", "")
-    assert [tuple(item) for item in row.timeline] == [("2003.9", "进厂"), ("2007年", "任组长"), ("2010年1月", "调离")]
+    assert [tuple(item) for item in row.timeline] == [("2003.9", "进厂"), ("2010年1月", "调离")]
+
+
+def test_profile_with_a_year_and_since(spark):
+    """The branch with 起 and no 年, which the pattern of points in time knows."""
+    row = profile(spark, "<h1>周海简历</h1><main><div>2007起任组长\n2010年1月起 调离</div></main>", "http://plain.example/")
+    assert [tuple(item) for item in row.timeline] == [("2007", "任组长"), ("2010年1月", "调离")]
 
 
 def test_profile_without_fields_fails(spark):
@@ -243,10 +249,10 @@ def test_redaction_at_write(spark, tmp_path):
         [("art_1", None, {"Authorization": "secret", "content-type": "a"}, "x", NOW)],
         "artifact_id string, content_type string, headers map<string,string>, body string, saved_at timestamp_ntz",
     )
-    A.artifact_write(frame, str(tmp_path / "lake"))
-    A.artifact_write(frame.withColumn("artifact_id", F.lit("art_2")), str(tmp_path / "lake"))
+    A.artifact_write(frame, str(tmp_path / "lake"), "a")
+    A.artifact_write(frame.withColumn("artifact_id", F.lit("art_2")), str(tmp_path / "lake"), "b")
     lake = A.artifact_read(spark, str(tmp_path / "lake"))
-    assert lake.count() == 2 and A.artifact_repeats(lake).count() == 0
+    assert lake.count() == 2 and A.artifact_repeats(spark, str(tmp_path / "lake")).count() == 0
     assert A.stored_index(lake).exceptAll(A.artifact_index(lake)).count() == 0
     row = lake.where("artifact_id = 'art_1'").first()
     assert row.headers == {"Authorization": "[REDACTED]", "content-type": "a"}
