@@ -11,6 +11,7 @@ from ..operators import fetchlog as L
 from ..operators import guard as G
 from ..operators import politeness as P
 from ..operators import redirects as D
+from ..session import shared_root
 from .book import DOMAIN, query
 
 # ---------------------------------------------------------------------------
@@ -135,22 +136,35 @@ def redirect_resolve(spark, root):
     return _numbers(D.redirect_resolve(D.hops_of(spark.table("f_hops"))))
 
 
+# the guard's word on a page: the block list, then its recorded addresses
+_JUDGED = """v AS (SELECT page, CASE WHEN page % 23 = 7 THEN 'DOMAIN_NOT_ALLOWED' WHEN count(address) = 0 THEN 'DNS_FAILED'
+  WHEN bool_or(address IN ('10.0.0.1', '127.0.0.1', '::1')) THEN 'DOMAIN_NOT_ALLOWED' END AS code
+ FROM (SELECT src AS page FROM f_redirects UNION SELECT dst FROM f_redirects WHERE dst IS NOT NULL) LEFT JOIN f_hop_addresses ON page_id = page GROUP BY page)"""
+
+
 @query(
     "redirect_guard",
     "f_hops",
-    "f_addresses",
-    sql=_WALK.format(
-        first="CASE WHEN src % 23 = 7 THEN 'DOMAIN_NOT_ALLOWED' END",
-        guard="WHEN h.dst % 23 = 7 AND w.depth + 1 <= 10 AND NOT list_contains(w.path, h.dst) THEN 'DOMAIN_NOT_ALLOWED'",
-    ),
+    "f_hop_addresses",
+    sql=f"""WITH {_JUDGED}, walk(start, node, depth, path, code) AS (
+ SELECT src, src, 0, [src], v.code FROM f_redirects JOIN v ON v.page = src
+ UNION ALL
+ SELECT w.start, h.dst, w.depth + 1, list_append(w.path, h.dst), CASE WHEN w.depth + 1 > 10 THEN 'TOO_MANY_REDIRECTS'
+  WHEN list_contains(w.path, h.dst) THEN 'REDIRECT_LOOP' WHEN v.code IS NOT NULL THEN v.code WHEN h.dst NOT IN (SELECT src FROM f_redirects) THEN 'NOT_RECORDED' END
+ FROM walk w JOIN f_redirects h ON h.src = w.node JOIN v ON v.page = h.dst WHERE w.code IS NULL AND h.dst IS NOT NULL)
+SELECT start AS src, CASE WHEN code IS NULL THEN node END AS final,
+ CAST(CASE WHEN code IN ('REDIRECT_LOOP', 'TOO_MANY_REDIRECTS') THEN depth - 1 ELSE depth END AS INTEGER) AS hops, code
+FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth DESC) AS rn FROM walk) WHERE rn = 1""",
     recursive=True,
-    oracle_views=("f_redirects",),
+    oracle_views=("f_redirects", "f_hop_addresses"),
 )
 def redirect_guard(spark, root):
     """Each requested URL passes the guard first: block list and recorded addresses."""
-    hops = D.hops_of(spark.table("f_hops"))
+    shared_root(spark)
+    hops = D.hops_of(spark.table("f_hops")).checkpoint()
     pages = hops.select("src").union(hops.select("dst")).where("src is not null").distinct()
-    resolved = pages.select("src", F.lit("93.184.216.34").alias("address"))
+    number = F.regexp_extract("src", "p([0-9]+)$", 1).cast("bigint")
+    resolved = pages.select("src", number.alias("page_id")).join(spark.table("f_hop_addresses"), "page_id").select("src", "address")
     verdicts = G.guard_urls(pages.withColumn("url", F.col("src")), resolved, "src", ["blocked0.example.org"])
     return _numbers(D.redirect_resolve(hops, verdicts=verdicts.select("src", "code")))
 

@@ -29,11 +29,27 @@ def ipv4_number(address: Column) -> Column:
     return F.when(is_ipv4(address), F.aggregate(octets, F.lit(0).cast("bigint"), lambda sofar, octet: sofar * 256 + octet))
 
 
+def _merged(ranges) -> list[tuple[int, int]]:
+    """The ranges as numbers, in order; touching and overlapping ones are one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted((_as_int(first), _as_int(last)) for first, last in ranges):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
 def _within(number: Column, ranges) -> Column:
-    hit = F.lit(False)
-    for first, last in ranges:
-        hit = hit | number.between(_as_int(first), _as_int(last))
-    return hit
+    """Whether the number is in one of the ranges. The number is bound once, however many ranges there are."""
+
+    def tested(value: Column) -> Column:
+        hit = F.lit(False)
+        for first, last in _merged(ranges):
+            hit = hit | value.between(first, last)
+        return hit
+
+    return F.transform(F.array(number), tested)[0]
 
 
 def _v6_rule(allow_private: bool):
@@ -62,11 +78,11 @@ def address_allowed(address: Column, allow_private: bool = False) -> Column:
     IPv4 is range arithmetic in the JVM; only other texts go to Python.
     """
     number = ipv4_number(address)
-    denied = _within(number, S.LOOPBACK_V4 + S.LINK_LOCAL_V4 + S.MULTICAST_V4 + S.UNSPECIFIED_V4)
+    ranges = S.LOOPBACK_V4 + S.LINK_LOCAL_V4 + S.MULTICAST_V4 + S.UNSPECIFIED_V4
     if not allow_private:
-        denied = denied | _within(number, S.PRIVATE_V4 + S.RESERVED_V4)
+        ranges += S.PRIVATE_V4 + S.RESERVED_V4
     other = _v6_rule(allow_private)(F.when(~is_ipv4(address), address))
-    return F.when(is_ipv4(address), ~denied).otherwise(other)
+    return F.coalesce(~_within(number, ranges), other)
 
 
 @F.pandas_udf(T.BinaryType())
