@@ -9,6 +9,7 @@ from ..operators import extract as E
 from ..operators import fetchlog as L
 from ..registry import Adapters, extract_join, read_pages, resolve
 from .book import SPACE, query, unescape
+from .lake import lake, now
 
 _BODY = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 _BARE = (
@@ -183,11 +184,12 @@ SELECT request_id, adapter, CASE WHEN {_MISSING} THEN NULL ELSE '1' END AS adapt
  CASE WHEN error IS NULL THEN CASE adapter WHEN 'generic.links' THEN {_LINKS_DOC} ELSE {_ARTICLE_DOC} END END AS data FROM e""",
 )
 def extract_join_query(spark, root):
-    """Every seventh request names an address or an artifact that was never stored."""
-    artifacts = spark.table("pages").select(
-        F.concat(F.lit("art_"), F.md5(F.col("page_id").cast("string"))).alias("artifact_id"), "url", F.col("html").alias("body")
+    """Every seventh request names an address or an artifact that was never stored; some pages were stored more than once."""
+    pages = spark.table("pages").select(
+        F.concat(F.lit("art_"), F.md5(F.col("page_id").cast("string"))).alias("artifact_id"), F.col("page_id").alias("artifact_no"), "url", F.col("html").alias("body"),
+        F.lit("text/html").alias("content_type"), now().alias("saved_at"),
     )
-    return extract_join(spark.sql(_LOST), artifacts, Adapters()).select("request_id", "adapter", "adapter_version", "error", "data")
+    return extract_join(spark.sql(_LOST), lake(spark, pages), Adapters()).select("request_id", "adapter", "adapter_version", "error", "data")
 
 
 @query(

@@ -36,6 +36,16 @@ _PATH = """concat_ws('/', strftime(TIMESTAMP '2024-01-01' + to_days(CAST(artifac
  concat('art_', md5(CAST(artifact_no AS VARCHAR))))"""
 
 
+def lake(spark, rows):
+    """A lake of two batches, the second one written twice; every third artifact is in both, older in the first."""
+    path = scratch_path(spark, "artifacts")
+    earlier = rows.where(F.col("artifact_no") % 3 != 1).withColumns({"saved_at": T.plus_seconds(F.col("saved_at"), F.lit(-60)), "body": F.lit("older")})
+    A.artifact_write(earlier.where(F.col("artifact_no") % 3 == 0).unionAll(rows.where(F.col("artifact_no") % 3 == 2)), path, "1")
+    for _ in range(2):
+        A.artifact_write(rows.where(F.col("artifact_no") % 3 != 2), path, "2")
+    return A.artifact_read(spark, path)
+
+
 @query(
     "artifact_write",
     "f_artifacts",
@@ -43,11 +53,8 @@ _PATH = """concat_ws('/', strftime(TIMESTAMP '2024-01-01' + to_days(CAST(artifac
  coalesce({_TYPE}, 'application/octet-stream') AS content_type, '[REDACTED]' AS auth, lang FROM f_artifacts""",
 )
 def artifact_write(spark, root):
-    """Writes the lake below the shared folder in two batches and reads it back."""
-    path = scratch_path(spark, "artifacts")
-    for batch in range(2):
-        A.artifact_write(bodies(spark).where(F.col("artifact_no") % 2 == batch), path)
-    return A.artifact_read(spark, path).select(
+    """Writes the lake below the shared folder in batches, one of them twice, and reads it back."""
+    return lake(spark, bodies(spark)).select(
         "artifact_no",
         "relative_path",
         "sha256",
@@ -77,8 +84,9 @@ def artifact_index(spark, root):
 FROM f_requests LEFT JOIN f_artifacts a ON artifact_no = page_id * 7""",
 )
 def artifact_lookup(spark, root):
-    """Requests ask for seven times their page number, which goes beyond the last artifact."""
-    index = A.stored_index(A.layout(bodies(spark)))
+    """Requests ask for seven times their page number, which goes beyond the last artifact, in a lake that was written twice."""
+    path = scratch_path(spark, "artifact-index")
+    index = A.index_write(A.stored_index(lake(spark, bodies(spark))), "artifact_index_" + path[-32:], path, 8)
     asked = spark.table("f_requests").select(
         "request_id", F.concat(F.lit("art_"), F.md5((F.col("page_id") * 7).cast("string"))).alias("artifact_id")
     )

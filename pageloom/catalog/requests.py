@@ -9,6 +9,8 @@ from ..functions import headers as H
 from ..functions import text as X
 from ..functions import timing as T
 from ..functions import urls as U
+from ..operators import domains as N
+from ..operators import extract as E
 from ..operators import fetchlog as L
 from ..operators import guard as G
 from ..operators import requests as R
@@ -653,10 +655,59 @@ def client_quota(spark, root):
  WHEN 2 THEN '#detail|.main-aticle|.xl-main-content|.article' END AS selectors FROM f_profile_pages""",
 )
 def host_selector_match(spark, root):
-    from ..operators.extract import site_selectors
-
     hosts = spark.table("f_profile_pages").select("page_id", U.domain_of(F.col("url")).alias("host"))
-    return site_selectors(hosts).select("page_id", F.array_join("selectors", "|").alias("selectors"))
+    return E.site_selectors(hosts, E.known_sites(spark)).select("page_id", F.array_join("selectors", "|").alias("selectors"))
+
+
+_HOST_NAME = r"regexp_replace(lower(host), '\.+$', '')"
+
+
+@query(
+    "domain_rule_longest",
+    "f_hosts",
+    "f_policies",
+    sql=rf"""WITH h AS (SELECT row_id, {_HOST_NAME} AS name FROM f_hosts),
+p AS (SELECT policy_id, mode, regexp_replace(lower(domain), '\.+$', '') AS name FROM f_policies WHERE domain <> '')
+SELECT row_id, any_value(h.name) AS name, arg_max(policy_id, length(p.name)) AS policy_id, arg_max(p.name, length(p.name)) AS rule_domain
+FROM h LEFT JOIN p ON h.name = p.name OR (NOT regexp_matches(h.name, '^[0-9.]+$') AND ends_with(h.name, concat('.', p.name))) GROUP BY row_id""",
+)
+def domain_rule_longest(spark, root):
+    """Which of thousands of nested domain rules holds for each host."""
+    found = N.longest_rule(spark.table("f_hosts"), spark.table("f_policies"))
+    return found.select("row_id", N.plain_name(F.col("host")).alias("name"), F.col("rule.policy_id").alias("policy_id"), N.plain_name(F.col("rule.domain")).alias("rule_domain"))
+
+
+@query(
+    "site_rules_nested",
+    "f_hosts",
+    "f_policies",
+    sql=rf"""WITH h AS (SELECT row_id, {_HOST_NAME} AS name FROM f_hosts),
+p AS (SELECT policy_id, mode, regexp_replace(lower(domain), '\.+$', '') AS name FROM f_policies WHERE domain <> ''),
+m AS (SELECT row_id, arg_max(policy_id, length(p.name)) AS policy_id FROM h JOIN p ON h.name = p.name OR (NOT regexp_matches(h.name, '^[0-9.]+$') AND ends_with(h.name, concat('.', p.name))) GROUP BY row_id)
+SELECT row_id, CASE WHEN policy_id IS NOT NULL THEN concat('#site', policy_id, '|.text') END AS selectors FROM h LEFT JOIN m USING (row_id)""",
+)
+def site_rules_nested(spark, root):
+    """Containers by a table of thousands of sites in place of the known ones."""
+    sites = spark.table("f_policies").select("domain", F.array(F.concat(F.lit("#site"), F.col("policy_id").cast("string")), F.lit(".text")).alias("selectors"))
+    return E.site_selectors(spark.table("f_hosts"), sites).select("row_id", F.array_join("selectors", "|").alias("selectors"))
+
+
+@query(
+    "domain_policy_nested",
+    "f_hosts",
+    "f_policies",
+    sql=rf"""WITH h AS (SELECT row_id, {_HOST_NAME} AS name FROM f_hosts),
+p AS (SELECT mode, proxy_policy, max_attempts, regexp_replace(lower(domain), '\.+$', '') AS name FROM f_policies WHERE domain <> ''),
+m AS (SELECT row_id, unnest(arg_max({{'mode': p.mode, 'proxy_policy': p.proxy_policy, 'max_attempts': p.max_attempts}}, length(p.name))) FROM h
+ JOIN p ON h.name = p.name OR (NOT regexp_matches(h.name, '^[0-9.]+$') AND ends_with(h.name, concat('.', p.name))) GROUP BY row_id)
+SELECT row_id, coalesce(m.mode, 'auto') AS mode, coalesce(m.proxy_policy, 'auto') AS proxy_policy, CAST(coalesce(m.max_attempts, 3) AS INTEGER) AS max_attempts FROM h LEFT JOIN m USING (row_id)""",
+)
+def domain_policy_nested(spark, root):
+    """Strategy, proxy and attempts of requests to hosts below nested policies."""
+    auto = F.lit("auto")
+    requests = spark.table("f_hosts").select("row_id", F.concat(F.lit("http://"), "host", F.lit("/x")).alias("url"), auto.alias("mode"), auto.alias("proxy_policy"))
+    policies = spark.table("f_policies").drop("policy_id").withColumn("interval_us", F.lit(None).cast("bigint"))
+    return R.domain_policy_apply(requests, policies).select("row_id", "mode", "proxy_policy", F.col("max_attempts").cast("int").alias("max_attempts"))
 
 
 @query(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..html import extract as E
 from ..html.parse import Page
+from .domains import longest_rule
 
 
 def page_text(pages: DataFrame) -> Column:
@@ -124,17 +125,17 @@ def schema_check(extracted: DataFrame) -> DataFrame:
     return extracted.withColumn("failed", F.col("error").isNotNull())
 
 
-def site_selectors(hosts: DataFrame) -> DataFrame:
+def known_sites(spark: SparkSession) -> DataFrame:
+    """The biography sites that the library knows, as a table that a user can add to."""
+    return spark.createDataFrame([(domain, list(selectors)) for domain, selectors in S.PROFILE_SITES], "domain string, selectors array<string>")
+
+
+def site_selectors(hosts: DataFrame, sites: DataFrame) -> DataFrame:
     """Rows with ``host`` plus the selectors of the site it belongs to (NULL = none).
 
-    A theta join against three fixed sites, written as an expression.
+    ``sites``: domain, selectors. Of nested sites the one of the longest domain counts.
     """
-    chain = None
-    for domain, selectors in S.PROFILE_SITES:
-        fits = (F.col("host") == domain) | F.col("host").endswith("." + domain)
-        value = F.array(*[F.lit(name) for name in selectors])
-        chain = F.when(fits, value) if chain is None else chain.when(fits, value)
-    return hosts.withColumn("selectors", chain)
+    return longest_rule(hosts, sites.select("domain", "selectors")).withColumn("selectors", F.col("rule.selectors")).drop("rule")
 
 
 def largest_container(nodes: DataFrame) -> DataFrame:

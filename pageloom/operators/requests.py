@@ -9,6 +9,7 @@ from .. import settings as S
 from ..functions import headers as H
 from ..functions import urls as U
 from ..settings import DEFAULTS
+from .domains import longest_rule
 from .guard import guard_syntax
 
 
@@ -148,23 +149,19 @@ def prepare(requests: DataFrame, blocked_hosts: list[str] | None = None) -> Data
 def domain_policy_apply(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """A domain's forced strategy, proxy and limits override the request's own.
 
-    ``policies``: domain, mode, proxy_policy, max_attempts, interval_us (NULL = no rule).
+    ``policies``: domain, mode, proxy_policy, max_attempts, interval_us (NULL = no rule). A
+    policy holds for its domain and everything below it; of nested ones the longest domain's holds, alone.
     """
-    rules = policies.select(
-        F.col("domain").alias("_domain"),
-        *[F.col(name).alias(f"_{name}") for name in ("mode", "proxy_policy", "max_attempts", "interval_us")],
-    )
-    joined = requests.withColumn("domain", U.domain_of(F.col("url"))).join(
-        rules, F.col("domain") == F.col("_domain"), "left"
-    )
+    rules = policies.select("domain", "mode", "proxy_policy", "max_attempts", "interval_us")
+    joined = longest_rule(requests.withColumn("domain", U.domain_of(F.col("url"))), rules, "domain")
     return joined.withColumns(
         {
-            "mode": F.coalesce("_mode", "mode"),
-            "proxy_policy": F.coalesce("_proxy_policy", "proxy_policy"),
-            "max_attempts": F.coalesce("_max_attempts", F.lit(DEFAULTS.max_attempts)),
-            "interval_us": F.coalesce("_interval_us", F.lit(DEFAULTS.domain_interval_us)),
+            "mode": F.coalesce("rule.mode", "mode"),
+            "proxy_policy": F.coalesce("rule.proxy_policy", "proxy_policy"),
+            "max_attempts": F.coalesce("rule.max_attempts", F.lit(DEFAULTS.max_attempts)),
+            "interval_us": F.coalesce("rule.interval_us", F.lit(DEFAULTS.domain_interval_us)),
         }
-    ).drop("_domain", "_mode", "_proxy_policy", "_max_attempts", "_interval_us")
+    ).drop("rule")
 
 
 def client_quota(requests: DataFrame, quota: int) -> DataFrame:

@@ -32,26 +32,50 @@ def layout(bodies: DataFrame) -> DataFrame:
     )
 
 
-def artifact_write(bodies: DataFrame, root: str) -> None:
-    """Append bodies with their metadata, partitioned by day and prefix.
+def artifact_write(bodies: DataFrame, root: str, batch: str) -> None:
+    """Write a batch of bodies with their metadata, partitioned by batch and day, in files by digest prefix.
 
-    A batch's artifact ids are the caller's and repeatable, so a batch written twice is
-    found again by them (:func:`artifact_read` keeps one row of each).
+    A batch replaces what an earlier try of it has written into the same partitions, so a
+    repeated write leaves one copy; other batches are not touched. An id that several batches
+    hold is settled when the lake is read (:func:`artifact_read`).
 
-    The rebalance groups each partition's rows into few files; where many copies of
-    one body fill a prefix, it splits that prefix over several tasks. The committer
-    makes finished files visible at once.
+    The rebalance brings equal prefixes of a day together, so that a file's statistics tell which it
+    holds, and splits a prefix that many copies of one body fill over several tasks. The
+    committer makes finished files visible at once.
     """
-    layout(bodies).hint("rebalance", "dt", "sha_prefix").write.mode("append").partitionBy("dt", "sha_prefix").parquet(root)
+    laid = layout(bodies).withColumn("batch", F.lit(batch)).hint("rebalance", "dt", "sha_prefix")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "dt").parquet(root)
 
 
-def artifact_read(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root)
+#: What orders the copies of an artifact: the time it was saved, then the batch; the place in the files tells equal ones apart.
+_NEWEST = ("saved_at", "batch", "place")
+
+
+def _placed(spark: SparkSession, root: str) -> DataFrame:
+    """The stored rows with their ``place``: file and row."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # names that are numbers or dates stay as they were written
+    stored = spark.read.option("inferSchema", "false").parquet(root)
+    return stored.select("*", place.alias("place")).withColumn("batch", F.col("batch").cast("string"))
+
 
+def artifact_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """``artifact_id, copies, newest`` of the ids that the lake holds more than once; bodies are not read."""
+    keys = _placed(spark, root).select("artifact_id", F.struct(*_NEWEST).alias("copy"))
+    return keys.groupBy("artifact_id").agg(F.count("*").alias("copies"), F.max("copy").alias("newest")).where("copies > 1")
+
+
+def artifact_read(spark: SparkSession, root: str) -> DataFrame:
+    """One row of each artifact id: the newest by ``saved_at``, of equal ones that of the last batch.
 
-def artifact_repeats(stored: DataFrame) -> DataFrame:
-    """Ids that more than one append has written, with their copies; bodies are not read."""
-    return stored.groupBy("artifact_id").agg(F.count("*").alias("copies")).where("copies > 1")
+    Only ids and times are grouped. Of the ids that occur more than once the older copies'
+    places are taken out of the scan by an anti-join on file and row; while these are few, Spark
+    broadcasts them, and no body is shuffled.
+    """
+    placed = _placed(spark, root)
+    keys = placed.select("artifact_id", F.struct(*_NEWEST).alias("copy"))
+    older = keys.join(artifact_repeats(spark, root), "artifact_id").where(F.col("copy") < F.col("newest")).select(F.col("copy.place").alias("place"))
+    return placed.join(older, "place", "left_anti").drop("place")
 
 
 def artifact_index(stored: DataFrame, as_of=None) -> DataFrame:
@@ -128,8 +152,21 @@ def stale_tmp_select(listing: DataFrame, as_of, age_seconds: int = DEFAULTS.tmp_
     return listing.where(F.col("path").endswith(".tmp") & (F.col("modification_time") < cutoff))
 
 
+def index_write(index: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Write an index as a table in buckets of ``artifact_id`` at ``path``, and return it.
+
+    Look-ups by id then meet it bucket by bucket: only what is looked up is shuffled.
+    """
+    index.write.mode("overwrite").bucketBy(buckets, "artifact_id").sortBy("artifact_id").option("path", path).saveAsTable(table)
+    return index.sparkSession.table(table)
+
+
 def artifact_lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
-    """Requests (artifact_id) with their index row, or ARTIFACT_NOT_FOUND."""
+    """Requests (artifact_id) with their index row, or ARTIFACT_NOT_FOUND.
+
+    With an index in buckets (:func:`index_write`) the index is read in place, by buckets in
+    order; the requests are dealt to the same buckets.
+    """
     found = index.withColumn("_found", F.lit(True))
     return (
         requests.join(found, "artifact_id", "left")

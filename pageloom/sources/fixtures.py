@@ -140,6 +140,26 @@ SELECT item_id, CAST(attempts + t.n AS INT) AS attempt, next_run_at + INTERVAL 1
  CASE WHEN t.n = 0 OR item_id % 5 IN (1, 2, 3) THEN concat('attempt ', t.n) END AS error_message,
  CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 30 END AS retry_after_seconds
 FROM f_job_items JOIN (SELECT 0 AS n UNION ALL SELECT 1) t ON t.n = 1 OR item_id % 3 = 0 WHERE state = 'running'""",
+    # hosts below listed and unlisted domains, spelt in several ways, and address literals
+    "f_hosts": """
+SELECT o_orderkey AS row_id, CASE o_orderkey % 8 WHEN 0 THEN concat('c', o_custkey, '.shop.example.org') WHEN 1 THEN concat('WWW.C', o_custkey, '.Shop.Example.org.')
+ WHEN 2 THEN concat('x.y.c', o_custkey, '.example.net') WHEN 3 THEN concat('c', o_custkey, '.example.net') WHEN 4 THEN concat('my-shop.example.org')
+ WHEN 5 THEN concat('10.0.', o_custkey % 200, '.1') WHEN 6 THEN concat('c', o_custkey, 'shop.example.org') ELSE concat('other', o_custkey, '.test') END AS host
+FROM orders""",
+    # one rule or more for every customer's domain, and rules for the domains above them
+    "f_policies": """
+SELECT CASE c_custkey % 4 WHEN 0 THEN concat('c', c_custkey, '.shop.example.org') WHEN 1 THEN concat('y.c', c_custkey, '.example.net')
+  WHEN 2 THEN concat('C', c_custkey, '.example.NET.') ELSE concat('www.c', c_custkey, '.shop.example.org') END AS domain, c_custkey AS policy_id,
+ CASE c_custkey % 3 WHEN 0 THEN 'browser' WHEN 1 THEN 'http' END AS mode, CASE c_custkey % 2 WHEN 0 THEN 'direct' END AS proxy_policy,
+ CASE WHEN c_custkey % 5 = 1 THEN 5 END AS max_attempts FROM customer
+UNION ALL SELECT concat('c', c_custkey, '.example.net'), c_custkey + 10000000, 'http', NULL, 2 FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT k.domain, k.policy_id, k.mode, 'proxy', k.policy_id - 20000000 FROM (SELECT 'Example.ORG' AS domain, 20000001 AS policy_id, 'http' AS mode
+  UNION ALL SELECT 'shop.example.org.', 20000002, 'browser' UNION ALL SELECT '0.1', 20000003, 'http' UNION ALL SELECT '', 20000004, 'http') k""",
+    # recorded addresses of the hops' pages: some have none, some a second one that is refused
+    "f_hop_addresses": """
+SELECT page_id, CASE WHEN page_id % 29 = 3 THEN '10.0.0.1' WHEN page_id % 31 = 5 THEN '::1' ELSE concat('93.184.', page_id % 256, '.34') END AS address
+FROM pages WHERE page_id % 37 <> 11
+UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '127.0.0.1' ELSE '2606:4700::1' END FROM pages WHERE page_id % 19 = 4""",
     # queue view of the items
     "f_queue": """
 SELECT *, next_run_at - INTERVAL 1 DAY AS created_at FROM f_job_items""",

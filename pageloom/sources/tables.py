@@ -35,7 +35,7 @@ REQUEST = T.StructType(
     ]
 )
 
-TABLES = ("pages", "documents", "events", "orders", "lineitem", "labels")
+TABLES = ("pages", "documents", "events", "orders", "lineitem", "labels", "customer")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
