@@ -118,7 +118,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
     n, asks, width, longest = both.agg(F.count_if(~F.col("ask")), F.count_if("ask"), F.max(F.size("vec")), F.max(length)).first()
     if not n or not asks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = both.where("first").select("vec").orderBy(F.xxhash64("vec")).limit(pivots).toArrow()
+    # pivots: of about four times as many distinct vectors, drawn by their hash, those of least hash
+    drawn = F.pmod(F.xxhash64("vec"), F.lit(max(1, n // (4 * pivots)))) == 0
+    sample = both.where("first").where(drawn).select("vec").orderBy(F.hash("vec"), "vec").limit(pivots).toArrow()
     points = lifted(matrix(sample["vec"], width), longest)
     held, prefix = spark.sparkContext.broadcast(points), min(prefix, len(points))
 
