@@ -351,5 +351,4 @@ def circuit_breaker(spark, root):
 def cache_hit_rate(spark, root):
     from ..operators import metrics as M
 
-    log = request_log(spark)
-    return M.cache_hit_rate(C.cache_replay(log).join(log.select("request_id", "read"), "request_id"))
+    return M.cache_hit_rate(C.cache_replay(request_log(spark)))

@@ -146,10 +146,10 @@ def claim_order(spark, root):
 _ITEM = "item_id, job_id, position, queue, attempts, worker_id, request_id, result, error_code, error_message, state"
 
 
-def _whole(items):
+def _whole(items, *more):
     """Every column of the items, times as numbers."""
     return items.select(
-        *_ITEM.split(", "), micros(F.col("leased_until")).alias("leased_us"), micros(F.col("next_run_at")).alias("next_run_us")
+        *_ITEM.split(", "), micros(F.col("leased_until")).alias("leased_us"), micros(F.col("next_run_at")).alias("next_run_us"), *more
     )
 
 
@@ -170,6 +170,25 @@ def item_claim(spark, root):
     return _whole(items).join(jobs.select("job_id", F.col("state").alias("job_state")), "job_id")
 
 
+_CLAIMED = f"""WITH c AS (SELECT item_id FROM ({_CLAIM}) WHERE rank <= 100)
+SELECT q.item_id, q.job_id, q.position, q.queue, q.attempts + CASE WHEN c.item_id IS NULL THEN 0 ELSE 1 END AS attempts,
+ CASE WHEN c.item_id IS NOT NULL THEN 'w1' ELSE q.worker_id END AS worker_id, q.request_id, q.result, q.error_code, q.error_message,
+ CASE WHEN c.item_id IS NULL THEN q.state ELSE 'running' END AS state, epoch_us(CASE WHEN c.item_id IS NULL THEN q.leased_until
+  ELSE TIMESTAMP '{_NOW}' + INTERVAL 120 SECOND END) AS leased_us, epoch_us(q.next_run_at) AS next_run_us,
+ CASE WHEN c.item_id IS NULL THEN 0 ELSE 1 END AS version FROM f_queue q LEFT JOIN c ON c.item_id = q.item_id"""
+
+
+@query("item_claim_changes", "f_queue", sql=_CLAIMED)
+def item_claim_changes(spark, root):
+    """A claim writes the claimed items alone; the table is the base with them."""
+    path = scratch_path(spark, "claimed")
+    jobs_io.write_base(spark.table("f_queue"), path)
+    base = jobs_io.read_items(spark, path, changed=False)
+    jobs_io.append_changes(J.claim_changes(base, now(), "w1", per_queue=100).drop("version", "part"), path, 1)
+    items = jobs_io.read_items(spark, path)
+    return _whole(items, F.col("version").cast("int").alias("version"))
+
+
 _CODE = "CASE WHEN o.error_code = 'CRASH' THEN 'INTERNAL_ERROR' ELSE o.error_code END"
 _AGAIN = "coalesce(o.error_code IN ('READ_TIMEOUT', 'CRASH') AND i.attempts < 3, FALSE)"
 # the latest attempt of each item that reported
@@ -219,6 +238,24 @@ def batch_outcome_apply(spark, root):
     return applied(*J.batch_outcome_apply(spark.table("f_job_items"), spark.table("f_jobs"), spark.table("f_outcomes"), now()))
 
 
+@query(
+    "batch_outcome_changes",
+    "f_job_items",
+    "f_outcomes",
+    sql=f"SELECT a.*, o.item_id IS NOT NULL AS changed FROM {_APPLIED.format(outcomes='f_outcomes')} a LEFT JOIN (SELECT DISTINCT item_id FROM f_outcomes) o USING (item_id)",
+)
+def batch_outcome_changes(spark, root):
+    """Outcomes write the items that they are about, in two versions, which are then brought into the base."""
+    path = scratch_path(spark, "outcomes-applied")
+    jobs_io.write_base(spark.table("f_job_items"), path)
+    outcomes = spark.table("f_outcomes")
+    for version, half in ((1, F.col("item_id") % 2 == 0), (2, F.col("item_id") % 2 == 1)):
+        items = jobs_io.read_items(spark, path, changed=version > 1)
+        jobs_io.append_changes(J.outcome_changes(items, outcomes.where(half), now()).drop("version", "part"), path, version)
+    jobs_io.compact(spark, path)
+    return _whole(jobs_io.read_items(spark, path), (F.col("version") > 0).alias("changed"))
+
+
 @query("items_sorted", "f_job_items", sql="SELECT job_id, position, item_id, state FROM f_job_items ORDER BY job_id, position")
 def items_sorted(spark, root):
     return J.items_sorted(spark.table("f_job_items")).select("job_id", "position", "item_id", "state")

@@ -150,5 +150,9 @@ def retention_expired(spark, root):
         F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"),
         T.plus_seconds(now(), -(F.col("doc_id") % 400) * 86400).alias("created_at"),
     )
+    path = scratch_path(spark, "records")
+    day = F.date_trunc("month", "created_at")  # one folder a month keeps the small tables' files few
+    records.withColumn("dt", F.date_format(day, "yyyy-MM-dd")).hint("rebalance", "dt").write.partitionBy("dt").parquet(path)
+    stored = spark.read.schema("record_id long, kind string, created_at timestamp_ntz, dt string").parquet(path)
     references = spark.table("labels").select(F.col("doc_id").alias("record_id"))
-    return A.retention_expired(records, references, now()).select("record_id", "kind")
+    return A.retention_expired(stored, references, now()).select("record_id", "kind")

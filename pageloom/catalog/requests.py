@@ -14,6 +14,7 @@ from ..operators import extract as E
 from ..operators import fetchlog as L
 from ..operators import guard as G
 from ..operators import requests as R
+from ..session import scratch_path
 from ..sources import tables
 from .book import DOMAIN, query
 
@@ -48,6 +49,30 @@ def payload_parse(spark, root):
     )
 
 
+@query(
+    "payload_variant",
+    "f_requests",
+    sql=f"""WITH p AS (SELECT request_id, CASE request_id % 10 WHEN 4 THEN '{{"url":' WHEN 7 THEN '[1]' ELSE payload END AS payload, request_id % 10 IN (4, 7) AS bad FROM ({_PAYLOAD}))
+SELECT request_id, CASE WHEN NOT bad THEN json_extract_string(payload, '$.url') END AS url,
+ CASE WHEN NOT bad THEN coalesce(json_extract_string(payload, '$.mode'), 'auto') END AS mode,
+ CASE WHEN NOT bad THEN CAST(json_extract_string(payload, '$.cache_ttl') AS BIGINT) END AS cache_ttl,
+ CASE WHEN NOT bad THEN 2 END AS extra, CASE WHEN NOT bad THEN '[1,{{"a":2}}]' END AS extra_text, CASE WHEN bad THEN payload END AS unread
+FROM (SELECT request_id, bad, payload FROM p WHERE NOT bad UNION ALL SELECT request_id, bad, payload FROM p WHERE bad)""",
+)
+def payload_variant(spark, root):
+    """Documents are stored as VARIANT and read back: what no field names is still in them, and unreadable text is kept."""
+    number = F.col("request_id") % 10
+    sent = F.when(number == 4, '{"url":').when(number == 7, "[1]").otherwise(F.col("payload"))
+    path = scratch_path(spark, "payloads")
+    spark.sql(_PAYLOAD).select("request_id", tables.payload_variant(sent).alias("p")).select("request_id", "p.*").write.parquet(path)
+    stored = spark.read.parquet(path)
+    again = F.parse_json(tables.serialize_document(F.col("document")))
+    return stored.select(
+        "request_id", "request.url", "request.mode", "request.cache_ttl", F.variant_get(again, "$.extra[1].a", "int").alias("extra"),
+        F.to_json(F.variant_get(again, "$.extra", "variant")).alias("extra_text"), "unread",
+    )
+
+
 @query(
     "payload_serialize",
     "f_requests",

@@ -78,6 +78,35 @@ def stream_request_counters(spark, root):
     )
 
 
+@query(
+    "stream_inflight_live",
+    sql="SELECT DISTINCT concat_ws('|', url, mode) AS fetch_key, epoch_us(date_trunc('hour', ts)) AS hour_us FROM f_requests",
+    oracle_views=("f_requests",),
+)
+def stream_inflight_live(spark, root):
+    """The de-duplication with its state in the stream; a watermark over the table's span, and late rows are an error."""
+    stream_view(spark, root, "f_requests")
+    passed = Z.run_to_end(Z.stream_inflight_dedupe(_log(spark), Z.span(spark, root, "events")), "dedupe-live", whole=True)
+    return passed.select("fetch_key", F.unix_micros("hour").alias("hour_us"))
+
+
+@query(
+    "stream_counters_live",
+    sql="""SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, method, path, status, count(*) AS n, round(sum(seconds), 6) AS sum_seconds
+FROM f_http_log GROUP BY 1, 2, 3, 4""",
+    oracle_views=("f_http_log",),
+)
+def stream_counters_live(spark, root):
+    """The counters with their state in the stream; the last update of each stands."""
+    stream_view(spark, root, "f_http_log")
+    log = spark.table("f_http_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    updates = Z.run_to_end(Z.stream_request_counters(log, Z.span(spark, root, "events")), "counters-live", "update", whole=True)
+    whole = Z.latest_update(updates, ["minute", "method", "path", "status"])
+    return whole.select(
+        F.unix_micros("minute").alias("minute_us"), "method", "path", "status", "n", F.round("sum_seconds", 6).alias("sum_seconds")
+    )
+
+
 @query("stream_job_state", "f_job_items", "f_jobs", sql=BATCH_SQL, oracle_views=("f_job_items", "f_jobs", "f_outcomes"))
 def stream_job_state(spark, root):
     """Outcome events stream in; the item and job tables are static."""

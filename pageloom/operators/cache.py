@@ -57,7 +57,7 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, chunk_us: int = SECOND
 # what the log records about reuse
 # ---------------------------------------------------------------------------
 def cache_replay(log: DataFrame, negative_ttl: int | None = None, chunk_us: int = SECOND_US) -> DataFrame:
-    """hit or miss per request: (fetch_key, request_id, at, outcome), from recorded responses.
+    """hit or miss per request: (fetch_key, request_id, at, outcome, and the log's ``read`` where it has one), from recorded responses.
 
     Each recorded success with a ttl is an entry from its own time on; a request that may
     read hits if the newest one before it has not expired. With ``negative_ttl`` recorded
@@ -66,7 +66,7 @@ def cache_replay(log: DataFrame, negative_ttl: int | None = None, chunk_us: int
     """
     rows = log.select(
         "fetch_key", micros(F.col("ts")).alias("at"), "request_id", "force_refresh", "success",
-        (F.col("ttl").cast("bigint") * 1_000_000).alias("ttl_us"),
+        (F.col("ttl").cast("bigint") * 1_000_000).alias("ttl_us"), *([name for name in ("read",) if name in log.columns]),
     )
     life = F.col("ttl_us") if negative_ttl is None else F.when(F.col("success"), F.col("ttl_us")).otherwise(F.least("ttl_us", F.lit(negative_ttl * 1_000_000)))
     kept = (F.col("ttl_us") > 0) & (F.col("success") if negative_ttl is None else F.lit(True))
@@ -75,7 +75,7 @@ def cache_replay(log: DataFrame, negative_ttl: int | None = None, chunk_us: int
     latest = running(line, ["fetch_key"], ["at", "request_id"], {"entry": ("max", entry)}, exclusive=True)
     hit = ~F.col("force_refresh") & (F.col("ttl_us") > 0) & F.coalesce(F.col("entry.expires") > F.col("at"), F.lit(False))
     outcome = F.when(hit & F.col("entry.success"), "hit").when(hit, "negative_hit").otherwise("miss")
-    return latest.select("fetch_key", "request_id", "at", outcome.alias("outcome"))
+    return latest.select("fetch_key", "request_id", "at", outcome.alias("outcome"), *([name for name in ("read",) if name in log.columns]))
 
 
 def negative_cache(log: DataFrame, negative_ttl: int, chunk_us: int = SECOND_US) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as A
 from ..functions import urls as U
-from ..plans.running import running, with_chunk
+from ..plans.running import range_places
+from ..session import shared_root
 
 
 def within_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
@@ -45,14 +46,12 @@ def blocked(urls: DataFrame, hosts: DataFrame) -> DataFrame:
 def addresses_sorted(addresses: DataFrame, key: str = "host") -> DataFrame:
     """Distinct addresses per host with their place in text order, one row each.
 
-    Places are a running count over chunks of addresses with the same first two
-    characters, so a host with very many addresses is not numbered in one task.
+    Places come from a sort by ranges of (host, address), so a host with very many addresses is
+    numbered by many tasks.
     """
-    found = addresses.select(key, "address").distinct()
-    first = F.ascii("address") * 65536 + F.ascii(F.substring("address", 2, 1))
-    return running(
-        with_chunk(found, first, 1), [key], ["address"], {"place": ("sum", F.lit(1).cast("bigint"))}
-    ).select(key, "address", "place")
+    shared_root(addresses.sparkSession)
+    found = addresses.select(key, "address").where(F.col(key).isNotNull() & F.col("address").isNotNull()).distinct()
+    return range_places(found, [key], ["address"])
 
 
 def address_verdicts(

@@ -179,6 +179,18 @@ def item_claim(
     return new_items, new_jobs
 
 
+def claim_changes(items: DataFrame, as_of: Column, worker_id: str, per_queue: int = 1) -> DataFrame:
+    """The claimed items as they are afterwards, and no other row: what a claim has to write."""
+    return claim_order(items, as_of, per_queue).drop("rank").withColumns(
+        {"state": F.lit("running"), "worker_id": F.lit(worker_id), "leased_until": T.lease_until(as_of), "attempts": F.col("attempts") + 1}
+    )
+
+
+def outcome_changes(items: DataFrame, outcomes: DataFrame, as_of: Column, max_attempts: int = DEFAULTS.max_attempts) -> DataFrame:
+    """The items that an outcome is reported of, as they are afterwards (see :func:`apply_outcomes`), and no other row."""
+    return apply_outcomes(items, outcomes, as_of, max_attempts, "inner")
+
+
 def item_complete(items: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Finished fetches end their item as succeeded, whatever the page's status was."""
     return apply_outcomes(items, outcomes.where(F.col("error_code").isNull()), F.lit(None).cast("timestamp_ntz"))
@@ -196,9 +208,9 @@ def _retryable(code: Column) -> Column:
 
 
 def apply_outcomes(
-    items: DataFrame, outcomes: DataFrame, as_of: Column, max_attempts: int = DEFAULTS.max_attempts
+    items: DataFrame, outcomes: DataFrame, as_of: Column, max_attempts: int = DEFAULTS.max_attempts, how: str = "left"
 ) -> DataFrame:
-    """Items after a batch of outcomes.
+    """Items after a batch of outcomes; with ``how="inner"`` only those that have one.
 
     ``outcomes``: item_id, attempt, reported_at, request_id, result, error_code,
     error_message, retry_after_seconds. No error: succeeded with its request and result.
@@ -216,7 +228,7 @@ def apply_outcomes(
     again = bad & _retryable(code) & (F.col("attempts") < max_attempts)
     delay = T.item_backoff(F.col("attempts"), F.col("_o.retry_after_seconds"))
     no_lease = F.lit(None).cast(items.schema["leased_until"].dataType)
-    joined = items.join(reported, "item_id", "left")
+    joined = items.join(reported, "item_id", how)
     return joined.withColumns(
         {
             "next_run_at": F.when(again, T.plus_seconds(as_of, delay)).otherwise(F.col("next_run_at")),

@@ -87,3 +87,20 @@ def _local(keys: list[str], order: Sequence[str], backward: bool, exclusive: boo
     """Window inside a chunk."""
     ordered = [F.col(name).desc() if backward else F.col(name).asc() for name in order]
     return Window.partitionBy(*keys, CHUNK).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+
+
+def range_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
+    """Number the rows of each key from 1 in order, by a range sort and the sizes of its parts.
+
+    The rows are dealt by ranges of (keys, order), so a key with very many rows takes many
+    parts. Each part numbers its own rows of a key; what the parts before it hold of the key
+    is added from one small row for each part and key. Rows are distinct in (keys, order). The sorted rows
+    are written once, as both readings must see the same ranges.
+    """
+    part = "_part"
+    dealt = rows.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()).checkpoint()
+    own = F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order))
+    sizes = dealt.groupBy(part, *keys).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    return dealt.withColumn("_own", own).join(offsets, [part, *keys]).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("bigint").alias(name))

@@ -182,9 +182,16 @@ def distinct_digest(artifacts: DataFrame) -> DataFrame:
 
 
 def retention_expired(records: DataFrame, references: DataFrame, as_of) -> DataFrame:
-    """Records (record_id, kind, created_at) past their class's age and not referenced."""
+    """Records (record_id, kind, created_at) past their class's age and not referenced.
+
+    Records may be laid out by ``dt``, the first day of a period of ``created_at`` as text: then only the periods
+    that begin before the shortest class's limit are read at all.
+    """
     age = None
     for kind, days in S.RETENTION_DAYS.items():
         age = F.when(F.col("kind") == kind, days) if age is None else age.when(F.col("kind") == kind, days)
-    cutoff = T.plus_seconds(as_of, -age * 86400)
-    return records.where(F.col("created_at") < cutoff).join(references.select("record_id"), "record_id", "left_anti")
+    old = F.col("created_at") < T.plus_seconds(as_of, -age * 86400)
+    if "dt" in records.columns:
+        last = T.plus_seconds(as_of, F.lit(-min(S.RETENTION_DAYS.values()) * 86400))
+        old = (F.col("dt") <= F.date_format(last, "yyyy-MM-dd")) & old
+    return records.where(old).join(references.select("record_id"), "record_id", "left_anti")

@@ -78,6 +78,24 @@ def serialize(row: Column) -> Column:
     return F.to_json(row, {"ignoreNullFields": "false"})
 
 
+def payload_variant(payload: Column) -> Column:
+    """JSON document as ``request`` (typed, defaulted), ``document`` (VARIANT, everything in it) and ``unread``.
+
+    Text that is no JSON object has neither: it is kept as it is in ``unread``. A field of
+    another type than the request's is missing from the request and stays in the document.
+    """
+    read = F.try_parse_json(payload)
+    document = F.when(F.schema_of_variant(read).startswith("OBJECT"), read)
+    typed = F.struct(*[F.try_variant_get(document, f"$.{field.name}", field.dataType.simpleString()).alias(field.name) for field in REQUEST])
+    request = F.when(document.isNotNull(), with_defaults(typed))
+    return F.struct(request.alias("request"), document.alias("document"), F.when(document.isNull(), payload).alias("unread"))
+
+
+def serialize_document(document: Column) -> Column:
+    """A document as JSON text again, its keys in order: what no field of the request names is still there."""
+    return F.to_json(document)
+
+
 def log_lines(log: DataFrame) -> DataFrame:
     """One JSON object per log row; optional fields only where they have a value."""
     optional = [name for name in ("request_id", "job_id", "error_code", "domain", "elapsed_ms") if name in log.columns]

@@ -161,3 +161,20 @@ def test_approximate_latency_is_close(spark):
     frame = spark.range(1000).select(F.lit("d").alias("domain"), F.lit("http").alias("strategy"), F.col("id").alias("elapsed_ms"))
     exact, rough = (M.latency_by_domain_strategy(frame, flag).where("strategy IS NOT NULL").first().p95_ms for flag in (True, False))
     assert abs(exact - rough) <= 5
+
+
+def test_sketches_of_hours_are_merged_within_their_bound(spark):
+    """Skewed latencies, hours of very different size, two sizes of sketch."""
+    rows = spark.range(60_000).select(
+        (F.timestamp_seconds(F.pow(F.col("id"), 1.3))).alias("ts"), F.concat(F.lit("d"), F.col("id") % 2).alias("domain"), F.lit("http").alias("strategy"),
+        F.pow(F.pmod(F.hash("id"), F.lit(1000)), 2).cast("long").alias("elapsed_ms"),
+    ).unionAll(spark.createDataFrame([(None, "none", "http", None)], "ts timestamp, domain string, strategy string, elapsed_ms long"))
+    for k in (100, 800):
+        hours = M.latency_sketches(rows, k)
+        assert hours.count() > 100
+        for r in M.latency_of(hours.where("hour >= '1970-01-02'"), k=k).where("domain is null or domain <> 'none'").collect():
+            part = rows.where("ts >= '1970-01-02'").where(F.lit(r.domain is None) | (F.col("domain") == r.domain))
+            n, below, up_to = part.agg(F.count("*"), F.count_if(F.col("elapsed_ms") < r.p95_ms), F.count_if(F.col("elapsed_ms") <= r.p95_ms)).first()
+            assert r.n == n and below / n <= 0.95 + 2 * M.rank_error(k) and up_to / n >= 0.95 - 2 * M.rank_error(k)
+    empty = M.latency_of(hours).where("domain = 'none'").first()
+    assert empty.n == 0 and empty.p95_ms is None
