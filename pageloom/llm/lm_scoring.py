@@ -7,12 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt
 from .text import grams, slices, utf8, word_hashes, words
 
 ORDER = 3
 BACKOFF = 0.4
-#: Chunks of rows for each partition, so that a chunk fits a Python worker.
-CHUNKS = 4
 #: n-grams travel as 48 bits of their hash beside their bucket, which the hash picks too.
 CODE_BYTES = 6
 ASKED = "bucket int, chunk int, order int, grams binary, counts binary"
@@ -175,14 +174,14 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     Count tables are dealt by hash. Each chunk of rows sends each of its n-grams once, with
     its count, and hears what other chunks add; so a word of every row is one entry for each
     chunk. n-grams above pairs are sent only where both of their shorter ones occur in other
-    rows, as no other can. The texts dealt to chunks are one exchange, read by each round.
+    rows, as no other can. The texts dealt to chunks are one exchange, read by each round. Chunks
+    and buckets follow the length of the texts (:func:`dealing.dealt`), not the partitions.
 
     A null or empty text has no words and scores 0; null ids stay; a repeated row counts as
     another row; no rows give no rows; other columns are not looked at.
     """
-    spark = documents.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets * CHUNKS)).cast("int")
+    pieces, buckets = dealt(documents)
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces)).cast("int")
     chunks = documents.select("doc_id", "text", chunk.alias("chunk"))
 
     def ask_first(table: pa.Table) -> pa.Table:
