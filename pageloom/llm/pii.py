@@ -54,28 +54,64 @@ SHAPE = {
 }
 VOTES = ("certain", "shape", "gazetteer", "before", "after")
 CONTEXT_CHARS = 40
+RUN = 64  # numbers of a block of a running sum
+BLOCK = 1024  # characters of a block of the interval join
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sum(numbers: Column) -> Column:
+    """Sums of an array's first one, two, three, ... numbers.
+
+    Arrays grow by copies, so the sums are made in blocks: their totals first, then each block from
+    the total before it. The copies are RUN for each number, and one for each pair of blocks.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / RUN).cast("int")), lambda b: F.slice(numbers, b * RUN + 1, F.lit(RUN)))
+
+    def scan(start: Column, some: Column) -> Column:
+        first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(some, first, step, lambda acc: acc["out"])
+
+    def whole(parts: Column) -> Column:
+        totals = scan(F.lit(0), F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda x, y: x + y)))
+        return _let(totals, lambda ends: F.flatten(F.transform(parts, lambda part, i: scan(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), part))))
+
+    return F.when(F.size(numbers) > 0, _let(blocks, whole)).otherwise(F.array().cast("array<int>"))
+
+
 def found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost matches, in code points.
+    """Array of (start, end, value, left, right) of the leftmost matches, in code points.
 
-    What lies between the matches gives the starts.
+    What lies between the matches gives the places; ``left`` and ``right`` are up to
+    CONTEXT_CHARS of the match before and what lies between, and the same behind.
     """
-    pieces = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
-        F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + F.length(p["value"])).alias("end"), p["value"].alias("value")))).alias("out"),
-    )
-    return F.aggregate(F.filter(pieces, lambda p: p["value"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def placed(m: Column) -> Column:
+        values, gaps = m["values"], m["gaps"]
+        ends = running_sum(F.transform(values, lambda v, i: F.length(F.get(gaps, i)) + F.length(v)))
+
+        def match(end: Column, i: Column) -> Column:
+            value = F.get(values, i)
+            left = F.concat(F.coalesce(F.get(values, i - 1), F.lit("")), F.get(gaps, i))
+            right = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(values, i + 1), F.lit("")))
+            return F.struct(
+                (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"),
+                F.right(left, F.lit(CONTEXT_CHARS)).alias("left"), F.left(right, F.lit(CONTEXT_CHARS)).alias("right"),
+            )
+
+        return F.transform(ends, match)
+
+    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    return _let(matched, placed)
 
 
 def gated(test: Column, value: Column) -> Column:
-    return F.when(test, value).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(test, value).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>"))
 
 
 def _digits(value: Column) -> Column:
@@ -110,8 +146,8 @@ def certain_spans(text: Column) -> Column:
     return F.concat(*(of(kind) for kind in KINDS))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Array of candidate spans with the votes (1 for, -1 against, 0 abstains) of all labelers."""
+def candidates(text: Column) -> Column:
+    """Array of candidate spans with the votes (1 for, -1 against, 0 abstains) of all labelers but the certain patterns."""
 
     def vote(value: Column, pair: tuple[str, str]) -> Column:
         return F.when(value.rlike(pair[0]), 1).when(value.rlike(pair[1]), -1).otherwise(0)
@@ -122,19 +158,13 @@ def candidates(text: Column, base: Column) -> Column:
             return F.when(luhn(value), formed).otherwise(-1) if kind == "card" else formed
 
         def judged(m: Column) -> Column:
-            near = F.exists(base, lambda b: (b["kind"] == kind) & (b["start"] < m["end"]) & (b["end"] > m["start"]))
-            other = F.exists(base, lambda b: (b["kind"] != kind) & (b["start"] < m["end"]) & (b["end"] > m["start"]))
-            left = F.substring(text, F.greatest(m["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT_CHARS)))
-            right = F.substring(text, m["end"] + 1, F.lit(CONTEXT_CHARS))
             return F.struct(
                 F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-                F.when(near, 1).when(other, -1).otherwise(0).alias("certain"),
                 shape(m["value"]).alias("shape"),
                 vote(m["value"], GAZETTEER[kind]).alias("gazetteer"),
-                F.when(left.rlike(CONTEXT[kind]), 1).otherwise(0).alias("before"),
-                F.when(right.rlike(CONTEXT[kind]), 1).when(right.rlike(r"^[0-9A-Za-z]"), -1).otherwise(0).alias("after"),
+                F.when(m["left"].rlike(CONTEXT[kind]), 1).otherwise(0).alias("before"),
+                F.when(m["right"].rlike(CONTEXT[kind]), 1).when(m["right"].rlike(r"^[0-9A-Za-z]"), -1).otherwise(0).alias("after"),
                 F.least(F.length(_digits(m["value"])), F.lit(20)).alias("digits"),
-                near.alias("in_base"),
             )
 
         return F.transform(gated(GATE[kind](text), found(text, WIDE[kind])), judged)
@@ -142,9 +172,24 @@ def candidates(text: Column, base: Column) -> Column:
     return F.concat(*(of(kind) for kind in KINDS))
 
 
-def _patterns(scanned: DataFrame) -> list:
+def with_certain(scanned: DataFrame) -> DataFrame:
+    """One row for each candidate with the vote of the certain patterns (``certain``) and whether any of their spans touches it (``taken``).
+
+    An interval join by (row, block of BLOCK characters): a candidate meets the certain spans of
+    the blocks it lies in, and no others, however many a text has.
+    """
+    blocks = lambda start, end: F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor((F.col(end) - 1) / BLOCK)))
+    each = scanned.select("row", F.posexplode("candidates").alias("at", "c")).select("row", "at", "c.*")
+    base = scanned.select("row", F.explode("base").alias("b")).select("row", F.col("b.kind").alias("b_kind"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+    met = each.withColumn("block", blocks("start", "end")).join(base.withColumn("block", blocks("b_start", "b_end")), ["row", "block"])
+    own = met.where((F.col("b_start") < F.col("end")) & (F.col("b_end") > F.col("start"))).groupBy("row", "at").agg(F.bool_or(F.col("b_kind") == F.col("kind")).alias("same"))
+    vote = F.when(F.col("same"), 1).when(F.col("same").isNotNull(), -1).otherwise(0)
+    return each.join(own, ["row", "at"], "left").withColumns({"certain": vote, "taken": F.col("same").isNotNull()}).drop("at", "same")
+
+
+def _patterns(each: DataFrame) -> list:
     """Counts of the different combinations of kind, votes and digits: bounded, whatever the input."""
-    return scanned.select(F.explode("candidates").alias("c")).groupBy("c.kind", *(f"c.{v}" for v in VOTES), "c.digits").count().collect()
+    return each.groupBy("kind", *VOTES, "digits").count().collect()
 
 
 class LabelModel:
@@ -226,19 +271,21 @@ def personal_spans(documents: DataFrame) -> DataFrame:
     """``doc_id, base, spans``: certain spans, and these with the accepted candidates beside them.
 
     One scan makes spans and votes, which are small and written once to the shared folder;
-    the counts of vote combinations train the two models; a narrow pass over the votes
-    accepts. A null text is empty; null ids, repeated rows and other columns change nothing;
-    no rows give no rows.
+    the counts of vote combinations train the two models; the accepted candidates join their rows' spans. Time
+    grows with a text's length and its number of matches. A null text is empty; null ids, repeated rows and
+    other columns change nothing; no rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = documents.select("doc_id", text.alias("whole"), certain_spans(text).alias("base"))
-    scanned = scanned.select("doc_id", "base", candidates(F.col("whole"), F.col("base")).alias("candidates")).checkpoint(eager=True)
-    weights = train_classifier(LabelModel(_patterns(scanned)))
-    new = F.filter("candidates", lambda c: ~c["in_base"] & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])) & _accepts(weights, c))
+    scanned = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), certain_spans(text).alias("base"), candidates(text).alias("candidates")).checkpoint(eager=True)
+    each = with_certain(scanned).checkpoint(eager=True)
+    weights = train_classifier(LabelModel(_patterns(each)))
+    new = each.where(~F.col("taken") & _accepts(weights, F.struct("kind", "shape", "gazetteer", "before", "after", "digits")))
+    added = new.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    both = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     rank = F.array(*(F.lit(k) for k in KINDS))
-    both = F.concat("base", F.transform(new, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     ordered = F.array_sort(F.transform(both, lambda s: F.struct(F.array_position(rank, s["kind"]).alias("place"), s["start"], s["end"], s["kind"])))
-    return scanned.select("doc_id", "base", F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    spans = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return scanned.join(added, "row", "left").select("doc_id", "base", spans.alias("spans"))
 
 
 def _text(spans: str) -> Column:

@@ -290,6 +290,89 @@ def test_personal_data(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+CERTAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def expected_certain(text):
+    out = []
+    for kind, pattern in CERTAIN.items():
+        for m in re.finditer(pattern, text or "", re.A):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d[::-1])) % 10 == 0
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_certain_spans_against_a_loop(spark):
+    rng = random.Random(9)
+    pieces = ["a.b@c.de", "x@y", "@", "1.2.3.4", "256.1.1.1", "10.0.0.255", ".", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1 2", "+", "é", "漢", " ", "\n", "7", "00", "-", "at", "(", "3.3", "mail ", "ip "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 300))) for _ in range(150)]
+    got = {r.doc_id: r for r in pii.report(frame(spark, list(enumerate(texts)))).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        want = expected_certain(text)
+        some += len(want)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in CERTAIN] == [sum(w.startswith(k) for w in want) for k in CERTAIN]
+        spans = got[i].spans.split(",") if got[i].spans else []
+        assert [s for s in spans if s in set(want)] == want  # base spans stay, and in order
+        places = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in spans]
+        added = [p for p in places if ":".join(map(str, p)) not in want]
+        assert all(not (a[1] < b[2] and b[1] < a[2]) for a in added for b in places if ":".join(map(str, b)) in want)
+    assert some > 500
+
+
+def test_texts_with_very_many_spans(spark):
+    import time
+
+    many = " ".join(f"10.{n % 250}.{n // 250 % 250}.7 a{n}@b.org," for n in range(50_000))
+    started = time.time()
+    row = pii.report(frame(spark, [(1, many), (2, "mail x@y.org")])).where("doc_id = 1").first()
+    assert (row.n_ip, row.n_email) == (50_000, 50_000) and time.time() - started < 60
+
+
+def test_planted_personal_data_is_found(spark):
+    """Recall by kind, spelt in ways the certain patterns know and in ways only the method knows."""
+    rng = random.Random(10)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + number(14)
+        total = sum(int(c) if i % 2 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(d[::-1]))
+        return d + str(-total % 10)
+
+    make = {
+        "email": (lambda: f"{rng.choice(WORDS)}.{rng.choice(WORDS)}@{rng.choice(WORDS)}.org", lambda: f"{rng.choice(WORDS)} (at) {rng.choice(WORDS)} (dot) org"),
+        "ip": (lambda: ".".join(str(rng.randrange(1, 250)) for _ in range(4)),) * 2,
+        "card": (lambda: re.sub("(....)", r"\1 ", card()).strip(), card),
+        "phone": (lambda: f"+49 {number(3)} {number(7)}", lambda: f"(0{number(3)}) {number(3)}-{number(4)}"),
+    }
+    say = {"email": "please mail {} now", "ip": "login from host {} today", "card": "paid by card {} then", "phone": "call me: {} or so"}
+    rows, want = [], {}
+    for kind in make:
+        for sort in (0, 1):
+            for _ in range(60):
+                value = make[kind][sort]()
+                before = " ".join(rng.choice(WORDS) for _ in range(8)) + " " + say[kind].split("{}")[0]
+                want[len(rows)] = kind, sort, len(before), len(before) + len(value)
+                rows.append((len(rows), before + value + say[kind].split("{}")[1]))
+    rows += [(len(rows) + n, " ".join(rng.choice(WORDS) for _ in range(30))) for n in range(50)]
+    hits = collections.Counter()
+    for r in pii.report(frame(spark, rows)).collect():
+        if r.doc_id in want:
+            kind, sort, start, end = want[r.doc_id]
+            hits[kind, sort] += any(s.split(":")[0] == kind and int(s.split(":")[1]) < end and int(s.split(":")[2]) > start for s in r.spans.split(",") if s)
+        else:
+            assert not r.spans
+    assert all(hits[kind, 0] == 60 for kind in make), hits
+    assert all(hits[kind, 1] >= 54 for kind in make), hits
+
+
 def test_label_model_finds_a_bad_labeler():
     rng = random.Random(2)
     rows = collections.Counter()
