@@ -18,18 +18,21 @@ CLAUSE = re.compile(r"[.!?;:,\n]+")
 STEMS = (4, 5, 6)
 #: A classifier may be fitted on a bounded sample: so many labelled documents at most.
 SAMPLE_ROWS = 20_000
-#: Evidence (likelihood ratio) from which a word or stem can enter the lexicon, and entries at most.
+#: Evidence (likelihood ratio) from which a word or stem can enter the lexicon.
 LEAST_EVIDENCE = 15.0
-LEXICON_ROWS = 2_000
 
 # Closed word classes of the grammar.
 TARGETS = frozenset("you your yours u they them he she we vous tu toi ton ta tes ils elle du dich dir ihr euch sie tú ti usted ustedes ellos".split())
 NEGATIONS = frozenset("not never no isn aren don doesn didn won pas jamais ni nicht kein keine nie nunca jamás tampoco".split())
 REPORTS = frozenset("said says say claimed wrote quoted according called dit disait selon écrit sagte sagt laut schrieb dijo dice según escribió".split())
-THREATS = frozenset("kill hurt destroy burn shoot stab punch die tuer frapper brûler töten schlagen verbrennen matar golpear quemar".split())
+COPULAS = frozenset("are is am be re es est sont suis êtes bist ist seid sind sein eres son soy sois".split())
+INTENTS = frozenset("will gonna going shall ll must want wanna vais va vas vont allons werde werden wird wirst will voy vas vamos van".split())
+VERBS = frozenset("kill hurt destroy burn shoot stab punch die tuer frapper brûler töten schlagen verbrennen matar golpear quemar".split())
 
-#: What the composed grammar gives out for an insult or a threat.
+#: What the composed grammar gives out for an insult or a threat, and for the patterns of several words.
 MARKS = tuple(f"{what}{how}" for what in ("insult", "threat") for how in ("", "+target", "-negated", "-reported"))
+PATTERNS = ("abuse", "menace")
+MEANT = {"abuse": "insult", "menace": "threat"}
 
 
 @dataclass(frozen=True)
@@ -52,11 +55,44 @@ def within(trigger: str, reach: int, suffix: str) -> Transducer:
         after = state - 1 if reach else state
         arcs[state, trigger] = (max(reach, 1), trigger)
         arcs[state, "*"] = (after, "")
-        for what in ("insult", "threat"):
+        for what in ("insult", "threat", *PATTERNS):
             arcs[state, what] = (after, what + suffix)
     return Transducer(arcs)
 
 
+def insults(reach: int = 3) -> Transducer:
+    """Target, copula and insult ("you are such an idiot"), or target and insult side by side ("you idiot"), give abuse; a lone insult stays one.
+
+    States: 0, 1 to ``reach`` after a target, and as many after its copula, each counting down.
+    """
+    arcs: dict[tuple[int, str], tuple[int, str]] = {(0, "target"): (reach, "target")}
+    for left in range(1, reach + 1):
+        after_target, after_copula = left, reach + left
+        arcs[after_target, "target"] = arcs[after_copula, "target"] = (reach, "target")
+        arcs[after_target, "copula"] = arcs[after_copula, "copula"] = (2 * reach, "copula")
+        arcs[after_target, "*"] = (left - 1, "")
+        arcs[after_copula, "*"] = (reach + left - 1 if left > 1 else 0, "")
+        arcs[after_copula, "insult"] = (reach + left - 1 if left > 1 else 0, "abuse")
+    arcs[reach, "insult"] = (0, "abuse")
+    return Transducer(arcs)
+
+
+def threats(reach: int = 3) -> Transducer:
+    """A harmful verb is a threat; intent, verb and target ("going to kill all of you") give a menace at the target.
+
+    States: 0, 1 to ``reach`` after an intent, and as many after its verb.
+    """
+    arcs: dict[tuple[int, str], tuple[int, str]] = {(0, "intent"): (reach, "intent"), (0, "verb"): (0, "threat")}
+    for left in range(1, reach + 1):
+        after_intent, after_verb = left, reach + left
+        arcs[after_intent, "intent"] = arcs[after_verb, "intent"] = (reach, "intent")
+        arcs[after_intent, "verb"] = arcs[after_verb, "verb"] = (2 * reach, "threat")
+        arcs[after_intent, "*"] = (left - 1, "")
+        arcs[after_verb, "*"] = (reach + left - 1 if left > 1 else 0, "")
+        arcs[after_verb, "target"] = (0, "menace")
+    return Transducer(arcs)
+
+
 def compose(first: dict, second: Transducer, symbols: list[str]) -> dict:
     """The machine that feeds what ``first`` gives out to ``second``, over pairs of their states."""
     start = first["start"] if first else ()
@@ -75,17 +111,17 @@ def compose(first: dict, second: Transducer, symbols: list[str]) -> dict:
 
 
 def grammar() -> dict:
-    """Negation, reported speech and target transducers composed, states numbered."""
-    symbols = ["word", "insult", "threat", "target", "negation", "report"]
+    """Insult, threat, negation, reported-speech and target transducers composed, states numbered."""
+    symbols = ["word", "insult", "verb", "target", "negation", "report", "copula", "intent"]
     machine: dict = {}
-    for part in (within("negation", 3, "-negated"), within("report", 0, "-reported"), within("target", 4, "+target")):
+    for part in (insults(), threats(), within("negation", 3, "-negated"), within("report", 0, "-reported"), within("target", 4, "+target")):
         machine = compose(machine, part, symbols)
     number = {state: i for i, state in enumerate(dict.fromkeys([machine["start"], *(s for s, _ in machine["arcs"])]))}
     return {(number[s], c): (number[t], out) for (s, c), (t, out) in machine["arcs"].items()}
 
 
 GRAMMAR = grammar()
-CLASSES = {**{w: ("threat", 1.0) for w in THREATS}, **{w: ("report", 0.0) for w in REPORTS}, **{w: ("negation", 0.0) for w in NEGATIONS}, **{w: ("target", 0.0) for w in TARGETS}}
+CLASSES = {**{w: ("copula", 0.0) for w in COPULAS}, **{w: ("intent", 0.0) for w in INTENTS}, **{w: ("verb", 1.0) for w in VERBS}, **{w: ("report", 0.0) for w in REPORTS}, **{w: ("negation", 0.0) for w in NEGATIONS}, **{w: ("target", 0.0) for w in TARGETS}}
 
 
 def candidates(words: list[str]) -> Counter:
@@ -125,7 +161,7 @@ class Model:
         lowered = (text or "").lower()
         words = WORD.findall(lowered)
         look = self.look
-        out = np.zeros(len(MARKS) + 4)
+        out = np.zeros(len(MARKS) + len(PATTERNS) + 4)
         if not any((arc := look(w)) and arc[1] for w in words):
             return out
         clauses, hits, distinct = 0, 0, set()
@@ -142,6 +178,8 @@ class Model:
                     hits += 1
                     distinct.add(word)
                     out[_mark(given)] += weight
+                if given in FINAL:
+                    out[len(MARKS) + FINAL[given]] += weight or 1.0
         out[-4:] = clauses, hits, len(distinct), 100 * hits / max(1, len(words))
         return np.log1p(out)
 
@@ -152,9 +190,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+#: Patterns that are neither negated nor reported.
+FINAL = {pattern + how: place for place, pattern in enumerate(PATTERNS) for how in ("", "+target")}
+
+
 def _mark(given: str) -> int:
     """The place of what came out; negation counts before report, and report before target."""
-    what = given[:6]
+    what = MEANT.get(re.split("[-+]", given)[0], given[:6])
     for how in ("-negated", "-reported", "+target"):
         if how in given:
             return MARKS.index(what + how)
@@ -202,9 +244,25 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     model.centre, model.spread = np.average(x, 0, n), np.sqrt(np.average((x - np.average(x, 0, n)) ** 2, 0, n)) + 1e-9
     model.spread[model.spread < 1e-6] = 1.0
     model.weights, model.bias = _logistic((x - model.centre) / model.spread, y, n)
+    _ordered(model)
     return model
 
 
+def _ordered(model: Model) -> None:
+    """What is known beforehand: with a target a mark weighs no less than without one, and a pattern adds to its words.
+
+    The labels may hold too few such clauses to say so.
+    """
+    slope = model.weights / model.spread
+    most = max(slope[MARKS.index("insult")], slope[MARKS.index("threat")], 0.0)
+    for what, pattern in (("insult", "abuse"), ("threat", "menace")):
+        plain, aimed = MARKS.index(what), MARKS.index(what + "+target")
+        slope[aimed] = max(slope[aimed], slope[plain])
+        place = len(MARKS) + PATTERNS.index(pattern)
+        slope[place] = max(slope[place], 0.25 * most)
+    model.weights = slope * model.spread
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """Newton's method for penalised logistic regression on counted rows."""
     design = np.column_stack((x, np.ones(len(x))))
@@ -222,7 +280,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1.0)
 def _lexicon(rows: DataFrame, pos: int, neg: int) -> dict[str, float]:
     """Words and stems, each needed to explain toxic documents that stronger ones leave unexplained.
 
-    Their evidence is counted on documents that hold them, or hold them twice or more.
+    Their evidence is counted on documents that hold them, or hold them twice or more. All that
+    have enough evidence take part; the sample's bound is the bound of their number.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +297,7 @@ def _lexicon(rows: DataFrame, pos: int, neg: int) -> dict[str, float]:
 
     counts = rows.mapInArrow(count, "key string, n0 long, n1 long, m0 long, m1 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1"))).where("n1 >= 3")
     top = counts.select("key", _evidence("n1", "n0", pos, neg).alias("once"), _evidence("m1", "m0", pos, neg).alias("twice"), "n0", "n1", "m0", "m1")
-    top = top.withColumn("best", F.greatest("once", "twice")).where(F.col("best") >= LEAST_EVIDENCE).orderBy(F.desc("best"), "key").limit(LEXICON_ROWS).collect()
+    top = top.withColumn("best", F.greatest("once", "twice")).where(F.col("best") >= LEAST_EVIDENCE).orderBy(F.desc("best"), "key").collect()
     if not top:
         return {}
     need = {r["key"]: 1 if r["once"] >= r["twice"] else 2 for r in top}

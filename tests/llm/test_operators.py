@@ -490,6 +490,46 @@ def test_grammar_of_clauses():
     assert mark("kill them")[0] == toxicity.MARKS.index("threat") and mark("all is well") == mark(None) == mark("") == []
 
 
+def test_patterns_of_several_words():
+    """Each of the five transducers has states of its own."""
+    model = toxicity.Model({"scum": 2.0})
+    pattern = lambda text: dict(zip(toxicity.PATTERNS, model.features(text)[8:10] > 0))
+    for text in ("you are such a scum", "you scum", "they are, well. you are real scum", "ihr seid scum", "tu es un scum"):
+        assert pattern(text) == {"abuse": True, "menace": False}, text
+    for text in ("such scum", "you are not scum", "she said you are scum", "you see here some more scum", "you. are scum", "you are one of those who scum"):
+        assert pattern(text) == {"abuse": False, "menace": False}, text
+    for text in ("i will kill you", "gonna surely hurt all of them", "ich werde euch schlagen und dich"):
+        assert pattern(text)["menace"], text
+    for text in ("kill", "i will not kill you", "he said i will kill you", "i will kill time", "i will. kill you", "we want to see and then to kill you"):
+        assert not pattern(text)["menace"], text
+
+
+def test_a_word_with_a_target_scores_more(spark):
+    rng = random.Random(16)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice("aeiou") for _ in range(n))
+    rows = [(i, say(15) + (f" {rng.choice(('vilebag', 'grobent', 'scumling'))} " if i % 4 == 0 else " ") + say(15) + ". " + say(10)) for i in range(600)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)] + [(5, rows[5][1])] * 3  # repeated texts and rows
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+    score = lambda text: float(model.score(np.array([model.features(text)]))[0])
+    tail = ". " + say(20)
+    assert score("some vilebag here" + tail) < score("you are a vilebag" + tail) and score("some vilebag here" + tail) <= score("you vilebag" + tail)
+    assert score("you are not a vilebag" + tail) <= score("you are a vilebag" + tail) and score("they hurt" + tail) <= score("i will hurt them" + tail)
+    found = toxicity.report(frame(spark, rows), labels).collect()
+    assert len(found) == len(rows) and len({r.score for r in found if r.doc_id == 5}) == 1
+    held = [r for r in found if r.held_out and r.doc_id < 600]
+    assert sum(r.predicted for r in held if r.doc_id % 4 == 0) >= 0.9 * sum(r.doc_id % 4 == 0 for r in held)
+
+
+def test_held_out_recall_on_the_table(spark, data):
+    root = data.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    found = toxicity.report(spark.read.parquet(f"{root}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    toxic = [r.predicted for r in found if r.toxic == 1]
+    clean = [r.predicted for r in found if r.toxic == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) > 0 and sum(clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(6)
     say = lambda n: " ".join(rng.choice(WORDS) + rng.choice("aeiou") for _ in range(n))
