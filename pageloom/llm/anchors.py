@@ -14,7 +14,8 @@ between the readings go packed messages:
    Copies of larger ids in the chunk are known to be duplicates; that passes through.
 3. Each chunk applies the answers to its texts.
 
-So an anchor or a phrase that a third of all rows hold is one entry for each chunk.
+So an anchor or a phrase that a third of all rows hold is one entry for each chunk. Chunks and
+buckets follow the length of the texts, not the partitions.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt
 from .text import grams, slices, utf8
 
 #: The id under which rows without an id take part: they come last and share nothing among themselves.
@@ -102,8 +104,9 @@ def _pack(values: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
-#: Chunks of rows for each partition, so that a chunk fits a Python worker.
-CHUNKS = 4
+#: Bytes of text of a chunk of rows, which a Python worker holds, and of a block or bucket of anchors.
+CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 ASKED = "bucket int, chunk int, codes binary"
 TOLD = "chunk int, bucket int, codes binary"
 #: Bytes of an anchor's hash that travel beside its bucket; a false match costs a comparison.
@@ -281,8 +284,8 @@ def with_duplicates(documents: DataFrame, units: Units, compare: Callable, count
 
     ``count`` gives a text's (bytes) number of units, ``keep`` the text without the marked ones.
     """
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(parts * CHUNKS)).cast("int")
+    pieces, parts = dealt(documents, CHUNK_BYTES, BLOCK_BYTES)
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(pieces)).cast("int")
     chunks = keyed(documents).select("id", "digest", "text", chunk.alias("chunk"))
 
     def apply(table: pa.Table, told: pa.Table) -> pa.Table:

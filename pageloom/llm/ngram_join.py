@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .components import components
+from .dealing import dealt
 from .text import grams, mix, slices, utf8, word_hashes, words
 
 SHINGLE = 5
 #: Two sets link when SHARE * |union| <= 100 * |intersection|.
 SHARE = 75
 MOST_MATCHES = 4
-#: Chunks of rows for each partition, so that a chunk fits a Python worker.
-CHUNKS = 4
+#: Bytes of text of a chunk of rows, which a Python worker holds, and of a bucket of tokens.
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +135,10 @@ def prefix_length(n, matches):
     return n + (-(SHARE * n) // 100) + matches
 
 
-def _classes(documents: DataFrame, buckets: int) -> DataFrame:
+def _classes(documents: DataFrame, pieces: int, buckets: int) -> DataFrame:
     """A row for each document, with class and set size; where it is the first of its class in
     its chunk and can have a partner, also its prefix tokens with ranks, and its set."""
-    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(buckets * CHUNKS)).cast("int")
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(pieces)).cast("int")
     chunks = documents.select("id", "text", F.xxhash64("text").alias("digest"), chunk.alias("chunk"))
 
     def prefixes(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -217,9 +219,9 @@ def linked_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact test if it has as many as the shorter of the two prefixes asks for. Sets in one component need no further link for their result.
     """
     spark = documents.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces, buckets = dealt(documents, CHUNK_BYTES, BUCKET_BYTES)
     path = scratch_path(spark, "ngram-classes")
-    _classes(documents, buckets).write.parquet(path)
+    _classes(documents, pieces, buckets).write.parquet(path)
     rows = spark.read.parquet(path)
     kept = rows.where("tokens is not null")
     sets = kept.select("class", "shingles").dropDuplicates(["class"])

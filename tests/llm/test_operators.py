@@ -584,3 +584,26 @@ def test_other_columns_do_not_clash(spark, odd):
         LM.report(wide), P.pack(wide, max_len=100_000), toxicity.scores(wide, toxicity.Model(), "doc_id"), secret_scan.mask(wide, "#"), D.keep_clean(wide, bench),
     ):
         assert found.count() == len(odd)
+
+
+@pytest.mark.parametrize("operator", ["lm", "anchors", "join"])
+def test_messages_do_not_follow_the_partitions(spark, odd, operator, request):
+    """The same texts give the same messages, whatever the number of partitions, and no more than their units."""
+    from pageloom.llm import anchors
+
+    docs = frame(spark, odd)
+    units = sum(len((t or "").split()) for _, t in odd)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", before))
+    counts = set()
+    for partitions in (8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        if operator == "lm":
+            pieces, buckets = LM.dealt(docs, 2000, 3000)
+            chunks = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces)).cast("int").alias("chunk"))
+            ask = lambda table: LM._questions(LM.ChunkGrams(table, buckets), range(1, 3), {}, table["chunk"][0].as_py())  # noqa: E731, B023
+            counts.add((pieces, buckets, chunks.groupBy("chunk").applyInArrow(ask, LM.ASKED).count()))
+        else:
+            module = anchors if operator == "anchors" else N
+            counts.add(module.dealt(docs, module.CHUNK_BYTES, 1000))
+    assert len(counts) == 1 and all(n[-1] <= 2 * units for n in counts)
