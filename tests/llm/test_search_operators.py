@@ -82,6 +82,7 @@ def misspelt():
                 w = rng.choice((w[:p] + w[p + 1 :], w[:p] + rng.choice("abe") + w[p:], w[:p] + rng.choice("abe") + w[p + 1 :], w.upper()))
             text.append(w)
         rows.append((i, rng.choice((" ", "1", ". ", "漢")).join(text)))
+    rows += [(1000 + i, "kettena " + "kettenab " * 20 + "kettenabc " * 200) for i in range(12)]  # a form of a form
     rows += [(None, None), (None, "aaaaaa " * 7), (5, ""), (5, "  12 "), (3, rows[3][1]), (3, rows[3][1]), (900, "x" * 50_000 + " " + "abeabe " * 3000)]
     return rows
 
