@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, so that it fits a Python worker, and bytes whose units one bucket holds.
-CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 
 
 def dealt(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
