@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import extract as E
 from ..operators import fetchlog as L
 from ..registry import Adapters, extract_join, read_pages, resolve
+from ..sources.fixtures import VIEWS
 from .book import SPACE, query, unescape
 from .lake import lake, now
 
@@ -71,7 +72,10 @@ _PERSON = "CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '
 FROM (SELECT *, line_id % 7 = 0 AS bad FROM {_LINE})""",
 )
 def profile_extract(spark, root):
-    found = E.profile_extract(spark.table("f_profile_pages"))
+    # the pages are made up from the rows of one file; the narrow rows are dealt out before
+    lines = spark.table("f_timeline_lines").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line_id")
+    lines.createOrReplaceTempView("f_timeline_lines")
+    found = E.profile_extract(spark.sql(VIEWS["f_profile_pages"]))
     entries = F.transform("timeline", lambda e: F.concat(e["period"], F.lit("="), e["position"]))
     return found.select(
         "page_id",
