@@ -26,7 +26,8 @@ from .text import slices, utf8
 GROUPS = ("e", "n", "a", "i", "t", "r", "o", "s", "d", "h", "l", "u", "c", "m", "gw", "pf", "by", "kv", "jqxz")
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True  # 0xC3 leads U+00C0 to U+00FF in UTF-8
-CELL_WORDS = 20_000  # words, and searched words, of one task's part of a node
+CELL_WORDS = 8_000  # words, and searched words, of one task's part of a node
+NODE_ROWS = 200_000  # nodes (a few bytes each) up to which their sizes are broadcast; beyond, they are joined by a shuffle
 LEAF = 64  # words in a leaf
 PAIRS = 1 << 18  # pairs of words whose letters are compared at once
 SLICE = 8 << 20
@@ -258,13 +259,15 @@ def near(vocabulary: DataFrame, size: int, cell_words: int = CELL_WORDS) -> Data
     found = vocabulary.select("word", "n", key(own).alias("node"), F.lit(False).alias("asks"))
     asked = vocabulary.select("word", "n", F.explode(F.transform(targets, key)).alias("node"), F.lit(True).alias("asks"))
     parts = lambda rows, name: rows.groupBy("node").agg(F.ceil(F.count("*") / cell_words).cast("int").alias(name))
-    nodes = parts(found, "cuts").join(parts(asked, "ask_cuts"), "node")
-    rows = found.unionAll(asked).join(nodes, "node")
+    nodes = parts(found, "cuts").join(parts(asked, "ask_cuts"), "node").checkpoint()
+    rows = found.unionAll(asked).join(F.broadcast(nodes) if nodes.count() <= NODE_ROWS else nodes, "node")
     deal = F.xxhash64("word")
     one = lambda cuts: F.array(F.pmod(deal, F.col(cuts)).cast("int"))
     every = lambda cuts: F.sequence(F.lit(0), F.col(cuts) - 1)
     rows = rows.withColumn("cut", F.explode(F.when(F.col("asks"), every("cuts")).otherwise(one("cuts"))))
     rows = rows.withColumn("ask_cut", F.explode(F.when(F.col("asks"), one("ask_cuts")).otherwise(every("ask_cuts"))))
+    # the walk takes far longer than its rows take to send, so its tasks are not made fewer by their bytes
+    rows = rows.repartition(int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node", "cut", "ask_cut")
     met = rows.groupBy("node", "cut", "ask_cut").applyInArrow(meet, "word string, n_near long, best string, best_n long")
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("word")))
     return met.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.word").alias("best"), (-F.col("b.less")).alias("best_n"))
