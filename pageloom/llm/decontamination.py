@@ -310,7 +310,9 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, pass_bytes: int = 16 << 20) -> DataFrame:
     """The documents, all columns kept, with matched runs cut out of ``text`` (and ``n_chars`` set anew).
 
-    Documents with more than ``max_coverage`` of their words in matched runs go.
+    Documents with more than ``max_coverage`` of their words in matched runs go. Null and empty texts
+    match nothing and stay; null ids stay; repeated rows fare alike; no rows give no rows; without
+    items every document stays as it is; other columns are not looked at, whatever their names.
     """
     helds = item_passes(benchmark, pass_bytes)
     names = documents.columns

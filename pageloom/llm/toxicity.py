@@ -358,7 +358,11 @@ def scores(documents: DataFrame, model: Model, *kept: str) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents scored below the threshold, with all their columns."""
+    """The documents scored below the threshold, with all their columns.
+
+    A null or empty text has no matched clause and scores as such; null ids stay; repeated rows
+    fare alike; no rows give no rows; other columns are not looked at, whatever their names.
+    """
     model = train(documents, labels)
     held = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
