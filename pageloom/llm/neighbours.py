@@ -19,7 +19,7 @@ from .text import utf8
 
 PIVOTS = 256  # pivots, a bounded sample of the distinct vectors
 PREFIX = 128  # pivots in a vector's representation, at most 255
-SHARE = 0.1  # of a block's rows, in footrule order, the true measure is computed
+SHARE = 0.2  # of a block's rows, in footrule order, the true measure is computed
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 
