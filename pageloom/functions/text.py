@@ -22,8 +22,11 @@ def strip(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    """Runs of Unicode whitespace become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+    """Runs of Unicode whitespace become one space; ends are trimmed.
+
+    Visible ASCII, and a single space before it, are passed by at once: nothing is to be replaced there.
+    """
+    return F.trim(F.regexp_replace(text, f"(?![!-~]| [!-~]){BLANK}+", " "))
 
 
 def split_lines(text: Column) -> Column:

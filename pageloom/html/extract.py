@@ -1,22 +1,31 @@
-"""What the extraction jobs read from one page."""
+"""Pages as arrays: what the page reader finds, in columns that DataFrame functions choose from."""
 
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin, urlsplit
+from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
 
-from .. import settings as S
-from .parse import Element, Page, compile_selector, first_children, select
+import pyarrow as pa
+from pyspark.sql import types as T
 
-_ORIGIN = re.compile(r"(?i)^(https?://)([^/?#\s]+)")
-_ROOTED = re.compile(r"^(?!.*/\.)/(?!/)(?!.*\?#)[^\x00-\x20]*$")
+from .parse import Page
 
+#: Place of an element or a text piece among all of the page; ``parent`` -1 is the page itself.
+ELEMENT = {
+    "tag": "string", "at": "int", "parent": "int", "start": "int", "stop": "int", "last": "int",
+    "pruned": "boolean", "dropped": "boolean", "first": "int", "chars": "int",
+}
+PIECE = {"at": "int", "run": "int", "parent": "int", "tag": "string", "pruned": "boolean", "dropped": "boolean", "text": "string"}
+#: Pages whose arrays are sent together: so many characters of HTML, or a page more.
+SLICE_CHARS = 4 << 20
 
-def squeeze(text: str) -> str:
-    return " ".join(text.split())
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_ORIGIN = re.compile(r"(?i)^(https?://)([^/?#\s]+)")
+_ROOTED = re.compile(r"^(?!.*/\.)/(?!/)(?!.*\?#)[^\x00-\x20]*$")
 
 
-def _joiner(base: str):
+def joiner(base: str) -> Callable[[str], str]:
     """Resolver for one page: rooted paths without dot segments need no parsing."""
     origin = _ORIGIN.match(base)
 
@@ -31,86 +40,71 @@ def _joiner(base: str):
     return join
 
 
-def article(page: Page) -> tuple[str, str, str, str]:
-    """title, content, author, date; empty where the page has none."""
-    live = [element for element in page.elements if not element.pruned]
-
-    def by_tag(*tags):
-        return [element for element in live if element.tag in tags]
-
-    title = next(
-        (text for node in by_tag("title") for _, parent, text in page.visible(node) if parent is node), ""
-    ).strip()
-    heading = next((text for node in first_children(by_tag("h1")) for _, _, text in page.visible(node)), "").strip()
-
-    # values compete by their place in the document
-    written = first_children([node for node in live if "author" in node.raw and node.attrs.get("rel") == "author"])
-    timed = first_children(by_tag("time"))
-    authors = [(node.index, text) for node in written for _, _, text in page.visible(node)]
-    dates = [(node.index, node.attrs["datetime"]) for node in timed if "datetime" in node.attrs]
-    for node in by_tag("meta"):
-        if "content" not in node.attrs:
-            continue
-        if node.attrs.get("name") == "author":
-            authors.append((node.index, node.attrs["content"]))
-        if node.attrs.get("property") == "article:published_time":
-            dates.append((node.index, node.attrs["content"]))
-    author = min(authors, default=(0, ""), key=lambda found: found[0])[1].strip()
-    date = min(dates, default=(0, ""), key=lambda found: found[0])[1].strip()
-
-    container = next((found[0] for found in (by_tag("article"), by_tag("main"), by_tag("body")) if found), None)
-    if container is not None:
-        start, stop = container.start, container.stop
-    else:
-        start, stop = page.body_from or 0, len(page.texts)
-    content = squeeze(page.text(start, stop, "pruned"))
-    return heading or title, content, author, date
-
-
-def links(page: Page, base: str) -> list[tuple[str, str]]:
-    """Text and resolved target of every anchor with a target."""
-    join = _joiner(base)
-    return [
-        (squeeze(page.text(node.start, node.stop)), join(node.attrs["href"]))
-        for node in page.all("a")
-        if "href" in node.attrs
+def _listed(fields: dict[str, str], rows: list[tuple], ends: list[int]) -> pa.Array:
+    columns = list(zip(*rows)) or [()] * len(fields)
+    values = [pa.array(column, _ARROW[kind]) for column, kind in zip(columns, fields.values())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, names=list(fields)))
+
+
+def arrays_schema(keep: list[T.StructField], attributes: tuple[str, ...]) -> T.StructType:
+    """Kept columns, then ``elements``, ``pieces``, ``body_from`` and ``empty``."""
+
+    def listed(fields: dict[str, str]) -> T.ArrayType:
+        return T.ArrayType(T._parse_datatype_string(", ".join(f"`{name}` {kind}" for name, kind in fields.items())))
+
+    made = [
+        T.StructField("elements", listed({**ELEMENT, **dict.fromkeys(attributes, "string")})),
+        T.StructField("pieces", listed(PIECE)),
+        T.StructField("body_from", T.IntegerType()),
+        T.StructField("empty", T.BooleanType()),
     ]
+    return T.StructType([*keep, *made])
 
 
-def _profile_container(page: Page, host: str) -> Element | None:
-    """Element with the biography.
+def arrays_of(attributes: tuple[str, ...], tags: frozenset[str] | None, marks: frozenset[str]):
+    """A ``mapInArrow`` function; its input ends with the page's URL and its text.
 
-    Every match of every selector is ranked once: first by the selector's place in the list
-    (the site's own come before the common ones), then a site's by the longest text, then by
-    place in the document.
+    ``attributes`` become fields of the elements, ``href`` resolved against the URL. With ``tags`` only the elements
+    of these tags are listed, and those with one of the attributes ``marks``.
     """
-    own = next((names for domain, names in S.PROFILE_SITES if f".{host}".endswith(f".{domain}")), ())
-    length = page.lengths()
-    ranked = (
-        (place, length[node.start] - length[node.stop] if place < len(own) else 0, node.index)
-        for place, selector in enumerate((*own, *S.PROFILE_FALLBACK))
-        for node in select(page, compile_selector(selector))
-    )
-    best = min(ranked, default=None)
-    return None if best is None else page.elements[best[2]]
-
-
-def profile_texts(page: Page, host: str) -> tuple[str, list[str]]:
-    """Title, and the raw texts of the biography's paragraphs (or its whole text)."""
-    places = [page.first_text(element, direct=True) for element in page.all("title")]
-    places += [page.first_text(element) for element in page.all("h1")]
-    title = squeeze(min((place for place in places if place), default=(0, ""))[1])
-    node = _profile_container(page, host)
-    start, stop = (node.start, node.stop) if node is not None else (0, len(page.texts))
-    below = page.elements if node is None else page.elements[node.index + 1 : node.last + 1]
-    paragraphs = [element for element in below if element.tag == "p" and not element.dropped]
-    if paragraphs:
-        return title, [page.text(element.start, element.stop, "dropped") for element in paragraphs]
-    return title, [page.text(start, stop, "dropped")]
-
-
-def host_of(url: str) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+    fields = {**ELEMENT, **dict.fromkeys(attributes, "string")}
+
+    def listed(page: Page, base: str) -> Iterator[tuple]:
+        join = joiner(base)
+        facts = page.facts()
+        for element in page.elements:
+            attrs = element.attrs if element.raw else {}
+            if tags is not None and element.tag not in tags and not marks.intersection(attrs):
+                continue
+            values = [attrs.get(name) for name in attributes]
+            if "href" in attrs and "href" in attributes:
+                values[attributes.index("href")] = join(attrs["href"])
+            yield (*facts(element), *values)
+
+    def made(batch: pa.RecordBatch, pages: list[tuple[str | None, str]]) -> pa.RecordBatch:
+        elements, pieces, element_ends, piece_ends, body_from, empty = [], [], [0], [0], [], []
+        for base, html in pages:
+            page = Page(html or "")
+            if not page.empty:
+                elements.extend(listed(page, base or ""))
+                pieces.extend(page.pieces())
+            element_ends.append(len(elements))
+            piece_ends.append(len(pieces))
+            body_from.append(page.body_from)
+            empty.append(page.empty)
+        kept = batch.columns[:-2]
+        arrays = [_listed(fields, elements, element_ends), _listed(PIECE, pieces, piece_ends), pa.array(body_from, pa.int32()), pa.array(empty)]
+        return pa.RecordBatch.from_arrays([*kept, *arrays], names=[*batch.schema.names[:-2], "elements", "pieces", "body_from", "empty"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases, texts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            start, held, chars = 0, [], 0
+            for at in range(batch.num_rows):
+                held.append((bases[at].as_py(), texts[at].as_py()))
+                chars += len(held[-1][1] or "")
+                if chars >= SLICE_CHARS or at + 1 == batch.num_rows:
+                    yield made(batch.slice(start, len(held)), held)
+                    start, held, chars = at + 1, [], 0
+
+    return run

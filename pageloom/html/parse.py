@@ -3,7 +3,8 @@
 An element knows the range of text pieces and of elements below it, so the text of any
 element is a slice; no tree is built. The page is read once from front to back, and no
 step looks further back or ahead than it moves on, so time grows with the page. Used
-inside ``mapInPandas`` tasks, one page at a time.
+inside Arrow tasks, one page at a time; what an extraction takes from the page is chosen by
+column functions (``functions/elements.py``).
 """
 
 from __future__ import annotations
@@ -192,66 +193,50 @@ class Page:
         self.broken.append(self._comment)
         self._comment = False
 
-    # -- reading -------------------------------------------------------------
-    def all(self, *tags: str) -> list[Element]:
-        return [element for element in self.elements if element.tag in tags]
+    # -- what stands where ----------------------------------------------------
+    def facts(self):
+        """A function that gives an element's place, range and flags, its first text that is not pruned, and its length."""
+        chars = [0, *accumulate(map(len, self.texts))]
+        runs = self._runs()
+        shown = len(self.texts)
+        following = [shown] * (shown + 1)  # the next piece that is not pruned
+        for at in range(shown - 1, -1, -1):
+            parent = self.parents[at]
+            following[at] = following[at + 1] if parent is not None and parent.pruned else at
+
+        def fact(e: Element) -> tuple:
+            first = following[e.start]
+            above = -1 if e.parent is None else e.parent.index
+            return (e.tag, e.index, above, e.start, e.stop, e.last, e.pruned, e.dropped,
+                    runs[first] if first < e.stop else None, chars[e.stop] - chars[e.start])
 
-    def text(self, start: int, stop: int, hidden: str | None = None) -> str:
-        """Text of a range of pieces; ``hidden`` names the element flag whose text is left out."""
-        if hidden is None:
-            return "".join(self.texts[start:stop])
-        pieces = zip(self.texts[start:stop], self.parents[start:stop])
-        return "".join(text for text, parent in pieces if parent is None or not getattr(parent, hidden))
+        return fact
 
-    def lengths(self) -> list[int]:
-        """Characters before each piece."""
-        return [0, *accumulate(map(len, self.texts))]
+    def pieces(self):
+        """Place, run, parent, the parent's tag and flags, and text of every piece."""
+        for at, (run, parent, text) in enumerate(zip(self._runs(), self.parents, self.texts)):
+            if parent is None:
+                yield at, run, -1, None, False, False, text
+            else:
+                yield at, run, parent.index, parent.tag, parent.pruned, parent.dropped, text
 
-    def visible(self, element: Element):
-        """(place, parent, text) of the pieces below an element once pruned subtrees are out.
+    def _runs(self) -> list[int]:
+        """For each piece the place of the first piece of its run.
 
-        Pieces of one parent that only pruned subtrees part are one, as they are then neighbours.
+        Pieces of one parent that only pruned subtrees part are one run, as they are then neighbours.
         """
-        held: tuple | None = None
-        before = None
-        for at in range(element.start, element.stop):
-            parent = self.parents[at]
+        live = [0, *accumulate(not element.pruned for element in self.elements)]
+        runs: list[int] = []
+        held, cut = None, False  # the last piece that is not pruned, and whether a comment came after it
+        for at, parent in enumerate(self.parents):
+            cut = cut or self.broken[at]
             if parent is not None and parent.pruned:
-                held = held and (*held[:3], held[3] or self.broken[at])
+                runs.append(at)
                 continue
-            joined = (
-                held is not None
-                and held[1] is parent
-                and not held[3]
-                and not self.broken[at]
-                and all(e.pruned for e in self.elements[before : self.after[at]])
-            )
-            if joined:
-                held = (held[0], parent, held[2] + self.texts[at], False)
-            else:
-                if held:
-                    yield held[:3]
-                held = (at, parent, self.texts[at], False)
-            before = self.after[at]
-        if held:
-            yield held[:3]
-
-    def first_text(self, element: Element, direct: bool = False) -> tuple[int, str] | None:
-        """Place and text of the first piece below an element, or directly in it."""
-        for at in range(element.start, element.stop):
-            if not direct or self.parents[at] is element:
-                return at, self.texts[at]
-        return None
-
-
-def first_children(elements: list[Element]) -> list[Element]:
-    """Of elements of one kind, those that are the first one below their parent."""
-    seen, found = set(), []
-    for element in elements:
-        if element.parent not in seen:
-            seen.add(element.parent)
-            found.append(element)
-    return found
+            near = held is not None and not cut and self.parents[held] is parent and live[self.after[held]] == live[self.after[at]]
+            runs.append(runs[held] if near else at)
+            held, cut = at, False
+        return runs
 
 
 # -- selectors: tag, .class, #id, compounds of these, and descendants ---------

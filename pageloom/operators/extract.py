@@ -1,24 +1,21 @@
 """Page extraction jobs: articles, link edges, biographies.
 
-Pages are independent rows, so each job is one pass of ``mapInPandas`` over a scan
-of just the key columns, the URL and the HTML. Nothing is shuffled; what can be said
-in column expressions afterwards (lines, names, periods) stays in the JVM.
+Pages are independent rows, so each job is one pass of ``mapInArrow`` over a scan of just
+the key columns, the URL and the HTML, which gives each page's elements and text pieces.
+What is taken from them is said in column expressions. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .. import settings as S
+from ..functions import elements as E
 from ..functions import text as X
 from ..functions import urls as U
-from ..html import extract as E
-from ..html.parse import Page
+from ..html import extract as H
 from .domains import longest_rule
 
 
@@ -30,65 +27,68 @@ def page_text(pages: DataFrame) -> Column:
     return html
 
 
-def _page_job(pages: DataFrame, keep: list[str], columns: str, read: Callable[[str, str], list[tuple]], base: bool = True):
-    """Run ``read(html, url)`` per page; each tuple it gives becomes a row with the kept keys."""
-    names = [part.split()[0] for part in columns.split(", ")]
-    key_types = ", ".join(f"{name} {pages.schema[name].dataType.simpleString()}" for name in keep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for values in batch.itertuples(index=False, name=None):
-                html, url = values[-1], (values[-2] or "") if base else ""
-                rows.extend((*values[:-2], *found) for found in read(html, url))
-            yield pd.DataFrame(rows, columns=[*keep, *names])
+def page_arrays(
+    pages: DataFrame,
+    keep: list[str],
+    attributes: tuple[str, ...],
+    tags: tuple[str, ...] | None = None,
+    marks: tuple[str, ...] = (),
+    base: bool = True,
+) -> DataFrame:
+    """Kept columns with ``elements``, ``pieces``, ``body_from`` and ``empty`` of each page, one row for each.
 
-    narrow = pages.select(*keep, F.col("url").alias("_url"), page_text(pages).alias("_html"))
-    return narrow.mapInPandas(run, f"{key_types}, {columns}")
+    Elements carry the named ``attributes``, ``href`` resolved against the URL unless ``base`` is off. With ``tags`` only
+    elements of these tags, or with an attribute of ``marks``, are listed. A page without html is empty.
+    """
+    url = F.coalesce("url", F.lit("")) if base else F.lit("")
+    narrow = pages.select(*keep, url.alias("_url"), page_text(pages).alias("_html"))
+    run = H.arrays_of(attributes, None if tags is None else frozenset(tags), frozenset(marks))
+    return narrow.mapInArrow(run, H.arrays_schema([pages.schema[name] for name in keep], attributes))
 
 
 def article_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """title, content, author, date per page; ``error`` for an empty document."""
-
-    def read(html, url):
-        page = Page(html) if html is not None else None
-        if page is None or page.empty:
-            return [(None, None, None, None, "PARSE_FAILED")]
-        return [(*E.article(page), None)]
-
-    return _page_job(
-        pages, list(keep), "title string, content string, author string, date string, error string", read
-    )
+    found = page_arrays(pages, list(keep), E.ARTICLE_ATTRIBUTES, E.ARTICLE_TAGS, E.ARTICLE_MARKS)
+    fields = [F.when(~F.col("empty"), value).alias(name) for name, value in E.article().items()]
+    return found.select(*keep, *fields, F.when(F.col("empty"), "PARSE_FAILED").alias("error"))
 
 
 def links_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), base: bool = True) -> DataFrame:
     """Edge rows (pos, text, href) in document order; relative when ``base`` is off."""
-
-    def read(html, url):
-        page = Page(html) if html is not None else None
-        if page is None or page.empty:
-            return [(-1, None, None, "PARSE_FAILED")]
-        return [(pos, text, href, None) for pos, (text, href) in enumerate(E.links(page, url))]
-
-    return _page_job(pages, list(keep), "pos int, text string, href string, error string", read, base)
+    found = page_arrays(pages, list(keep), E.LINK_ATTRIBUTES, E.LINK_TAGS, base=base)
+    edge = F.transform(
+        E.links(), lambda e, pos: F.struct(pos.alias("pos"), e["text"].alias("text"), e["href"].alias("href"), F.lit(None).cast("string").alias("error"))
+    )
+    none = F.lit(None).cast("string")
+    failed = F.array(F.struct(F.lit(-1).alias("pos"), none.alias("text"), none.alias("href"), F.lit("PARSE_FAILED").alias("error")))
+    # the list of edges is made first, so that no row of it carries the page's arrays
+    rows = found.select(*keep, F.explode(F.when(F.col("empty"), failed).otherwise(edge)).alias("_edge"))
+    return rows.select(*keep, "_edge.pos", "_edge.text", "_edge.href", "_edge.error")
 
 
 def profile_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), base: bool = True) -> DataFrame:
     """Biography per page: name, title, summary, current position and timeline.
 
-    Python only finds the container and its paragraph texts; ``error`` marks pages
-    without text, or with neither summary nor timeline.
+    The container, its paragraphs and the fields are all chosen by column expressions; ``error`` marks
+    pages without text, or with neither summary nor timeline.
     """
-
-    def read(html, url):
-        page = Page(html) if html is not None else None
-        if page is None or page.empty:
-            return [(url, None, None)]
-        return [(url, *E.profile_texts(page, E.host_of(url)))]
-
-    found = _page_job(pages, list(keep), "source_url string, title string, texts array<string>", read, base)
-    lines = found.withColumn("lines", F.coalesce(X.profile_lines(F.col("texts")), F.array().cast("array<string>")))
-    return profile_fields(lines, list(keep))
+    url = F.coalesce("url", F.lit("")) if base else F.lit("")
+    selectors = E.container_selectors(F.col("_host"))
+    asked = pages.withColumn("source_url", url).withColumn("_host", U.domain_of(F.col("source_url"))).withColumn("_selectors", selectors)
+    found = page_arrays(asked, [*keep, "source_url", "_selectors"], E.PROFILE_ATTRIBUTES, base=base)
+    return profile_fields(profile_lines(found), list(keep))
+
+
+def profile_lines(found: DataFrame) -> DataFrame:
+    """Add ``title`` and ``lines`` to the arrays of pages that hold ``_selectors``."""
+    shown = ~F.col("empty") & F.col("_selectors").isNotNull()
+    lines = X.profile_lines(E.profile_texts(F.col("_selectors")))
+    return found.withColumns(
+        {
+            "title": F.when(shown, E.profile_title()),
+            "lines": F.coalesce(F.when(shown, lines), F.array().cast("array<string>")),
+        }
+    )
 
 
 def profile_fields(lines: DataFrame, keep: list[str]) -> DataFrame:

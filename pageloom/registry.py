@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text as X
-from .html import extract as H
-from .html.parse import Page
+from .functions import elements as C
+from .functions import urls as U
 from .operators import extract as E
 
 PROFILE_FIELDS = ("name", "title", "summary", "current_position", "timeline", "source_url", "source_host")
@@ -20,26 +19,24 @@ PROFILE_FIELDS = ("name", "title", "summary", "current_position", "timeline", "s
 
 @dataclass(frozen=True)
 class Adapter:
-    """What an adapter reads from a page (``read(page, base) -> dict``).
+    """How an adapter makes a document of a page: ``document()`` gives the struct that becomes its JSON.
 
-    With ``profile`` the dict holds a title and texts, from which column expressions make
-    the document; otherwise it is the document.
+    It chooses from the columns ``elements``, ``pieces`` and ``body_from`` of the page (see
+    ``functions/elements.py``); ``attributes`` are those that it needs of the elements. With
+    ``profile`` it is a biography, whose fields column expressions read from its lines.
     """
 
-    read: Callable[[Page, str], dict]
+    document: Callable[[], Column] | None = None
+    attributes: tuple[str, ...] = ()
     profile: bool = False
 
 
-def _article(page: Page, base: str) -> dict:
-    return dict(zip(("title", "content", "author", "date"), H.article(page)))
+def _article() -> Column:
+    return F.struct(*[value.alias(name) for name, value in C.article().items()])
 
 
-def _links(page: Page, base: str) -> dict:
-    return {"links": [{"text": text, "href": href} for text, href in H.links(page, base)]}
-
-
-def _profile(page: Page, base: str) -> dict:
-    return dict(zip(("title", "texts"), H.profile_texts(page, H.host_of(base))))
+def _links() -> Column:
+    return F.struct(C.links().alias("links"))
 
 
 class Adapters:
@@ -47,9 +44,9 @@ class Adapters:
 
     def __init__(self) -> None:
         self._known: dict[tuple[str, str], Adapter] = {}
-        self.register("generic.article", "1", Adapter(_article))
-        self.register("generic.links", "1", Adapter(_links))
-        self.register("china.official-profile", "1", Adapter(_profile, profile=True))
+        self.register("generic.article", "1", Adapter(_article, C.ARTICLE_ATTRIBUTES))
+        self.register("generic.links", "1", Adapter(_links, C.LINK_ATTRIBUTES))
+        self.register("china.official-profile", "1", Adapter(attributes=C.PROFILE_ATTRIBUTES, profile=True))
 
     def register(self, name: str, version: str, adapter: Adapter) -> None:
         self._known[(name, version)] = adapter
@@ -68,41 +65,32 @@ def read_pages(pages: DataFrame, adapters: Adapters) -> DataFrame:
     once, whatever is asked of it. A page without content, or whose key fields are missing,
     gives PARSE_FAILED.
     """
-    known = dict(adapters.items())
-    id_type = pages.schema["source_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, base, html, wanted in batch.itertuples(index=False, name=None):
-                page = Page(html) if html is not None else None
-                for name, version in ((w["name"], w["version"]) for w in wanted):
-                    if page is None or page.empty:
-                        rows.append((source, base, name, version, None, None, None))
-                        continue
-                    adapter = known[name, version]
-                    made = adapter.read(page, base)
-                    if adapter.profile:
-                        rows.append((source, base, name, version, None, made["title"], made["texts"]))
-                    else:
-                        rows.append((source, base, name, version, json.dumps(made, ensure_ascii=False, separators=(",", ":")), None, None))
-            yield pd.DataFrame(rows, columns=["source_id", "base", "adapter", "version", "raw", "title", "texts"])
-
-    found = pages.select("source_id", "base", E.page_text(pages).alias("html"), "wanted").mapInPandas(
-        run, f"source_id {id_type}, base string, adapter string, version string, raw string, title string, texts array<string>"
-    )
-    lines = found.withColumns(
-        {"source_url": F.col("base"), "lines": F.coalesce(X.profile_lines(F.col("texts")), F.array().cast("array<string>"))}
-    )
-    filled = E.profile_fields(lines, ["source_id", "base", "adapter", "version", "raw"])
-    names = [name for (name, _), adapter in adapters.items() if adapter.profile]
-    biography = F.col("adapter").isin(*names)
-    document = F.to_json(F.struct(*PROFILE_FIELDS), {"ignoreNullFields": "false"})
-    error = F.when(biography, F.col("error")).when(F.col("raw").isNull(), "PARSE_FAILED")
-    return filled.select(
-        "source_id", "base", "adapter", "version",
-        F.when(biography, F.when(F.col("error").isNull(), document)).otherwise(F.col("raw")).alias("data"), error.alias("error"),
-    )
+    known = adapters.items()
+
+    def asked(name: str, version: str) -> Column:
+        return F.exists("wanted", lambda w: (w["name"] == name) & (w["version"] == version))
+
+    biographies = [asked(*key) for key, adapter in known if adapter.profile]
+    located = pages.withColumns({"url": F.col("base"), "source_url": F.col("base"), "_host": U.domain_of(F.col("base"))})
+    selectors = C.container_selectors(F.col("_host"))
+    located = located.withColumn("_selectors", F.when(reduce(or_, biographies, F.lit(False)), selectors))
+    attributes = tuple(dict.fromkeys(name for _, adapter in known for name in adapter.attributes))
+    found = E.page_arrays(located, ["source_id", "base", "wanted", "source_url", "_selectors"], attributes)
+    arrays = ["source_id", "base", "wanted", "elements", "pieces", "body_from", "empty"]
+    filled = E.profile_fields(E.profile_lines(found), arrays)
+    biography = F.to_json(F.struct(*PROFILE_FIELDS), {"ignoreNullFields": "false"})
+
+    def made(name: str, version: str, adapter: Adapter) -> Column:
+        document = biography if adapter.profile else F.to_json(adapter.document(), {"ignoreNullFields": "false"})
+        failed = F.col("error") if adapter.profile else F.when(F.col("empty"), "PARSE_FAILED")
+        fields = F.struct(
+            F.lit(name).alias("adapter"), F.lit(version).alias("version"), F.when(failed.isNull(), document).alias("data"), failed.alias("error")
+        )
+        return F.when(asked(name, version), fields)
+
+    # the documents are made first, so that no row of them carries the page's arrays
+    documents = F.array_compact(F.array(*[made(*key, adapter) for key, adapter in known]))
+    return filled.select("source_id", "base", F.explode(documents).alias("_made")).select("source_id", "base", "_made.*")
 
 
 def resolve(requests: DataFrame, adapters: DataFrame) -> DataFrame:
