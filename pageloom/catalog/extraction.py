@@ -56,6 +56,13 @@ def timeline_parse(spark, root):
     )
 
 
+def profile_pages(spark):
+    """The pages are made up from the rows of one file; the narrow rows are dealt out before."""
+    lines = spark.table("f_timeline_lines").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line_id")
+    lines.createOrReplaceTempView("f_timeline_lines")
+    return spark.sql(VIEWS["f_profile_pages"])
+
+
 _PERSON = "CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '欧阳文华' END"
 
 
@@ -72,10 +79,7 @@ _PERSON = "CASE line_id % 3 WHEN 0 THEN '张三' WHEN 1 THEN '王小明' ELSE '
 FROM (SELECT *, line_id % 7 = 0 AS bad FROM {_LINE})""",
 )
 def profile_extract(spark, root):
-    # the pages are made up from the rows of one file; the narrow rows are dealt out before
-    lines = spark.table("f_timeline_lines").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line_id")
-    lines.createOrReplaceTempView("f_timeline_lines")
-    found = E.profile_extract(spark.sql(VIEWS["f_profile_pages"]))
+    found = E.profile_extract(profile_pages(spark))
     entries = F.transform("timeline", lambda e: F.concat(e["period"], F.lit("="), e["position"]))
     return found.select(
         "page_id",
@@ -134,7 +138,7 @@ def selector_present(spark, root):
     sql=f"""SELECT line_id % 7 = 0 AS failed, count(*) AS pages FROM {_LINE} GROUP BY 1""",
 )
 def schema_check(spark, root):
-    checked = E.schema_check(E.profile_extract(spark.table("f_profile_pages")))
+    checked = E.schema_check(E.profile_extract(profile_pages(spark)))
     return checked.groupBy("failed").agg(F.count("*").alias("pages"))
 
 

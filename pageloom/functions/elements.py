@@ -20,7 +20,12 @@ from . import text as X
 ARTICLE_TAGS, ARTICLE_MARKS = ("title", "h1", "meta", "time", "article", "main", "body"), ("rel",)
 ARTICLE_ATTRIBUTES = ("rel", "name", "property", "content", "datetime")
 LINK_TAGS, LINK_ATTRIBUTES = ("a",), ("href",)
-PROFILE_ATTRIBUTES = ("class", "id")
+PROFILE_ATTRIBUTES = PROFILE_MARKS = ("class", "id")
+_CONTAINERS = [*S.PROFILE_FALLBACK, *(name for _, own in S.PROFILE_SITES for name in own)]
+#: Tags that name a container without a class or an id; None stands for any.
+_BARE = {tag for name in _CONTAINERS for group in compile_selector(name) or () for tag, classes, ids in group if not classes and not ids}
+PROFILE_TAGS = None if None in _BARE else ("h1", "p", *sorted(_BARE))
+PROFILE_FACTS = ("tag", "at", "start", "stop", "last", "dropped", "chars", "text")
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -136,9 +141,8 @@ def container_selectors(host: Column) -> Column:
 
 
 def _fits(element: Column, compound: Column) -> Column:
-    classes = F.split(F.coalesce(element["class"], F.lit("")), f"{X.BLANK}+")
     by_tag = compound["tag"].isNull() | (compound["tag"] == element["tag"])
-    by_class = (F.size(compound["classes"]) == 0) | (element["class"].isNotNull() & (F.size(F.array_except(compound["classes"], classes)) == 0))
+    by_class = (F.size(compound["classes"]) == 0) | F.coalesce(F.size(F.array_except(compound["classes"], element["classes"])) == 0, F.lit(False))
     by_id = (F.size(compound["ids"]) == 0) | (compound["ids"] == F.array(element["id"]))
     return by_tag & by_class & F.coalesce(by_id, F.lit(False))
 
@@ -158,25 +162,30 @@ def profile_texts(selectors: Column) -> Column:
     then a site's own by the longest text, then by place in the document.
     """
 
-    def matches(selector: Column, place: Column) -> Column:
-        found = F.filter("elements", lambda e: F.exists(selector["fits"], lambda compound: _fits(e, compound)))
-        return F.transform(
-            found,
-            lambda e: F.struct(place.alias("place"), F.when(selector["own"], -e["chars"]).otherwise(0).alias("size"), e["at"].alias("at")),
-        )
+    def box(e: Column, place: Column, size: Column) -> Column:
+        return F.struct(place.alias("place"), size.alias("size"), *[e[name].alias(name) for name in ("at", "start", "stop", "last")])
+
+    # only elements that a container's name can fit are looked at, and their classes are told apart once for all selectors
+    bare = F.lit(True) if None in _BARE else F.lit(False)
+
+    def named(e: Column) -> Column:
+        return bare | e["class"].isNotNull() | e["id"].isNotNull() | e["tag"].isin(*sorted(_BARE - {None}))
 
-    best = F.array_min(F.flatten(F.transform(selectors, matches)))["at"]
-    page = F.struct(F.lit(0).alias("start"), F.size("pieces").alias("stop"), F.lit(0).alias("after"), F.size("elements").alias("below"))
+    marked = F.transform(F.filter("elements", named), lambda e: e.withField("classes", F.when(e["class"].isNotNull(), X.split_all(e["class"], f"{X.BLANK}+", " "))))
 
-    def held(at: Column) -> Column:
-        e = F.get(F.col("elements"), at)
-        inner = F.struct(e["start"].alias("start"), e["stop"].alias("stop"), (at + 1).alias("after"), (e["last"] - at).alias("below"))
-        return F.when(at.isNull(), page).otherwise(inner)
+    def matches(elements: Column, selector: Column, place: Column) -> Column:
+        found = F.filter(elements, lambda e: F.exists(selector["fits"], lambda compound: _fits(e, compound)))
+        return F.transform(found, lambda e: box(e, place, F.when(selector["own"], -e["chars"]).otherwise(0)))
+
+    page = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("start"), F.size("pieces").alias("stop"), F.lit(2**31 - 1).alias("last"))
+    found = bind(marked, lambda elements: F.flatten(F.transform(selectors, lambda selector, place: matches(elements, selector, place))))
+    best = F.coalesce(F.array_min(found), box(page, F.lit(0), F.lit(0)))
 
     def texts(box: Column) -> Column:
-        inside = F.slice(F.col("elements"), box["after"] + 1, box["below"])
-        paragraphs = F.filter(inside, lambda e: (e["tag"] == "p") & ~e["dropped"])
+        paragraphs = F.filter(
+            "elements", lambda e: (e["tag"] == "p") & ~e["dropped"] & (e["at"] > box["at"]) & (e["at"] <= box["last"])
+        )
         split = F.transform(paragraphs, lambda e: text_between(e["start"], e["stop"], "dropped"))
         return bind(split, lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(text_between(box["start"], box["stop"], "dropped"))))
 
-    return bind(best, lambda at: bind(held(at), texts))
+    return bind(best, texts)

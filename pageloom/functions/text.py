@@ -29,9 +29,17 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"(?![!-~]| [!-~]){BLANK}+", " "))
 
 
+def split_all(text: Column, pattern: str, mark: str) -> Column:
+    """Parts of a text between the matches of a pattern, one of which is the character ``mark``.
+
+    A pattern is read once for a replacement but for every row of a split, so the matches become the mark first.
+    """
+    return F.split(F.regexp_replace(text, pattern, mark), mark)
+
+
 def split_lines(text: Column) -> Column:
     """Non-blank lines of a text."""
-    return F.filter(F.split(text, LINE_END), lambda line: collapse_ws(line) != "")
+    return F.filter(split_all(text, LINE_END, "\n"), lambda line: collapse_ws(line) != "")
 
 
 def lines_first_seen(lines: Column) -> Column:
@@ -45,8 +53,10 @@ def first_match(lines: Column, predicate: Callable[[Column], Column]) -> Column:
 
 def profile_lines(texts: Column) -> Column:
     """Lines of all texts: collapsed, non-empty, each kept at its first place."""
-    parts = F.flatten(F.transform(texts, lambda text: F.transform(split_lines(text), collapse_ws)))
-    return lines_first_seen(parts)
+    def lines(text: Column) -> Column:
+        return F.filter(F.transform(split_all(text, LINE_END, "\n"), collapse_ws), lambda line: line != "")
+
+    return lines_first_seen(F.flatten(F.transform(texts, lines)))
 
 
 def profile_name(title: Column, lines: Column) -> Column:

@@ -9,7 +9,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from .parse import Page
+from .parse import Element, Page
 
 #: Place of an element or a text piece among all of the page; ``parent`` -1 is the page itself.
 ELEMENT = {
@@ -40,60 +40,72 @@ def joiner(base: str) -> Callable[[str], str]:
     return join
 
 
-def _listed(fields: dict[str, str], rows: list[tuple], ends: list[int]) -> pa.Array:
-    columns = list(zip(*rows)) or [()] * len(fields)
-    values = [pa.array(column, _ARROW[kind]) for column, kind in zip(columns, fields.values())]
+def _listed(fields: dict[str, str], columns: dict[str, list], ends: list[int]) -> pa.Array:
+    values = [pa.array(columns[name], _ARROW[kind]) for name, kind in fields.items()]
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, names=list(fields)))
 
 
-def arrays_schema(keep: list[T.StructField], attributes: tuple[str, ...]) -> T.StructType:
+def _named(fields: dict[str, str], facts: tuple[str, ...] | None) -> dict[str, str]:
+    return {name: kind for name, kind in fields.items() if facts is None or name in facts}
+
+
+def arrays_schema(keep: list[T.StructField], attributes: tuple[str, ...], facts: tuple[str, ...] | None = None) -> T.StructType:
     """Kept columns, then ``elements``, ``pieces``, ``body_from`` and ``empty``."""
 
     def listed(fields: dict[str, str]) -> T.ArrayType:
         return T.ArrayType(T._parse_datatype_string(", ".join(f"`{name}` {kind}" for name, kind in fields.items())))
 
     made = [
-        T.StructField("elements", listed({**ELEMENT, **dict.fromkeys(attributes, "string")})),
-        T.StructField("pieces", listed(PIECE)),
+        T.StructField("elements", listed({**_named(ELEMENT, facts), **dict.fromkeys(attributes, "string")})),
+        T.StructField("pieces", listed(_named(PIECE, facts))),
         T.StructField("body_from", T.IntegerType()),
         T.StructField("empty", T.BooleanType()),
     ]
     return T.StructType([*keep, *made])
 
 
-def arrays_of(attributes: tuple[str, ...], tags: frozenset[str] | None, marks: frozenset[str]):
+def arrays_of(attributes: tuple[str, ...], tags: frozenset[str] | None, marks: frozenset[str], facts: tuple[str, ...] | None = None):
     """A ``mapInArrow`` function; its input ends with the page's URL and its text.
 
     ``attributes`` become fields of the elements, ``href`` resolved against the URL. With ``tags`` only the elements
-    of these tags are listed, and those with one of the attributes ``marks``.
+    of these tags are listed, and those with one of the attributes ``marks``. ``facts`` names the fields of elements and
+    pieces that are made, all if not given.
     """
-    fields = {**ELEMENT, **dict.fromkeys(attributes, "string")}
+    of_elements, of_pieces = _named(ELEMENT, facts), _named(PIECE, facts)
+    fields = {**of_elements, **dict.fromkeys(attributes, "string")}
 
-    def listed(page: Page, base: str) -> Iterator[tuple]:
+    def attribute(name: str, listed: list[Element], base: str) -> list[str | None]:
+        values = [element.attrs.get(name) if element.raw else None for element in listed]
+        if name != "href":
+            return values
         join = joiner(base)
-        facts = page.facts()
-        for element in page.elements:
-            attrs = element.attrs if element.raw else {}
-            if tags is not None and element.tag not in tags and not marks.intersection(attrs):
-                continue
-            values = [attrs.get(name) for name in attributes]
-            if "href" in attrs and "href" in attributes:
-                values[attributes.index("href")] = join(attrs["href"])
-            yield (*facts(element), *values)
+        return [None if value is None else join(value) for value in values]
+
+    def shown(element: Element) -> bool:
+        return element.tag in tags or bool(element.raw and not marks.isdisjoint(element.attrs))
 
     def made(batch: pa.RecordBatch, pages: list[tuple[str | None, str]]) -> pa.RecordBatch:
-        elements, pieces, element_ends, piece_ends, body_from, empty = [], [], [0], [0], [], []
+        elements, pieces = {name: [] for name in fields}, {name: [] for name in of_pieces}
+        n_elements = n_pieces = 0
+        element_ends, piece_ends, body_from, empty = [0], [0], [], []
         for base, html in pages:
             page = Page(html or "")
             if not page.empty:
-                elements.extend(listed(page, base or ""))
-                pieces.extend(page.pieces())
-            element_ends.append(len(elements))
-            piece_ends.append(len(pieces))
+                listed = page.elements if tags is None else [element for element in page.elements if shown(element)]
+                for name in of_elements:
+                    elements[name].extend(page.element_facts(name, listed))
+                for name in attributes:
+                    elements[name].extend(attribute(name, listed, base or ""))
+                for name in of_pieces:
+                    pieces[name].extend(page.piece_facts(name))
+                n_elements += len(listed)
+                n_pieces += len(page.texts)
+            element_ends.append(n_elements)
+            piece_ends.append(n_pieces)
             body_from.append(page.body_from)
             empty.append(page.empty)
         kept = batch.columns[:-2]
-        arrays = [_listed(fields, elements, element_ends), _listed(PIECE, pieces, piece_ends), pa.array(body_from, pa.int32()), pa.array(empty)]
+        arrays = [_listed(fields, elements, element_ends), _listed(of_pieces, pieces, piece_ends), pa.array(body_from, pa.int32()), pa.array(empty)]
         return pa.RecordBatch.from_arrays([*kept, *arrays], names=[*batch.schema.names[:-2], "elements", "pieces", "body_from", "empty"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

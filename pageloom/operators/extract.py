@@ -34,16 +34,18 @@ def page_arrays(
     tags: tuple[str, ...] | None = None,
     marks: tuple[str, ...] = (),
     base: bool = True,
+    facts: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Kept columns with ``elements``, ``pieces``, ``body_from`` and ``empty`` of each page, one row for each.
 
     Elements carry the named ``attributes``, ``href`` resolved against the URL unless ``base`` is off. With ``tags`` only
-    elements of these tags, or with an attribute of ``marks``, are listed. A page without html is empty.
+    elements of these tags, or with an attribute of ``marks``, are listed. ``facts`` names the fields that
+    are needed of elements and pieces, all if not given. A page without html is empty.
     """
     url = F.coalesce("url", F.lit("")) if base else F.lit("")
     narrow = pages.select(*keep, url.alias("_url"), page_text(pages).alias("_html"))
-    run = H.arrays_of(attributes, None if tags is None else frozenset(tags), frozenset(marks))
-    return narrow.mapInArrow(run, H.arrays_schema([pages.schema[name] for name in keep], attributes))
+    run = H.arrays_of(attributes, None if tags is None else frozenset(tags), frozenset(marks), facts)
+    return narrow.mapInArrow(run, H.arrays_schema([pages.schema[name] for name in keep], attributes, facts))
 
 
 def article_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -73,9 +75,11 @@ def profile_extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), base
     pages without text, or with neither summary nor timeline.
     """
     url = F.coalesce("url", F.lit("")) if base else F.lit("")
-    selectors = E.container_selectors(F.col("_host"))
-    asked = pages.withColumn("source_url", url).withColumn("_host", U.domain_of(F.col("source_url"))).withColumn("_selectors", selectors)
-    found = page_arrays(asked, [*keep, "source_url", "_selectors"], E.PROFILE_ATTRIBUTES, base=base)
+    found = page_arrays(
+        pages.withColumn("source_url", url), [*keep, "source_url"], E.PROFILE_ATTRIBUTES, E.PROFILE_TAGS, E.PROFILE_MARKS, base, E.PROFILE_FACTS
+    )
+    # the selectors are many values: they are named behind the reader, which has no use for them
+    found = found.withColumn("_host", U.domain_of(F.col("source_url"))).withColumn("_selectors", E.container_selectors(F.col("_host")))
     return profile_fields(profile_lines(found), list(keep))
 
 

@@ -218,3 +218,29 @@ def test_choices_agree_with_a_walk_over_the_page(spark):
         begin = next((at for e in heads for at in range(e.start, e.stop) if walked.parents[at] is None or not walked.parents[at].pruned), None)
         if begin is not None and walked.texts[begin].strip():
             assert found[number].title.startswith(walked.texts[begin].strip().split()[0]), html
+
+
+def test_the_reader_sends_only_the_facts_that_are_asked_for(spark):
+    """A biography needs neither the other facts of a page nor its selectors carried through the reader."""
+    html = "<title>t</title><div class='x y'><b>a</b><p>one</p><script>s</script></div><p>two</p>"
+    found = E.page_arrays(page(spark, html), [], C.PROFILE_ATTRIBUTES, C.PROFILE_TAGS, C.PROFILE_MARKS, facts=C.PROFILE_FACTS)
+    assert found.schema["pieces"].dataType.elementType.names == ["at", "tag", "dropped", "text"]
+    row = found.first()
+    assert [(e.tag, e.at, e["class"]) for e in row.elements] == [("div", 1, "x y"), ("p", 3, None), ("p", 5, None)]
+    assert texts(spark, html, "x.example")[1] == ["one", "two"]
+    plan = E.profile_extract(page(spark, html, "http://www.news.cn/"))._jdf.queryExecution().optimizedPlan().toString()
+    reader = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "_selectors" not in reader
+
+
+def test_profile_pages_are_dealt_out_before_they_are_read(spark, data):
+    """schema_check read all pages of a file of few row groups in as few tasks."""
+    from pageloom.catalog import QUERIES
+
+    plan = QUERIES["schema_check"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan[plan.index("MapInArrow"):]
+
+
+def test_classes_between_any_blanks(spark):
+    html = "<div class='　a  text\tb'><p>held</p></div><p class=text2>out</p>"
+    assert texts(spark, html, "x.example")[1] == ["held"]
