@@ -76,11 +76,15 @@ def attempts_union(spark, root):
 
 
 # a response's page is the one with its request's page number; every third answer came from the cache
-_ANSWERS = f"""SELECT r.request_id, r.url AS requested_url, concat(r.url, CASE WHEN r.status_code = 301 THEN '?moved' ELSE '' END) AS final_url, r.status_code,
+def _answers(body: str, pages: str) -> str:
+    return f"""SELECT r.request_id, r.url AS requested_url, concat(r.url, CASE WHEN r.status_code = 301 THEN '?moved' ELSE '' END) AS final_url, r.status_code,
  CASE WHEN r.mode = 'browser' THEN 'browser' ELSE 'http' END AS strategy, r.elapsed_ms, r.request_id % 3 = 0 AS hit, r.request_id % 12 = 0 AS stale,
- CASE r.request_id % 4 WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/json' END AS content_type, p.html AS body, r.ts AS fetched_at,
+ CASE r.request_id % 4 WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/json' END AS content_type, {body}, r.ts AS fetched_at,
  CASE WHEN r.save_artifact THEN concat('art_', md5(CAST(r.request_id AS VARCHAR(20)))) END AS artifact_id
-FROM f_requests r JOIN pages p ON p.page_id = r.page_id"""
+FROM f_requests r JOIN {pages} p ON p.page_id = r.page_id"""
+
+
+_ANSWERS = _answers("p.html AS body", "pages")
 
 
 @query(
@@ -96,11 +100,13 @@ FROM ({_ANSWERS}) LEFT JOIN tries USING (request_id)""",
 )
 def response_project(spark, root):
     tries = L.retry_fold(spark.table("f_attempts")).select("request_id", "attempts")
-    outcomes = spark.sql(_ANSWERS).join(tries, "request_id", "left")
+    # a page is the body of many responses: its digest is taken once, and no response carries the body through a join
+    spark.table("pages").select("page_id", F.md5("html").alias("body_md5")).createOrReplaceTempView("f_bodies")
+    outcomes = spark.sql(_answers("p.body_md5", "f_bodies")).join(tries, "request_id", "left")
     shown = F.transform("attempts", lambda a: F.concat_ws(":", a["sequence"].cast("string"), a["status_code"].cast("string")))
     return L.response_project(outcomes).select(
         "request_id", "success", "requested_url", "final_url", "status_code", "strategy", "from_cache", "stale", "elapsed_ms", "content_type",
-        F.md5("body").alias("body_md5"), "artifact_id", micros(F.col("fetched_at")).alias("fetched_us"),
+        "body_md5", "artifact_id", micros(F.col("fetched_at")).alias("fetched_us"),
         F.coalesce(F.array_join(shown, ","), F.lit("")).alias("attempts"),
     )
 

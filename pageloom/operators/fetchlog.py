@@ -175,7 +175,8 @@ def response_project(outcomes: DataFrame) -> DataFrame:
 
     ``outcomes``: request_id, requested_url, final_url, status_code, strategy, elapsed_ms,
     content_type, body (text), artifact_id, fetched_at, attempts (array), hit, stale. A hit
-    took no time and has no attempts of its own; the rest is what the cache kept.
+    took no time and has no attempts of its own; the rest is what the cache kept. Where the
+    bodies stay in a table of their own, ``body_md5`` stands in place of ``body``.
     """
     hit = F.col("hit")
     none = F.array().cast(outcomes.schema["attempts"].dataType)
@@ -190,7 +191,7 @@ def response_project(outcomes: DataFrame) -> DataFrame:
         F.coalesce("stale", F.lit(False)).alias("stale"),
         F.when(hit, F.lit(0).cast("bigint")).otherwise(F.col("elapsed_ms")).alias("elapsed_ms"),
         F.coalesce("content_type", F.lit(S.DEFAULT_CONTENT_TYPE)).alias("content_type"),
-        "body",
+        *[name for name in ("body", "body_md5") if name in outcomes.columns],
         "artifact_id",
         "fetched_at",
         F.when(hit, none).otherwise(F.col("attempts")).alias("attempts"),

@@ -242,3 +242,20 @@ def test_redirects_from_recorded_urls(spark):
     assert found["http://site.example.org/a"] == ("http://other.example.org/c/../d", 2, None)
     assert found["http://site.example.org/l"] == (None, 0, "REDIRECT_LOOP")
     assert found["http://site.example.org/y"] == (None, 1, "NOT_RECORDED")
+
+
+def test_no_response_carries_its_body_through_a_join(spark, data):
+    """Bodies were joined to the responses and then dealt out with them by request."""
+    from pageloom.catalog import QUERIES
+
+    plan = QUERIES["response_project"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    digest = plan.index("md5(cast(html")
+    assert plan.index("Join") < digest and "body#" not in plan
+
+
+def test_responses_with_a_digest_in_place_of_the_body(spark):
+    columns = "request_id int, requested_url string, final_url string, status_code int, strategy string, elapsed_ms bigint, content_type string, {} string, artifact_id string, fetched_at timestamp, attempts array<string>, hit boolean, stale boolean"
+    row = (1, "u", "u", 200, "http", 7, None, "x", None, BASE, ["a"], True, None)
+    for name in ("body", "body_md5"):
+        found = L.response_project(spark.createDataFrame([row], columns.format(name))).first()
+        assert (found[name], found.elapsed_ms, found.attempts, found.stale) == ("x", 0, [], False)
